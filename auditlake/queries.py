@@ -1,0 +1,6 @@
+"""The library's queries over the driver's tables and their SQL twins."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
