@@ -30,7 +30,7 @@ from auditlake.llm.common import shared_dir
 MAGIC, BLOCK, PERCENTILE, END_ID = b"PFR1", 128, 90, 2
 #: Ids after which a file is closed; a document is never split.
 FILE_IDS = 1 << 19
-#: Parts, and pieces of them, whose ids a worker remembers; beyond, it starts anew.
+#: Parts, and pieces of them, in a generation of those whose ids a worker remembers.
 CACHE = 600_000
 LONG_SPACE = re.compile(r"\s{3}|\s\s\Z").search
 #: The splitter's classes over characters whose kind is certain: ASCII and Latin letters.
@@ -146,35 +146,47 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.first, self.later, self.pieces = {}, {}, {}
+        self.older: dict[int, dict] = {}  # the generation before, of each of them
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, known: dict, parts: set[str], before: str) -> None:
-        """Encode the parts that aren't known yet."""
-        new = [p for p in parts if p not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(parts)
+        """Make all parts known. What is known stands in two generations: when the younger is full it becomes the older,
+        and what is used again moves to the younger."""
+        known, old = self._generation(known, len(parts))
+        pieces, old_pieces = self._generation(self.pieces, 0)
         odd = []
-        pieces, tokenize, cut = self.pieces, self.tokenizer.model.tokenize, PIECES.findall
-        for p in new:
+        tokenize, cut = self.tokenizer.model.tokenize, PIECES.findall
+        for p in parts:
+            if p in known:
+                continue
+            ids = old.get(p)
+            if ids is not None:
+                known[p] = ids
+                continue
             if not PLAIN(p):
                 odd.append(p)
                 continue
             ids = b""
             for x in cut(before + p):
                 got = pieces.get(x)
+                if got is None and (got := old_pieces.get(x)) is not None:
+                    pieces[x] = got
                 if got is None:
                     got = pieces[x] = np_ids([t.id for t in tokenize(x.encode().decode("latin-1").translate(BYTE_CHARS))])
                 ids += got
             known[p] = ids
-        if len(pieces) > CACHE:
-            pieces.clear()
         known.update(zip(odd, self._whole([before + p for p in odd])))
 
+    def _generation(self, known: dict, more: int) -> tuple[dict, dict]:
+        if len(known) + more > CACHE:
+            self.older[id(known)] = dict(known)
+            known.clear()
+        return known, self.older.get(id(known), {})
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if LONG_SPACE(t) else t.split(" ") for t in texts]
+        split = [None if has_long_space(t) else t.split(" ") for t in texts]
         self._learn(self.first, {p[0] for p in split if p}, "")
         self._learn(self.later, set().union(*(p[1:] for p in split if p)), " ")
         first, later = self.first, self.later.__getitem__
@@ -182,6 +194,14 @@ class Encoder:
         return [next(whole) if p is None else first[p[0]] + b"".join(map(later, p[1:])) for p in split]
 
 
+def has_long_space(t: str) -> bool:
+    """Whether the text has a run of three spaces of any kind, or of two at its end. Without two together and without
+    other spaces than blanks and line ends it can't, which is quick to see."""
+    if "  " in t or " \n" in t or "\n " in t or "\n\n" in t or not t.replace("\n", "").isprintable():
+        return LONG_SPACE(t) is not None
+    return False
+
+
 def np_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
