@@ -102,7 +102,7 @@ where c_custkey % 2 = 0 or currency in ('KRW', 'USD')""",
     "replies": """
 select c_custkey as reply_id, c_custkey % 4 as engagement_id, 'receivable' as kind, c_name as party,
   cast(floor(abs(c_acctbal)) + 1 as double) as ledger_amount,
-  case when c_custkey % 13 = 0 then null else (floor(abs(c_acctbal)) + 1) * case c_custkey % 4 when 0 then 1.0 when 1 then 0.995 when 2 then 0.98 else 0.5 end end as reply_amount,
+  case when c_custkey % 13 = 0 then null else cast(floor(abs(c_acctbal)) + 1 as double) * cast(case c_custkey % 4 when 0 then 1.0 when 1 then 0.995 when 2 then 0.98 else 0.5 end as double) end as reply_amount,
   case c_custkey % 3 when 0 then null when 1 then true else false end as declared_match,
   case when c_custkey % 5 = 0 then 'USD' else 'KRW' end as currency
 from {customer} where c_custkey % 6 <> 0""",
@@ -110,6 +110,25 @@ from {customer} where c_custkey % 6 <> 0""",
 select o_custkey % 4 as engagement_id, c_name as party, case o_orderstatus when 'F' then 'KRW' when 'O' then 'USD' else null end as currency,
   cast(o_totalprice as decimal(20,2)) as amount, o_orderkey % 17 <> 0 as success, (o_orderkey % 10) / 10.0 as confidence
 from {orders} join {customer} on o_custkey = c_custkey""",
+    "contacts": """
+select c_custkey % 4 as engagement_id, c_name as party, case when c_custkey % 4 = 1 then null else concat('c', cast(c_custkey as string), '@example.com') end as email,
+  case when c_custkey % 3 = 0 then concat('02-', cast(c_custkey as string)) else null end as phone from {customer}""",
+    "account_rows": """
+select c_custkey as reply_id, account_group, case when pos = 3 and c_custkey % 11 = 0 then 'EUR' else currency end as row_currency,
+  cast(case when c_custkey % 17 = 0 then null else amount * case c_custkey % 4 when 0 then 1.0 when 1 then 1.0 when 2 then 0.999 else 0.7 end end as double) as row_amount, pos
+from {guide} join {customer} on party = c_name where pos in (1, 3) and c_custkey % 7 < 4""",
+    "parsed": """
+select c_custkey as reply_id, c_custkey % 4 as engagement_id, case when c_custkey % 19 = 0 then null else c_name end as party, 'receivable' as asked_kind,
+  cast(case when c_custkey % 2 = 0 then abs(c_acctbal) else null end as double) as receivable_total, cast(case when c_custkey % 5 = 0 then abs(c_acctbal) / 2 else null end as double) as payable_total,
+  cast(abs(c_acctbal) * 0.995 as double) as balance
+from {customer} where c_custkey % 6 <> 0""",
+    "sampled": """
+select c_custkey % 4 as engagement_id, c_name as party, case c_custkey % 3 when 0 then 'both' when 1 then 'receivable' else 'payable' end as kind,
+  cast(abs(c_acctbal) as double) as receivable_ledger, cast(abs(c_acctbal) / 2 as double) as payable_ledger from {customer}""",
+    "explanations": """
+select o_custkey % 4 as engagement_id, c_name as party, o_orderkey as row_no, cast(o_totalprice as decimal(20,2)) as sent, cast(o_totalprice as decimal(20,2)) - cast(o_orderkey % 3 as decimal(20,2)) as reply,
+  case o_orderkey % 4 when 0 then 'timing' when 1 then 'in transit' when 2 then '' else null end as reason, o_orderstatus as account_type, case when o_orderkey % 2 = 0 then 'KRW' else 'USD' end as currency
+from {orders} join {customer} on o_custkey = c_custkey where o_orderkey % 5 = 0""",
     # market data
     "prices": """
 select concat('T', cast(user_id as string)) as ticker, cast(ts as date) as date, max_by(value, event_id) as close, count(*) as volume
