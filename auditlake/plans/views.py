@@ -136,11 +136,9 @@ from {events} group by 1, 2""",
     "market": "select date, avg(close) as close from {prices} group by date",
     "statements": """
 select concat('S', cast(s_suppkey as string)) as ticker, date '1998-03-31' + cast(q * 91 as int) as period_end, case when q % 4 = 3 then 'annual' else 'quarter' end as period_type,
-  case when (s_suppkey + q) % 5 = 0 then null else round(abs(s_acctbal) * (1 + q), 2) end as total_debt,
-  case when (s_suppkey + q) % 3 = 0 then null else round(abs(s_acctbal) * 2 + q, 2) end as equity_a, round(abs(s_acctbal) + q, 2) as equity_b,
-  round(abs(s_acctbal) / 2, 2) as cash, case when (s_suppkey + q) % 4 = 0 then null else round(s_acctbal / 4 + q, 2) end as ebitda,
-  round(s_acctbal / 5, 2) as operating_income, round(abs(s_acctbal) / 50, 2) as da
-from {supplier} cross join (values (0), (1), (2), (3), (4), (5), (6), (7)) as t(q)""",
+  case when (s_suppkey + q) % 5 = 0 then null else a * (1 + q) end as total_debt, case when (s_suppkey + q) % 3 = 0 then null else a * 2 + q end as equity_a, a + q as equity_b,
+  a / 2 as cash, case when (s_suppkey + q) % 4 = 0 then null else cast(floor(s_acctbal) as double) / 4 + q end as ebitda, cast(floor(s_acctbal) as double) / 5 as operating_income, a / 50 as da
+from (select *, cast(floor(abs(s_acctbal)) as double) as a from {supplier}) s cross join (values (0), (1), (2), (3), (4), (5), (6), (7)) as t(q)""",
     "quotes": """
 select n_nationkey as curve_id, t, 2.0 + n_regionkey + ln(1 + t) as y
 from {nation} cross join (values (cast(0.25 as double)), (cast(0.5 as double)), (cast(1 as double)), (cast(2 as double)), (cast(3 as double)), (cast(5 as double)), (cast(7 as double)), (cast(10 as double))) as q(t)""",
@@ -154,9 +152,13 @@ from {part}""",
 select c_custkey as company_id, 0.08 + (c_custkey % 10) / 100.0 as wacc, (c_custkey % 4) / 100.0 as growth, cast(abs(c_acctbal) as double) as net_debt,
   cast(1000 + c_custkey % 50 as double) as shares, 6.0 + c_custkey % 5 as multiple from {customer}""",
     "company_years": """
-select c_custkey as company_id, yr, round(abs(c_acctbal) * (1 + 0.05 * yr) * 10, 2) as revenue, round(abs(c_acctbal) * (1 + 0.05 * yr), 2) as ebit,
-  round(abs(c_acctbal) * 0.1, 2) as da, round(abs(c_acctbal) * 0.12, 2) as capex, round(abs(c_acctbal) * 0.02, 2) as dnwc, 0.22 as tax
-from {customer} cross join (values (1), (2), (3), (4), (5)) as t(yr)""",
+select c_custkey as company_id, yr, a * (1 + cast(0.05 as double) * yr) * 10 as revenue, a * (1 + cast(0.05 as double) * yr) as ebit, a / 10 as da, a / 8 as capex, a / 50 as dnwc, cast(0.22 as double) as tax
+from (select c_custkey, cast(floor(abs(c_acctbal)) as double) as a from {customer}) c cross join (values (1), (2), (3), (4), (5)) as t(yr)""",
+    "shares": """
+select deal_id, curve_id, face, cast(coupon as double) as coupon, cast(coupon_months as double) / 12 as interval_years, cast(years as double) as total, cast(deal_id % 11 as double) / 10 as elapsed, cast(deal_id % 3 as double) as first_pay,
+  deal_id % 4 <> 0 as cumulative, cast(years * 12 as int) as steps, cast(1 as double) / 12 as dt, cast(put_irr as double) as put_irr, put_from * 12 as put_step from {deals}""",
+    "holdings": """
+select p.ticker as deal_id, p.date, p.close as price, cast(60 as double) as conversion_price, cast(10000 as double) as face from {prices} p""",
 }
 _NAME = re.compile(r"\{([a-z]\w*)\}")
 
@@ -185,4 +187,7 @@ def twin(sql: str) -> str:
     body = plain(sql).strip()
     if not order:
         return body
-    return f"with {views},\n{body[5:]}" if body.startswith("with ") else f"with {views}\n{body}"
+    for start in ("with recursive ", "with "):
+        if body.startswith(start):
+            return f"{start}{views},\n{body[len(start):]}"
+    return f"with {views}\n{body}"
