@@ -17,7 +17,7 @@ KINDS = ["email", "ip", "card", "phone", "term"]
 CONTEXT_WORDS, CONTEXT_CHARS = 8, 160
 #: A term is disclosing if it stands near the entity in at least SUPPORT different contexts, at least SHARE of the
 #: documents that hold it do so, and that tells at least BITS bits about the entity.
-SUPPORT, SHARE, BITS = 3, 0.5, 5.0
+SUPPORT, SHARE, BITS = 3, 0.75, 5.0
 #: Terms that a task holds at once.
 BLOCK_TERMS = 200_000
 
