@@ -84,8 +84,13 @@ def best_pairs(q_ids, q, ids, v, k: int, floor: np.ndarray | None = None):
 
 
 def _matrix(column) -> np.ndarray:
-    data = column.combine_chunks() if hasattr(column, "combine_chunks") else column
-    return np.frombuffer(b"".join(data.to_pylist()), np.float64)
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64)
+
+
+def _distinct(table):
+    """Ids and vectors of a group's rows, each pair once: a window may hold a vector by several curves."""
+    ids, data = zip(*dict.fromkeys(zip(table.column("vec_id").to_pylist(), table.column("v").to_pylist())))
+    return np.array(ids, np.int64), np.frombuffer(b"".join(data), np.float64).reshape(len(ids), -1)
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -137,8 +142,8 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
 
         x, y, s = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         if len(left) and len(right):
-            v, q = (_matrix(t.column("v")).reshape(len(t), -1) for t in (left, right))
-            x, y, s = best_pairs(right.column("vec_id").to_numpy(), q, left.column("vec_id").to_numpy(), v, k)
+            (ids, v), (q_ids, q) = _distinct(left), _distinct(right)
+            x, y, s = best_pairs(q_ids, q, ids, v, k)
         return pa.table({"query_id": x, "vec_id": y, "score": s})
 
     met = held.select("window", "vec_id", "v").groupBy("window").cogroup(asked.groupBy("window")).applyInArrow(meet, result)
