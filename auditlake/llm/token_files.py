@@ -30,8 +30,8 @@ from auditlake.llm.common import shared_dir
 MAGIC, BLOCK, PERCENTILE, END_ID = b"PFR1", 128, 90, 2
 #: Ids after which a file is closed; a document is never split.
 FILE_IDS = 1 << 19
-#: Parts, and pieces of them, in a generation of those whose ids a worker remembers.
-CACHE = 600_000
+#: Parts between spaces, and pieces of them, in a generation of those whose ids a worker remembers.
+PARTS_KEPT, PIECES_KEPT = 500_000, 200_000
 LONG_SPACE = re.compile(r"\s{3}|\s\s\Z").search
 #: The splitter's classes over characters whose kind is certain: ASCII and Latin letters.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
@@ -40,6 +40,7 @@ PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{
 #: The byte-level alphabet: printable Latin-1 characters stand for themselves, the others for U+0100 on, in order.
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_CHARS = {b: chr(0x100 + k) for k, b in enumerate(sorted({*range(256)} - _SHOWN))}
+SPACE_CHAR = BYTE_CHARS[0x20]
 
 
 def pack(ids: np.ndarray, lengths, keys, block: int = BLOCK, percentile: int = PERCENTILE) -> bytes:
@@ -54,7 +55,7 @@ def pack(ids: np.ndarray, lengths, keys, block: int = BLOCK, percentile: int = P
     rank = min(block - 1, -(-block * percentile // 100) - 1)
     high = np.partition(rest, rank, axis=1)[:, rank] if n else low
     widths = np.ceil(np.log2(high.astype(np.float64) + 1)).astype(np.uint8)
-    over = (rest.astype(np.uint64) >> widths[:, None].astype(np.uint64)) > 0
+    over = rest > ((np.uint64(1) << widths.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     row, place = np.nonzero(over)
     size = -(-block * widths.astype(np.int64) // 32)
     starts = np.r_[0, np.cumsum(size)].astype(np.uint64)
@@ -131,13 +132,32 @@ class Payload:
         return self.blocks(np.arange(len(self.low))).ravel()[: self.n]
 
 
+class Remembered(dict):
+    """What make(key) gave, for the keys used last: when `kept` are there they become the older generation, and a key used
+    again comes back from it."""
+
+    def __init__(self, make, kept: int):
+        super().__init__()
+        self.make, self.kept, self.older = make, kept, {}
+
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.kept:
+            self.older = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
 class Encoder:
     """Ids of whole texts, as little-endian u32, by way of the parts between single spaces.
 
     The byte-level splitter never joins the end of a word to what follows a space, and hands a space to the word after
     it, so each part with its space before it is encoded on its own and remembered. Only runs of three spaces, and of
     two at the end, are split otherwise; a text with one is encoded whole. Parts of ASCII and Latin letters are cut as
-    the splitter would, and the tokenizer's model encodes each new piece once; other parts go through the tokenizer.
+    the splitter would, and the tokenizer's model encodes each piece; other parts go through the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -145,53 +165,43 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.first, self.later, self.pieces = {}, {}, {}
-        self.older: dict[int, dict] = {}  # the generation before, of each of them
+        self.id_bytes = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
+        self.tokenize = self.tokenizer.model.tokenize
+        self.pieces = Remembered(self._piece, PIECES_KEPT)
+        self.first = Remembered(lambda p: self._part("", p), PARTS_KEPT)
+        self.later = Remembered(lambda p: self._part(" ", p), PARTS_KEPT)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict, parts: set[str], before: str) -> None:
-        """Make all parts known. What is known stands in two generations: when the younger is full it becomes the older,
-        and what is used again moves to the younger."""
-        known, old = self._generation(known, len(parts))
-        pieces, old_pieces = self._generation(self.pieces, 0)
-        odd = []
-        tokenize, cut = self.tokenizer.model.tokenize, PIECES.findall
-        for p in parts:
-            if p in known:
-                continue
-            ids = old.get(p)
-            if ids is not None:
-                known[p] = ids
-                continue
-            if not PLAIN(p):
-                odd.append(p)
-                continue
-            ids = b""
-            for x in cut(before + p):
-                got = pieces.get(x)
-                if got is None and (got := old_pieces.get(x)) is not None:
-                    pieces[x] = got
-                if got is None:
-                    got = pieces[x] = np_ids([t.id for t in tokenize(x.encode().decode("latin-1").translate(BYTE_CHARS))])
-                ids += got
-            known[p] = ids
-        known.update(zip(odd, self._whole([before + p for p in odd])))
-
-    def _generation(self, known: dict, more: int) -> tuple[dict, dict]:
-        if len(known) + more > CACHE:
-            self.older[id(known)] = dict(known)
-            known.clear()
-        return known, self.older.get(id(known), {})
+    def _piece(self, x: str) -> bytes:
+        known = self.id_bytes
+        if x.isascii() and x[1:].isalpha():
+            x = SPACE_CHAR + x[1:] if x[0] == " " else x
+        else:
+            x = x.encode().decode("latin-1").translate(BYTE_CHARS)
+        found = self.tokenize(x)
+        return known[found[0].id] if len(found) == 1 else b"".join([known[t.id] for t in found])
+
+    def _part(self, before: str, p: str) -> bytes:
+        if p.isascii() and p:  # the common forms: a word, and one before a comma or full stop
+            if p.isalpha():
+                return self.pieces[before + p]
+            if p[-1] in ",." and p[:-1].isalpha():
+                return self.pieces[before + p[:-1]] + self.pieces[p[-1]]
+        if not PLAIN(p):
+            return self._whole([before + p])[0]
+        return b"".join([self.pieces[x] for x in PIECES.findall(before + p)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if has_long_space(t) else t.split(" ") for t in texts]
-        self._learn(self.first, {p[0] for p in split if p}, "")
-        self._learn(self.later, set().union(*(p[1:] for p in split if p)), " ")
-        first, later = self.first, self.later.__getitem__
-        whole = iter(self._whole([t for t, p in zip(texts, split) if p is None]))
-        return [next(whole) if p is None else first[p[0]] + b"".join(map(later, p[1:])) for p in split]
+        first, later, out = self.first, self.later.__getitem__, []
+        for t in texts:
+            if has_long_space(t):
+                out.append(self._whole([t])[0])
+            else:
+                head, *rest = t.split(" ")
+                out.append(first[head] + b"".join(map(later, rest)))
+        return out
 
 
 def has_long_space(t: str) -> bool:
@@ -202,10 +212,6 @@ def has_long_space(t: str) -> bool:
     return False
 
 
-def np_ids(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
