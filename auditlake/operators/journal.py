@@ -332,7 +332,8 @@ def finding(df: DataFrame, rule: str, amount: Column | None = None, reason: Colu
 
 def run_rules(gl: DataFrame, ctx: dict[str, DataFrame], enabled: tuple[str, ...] = RULE_ORDER, own: dict | None = None) -> DataFrame:
     """Findings of the enabled rules in one table. `own` adds rules: code -> function of (gl, ctx) that returns lines in
-    the form of finding(). B06 always runs."""
+    the form of finding(). B06 always runs. The ledger is persisted: a dozen rules read it."""
+    gl = gl.persist()
     rules = {
         "B01": lambda: finding(large_pl(gl, ctx["coa"]), "B01"),
         "B02": lambda: finding(unmatched_accounts(gl, ctx["coa"]), "B02"),
