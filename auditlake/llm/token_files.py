@@ -31,7 +31,7 @@ MAGIC, BLOCK, PERCENTILE, END_ID = b"PFR1", 128, 90, 2
 #: Ids after which a file is closed; a document is never split.
 FILE_IDS = 1 << 19
 #: Parts between spaces, and pieces of them, in a generation of those whose ids a worker remembers.
-PARTS_KEPT, PIECES_KEPT = 500_000, 200_000
+PARTS_KEPT, PIECES_KEPT = 350_000, 150_000
 LONG_SPACE = re.compile(r"\s{3}|\s\s\Z").search
 #: The splitter's classes over characters whose kind is certain: ASCII and Latin letters.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
@@ -62,15 +62,14 @@ def pack(ids: np.ndarray, lengths, keys, block: int = BLOCK, percentile: int = P
     out = np.zeros(int(starts[-1]), np.uint32)
     for w in np.unique(widths[widths > 0]).tolist():
         pick = np.flatnonzero(widths == w)
-        values = np.ascontiguousarray((rest[pick] & np.uint32((1 << w) - 1)).T.astype(np.uint64))
-        packed = np.zeros((int(size[pick[0]]) + 1, len(pick)), np.uint64)
+        values = np.ascontiguousarray((rest[pick] & np.uint32((1 << w) - 1)).T)
+        packed = np.zeros((int(size[pick[0]]) + 1, len(pick)), np.uint32)
         for j in range(block):
             word, bit = divmod(j * w, 32)
-            shifted = values[j] << np.uint64(bit)
-            packed[word] |= shifted & np.uint64(0xFFFFFFFF)
+            packed[word] |= values[j] << np.uint32(bit)  # bits beyond the word fall off and go to the next one
             if bit + w > 32:
-                packed[word + 1] |= shifted >> np.uint64(32)
-        out[(starts[pick].astype(np.int64)[:, None] + np.arange(size[pick[0]])).ravel()] = packed[:-1].T.astype(np.uint32).ravel()
+                packed[word + 1] |= values[j] >> np.uint32(32 - bit)
+        out[(starts[pick].astype(np.int64)[:, None] + np.arange(size[pick[0]])).ravel()] = packed[:-1].T.ravel()
     present = np.array([k is not None for k in keys], np.uint8)
     head = np.array([n, len(lengths), blocks, len(row), len(out)], "<u8")
     parts = [
@@ -101,15 +100,14 @@ class Payload:
 
     def _unpack(self, pick: np.ndarray, w: int) -> np.ndarray:
         size, block = -(-int(self.size) * w // 32), int(self.size)
-        words = self.words[self.starts[pick].astype(np.int64)[:, None] + np.arange(size)].T.astype(np.uint64)
-        words = np.vstack([words, np.zeros((1, len(pick)), np.uint64)])
-        out = np.empty((block, len(pick)), np.uint32)
+        words = np.ascontiguousarray(self.words[self.starts[pick].astype(np.int64)[:, None] + np.arange(size)].T)
+        out, mask = np.empty((block, len(pick)), np.uint32), np.uint32((1 << w) - 1)
         for j in range(block):
             word, bit = divmod(j * w, 32)
-            x = words[word] >> np.uint64(bit)
+            x = words[word] >> np.uint32(bit)
             if bit + w > 32:
-                x = x | (words[word + 1] << np.uint64(32 - bit))
-            out[j] = x & np.uint64((1 << w) - 1)
+                x |= words[word + 1] << np.uint32(32 - bit)
+            np.bitwise_and(x, mask, out=out[j])
         return out.T
 
     def blocks(self, pick: np.ndarray) -> np.ndarray:
@@ -184,11 +182,12 @@ class Encoder:
         return known[found[0].id] if len(found) == 1 else b"".join([known[t.id] for t in found])
 
     def _part(self, before: str, p: str) -> bytes:
-        if p.isascii() and p:  # the common forms: a word, and one before a comma or full stop
-            if p.isalpha():
+        # the common forms need no cutting: a word, and one before a comma or full stop
+        if p.isalpha():
+            if p.isascii() or PLAIN(p):
                 return self.pieces[before + p]
-            if p[-1] in ",." and p[:-1].isalpha():
-                return self.pieces[before + p[:-1]] + self.pieces[p[-1]]
+        elif p[-1:] in (",", ".") and (word := p[:-1]).isalpha() and (p.isascii() or PLAIN(p)):
+            return self.pieces[before + word] + self.pieces[p[-1]]
         if not PLAIN(p):
             return self._whole([before + p])[0]
         return b"".join([self.pieces[x] for x in PIECES.findall(before + p)])
