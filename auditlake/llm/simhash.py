@@ -226,9 +226,13 @@ def label_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows of a group other than that of its smallest key; of repeats of that row one stays. In a
     group without any key one row stays."""
-    with_print, name = with_fingerprints(docs, text)
     slim = durable(with_fingerprints(docs.select(docs[key].alias("key"), docs[text].alias("text")), drop=("text",))[0])
-    found = durable(near_duplicates(slim, "key"))
+    return drop_copies(docs, slim, durable(near_duplicates(slim, "key")), *with_fingerprints(docs, text), key)
+
+
+def drop_copies(docs: DataFrame, slim: DataFrame, found: DataFrame, with_print: DataFrame, name: str, key: str) -> DataFrame:
+    """docs without all but one row of each component. slim has (key, fingerprint) of every row, found (fingerprint,
+    component), with_print is docs with the fingerprint in column `name`."""
     marked = durable(slim.join(found, "fingerprint").withColumn("stays", F.coalesce(F.col("key") == F.col("component"), F.col("component").isNull())))
     out = marked.where("not stays").select("key").where("key is not null").distinct()
     repeats = marked.where("stays").groupBy("key", "component", F.when(F.col("key").isNull(), F.col("fingerprint"))).count().where("count > 1")
