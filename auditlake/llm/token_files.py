@@ -155,16 +155,19 @@ class Encoder:
     The byte-level splitter never joins the end of a word to what follows a space, and hands a space to the word after
     it, so each part with its space before it is encoded on its own and remembered. Only runs of three spaces, and of
     two at the end, are split otherwise; a text with one is encoded whole. Parts of ASCII and Latin letters are cut as
-    the splitter would, and the tokenizer's model encodes each piece; other parts go through the tokenizer.
+    the splitter would, and the tokenizer's model encodes each piece; other parts go through the tokenizer. With
+    `added`, as the library does by default, the content of an added token is that token; the tokenizer finds it before
+    it splits, so every text with one is encoded whole. Without, it is text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         self.id_bytes = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.tokenize = self.tokenizer.model.tokenize
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.pieces = Remembered(self._piece, PIECES_KEPT)
         self.first = Remembered(lambda p: self._part("", p), PARTS_KEPT)
         self.later = Remembered(lambda p: self._part(" ", p), PARTS_KEPT)
@@ -195,7 +198,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         first, later, out = self.first, self.later.__getitem__, []
         for t in texts:
-            if has_long_space(t):
+            if has_long_space(t) or any(map(t.__contains__, self.added)):
                 out.append(self._whole([t])[0])
             else:
                 head, *rest = t.split(" ")
@@ -242,7 +245,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         file = tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer)
-        encoder = _ENCODERS.setdefault(file, None) or Encoder(file)
+        encoder = _ENCODERS.setdefault(file, None) or Encoder(file, added=True)
         _ENCODERS[file] = encoder
         part, seq, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         held, keys, lengths, n = [], [], [], 0
