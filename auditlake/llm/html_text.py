@@ -14,7 +14,7 @@ from auditlake.llm.url_filter import LOWER, PARTS, UPPER
 
 #: Hosts whose paths may be broadcast, some hundred bytes each; for more, pages are joined by shuffle with salted hosts.
 BROADCAST_HOSTS, SALTS = 100_000, 32
-#: A winning path that holds less than this share of the text of a page's own best container isn't that page's.
+#: A winning path that lies elsewhere and holds less than this share of a page's own best container isn't that page's.
 LEAST_SHARE = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -146,9 +146,17 @@ class Page:
             pieces.append((node, s[at:], links > 0))
 
     def best(self) -> int:
-        """The container with most text, links counting against it, articles and the like preferred, then the deeper."""
-        score = lambda i: (self.text[i] - 2 * self.links[i]) * BONUS.get(self.tags[i], 1.0) * (1.2 if self.good[i] else 1.0) * (1 + 0.01 * self.paths[i].count(">"))
-        return max(range(len(self.paths)), key=lambda i: (score(i), -i))
+        """The container with most text, links counting against it, articles and the like preferred, of equals the
+        deeper; or the outermost one around it up to which each adds text that isn't mostly links."""
+        score = lambda i: (self.text[i] - 2 * self.links[i]) * BONUS.get(self.tags[i], 1.0) * (1.2 if self.good[i] else 1.0)
+        at = found = max(range(len(self.paths)), key=lambda i: (score(i), self.paths[i].count(">"), -i))
+        while (up := self.parents[at]) >= 0:
+            more = self.text[up] - self.text[at]
+            if 2 * (self.links[up] - self.links[at]) > more:
+                break
+            at = up
+            found = at if more else found
+        return found
 
     def read(self, nodes: list[int]) -> str:
         """The text of some containers, none within another, in page order."""
@@ -162,7 +170,10 @@ class Page:
     def main_text(self, path: str | None) -> str:
         own = self.best()
         nodes = [i for i, p in enumerate(self.paths) if p == path]
-        if not nodes or sum(self.text[i] for i in nodes) < LEAST_SHARE * self.text[own]:
+        inner = [i for i in nodes if own <= i <= self.ends[own]]
+        if inner:  # what the page's own one holds besides isn't lost
+            nodes = [own, *(i for i in nodes if i not in inner)]
+        elif not nodes or sum(self.text[i] for i in nodes) < LEAST_SHARE * self.text[own]:
             nodes = [own]
         return self.read(nodes)
 
@@ -192,7 +203,7 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", sourc
     Each page scores its containers (text less links, without menus, headers, footers, asides, forms, adverts, notices
     and comments) and votes for the best one's path of tags and classes, digits left out. Votes are combined before
     they are shuffled by host. Then each page reads the containers of its host's path, or its own best one where that
-    path holds less than LEAST_SHARE of it. Null, empty and markup-free sources are defined: empty text, or the text
+    holds them or where they have less than LEAST_SHARE of its text. Null, empty and markup-free sources are defined: empty text, or the text
     itself; null urls are one host. Repeated rows each come back.
     """
     winners = durable(host_paths(pages, url, source))
