@@ -1,7 +1,10 @@
 """Token-ID output in patched frame-of-reference blocks.
 
-A file is a row of a Parquet folder, (part, seq, payload): Spark commits, moves and reads it on any store. Rows in the
-order (part, seq) hold documents in ascending id order. A payload is little-endian:
+A folder has `files` and `index`. A file is a row of the Parquet table `files`, (part, seq, payload): Spark commits, moves
+and reads it on any store. Rows in the order (part, seq) hold documents in ascending id order. `index` has a row a file:
+(part, seq, start, n_ids, n_docs, first_key, last_key), start being the ids of all files before it and keys null where a file
+has none, so a reader finds the
+file of an id or a document without touching payloads, and in it the block by its start. A payload is little-endian:
 
     magic "PFR1" | block size u32 | ids u64 | documents u64 | blocks u64 | exceptions u64 | words u64
     document keys i64[documents] | key present u8[documents] | document lengths u32[documents]
@@ -25,17 +28,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from auditlake.llm.common import shared_dir
+from auditlake.llm.common import byte_slices, shared_dir, strings
 
 MAGIC, BLOCK, PERCENTILE, END_ID = b"PFR1", 128, 90, 2
 #: Ids after which a file is closed; a document is never split.
 FILE_IDS = 1 << 19
-#: Parts between spaces, and pieces of them, in a generation of those whose ids a worker remembers.
-PARTS_KEPT, PIECES_KEPT = 350_000, 150_000
+#: Bytes of text cut at once, parts of it encoded at once, pieces in a generation of those whose ids a task remembers,
+#: and the length up to which it does.
+SLICE_BYTES, PARTS_KEPT, PIECES_KEPT, PIECE_CHARS = 8 << 20, 350_000, 150_000, 64
+FILES = "part int, seq int, n_ids long, n_docs long, first_key long, last_key long, payload binary"
+INDEX = ("part", "seq", "start", "n_ids", "n_docs", "first_key", "last_key")
 LONG_SPACE = re.compile(r"\s{3}|\s\s\Z").search
 #: The splitter's classes over characters whose kind is certain: ASCII and Latin letters.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 PLAIN = re.compile(f"[!-~\t\n\r{_LETTERS}]*").fullmatch
+#: What most parts are, for Arrow to cut: a word, perhaps with a comma or full stop, perhaps a line end and another one.
+COMMON = rf"^(?P<a>[{_LETTERS}]+)(?P<b>[.,]?)(?:(?P<c>\n)(?P<d>[{_LETTERS}]+)(?P<e>[.,]?))?$"
+MARKS = [b"", b",", b".", b"\n"]
 PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 #: The byte-level alphabet: printable Latin-1 characters stand for themselves, the others for U+0100 on, in order.
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -132,7 +141,7 @@ class Payload:
 
 class Remembered(dict):
     """What make(key) gave, for the keys used last: when `kept` are there they become the older generation, and a key used
-    again comes back from it."""
+    again comes back from it. Keys over PIECE_CHARS aren't kept, so the size is bounded in bytes too."""
 
     def __init__(self, make, kept: int):
         super().__init__()
@@ -142,6 +151,8 @@ class Remembered(dict):
         got = self.older.get(key)
         if got is None:
             got = self.make(key)
+        if len(key) > PIECE_CHARS:
+            return got
         if len(self) >= self.kept:
             self.older = dict(self)
             self.clear()
@@ -153,11 +164,12 @@ class Encoder:
     """Ids of whole texts, as little-endian u32, by way of the parts between single spaces.
 
     The byte-level splitter never joins the end of a word to what follows a space, and hands a space to the word after
-    it, so each part with its space before it is encoded on its own and remembered. Only runs of three spaces, and of
-    two at the end, are split otherwise; a text with one is encoded whole. Parts of ASCII and Latin letters are cut as
-    the splitter would, and the tokenizer's model encodes each piece; other parts go through the tokenizer. With
-    `added`, as the library does by default, the content of an added token is that token; the tokenizer finds it before
-    it splits, so every text with one is encoded whole. Without, it is text like any other.
+    it, so each part with its space before it is encoded on its own. Arrow cuts a slice of texts into parts and finds
+    the distinct ones; each of those is encoded once, and numpy gathers their ids in the texts' order. Only runs of
+    three spaces, and of two at the end, are split otherwise; a text with one is encoded whole. Parts of ASCII and Latin
+    letters are cut as the splitter would, and the tokenizer's model encodes each piece; other parts go through the
+    tokenizer. With `added`, as the library does by default, the content of an added token is that token; the tokenizer
+    finds it before it splits, so every text with one is encoded whole. Without, it is text like any other.
     """
 
     def __init__(self, path: str, added: bool = False):
@@ -168,9 +180,11 @@ class Encoder:
         self.id_bytes = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.tokenize = self.tokenizer.model.tokenize
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the remembered pieces; a task does so at its end."""
         self.pieces = Remembered(self._piece, PIECES_KEPT)
-        self.first = Remembered(lambda p: self._part("", p), PARTS_KEPT)
-        self.later = Remembered(lambda p: self._part(" ", p), PARTS_KEPT)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -184,26 +198,74 @@ class Encoder:
         found = self.tokenize(x)
         return known[found[0].id] if len(found) == 1 else b"".join([known[t.id] for t in found])
 
-    def _part(self, before: str, p: str) -> bytes:
-        # the common forms need no cutting: a word, and one before a comma or full stop
-        if p.isalpha():
-            if p.isascii() or PLAIN(p):
-                return self.pieces[before + p]
-        elif p[-1:] in (",", ".") and (word := p[:-1]).isalpha() and (p.isascii() or PLAIN(p)):
-            return self.pieces[before + word] + self.pieces[p[-1]]
-        if not PLAIN(p):
-            return self._whole([before + p])[0]
-        return b"".join([self.pieces[x] for x in PIECES.findall(before + p)])
+    def _parts(self, before: str, parts: list[str]) -> list[bytes]:
+        """The ids of each part with `before` before it."""
+        pieces = self.pieces
+        return [b"".join([pieces[x] for x in PIECES.findall(before + p)]) if PLAIN(p) else self._whole([before + p])[0] for p in parts]
+
+    def _table(self, distinct) -> tuple[list[bytes], np.ndarray]:
+        """Ids of pieces, and for each part, after a space, the up to five pieces that it is made of; piece 0 is empty."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        cut = pc.extract_regex(distinct, COMMON)
+        other = np.flatnonzero(cut.is_null().to_numpy(zero_copy_only=False))
+        a, b, c, d, e = (cut.field(i) for i in range(5))
+        again = pc.not_equal(pc.fill_null(d, ""), "")
+        space, nothing = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+        coded = pa.concat_arrays([pc.binary_join_element_wise(space, pc.fill_null(a, ""), nothing), d.filter(again)]).dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(MARKS)
+        mark = lambda x: pc.fill_null(pc.index_in(x.cast(pa.binary()), pa.array(MARKS, pa.binary())), 0).to_numpy(zero_copy_only=False)
+        rows = np.zeros((len(distinct), 5), np.int64)
+        rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 4] = code[: len(distinct)], mark(b), mark(c), mark(e)
+        rows[again.to_numpy(zero_copy_only=False), 3] = code[len(distinct) :]
+        pieces = self.pieces
+        made = [pieces[m.decode()] if m else b"" for m in MARKS] + [pieces[w] for w in strings(coded.dictionary)]
+        rows[other] = 0
+        rows[other, 0] = len(made) + np.arange(len(other))
+        return made + self._parts(" ", strings(distinct.take(pa.array(other)))), rows
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        first, later, out = self.first, self.later.__getitem__, []
-        for t in texts:
-            if has_long_space(t) or any(map(t.__contains__, self.added)):
-                out.append(self._whole([t])[0])
-            else:
-                head, *rest = t.split(" ")
-                out.append(first[head] + b"".join(map(later, rest)))
-        return out
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        whole = [has_long_space(t) or any(map(t.__contains__, self.added)) for t in texts]
+        cut = pc.split_pattern(pa.array([t for t, w in zip(texts, whole) if not w], pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        distinct, index = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.asarray(cut.offsets)[1:] - np.asarray(cut.offsets)[0]
+        heads = np.r_[0, ends[:-1]] if len(ends) else ends
+        # a text's first part has no space before it: those are entries of their own
+        first, place = np.unique(index[heads], return_inverse=True)
+        index[heads] = len(distinct) + place
+        made, rows = [b""], [np.zeros((0, 5), np.int64)]
+        for a in range(0, len(distinct), PARTS_KEPT):
+            more, their = self._table(distinct.slice(a, PARTS_KEPT))
+            rows.append(their + len(made))
+            made += more
+        more = self._parts("", strings(distinct.take(pa.array(first))))
+        rows.append(np.c_[len(made) + np.arange(len(more)), np.zeros((len(more), 4), np.int64)])
+        ids, upto = gathered([*made, *more], np.concatenate(rows), index)
+        bounds = (np.r_[0, upto[ends - 1]] * 4).tolist() if len(ends) else [0]
+        plain = (ids[a:b] for a, b in zip(bounds, bounds[1:]))
+        rest = iter(self._whole([t for t, w in zip(texts, whole) if w]))
+        return [next(rest) if w else next(plain) for w in whole]
+
+
+def gathered(made: list[bytes], rows: np.ndarray, index: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The ids of the parts `index`, where rows[i] are the pieces of part i and made has pieces' ids; and where each ends."""
+
+    def lay(table, starts, sizes, order):
+        n = sizes[order]
+        upto = np.cumsum(n)
+        return table[np.repeat(starts[order] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)], upto
+
+    sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+    flat, upto = lay(np.frombuffer(b"".join(made), "<u4"), np.cumsum(sizes) - sizes, sizes, rows.ravel())
+    ends = upto[rows.shape[1] - 1 :: rows.shape[1]]
+    own = np.diff(ends, prepend=0)
+    ids, upto = lay(flat, ends - own, own, index)
+    return ids.tobytes(), upto
 
 
 def has_long_space(t: str) -> bool:
@@ -217,18 +279,6 @@ def has_long_space(t: str) -> bool:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _groups(keys: list, texts: list[str], most: int = 1 << 20):
-    """Rows in groups of about `most` characters."""
-    a = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield keys[a : i + 1], texts[a : i + 1]
-            a, size = i + 1, 0
-    if a < len(texts):
-        yield keys[a:], texts[a:]
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:
     """Encode every whole text, null as empty, append end_id, and write the ids in ascending key order, null first.
 
@@ -246,30 +296,41 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         file = tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer)
         encoder = _ENCODERS.setdefault(file, None) or Encoder(file, added=True)
-        _ENCODERS[file] = encoder
+        _ENCODERS[file] = encoder  # the tokenizer alone is kept between tasks
         part, seq, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         held, keys, lengths, n = [], [], [], 0
 
         def close():
             payload = pack(np.frombuffer(b"".join(held), "<u4"), lengths, keys)
-            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "n_ids": [n], "payload": [payload]}, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("payload", pa.binary())]))
-
-        for batch in batches:
-            for some, texts in _groups(batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]):
-                for k, ids in zip(some, encoder.encode(texts)):
-                    held.append(ids + end)
-                    keys.append(k)
-                    lengths.append(len(ids) // 4 + 1)
-                    n += lengths[-1]
-                if n >= FILE_IDS:
-                    yield close()
-                    held, keys, lengths, n, seq = [], [], [], 0, seq + 1
-        if keys:
-            yield close()
+            row = {"part": part, "seq": seq, "n_ids": n, "n_docs": len(keys), "first_key": next((k for k in keys if k is not None), None), "last_key": keys[-1], "payload": payload}
+            kinds = dict.fromkeys(row, pa.int64()) | {"part": pa.int32(), "seq": pa.int32(), "payload": pa.binary()}
+            return pa.RecordBatch.from_pydict({c: [x] for c, x in row.items()}, schema=pa.schema(list(kinds.items())))
+
+        try:
+            for batch in batches:
+                for some in byte_slices(batch, SLICE_BYTES):
+                    for k, ids in zip(some.column(0).to_pylist(), encoder.encode([t or "" for t in strings(some.column(1))])):
+                        held.append(ids + end)
+                        keys.append(k)
+                        lengths.append(len(ids) // 4 + 1)
+                        n += lengths[-1]
+                        if n >= FILE_IDS:
+                            yield close()
+                            held, keys, lengths, n, seq = [], [], [], 0, seq + 1
+            if keys:
+                yield close()
+        finally:
+            encoder.forget()
 
     slim = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
     dealt = slim.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first())
-    dealt.mapInArrow(run, "part int, seq int, n_ids long, payload binary").write.option("compression", "none").parquet(path)
+    dealt.mapInArrow(run, FILES).write.option("compression", "none").parquet(f"{path}/files")
+    # two levels: totals of parts in one small table, files within their part
+    files = docs.sparkSession.read.schema(FILES).parquet(f"{path}/files").drop("payload")
+    ahead = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", ahead(W.orderBy("part")).alias("before"))
+    index = files.withColumn("within", ahead(W.partitionBy("part").orderBy("seq"))).join(parts, "part").withColumn("start", F.col("before") + F.col("within"))
+    index.select(*INDEX).write.parquet(f"{path}/index")
 
 
 def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
@@ -291,12 +352,9 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> Dat
                     names=["part", "seq", "key", "inside", "n_tokens", "ids_crc32"],
                 )
 
-    files = spark.read.schema("part int, seq int, n_ids long, payload binary").parquet(path)
-    docs = files.select("part", "seq", "payload").mapInArrow(run, "part int, seq int, key long, inside long, n_tokens long, ids_crc32 long")
-    # two levels: totals of parts in one small table, files within their part
-    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.coalesce(F.sum("n_ids").over(W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = files.select("part", "seq", inside.alias("within")).join(parts.select("part", "before"), "part").select("part", "seq", (F.col("before") + F.col("within")).alias("offset"))
+    files = spark.read.schema(FILES).parquet(f"{path}/files").select("part", "seq", "payload")
+    docs = files.mapInArrow(run, "part int, seq int, key long, inside long, n_tokens long, ids_crc32 long")
+    offsets = spark.read.schema(FILES.replace("payload binary", "start long")).parquet(f"{path}/index").select("part", "seq", F.col("start").alias("offset"))
     return docs.join(offsets, ["part", "seq"]).select(F.col("key").alias(key), (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
