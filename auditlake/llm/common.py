@@ -40,6 +40,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a durable table that nothing reads any more."""
+    session = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = session._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if folder.getName().startswith("stage-"):
+            folder.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most `rows` rows, else as it is. df should be durable: it is counted."""
     return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).groupBy().count().where(F.col("count") <= rows).take(1)) else df

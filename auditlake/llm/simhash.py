@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from auditlake.llm.common import arrow_columns, durable, field, fresh, small_side, utf8
-from auditlake.llm.components import components
+from auditlake.llm.components import components, look_up
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -176,9 +176,10 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = 6) -> DataFrame
     """(a, b) fingerprints, such that those of `prints` (fingerprint, distinct) within the radius are connected.
 
     The 64 bits are cut into `blocks`; values that differ in at most `radius` bits agree on blocks - radius of them, so
-    they meet under one of the keys that any such blocks make (15 keys of about 21 bits). A key's rows are sorted
-    together and compared bit-sliced. Keys of one row are dropped before Python; a key of more than TILE rows is cut
-    into tiles, each two of which meet in a task of their own, so no row is left out and none grows with the key.
+    they meet under one of the keys that any such blocks make (15 keys of about 21 bits, two of six blocks each). A key's
+    rows are sorted together and compared bit-sliced. Keys are counted first; those of one row are dropped before
+    Python, and a key of more than TILE rows is cut into tiles, each two of which meet in a task of their own: its rows
+    are dealt by tile from the start, so no row is left out and no task sees a whole large key.
     """
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = []
@@ -186,14 +187,19 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = 6) -> DataFrame
         m = sum(((1 << (edges[c + 1] - edges[c])) - 1) << edges[c] for c in chosen)
         masks.append(m - (1 << 64) if m >> 63 else m)
     made = F.array(*(F.xxhash64(F.lit(i), F.col("fingerprint").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)))
-    keyed = prints.select(F.explode(made).alias("key"), "fingerprint").withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1")
+    keyed = prints.select(F.explode(made).alias("key"), "fingerprint")
+    counts = durable(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))  # combined before the shuffle
     schema = "a long, b long"
-    plain = keyed.where(F.col("n") <= TILE).select("key", "fingerprint").sortWithinPartitions("key").mapInArrow(_compare, schema)
+    # rows of a key meet where the join has dealt them by key
+    plain = keyed.join(counts.where(F.col("n") <= TILE).hint("shuffle_hash"), "key").select("key", "fingerprint").sortWithinPartitions("key").mapInArrow(_compare, schema)
+    large = counts.where(F.col("n") > TILE)  # at most keys / TILE rows
+    if not large.take(1):
+        return plain.where("a != b").distinct()
     # in a large key of t tiles, tile i meets every tile j in the cell (min, max)
     t = F.ceil(F.col("n") / TILE)
     tile = F.pmod(F.xxhash64("fingerprint", F.lit(7)), t)
     hot = (
-        keyed.where(F.col("n") > TILE)
+        keyed.join(small_side(large), "key")
         .withColumn("i", tile)
         .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), t - 1)))
         .select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "fingerprint")
@@ -209,10 +215,17 @@ def near_duplicates(prints: DataFrame, key: str = "doc_id", print_col: str = "fi
     be reached by steps of at most RADIUS differing bits. Equal fingerprints are one node; null keys are reached but
     never smallest."""
     nodes = durable(prints.groupBy(F.col(print_col).alias("fingerprint")).agg(F.min(key).alias("smallest")))
-    near = components(durable(links(nodes.select("fingerprint"))), "a", "b").withColumnRenamed("node", "fingerprint")
-    rooted = durable(nodes.join(near, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")))
-    grouped = rooted.join(near.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("smallest").alias("least"))
-    return rooted.join(grouped, "root", "left").select("fingerprint", F.coalesce("least", "smallest").alias("component"))
+    near = durable(components(durable(links(nodes.select("fingerprint"))), "a", "b").withColumnRenamed("node", "fingerprint"))
+    return least_of(nodes, near)
+
+
+def least_of(nodes: DataFrame, near: DataFrame) -> DataFrame:
+    """(fingerprint, component) of nodes (fingerprint, smallest), where near (fingerprint, root) groups some of them: the
+    smallest of the group. Both are durable."""
+    grouped = durable(nodes.select("fingerprint", "smallest").join(near, "fingerprint"))
+    least = durable(grouped.groupBy("root").agg(F.min("smallest").alias("component"), F.count("*").alias("n")))
+    alone = nodes.select("fingerprint", F.col("smallest").alias("component")).join(near, "fingerprint", "left_anti")
+    return look_up(grouped, least, "root").select("fingerprint", "component").unionByName(alone)
 
 
 def label_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -256,9 +256,15 @@ def gathered(made: list[bytes], rows: np.ndarray, index: np.ndarray) -> tuple[by
     """The ids of the parts `index`, where rows[i] are the pieces of part i and made has pieces' ids; and where each ends."""
 
     def lay(table, starts, sizes, order):
-        n = sizes[order]
-        upto = np.cumsum(n)
-        return table[np.repeat(starts[order] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)], upto
+        out, ends, done = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], 0
+        for a in range(0, len(order), 1 << 16):  # the places are eight times the ids, so some at a time
+            some = order[a : a + (1 << 16)]
+            n = sizes[some]
+            upto = np.cumsum(n)
+            out.append(table[np.repeat(starts[some] - (upto - n), n) + np.arange(upto[-1])])
+            ends.append(upto + done)
+            done += int(upto[-1])
+        return np.concatenate(out), np.concatenate(ends)
 
     sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
     flat, upto = lay(np.frombuffer(b"".join(made), "<u4"), np.cumsum(sizes) - sizes, sizes, rows.ravel())
@@ -321,6 +327,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
                 yield close()
         finally:
             encoder.forget()
+            pa.default_memory_pool().release_unused()
 
     slim = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
     dealt = slim.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first())

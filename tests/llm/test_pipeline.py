@@ -4,7 +4,9 @@ import re
 
 from corpus_pipeline import STAGES, run
 
-from auditlake.llm import common, decontaminate, simhash
+from auditlake.llm import common, decontaminate
+
+from test_near_copies import brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,14 +20,7 @@ def test_stages(spark):
             assert seen[-1].columns == columns
     rows = [d.collect() for d in seen]
     assert 0.7 * len(rows[0]) < len(rows[1]) < len(rows[0])
-    prints = [simhash.fingerprint(r.text.encode()) for r in rows[1]]
-    root = list(range(len(prints)))
-    for i in range(len(prints)):
-        for k in range(i):
-            if (prints[i] ^ prints[k]).bit_count() <= 4 and root[i] != root[k]:
-                root = [min(root[i], root[k]) if r in (root[i], root[k]) else r for r in root]
-    least = {r: min(x.doc_id for x, y in zip(rows[1], root) if y == r) for r in set(root)}
-    assert sorted(r.doc_id for r in rows[2]) == sorted(least.values())
+    assert sorted(r.doc_id for r in rows[2]) == brute([(r.doc_id, r.text) for r in rows[1]])
     grams = set()
     for b in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
         w = decontaminate.words(b.text.encode())
