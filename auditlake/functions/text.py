@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Patterns with weights by form, thresholds and divisors of their scores.
 FORMS = {
@@ -11,22 +15,50 @@ FORMS = {
     "en_standard": ([("Confirmation of Accounts", 2.0), (r"TO\s*:", 1.5), ("Receivable", 0.5), ("Payable", 0.5), ("Accounting Firm", 0.8), ("Our Amount", 0.8), ("Your Amount", 0.8), (r"as per\s+\d{4}", 0.5)], 3.5, 7.0),
     "email_freeform": ([(r"^From\s*:", 2.0), (r"^To\s*:", 1.0), (r"^Subject\s*:", 1.5), (r"^Date\s*:", 0.5)], 2.5, 5.0),
 }
-CURRENCIES = r"(KRW|USD|EUR|JPY|CNY|RMB|SGD|AUD|MYR|THB)"
+#: Currency codes and signs, and those that another code stands for.
+CURRENCIES = r"(KRW|USD|EUR|JPY|CNY|RMB|SGD|AUD|MYR|THB|\$|￥|¥|€)"
+CURRENCY_OF = {"RMB": "CNY", "$": "USD", "￥": "JPY", "¥": "JPY", "€": "EUR"}
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
-ACCOUNTS = "외상매출금|받을어음|미수금|선급금|외상매입금|지급어음|미지급금|선수금"
+#: Account names of a balance line, and the endings of others.
+ACCOUNTS = "외상매출금|받을어음|미수금|선급금|장기대여금|임차보증금|기타채권|외상매입금|미지급금|지급어음|선수금|임대보증금|외담대미지급금"
+ACCOUNT_ENDINGS = "채권|어음|지급금|매출금|매입금|수금|급금|보증금|대여금"
+#: What a cell says for a match and against it, by form.
+STATED = {
+    "kr_standard": (["일치", "○", "O", "✓"], ["불일치", "×", "X", "✗"]),
+    "en_standard": (["agree", "match", "confirmed", "yes", "✓"], ["disagree", "mismatch", "discrepancy", "no", "×"]),
+    "email_freeform": (["일치", "agree", "match"], ["불일치", "disagree", "mismatch"]),
+}
+#: Headers of reply tables by form: statement, reply and sent amount; and texts above either section.
+HEADERS = {
+    "kr_standard": (["일치여부", "확인"], ["회신금액", "회신 금액"], ["발송금액", "발송 금액"]),
+    "en_standard": (["Match", "Status", "Agree", "Confirm"], ["Your Amount", "Confirmed Amount", "Reply Amount"], ["Our Amount", "Sent Amount", "Book Amount"]),
+    "email_freeform": (["일치여부", "Match", "Status"], ["회신금액", "Your Amount", "Amount"], ["발송금액", "Our Amount"]),
+}
+SECTIONS = {
+    "kr_standard": (r"받을\s*금액|채권", r"지급할\s*금액|채무"),
+    "en_standard": ("Receivable", "Payable"),
+    "email_freeform": (r"받을\s*금액|Receivable", r"지급할\s*금액|Payable"),
+}
+TOTAL_ROW = r"^\s*(합계|TOTAL|Total|total)\s*$"
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
 def form_score(text: Column, form: str) -> Column:
     return sum((F.when(text.rlike(f"(?im){p}"), w).otherwise(0.0) for p, w in FORMS[form][0]), F.lit(0.0))
 
 
-def classify_form(df: DataFrame, text: str = "text", filename: str | None = None) -> DataFrame:
+def classify_form(df: DataFrame, text: str = "text", filename: str | None = None, headers: str | None = None) -> DataFrame:
     """df with form and form_confidence: under 100 characters the text needs OCR (0.95); else the form whose weighted
     patterns reach its threshold, Korean before English before e-mail; below, the best of Korean and English at 0.5 at
-    most; else unknown."""
+    most; else unknown. A file name that tells of a confirmation adds to Korean; so does each table header (`headers`:
+    an array, a text a table) with account and statement, and one with account and amount to English."""
     t = F.col(text)
     named = F.when(F.lower(filename).rlike("cc-|채권|채무|조회서"), 0.5).otherwise(0.0) if filename else F.lit(0.0)
-    s = df.withColumns({"_kr": F.round(form_score(t, "kr_standard") + named, 4), "_en": F.round(form_score(t, "en_standard"), 4), "_em": F.round(form_score(t, "email_freeform"), 4)})
+    heads = F.coalesce(F.transform(headers, lambda h: F.lower(F.coalesce(h, F.lit("")))), F.array().cast("array<string>")) if headers else F.array().cast("array<string>")
+    korean = lambda h: h.contains("계정과목") & h.contains("일치여부")
+    of_kr = F.size(F.filter(heads, korean)) * 1.5
+    of_en = F.size(F.filter(heads, lambda h: ~korean(h) & h.contains("account") & h.contains("amount"))) * 1.0
+    s = df.withColumns({"_kr": F.round(form_score(t, "kr_standard") + named + of_kr, 4), "_en": F.round(form_score(t, "en_standard") + of_en, 4), "_em": F.round(form_score(t, "email_freeform"), 4)})
     kr, en, em = F.col("_kr"), F.col("_en"), F.col("_em")
     conf = lambda c, form, most: F.least(F.lit(most), c / FORMS[form][2])
     cases = [
@@ -49,16 +81,26 @@ def number(raw: Column) -> Column:
     return F.when(F.trim(raw).rlike("^[(（]"), -bare).otherwise(bare)
 
 
+def amount_of(t: Column) -> Column:
+    """The number after a currency code or sign; without any, the first number of at least 1."""
+    coded = rf"(?i){CURRENCIES}\s*([\d,]+(?:\.\d+)?)"
+    first = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"([\d,]+(?:\.\d+)?)"), F.lit(1)), lambda n: F.regexp_replace(n, ",", "").try_cast("double")), lambda v: v >= 1)
+    return F.when(t.rlike(coded), number(F.regexp_extract(t, coded, 2))).otherwise(F.get(first, 0))
+
+
+def currency_of(t: Column) -> Column:
+    """The code of the first currency before a number: signs and RMB as the codes they stand for; KRW without one."""
+    found = F.upper(F.nullif(F.regexp_extract(t, rf"(?i){CURRENCIES}\s*[\d,]", 1), F.lit("")))
+    known = F.create_map(*[F.lit(x) for kv in CURRENCY_OF.items() for x in kv])
+    return F.coalesce(F.element_at(known, found), found, F.lit("KRW"))
+
+
 def parse_amount(text: str) -> Column:
-    """The amount after a currency code, else the first number of at least 1."""
-    t = F.col(text)
-    coded = F.nullif(F.regexp_extract(t, rf"(?i){CURRENCIES}\s*([(（]?(?:{NUMBER})[)）]?)", 2), F.lit(""))
-    first = F.filter(F.transform(F.regexp_extract_all(t, F.lit(f"({NUMBER})"), F.lit(1)), lambda n: F.regexp_replace(n, ",", "").try_cast("double")), lambda v: v >= 1)
-    return F.coalesce(number(coded), F.get(first, 0))
+    return amount_of(F.col(text))
 
 
 def parse_currency(text: str) -> Column:
-    return F.coalesce(F.upper(F.nullif(F.regexp_extract(F.col(text), rf"(?i){CURRENCIES}\s*[(（]?\d", 1), F.lit(""))), F.lit("KRW"))
+    return currency_of(F.col(text))
 
 
 def largest_number(text: Column) -> Column:
@@ -75,21 +117,49 @@ def period_end(text: str) -> Column:
     return F.coalesce(*(day(*(F.regexp_extract(text, p, i) for i in (1, 2, 3))) for p in (ko, en)))
 
 
+def since(t: Column, marks: tuple[str, ...]) -> Column:
+    """The text from the first of `marks` that it holds, in their order; all of it without any."""
+    out = t
+    for mark in reversed(marks):
+        at = F.regexp_instr(t, F.lit(mark))
+        out = F.when(at > 0, F.substring(t, at, F.lit(2**31 - 1))).otherwise(out)
+    return out
+
+
 def reply_date(text: str, end: str) -> Column:
-    """The last date after 확인통지, or anywhere without it, that isn't the period's end; four ways of writing."""
+    """The last date from 확인통지 (else from the English signature line) on, or anywhere without one there, that isn't the
+    period's end; four ways of writing. Years of dates in figures lie in 2000 to 2100."""
     t = F.col(text)
-    zone = F.when(F.instr(t, "확인통지") > 0, F.substring(t, F.instr(t, "확인통지"), F.lit(1_000_000))).otherwise(t)
+    zone = since(t, ("확인통지", "(?i)Signature and Company"))
     any_date = r"(\d{4}\s*년\s*\d{1,2}\s*월\s*\d{1,2}\s*일|\d{4}[-./]\s*\d{1,2}[-./]\s*\d{1,2}|\d{1,2}[./]\d{1,2}[./]\d{4})"
 
     def read(s: Column) -> Column:
         p = F.regexp_extract_all(s, F.lit(r"(\d+)"), F.lit(1))
-        return F.when(F.length(p[0]) == 4, day(p[0], p[1], p[2])).otherwise(day(p[2], p[0], p[1]))
+        first = F.length(p[0]) == 4
+        year = F.when(first, p[0]).otherwise(p[2])
+        made = F.when(first, day(p[0], p[1], p[2])).otherwise(day(p[2], p[0], p[1]))
+        return F.when(s.contains("년") | year.between("2000", "2100"), made)
 
     dates = lambda z: F.filter(F.transform(F.regexp_extract_all(z, F.lit(any_date), F.lit(1)), read), lambda d: d.isNotNull() & (F.col(end).isNull() | (d != F.col(end))))
     last = lambda a: F.get(a, F.size(a) - 1)
     return F.coalesce(last(dates(zone)), last(dates(t)))
 
 
+def evidence_date(text: str) -> Column:
+    """The first date of a piece of evidence: year first in figures, else a month's name first (APR.02,2025), else a day
+    first (02 APR 2025); years 2000 to 2099."""
+    t = F.col(text)
+    name = f"({'|'.join(MONTHS)})[a-z]*"
+    month = lambda c: F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(c, 1, 3))).cast("string")
+    ways = [
+        (r"(\d{4})\s*[-./년]\s*(\d{1,2})\s*[-./월]\s*(\d{1,2})", lambda a, b, c: day(a, b, c)),
+        (rf"(?i)\b{name}[.\s]*(\d{{1,2}})\s*,?\s*(\d{{4}})", lambda a, b, c: day(c, month(a), b)),
+        (rf"(?i)\b(\d{{1,2}})[\s.\-]*{name}[\s.,\-]*(\d{{4}})", lambda a, b, c: day(c, month(b), a)),
+    ]
+    found = [make(*(F.regexp_extract(t, p, i) for i in (1, 2, 3))) for p, make in ways]
+    return F.coalesce(*(F.when(F.year(d).between(2000, 2099), d) for d in found))
+
+
 def extract_party(text: str) -> Column:
     """The name in 귀사[...], before 귀중 or 귀하, or after TO:, of 2 to 80 characters and no title."""
     t = F.col(text)
@@ -103,30 +173,39 @@ def party_of_folder(folder: str) -> Column:
     return F.nullif(F.regexp_extract(F.col(folder), r"^BC-[\d,]+_(.+)$", 1), F.lit(""))
 
 
-def section(text: str, start: str, stops: str) -> Column:
-    """The text from `start` to the next of `stops`."""
-    return F.regexp_extract(F.col(text), rf"(?is){start}(.*?)(?:{stops}|\z)", 1)
-
-
 def extract_balances(df: DataFrame, text: str = "text") -> DataFrame:
     """df with receivable and payable: maps of account to amount of the two sections, and their totals (the total line,
-    else the sum); and balance: receivable, else payable total, else the number after a balance word, else the first of
-    at least 10,000."""
-    recv, payb = section(text, r"받을\s*금액", r"지급할\s*금액|확인통지"), section(text, r"지급할\s*금액", r"받을\s*금액|확인통지")
+    else the sum); and balance: receivable, else payable total.
 
-    def rows(s: Column) -> Column:
-        line = rf"({ACCOUNTS})[^\n\d]*({NUMBER})"
-        return F.arrays_zip(F.regexp_extract_all(s, F.lit(line), F.lit(1)).alias("k"), F.transform(F.regexp_extract_all(s, F.lit(line), F.lit(2)), lambda n: F.regexp_replace(n, ",", "").try_cast("double")).alias("v"))
-
-    def total(s: Column, r: Column) -> Column:
-        line = F.regexp_replace(F.nullif(F.regexp_extract(s, rf"(?im)^\s*(?:합계|TOTAL)[^\n\d]*({NUMBER})", 1), F.lit("")), ",", "").try_cast("double")
-        return F.coalesce(line, F.when(F.size(r) > 0, F.aggregate(r, F.lit(0.0), lambda a, x: a + x["v"])))
+    A section starts at its Korean or English name; receivables end where payables follow, else at the signature, else
+    with the text; payables at the signature. Accounts are the listed names and any other Hangul name with one of the
+    known endings; of a repeated one the last amount counts, and amounts of 0 don't. If neither section says anything,
+    receivable_total is the number after a balance word, else the first of at least five figures that is 10,000 or more.
+    """
+    t = F.col(text)
+    at = lambda p: F.regexp_instr(t, F.lit(f"(?i){p}"))
+    r, p, c = at(r"받을\s*금액|Receivable"), at(r"지급할\s*금액|Payable"), at("확인통지|Signature and Company")
+    part = lambda a, b: F.when(b > 0, F.substring(t, a, b - a)).otherwise(F.substring(t, a, F.lit(2**31 - 1)))
+    end = lambda a, *stops: F.coalesce(*(F.when(x > a, x) for x in stops), F.lit(0))
+    recv, payb = F.when(r > 0, part(r, end(r, p, c))), F.when(p > 0, part(p, end(p, c)))
+    amounts = lambda s, pattern, i: F.transform(F.regexp_extract_all(s, F.lit(pattern), F.lit(i)), lambda n: F.regexp_replace(n, ",", "").try_cast("double"))
 
-    word = F.regexp_replace(F.nullif(F.regexp_extract(F.col(text), rf"(?i)(?:잔액|balance)[^\d\n]*({NUMBER})", 1), F.lit("")), ",", "").try_cast("double")
-    big = F.get(F.filter(F.transform(F.regexp_extract_all(F.col(text), F.lit(r"(\d[\d,]{4,})"), F.lit(1)), lambda n: F.regexp_replace(n, ",", "").try_cast("double")), lambda v: v >= 10_000), 0)
-    out = df.withColumn("_r", rows(recv)).withColumn("_p", rows(payb)).withColumn("receivable_total", total(recv, F.col("_r"))).withColumn("payable_total", total(payb, F.col("_p")))
-    last = lambda c: F.map_from_entries(F.transform(F.array_distinct(F.transform(F.col(c), lambda e: e["k"])), lambda k: F.struct(k.alias("key"), F.element_at(F.filter(F.col(c), lambda e: e["k"] == k), -1)["v"].alias("value"))))
-    return out.withColumn("receivable", last("_r")).withColumn("payable", last("_p")).withColumn("balance", F.coalesce("receivable_total", "payable_total", word, big)).drop("_r", "_p")
+    def rows(s: Column) -> Column:
+        line = rf"({ACCOUNTS}|[가-힣]{{2,8}}(?:{ACCOUNT_ENDINGS}))\s+(?:KRW|USD|EUR|JPY|CNY|SGD|AUD|MYR|THB)?\s*([\d,]+(?:\.\d+)?)"
+        found = F.arrays_zip(F.regexp_extract_all(s, F.lit(line), F.lit(1)).alias("k"), amounts(s, line, 2).alias("v"))
+        kept = F.coalesce(F.filter(found, lambda e: e["v"] > 0), F.array().cast("array<struct<k:string,v:double>>"))
+        keys = F.array_distinct(F.transform(kept, lambda e: e["k"]))
+        return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(kept, lambda e: e["k"] == k), -1)["v"].alias("value"))))
+
+    total = lambda s: F.get(amounts(s, r"(?im)^(?:합계|TOTAL)\s+(?:KRW|USD|EUR|JPY|CNY)?\s*([\d,]+(?:\.\d+)?)", 1), 0)
+    out = df.withColumns({"receivable": rows(recv), "payable": rows(payb), "_rt": total(recv), "_pt": total(payb)})
+    word = r"(?i)(?:잔액|확인금액|Balance|금액|합계)[\s:：]*(?:KRW|USD|EUR|JPY|CNY|SGD|AUD|MYR|THB|\$|￥|¥|€)?\s*([\(（]?\s*[\d,]+(?:\.\d+)?\s*[\)）]?)"
+    near = F.get(F.filter(F.transform(F.regexp_extract_all(t, F.lit(word), F.lit(1)), number), lambda v: F.abs(v) >= 1), 0)
+    big = F.get(F.filter(amounts(t, r"([\d,]{5,}(?:\.\d+)?)", 1), lambda v: v >= 10_000), 0)
+    silent = (F.size("receivable") == 0) & (F.size("payable") == 0) & F.col("_rt").isNull() & F.col("_pt").isNull()
+    summed = lambda m: F.when(F.size(m) > 0, F.aggregate(F.map_values(m), F.lit(0.0), lambda a, x: a + x))
+    out = out.withColumn("receivable_total", F.when(silent, F.coalesce(near, big)).otherwise(F.coalesce("_rt", summed("receivable")))).withColumn("payable_total", F.coalesce("_pt", summed("payable")))
+    return out.withColumn("balance", F.coalesce("receivable_total", "payable_total")).drop("_rt", "_pt")
 
 
 def declared_match(text: str) -> Column:
@@ -135,9 +214,22 @@ def declared_match(text: str) -> Column:
     return F.when(t.rlike("불일치"), False).when(t.rlike(r"(^|\s)일치(\s|$)"), True).when(t.rlike("(?i)discrepan"), False)
 
 
-def declared_cell(cell: Column) -> Column:
-    """A table cell's statement; negative words first."""
-    return F.when(cell.rlike("(?i)불일치|차이|아니|no|mismatch|discrepan"), False).when(cell.rlike("(?i)일치|예|yes|match|agree|ok"), True)
+def declared_cell(cell: Column, form: str | Column = "kr_standard") -> Column:
+    """A table cell's statement by the form's words, in any case and place; negative words first, a blank says nothing.
+    form: a name, or a column of names; unknown ones read as the Korean standard."""
+    low = F.lower(F.trim(cell))
+    says = lambda f, i: reduce(or_, (low.contains(w.lower()) for w in STATED[f][i]))
+    read = {f: F.when(low == "", None).when(says(f, 1), False).when(says(f, 0), True) for f in STATED}
+    return by_form(form, read)
+
+
+def by_form(form: str | Column, values: dict[str, Column]) -> Column:
+    if isinstance(form, str):
+        return values.get(form, values["kr_standard"])
+    out = values["kr_standard"]
+    for f in ("en_standard", "email_freeform"):
+        out = F.when(form == f, values[f]).otherwise(out)
+    return out
 
 
 def overall_declared(cells: DataFrame, keys: list[str], text_match: str) -> DataFrame:
@@ -146,31 +238,74 @@ def overall_declared(cells: DataFrame, keys: list[str], text_match: str) -> Data
     return g.select(*keys, F.coalesce("lowest", "of_text").alias("declared_match"))
 
 
-def parse_account_rows(replies: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows of reply tables (reply_id, rows: array of arrays, the first one the header) as section, account, sent,
-    declared, reply, currency. Totals and unreadable cells are left out; a section starts at a row that names it and holds no
-    number."""
-    head = F.col("rows")[0]
-    at = lambda p: F.get(F.filter(F.sequence(F.lit(0), F.size(head) - 1), lambda i: F.get(head, i).rlike(p)), 0)
-    cols = replies.withColumns({"_a": at("(?i)계정과목|account"), "_s": at("(?i)발송금액|our amount"), "_d": at("(?i)일치여부|agree"), "_r": at("(?i)회신금액|your amount")})
-    each = cols.select("reply_id", "_a", "_s", "_d", "_r", F.posexplode("rows").alias("pos", "cells")).where("pos > 0")
-    from pyspark.sql import Window as W
-
+def table_cells(replies: DataFrame) -> DataFrame:
+    """Rows below the header of reply tables (reply_id, rows: array of arrays, the first one the header; and where known
+    table_no from 0, text, form): pos, cells, form, and the places of account, sent amount, statement and reply amount.
+
+    Tables without an account column in the header are left out, and rows too short for the columns found. Without a
+    reply column it is the third of an English table and the fourth of another, or the last one.
+    """
+    form = F.col("form") if "form" in replies.columns else F.lit("kr_standard")
+    head = F.transform(F.col("rows")[0], lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))))
+    joined = F.array_join(head, " ")
+    where = lambda words: F.get(F.filter(F.sequence(F.lit(0), F.size(head) - 1), lambda i: reduce(or_, (F.get(head, i).contains(w.lower()) for w in words))), 0)
+    at = lambda k: by_form(form, {f: where(HEADERS[f][k]) for f in HEADERS})
+    last = F.size(head) - 1
+    english = joined.contains("account")
+    fallback = F.least(F.when(english & (F.size(head) > 2), F.lit(2)).otherwise(F.lit(3)), last)
+    keep = ["reply_id", *(c for c in ("table_no", "text") if c in replies.columns)]
+    tables = replies.where((F.size("rows") > 1) & (F.size(F.col("rows")[0]) > 0) & (joined.contains("계정과목") | english))
+    placed = tables.select(*keep, form.alias("form"), F.coalesce(where(["계정과목", "Account"]), F.lit(0)).alias("_a"), at(2).alias("_s"), at(0).alias("_d"), F.coalesce(at(1), fallback).alias("_r"), F.posexplode("rows").alias("pos", "cells"))
+    need = F.greatest("_a", "_r", F.coalesce("_d", F.lit(0)), F.coalesce("_s", F.lit(0)))
+    return placed.where((F.col("pos") > 0) & (F.size("cells") > need))
+
+
+def with_section(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the section they stand in: of a heading row above, which only names it, else of the text (receivable
+    before payable), else by the table's place, the first one being receivables."""
     joined = F.array_join("cells", " ")
-    mark = F.when(joined.rlike(r"(?i)받을\s*금액|receivable"), "receivable").when(joined.rlike(r"(?i)지급할\s*금액|payable"), "payable")
-    past = W.partitionBy("reply_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    mark = F.when(~joined.rlike(r"\d"), mark)
-    rows = each.withColumn("mark", mark).withColumn("section", F.last("mark", True).over(past)).where("mark is null")
-    get = lambda c: F.get("cells", F.col(c))
-    account, reply = F.trim(get("_a")), get("_r")
-    rows = rows.withColumn("account_name", account).where((F.coalesce(account, F.lit("")) != "") & ~account.rlike(r"(?i)^(합계|total)$|\(cid:"))
-    rows = rows.select("reply_id", "pos", F.coalesce("section", F.lit("receivable")).alias("section"), "account_name", number(get("_s")).alias("sent"), declared_cell(get("_d")).alias("declared"), number(F.regexp_replace(reply, "[A-Za-z]", "")).alias("reply"), F.coalesce(F.upper(F.nullif(F.regexp_extract(reply, f"(?i){CURRENCIES}", 1), F.lit(""))), F.lit("KRW")).alias("currency"))
+    named = by_form(F.col("form"), {f: F.when(joined.rlike(f"(?i){a}"), "receivable").when(joined.rlike(f"(?i){b}"), "payable") for f, (a, b) in SECTIONS.items()})
+    heading = r"(?i)^\s*(받을\s*금액|지급할\s*금액|((trade|amount|accounts?)\s+)?(receivable|payable)s?)\s*$"
+    mark = F.when(joined.rlike(heading), named)
+    past = W.partitionBy(*by).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    above = by_form(F.col("form"), {f: F.when(F.col("text").rlike(f"(?i){a}"), "receivable").when(F.col("text").rlike(f"(?i){b}"), "payable") for f, (a, b) in SECTIONS.items()}) if "text" in rows.columns else F.lit(None).cast("string")
+    order = F.when(F.col("table_no") > 0, "payable").otherwise("receivable") if "table_no" in rows.columns else F.lit("receivable")
+    return rows.withColumn("mark", mark).withColumn("section", F.coalesce(F.last("mark", True).over(past), above, order)).where("mark is null").drop("mark")
+
+
+def parse_account_rows(replies: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of reply tables (see table_cells and with_section) as section, account, sent, declared, reply, currency and the
+    account's group. Totals, rows without an account and unreadable cells are left out."""
+    by = ["reply_id", *(["table_no"] if "table_no" in replies.columns else [])]
+    rows = with_section(table_cells(replies), by)
+    get = lambda c: F.trim(F.get("cells", F.col(c)))
+    rows = rows.withColumn("account_name", get("_a")).where((F.coalesce("account_name", F.lit("")) != "") & ~F.col("account_name").rlike(rf"{TOTAL_ROW}|\(cid:"))
+    rows = rows.select(*by, "pos", "section", "account_name", amount_of(get("_s")).alias("sent"), declared_cell(get("_d"), F.col("form")).alias("declared"), amount_of(get("_r")).alias("reply"), currency_of(F.coalesce(get("_r"), F.lit(""))).alias("currency"))
     g = groups.select(F.col("alias").alias("_k"), "account_group")
     return rows.join(g, F.lower("account_name") == F.col("_k"), "left").withColumn("account_group", F.coalesce("account_group", "account_name")).drop("_k")
 
 
-def reply_confidence(df: DataFrame, parts: tuple[str, ...]) -> DataFrame:
-    """df with the share of six findings that are there, to 4 places."""
+def parse_total_rows(replies: DataFrame) -> DataFrame:
+    """(reply_id, section, stated): the total that a section's total row states, the last one with a number."""
+    by = ["reply_id", *(["table_no"] if "table_no" in replies.columns else [])]
+    get = lambda c: F.trim(F.get("cells", F.col(c)))
+    rows = with_section(table_cells(replies), by).where(get("_a").rlike(TOTAL_ROW)).withColumn("stated", amount_of(get("_r"))).where("stated is not null")
+    return rows.groupBy("reply_id", "section").agg(F.max_by("stated", F.struct(*[c for c in by if c != "reply_id"], "pos")).alias("stated"))
+
+
+SIGNATURE = r"(?i)확인통지|인\)|（인）|\(인\)|서명|sign|chop"
+FOUND = ("party", "period_end", "reply_date", "has_accounts", "has_total", "has_signature")
+
+
+def found_fields(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with balances, party, dates, and whether accounts, a total and a signature are there."""
+    out = extract_balances(df, text).withColumn("party", extract_party(text)).withColumn("period_end", period_end(text)).withColumn("reply_date", reply_date(text, "period_end"))
+    said = lambda c: F.when(c, True)
+    return out.withColumns({"has_accounts": said((F.size("receivable") > 0) | (F.size("payable") > 0)), "has_total": said(F.coalesce("receivable_total", "payable_total").isNotNull()), "has_signature": said(F.col(text).rlike(SIGNATURE))})
+
+
+def reply_confidence(df: DataFrame, parts: tuple[str, ...] = FOUND) -> DataFrame:
+    """df with the share of six findings that are there (not null), to 4 places."""
     return df.withColumn("reply_confidence", F.round(sum((F.col(p).isNotNull().cast("int") for p in parts), F.lit(0)) / len(parts), 4))
 
 
@@ -185,6 +320,10 @@ def find_total(text: str, keywords: tuple[str, ...]) -> Column:
     return F.coalesce(*map(near, keywords))
 
 
-def section_totals(rows: DataFrame) -> DataFrame:
-    """Per reply and section the accounts' sum, which stands for the total where the table has none."""
-    return rows.groupBy("reply_id", "section").agg(F.sum("reply").alias("total"), F.count("*").alias("accounts"))
+def section_totals(rows: DataFrame, stated: DataFrame | None = None) -> DataFrame:
+    """Per reply and section the stated total (of parse_total_rows), else the sum of the accounts, and their number."""
+    sums = rows.groupBy("reply_id", "section").agg(F.sum("reply").alias("summed"), F.count("*").alias("accounts"))
+    if stated is None:
+        return sums.withColumnRenamed("summed", "total").select("reply_id", "section", "total", "accounts")
+    both = sums.join(stated, ["reply_id", "section"], "full")
+    return both.select("reply_id", "section", F.coalesce("stated", "summed").alias("total"), F.coalesce("accounts", F.lit(0)).alias("accounts"))

@@ -36,15 +36,20 @@ def auto_identify(final: DataFrame, replies: DataFrame, evidence: DataFrame, nor
 
 def evidence_by_currency(evidence: DataFrame) -> DataFrame:
     """Per party and currency (none: KRW) the amount of successful files."""
-    return evidence.where("success").groupBy(E, "party", F.coalesce(F.upper("currency"), F.lit("KRW")).alias("currency")).agg(F.sum("amount").alias("amount"))
+    return evidence.where("success and amount is not null").groupBy(E, "party", F.coalesce(F.upper("currency"), F.lit("KRW")).alias("currency")).agg(F.sum("amount").alias("amount"))
 
 
 def evidence_summary(evidence: DataFrame, low: float = 0.5) -> DataFrame:
-    """Per party: files read, failed, of low confidence; and the representative currency: KRW if there, else that of the
-    largest amount."""
-    counts = evidence.groupBy(E, "party").agg(F.count_if("success").alias("success"), F.count_if(~F.col("success")).alias("failed"), F.count_if(F.col("success") & (F.col("confidence") < low)).alias("needs_review"))
+    """Per party: files read with an amount (success); failed ones, which includes those read without an amount; failed
+    ones whose file is there (needs_review: all, unless a column `has_file` denies it for an unread one); files of low
+    confidence, which are those to review and the successes below `low`; and the representative currency: KRW if there,
+    else that of the largest amount."""
+    read, done = F.coalesce("success", F.lit(False)), F.coalesce("success", F.lit(False)) & F.col("amount").isNotNull()
+    there = read | (F.coalesce("has_file", F.lit(False)) if "has_file" in evidence.columns else F.lit(True))
+    review = ~done & there
+    counts = evidence.groupBy(E, "party").agg(F.count_if(done).alias("success"), F.count_if(~done).alias("failed"), F.count_if(review).alias("needs_review"), F.count_if(review | (done & (F.col("confidence") < low))).alias("low_confidence"))
     by = evidence_by_currency(evidence).groupBy(E, "party").agg(F.max(F.col("currency") == "KRW").alias("krw"), F.max(F.struct("amount", "currency")).getField("currency").alias("c"))
-    return counts.join(by, [E, "party"], "left").select(E, "party", "success", "failed", "needs_review", F.when(F.col("krw"), "KRW").otherwise(F.col("c")).alias("currency"))
+    return counts.join(by, [E, "party"], "left").select(E, "party", "success", "failed", "needs_review", "low_confidence", F.when(F.col("krw"), "KRW").otherwise(F.col("c")).alias("currency"))
 
 
 def conclude(share: Column) -> Column:

@@ -102,32 +102,61 @@ def reconcile_v2(replies: DataFrame, account_rows: DataFrame, guide: DataFrame,
 
     A stated match holds unless the converted total is more than 5 % off (needs_review); a stated mismatch is one. The
     first guide row of an account stands for it; currencies that differ are compared in KRW. Any account beyond the
-    tolerance makes a mismatch, else any within it a match, else needs_review; rows without an amount don't count.
-    Totals compare in the party's own currency if the reply has it, else in KRW, unconverted without a rate. The
-    tolerance is at least pct of a positive ledger amount.
+    tolerance makes a mismatch, else any within it a match, else needs_review; rows without an amount don't count, but
+    a reply with such rows alone still says what it states. Totals compare in the party's own currency if the reply has
+    it, else in KRW, unconverted without a rate. The tolerance is at least pct of a positive ledger amount.
+
+    Besides status, basis and difference: its share of what it was held against, its currency, the findings for each
+    account (account, reply and guide amount and currency, difference, within tolerance; in the rows' order if they have
+    a `pos`) and notes.
     """
     first = upper(guide).groupBy(E, "party", "account_group").agg(F.min_by(F.struct(F.col("amount").alias("g_amount"), F.col("currency").alias("g_currency")), "pos").alias("g")).select(E, "party", "account_group", "g.*")
     led = F.col("ledger_amount")
     base = replies.withColumn("tol", F.when((F.lit(pct) > 0) & (led > 0), F.greatest(F.lit(tolerance), F.abs(led) * pct)).otherwise(F.lit(tolerance)))
-    rows = account_rows.where("row_amount is not null").join(base.select("reply_id", E, "party", "tol"), "reply_id").join(first, [E, "party", "account_group"], "left").withColumn("row_currency", F.upper("row_currency"))
+    place = F.col("pos") if "pos" in account_rows.columns else F.lit(0)
+    rows = account_rows.withColumn("_place", place).join(base.select("reply_id", E, "party", "tol"), "reply_id").join(first, [E, "party", "account_group"], "left").withColumn("row_currency", F.upper("row_currency"))
     rows = to_krw(to_krw(rows, rates, "row_amount", "row_currency", "row_krw"), rates, "g_amount", "g_currency", "g_krw")
-    diff = F.when(F.col("g_currency") == F.col("row_currency"), F.col("g_amount") - F.col("row_amount")).when(F.col("row_currency") != "KRW", F.col("g_krw") - F.col("row_krw"))
-    per = rows.withColumn("d", diff).groupBy("reply_id").agg(F.count("*").alias("n_rows"), F.max(F.abs("d") > F.col("tol")).alias("off"), F.max(F.abs("d") <= F.col("tol")).alias("on"))
+    same = F.col("g_currency") == F.col("row_currency")
+    diff = F.when(same, F.col("g_amount") - F.col("row_amount")).when(F.col("row_currency") != "KRW", F.col("g_krw") - F.col("row_krw"))
+    within = F.abs("d") <= F.col("tol")
+    usable = F.col("row_amount").isNotNull()
+    found = F.struct("_place", F.col("account_group").alias("account"), "row_amount", "row_currency", "g_amount", "g_currency", F.col("d").alias("difference"), within.alias("within"))
+    per = rows.withColumn("d", diff).groupBy("reply_id").agg(F.count("*").alias("n_all"), F.count_if(usable).alias("n_rows"), F.max(F.abs("d") > F.col("tol")).alias("off"), F.max(within).alias("on"), F.array_sort(F.collect_list(F.when(usable, found))).alias("found"))
     j = to_krw(base.withColumn("currency", F.upper("currency")), rates, "reply_amount", "currency", "krw").join(per, "reply_id", "left").join(party_original_amount(guide), [E, "party"], "left")
     yes, no = F.col("declared_match"), ~F.col("declared_match")
     compared = F.coalesce("krw", "reply_amount")
-    far = (led != 0) & (F.abs((led - compared) / led) > 0.05)
+    far = F.coalesce((led != 0) & (F.abs((led - compared) / led) > 0.05), F.lit(False))
     own = (F.col("currency") != "KRW") & (F.col("original_currency") == F.col("currency"))
     total_diff = F.when(own, F.col("original_amount") - F.col("reply_amount")).otherwise(led - compared)
-    failed, accounts = F.col("reply_amount").isNull() & F.col("n_rows").isNull(), F.col("n_rows").isNotNull()
+    silent, accounts = F.col("reply_amount").isNull(), F.coalesce("n_rows", F.lit(0)) > 0
+    failed = silent & F.col("n_all").isNull()  # neither a total nor any row
     status = (
         F.when(failed, "extraction_failed").when(yes, F.when(far, "needs_review").otherwise("matched")).when(no, "mismatch")
         .when(accounts, F.when(F.col("off"), "mismatch").when(F.col("on"), "matched").otherwise("needs_review"))
-        .when(F.abs(total_diff) <= F.col("tol"), "matched").otherwise("mismatch")
+        .when(silent, "extraction_failed").when(F.abs(total_diff) <= F.col("tol"), "matched").otherwise("mismatch")
+    )
+    basis = F.when(failed, "fallback").when(yes | no, "declared").when(accounts, "per_account").when(silent, "fallback").otherwise("total")
+    agreed = (basis == "declared") & (status == "matched")
+    difference = F.when(basis == "total", total_diff).when(agreed, 0.0)
+    share = F.when(basis == "total", F.when(own, ratio(total_diff, F.col("original_amount"))).otherwise(ratio(total_diff, led))).when(agreed, 0.0)
+    kept = F.when((basis == "total") & (own | F.col("krw").isNull()), F.col("currency")).otherwise("KRW")
+    foreign = F.col("currency") != "KRW"
+    notes = F.array_compact(F.array(
+        F.when(failed, "no amount and no account rows"),
+        F.when(~failed & (basis == "declared") & yes & F.col("reply_amount").isNotNull() & (led != 0), F.concat(F.lit("stated match, off by "), F.format_number(F.abs((led - compared) / led) * 100, 2), F.lit("%"))),
+        F.when((basis == "declared") & (status == "needs_review"), "stated match but more than 5% off"),
+        F.when((basis == "declared") & no, "stated mismatch"),
+        F.when(basis == "per_account", F.concat(F.lit("accounts compared: "), F.col("n_rows").cast("string"))),
+        F.when((basis == "total") & own, F.concat(F.lit("compared in "), F.col("currency"))),
+        F.when((basis == "total") & ~own & foreign & F.col("krw").isNotNull(), F.concat(F.lit("converted from "), F.col("currency"))),
+        F.when((basis == "total") & ~own & foreign & F.col("krw").isNull(), F.concat(F.lit("no rate for "), F.col("currency"), F.lit(", compared as it is"))),
+        F.when(~failed & (basis == "fallback"), "no total to hold against the ledger"),
+    ))
+    return j.select(
+        "reply_id", E, "party", status.alias("status"), basis.alias("decision_basis"), difference.alias("difference"), share.alias("difference_pct"), kept.alias("difference_currency"),
+        F.col("tol").alias("tolerance"), F.coalesce("n_rows", F.lit(0)).alias("account_rows"),
+        F.when(basis == "per_account", F.transform(F.filter("found", lambda x: x.isNotNull()), lambda x: x.dropFields("_place"))).alias("findings"), notes.alias("notes"),
     )
-    basis = F.when(failed, "fallback").when(yes | no, "declared").when(accounts, "per_account").otherwise("total")
-    difference = F.when(basis == "total", total_diff).when((basis == "declared") & (status == "matched"), 0.0)
-    return j.select("reply_id", E, "party", status.alias("status"), basis.alias("decision_basis"), difference.alias("difference"), F.col("tol").alias("tolerance"), F.coalesce("n_rows", F.lit(0)).alias("account_rows"))
 
 
 def reply_by_kind(parsed: DataFrame, sampled: DataFrame, tolerance: float = 0.0) -> DataFrame:
@@ -179,6 +208,12 @@ def confirmation_status(guide: DataFrame, best: DataFrame, procedures: DataFrame
     return j.select(E, "party", "account_group", "currency", "amount", how.alias("confirmed_by"), F.when(how == "원본", -F.col("_d")).when(how == "대체적", F.col("_v") - F.col("amount")).alias("difference"), F.coalesce("status", "conclusion").alias("note"))
 
 
+def confirmation_counts(rows: DataFrame) -> DataFrame:
+    """Per engagement the guide rows of confirmation_status confirmed in each of the three ways."""
+    n = lambda how: F.count_if(F.col("confirmed_by") == how)
+    return rows.groupBy(E).agg(F.count("*").alias("rows"), n("원본").alias("replied"), n("대체적").alias("alternative"), n("미회신").alias("no_reply"))
+
+
 def apply_explanations(statuses: DataFrame, explanations: DataFrame) -> DataFrame:
     """Replies of explained parties become matched when a reason is given, with the reason noted."""
     e = explanations.select(E, "party", F.col("reasons").alias("_r"))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from auditlake.sources.shared import durable
+
 E = "engagement_id"
 #: User id patterns, document types, wordings and thresholds of the tests.
 SYSTEM_USERS = ("^CEP_", "^FF_", "^BATCH", "^SYSTEM[_-]", "^RFC_", "^SAP_", "^GRC_", "^WF[_-]", "^AUTO", "^Z[0-9A-Z]+$", "^GLOBAL", "^OUTSOURCING", "^I[A-Z]", r"^9\d{4}$")
@@ -59,6 +61,14 @@ def integrity(raw: DataFrame, checks: dict[str, str], required: tuple[str, ...]
     return long.select(E, "column", "total", "filled", missing.alias("missing"), "invalid", ((F.col("filled") - F.col("invalid")) / F.col("total")).alias("pass_rate"), F.when(failed, "FAIL").otherwise("OK").alias("status"))
 
 
+def integrity_totals(raw: DataFrame, checks: dict[str, str], required: tuple[str, ...] = ()) -> DataFrame:
+    """Per engagement the rows, the missing values of required columns, the values of a wrong format, and the columns
+    that fail."""
+    must = F.col("column").isin(*required) if required else F.lit(False)
+    by = integrity(raw, checks, required).groupBy(E)
+    return by.agg(F.max("total").alias("total"), F.coalesce(F.sum(F.when(must, F.col("missing"))), F.lit(0)).alias("missing_required"), F.sum("invalid").alias("format_errors"), F.count_if(F.col("status") == "FAIL").alias("failed_columns"))
+
+
 def voucher_totals(gl: DataFrame) -> DataFrame:
     return gl.groupBy(E, "entry_no").agg(F.sum("debit_amount").alias("debit"), F.sum("credit_amount").alias("credit"), F.count("*").alias("line_count"), F.min("entry_date").alias("entry_date"))
 
@@ -224,11 +234,13 @@ def unusual_users(gl: DataFrame, hr: DataFrame, doc_types: DataFrame, system=SYS
 
 
 def unusual_user_summary(found: DataFrame, hr_names: DataFrame | None = None, most: int = 100) -> DataFrame:
-    """Per reason the `most` users with most lines: count, largest amount; and how many users are left out."""
-    users = found.groupBy(E, "reason", "user_id").agg(F.count("*").alias("lines"), F.max(line_amount()).alias("largest"))
+    """Per reason the `most` users with most lines: count, largest amount, detail type, and how many users are left
+    out; with hr_names (engagement_id, user_id, user_name) their names."""
+    users = found.groupBy(E, "reason", "user_id").agg(F.count("*").alias("lines"), F.max(line_amount()).alias("largest"), F.max("detail_type").alias("detail_type"))
     w = W.partitionBy(E, "reason")
     ranked = users.withColumn("place", F.row_number().over(w.orderBy(F.desc("lines"), "user_id"))).withColumn("omitted", F.greatest(F.count("*").over(w) - most, F.lit(0)))
-    return ranked.where(F.col("place") <= most)
+    top = ranked.where(F.col("place") <= most)
+    return top if hr_names is None else top.join(hr_names.select(E, "user_id", "user_name"), [E, "user_id"], "left")
 
 
 def self_approved(gl: DataFrame, approver: str = "approver_id") -> DataFrame:
@@ -257,15 +269,24 @@ def side() -> Column:
     return F.when(F.col("debit_amount") > 0, "D").otherwise("C")
 
 
-def doc_type_accounts(gl: DataFrame, ratio: float = 0.005, absolute: float | None = None) -> DataFrame:
-    """Lines above the sales threshold by document type, account and side."""
+def named(rows: DataFrame, doc_types: DataFrame | None, accounts: DataFrame | None) -> DataFrame:
+    """rows with entry_type_name and account_name of the masters given."""
+    if doc_types is not None:
+        rows = rows.join(doc_types.select("entry_type", F.col("description").alias("entry_type_name")), "entry_type", "left")
+    return rows if accounts is None else rows.join(accounts.select(E, "account_code", "account_name"), [E, "account_code"], "left")
+
+
+def doc_type_accounts(gl: DataFrame, ratio: float = 0.005, absolute: float | None = None, doc_types: DataFrame | None = None, accounts: DataFrame | None = None) -> DataFrame:
+    """Lines above the sales threshold by document type, account and side; named by the masters given."""
     lines = gl.join(pl_threshold(gl, ratio, absolute), E).where(line_amount().cast("double") > F.col("threshold"))
-    return lines.groupBy(E, "entry_type", "account_code", side().alias("side")).agg(F.sum("debit_amount").alias("debit"), F.sum("credit_amount").alias("credit"), F.count("*").alias("lines"))
+    sums = lines.groupBy(E, "entry_type", "account_code", side().alias("side")).agg(F.sum("debit_amount").alias("debit"), F.sum("credit_amount").alias("credit"), F.count("*").alias("lines"))
+    return named(sums, doc_types, accounts)
 
 
-def rare_doc_type_accounts(gl: DataFrame, least: int = 2) -> DataFrame:
-    """B08, first version: combinations of document type and account with at most `least` lines."""
-    return gl.groupBy(E, "entry_type", "account_code").agg(F.count("*").alias("frequency")).where(F.col("frequency") <= least)
+def rare_doc_type_accounts(gl: DataFrame, least: int = 2, doc_types: DataFrame | None = None, accounts: DataFrame | None = None) -> DataFrame:
+    """B08, first version: combinations of document type and account with at most `least` lines, and their sums."""
+    sums = gl.groupBy(E, "entry_type", "account_code").agg(F.count("*").alias("frequency"), F.sum("debit_amount").alias("debit"), F.sum("credit_amount").alias("credit"))
+    return named(sums.where(F.col("frequency") <= least), doc_types, accounts)
 
 
 def counter_accounts(gl: DataFrame, scenarios: tuple[str, ...] = COUNTER_SCENARIOS) -> DataFrame:
@@ -330,24 +351,35 @@ def finding(df: DataFrame, rule: str, amount: Column | None = None, reason: Colu
     return df.select(E, F.lit(rule).alias("rule_code"), pick("entry_no", "string").alias("entry_no"), pick("entry_date", "date").alias("entry_date"), F.col("account_code"), (line_amount() if amount is None else amount).cast("decimal(38,2)").alias("amount"), (F.lit(rule) if reason is None else reason).alias("reason"))
 
 
-def run_rules(gl: DataFrame, ctx: dict[str, DataFrame], enabled: tuple[str, ...] = RULE_ORDER, own: dict | None = None) -> DataFrame:
-    """Findings of the enabled rules in one table. `own` adds rules: code -> function of (gl, ctx) that returns lines in
-    the form of finding(). B06 always runs. The ledger is persisted: a dozen rules read it."""
-    gl = gl.persist()
+def run_rules(gl: DataFrame, ctx: dict[str, DataFrame], enabled: tuple[str, ...] = RULE_ORDER, own: dict | None = None, params: dict[str, dict] | None = None, stage: bool = True) -> DataFrame:
+    """Findings of the enabled rules in one table. B06 always runs. `params` gives rules their own parameters, as
+    {"B04": {"most": 3}, "B09": {"scenarios": ("^4",)}}; without, their defaults hold. `own` adds rules: code -> function
+    of (gl, ctx) that returns lines in the form of finding(). With `stage` ledger and masters are written out once, since
+    a dozen rules read them; leave it out if they are tables already."""
+    if stage:
+        gl, ctx = durable(gl), {k: durable(df) for k, df in ctx.items()}
+    given = params or {}
+    unknown = set(given) - {*RULE_ORDER, "B02", "B03"}
+    if unknown:
+        raise ValueError(f"parameters for unknown rules: {sorted(unknown)}")
+
+    def call(rule: str, f, *args):
+        return f(*args, **given.get(rule, {}))
+
     rules = {
-        "B01": lambda: finding(large_pl(gl, ctx["coa"]), "B01"),
-        "B02": lambda: finding(unmatched_accounts(gl, ctx["coa"]), "B02"),
-        "B03": lambda: finding(new_account_lines(gl, new_accounts(ctx["coa"], ctx["tb"], ctx["tb_prior"], ctx["params"])), "B03"),
-        "B04": lambda: finding(seldom_used(gl), "B04"),
-        "B05": lambda: finding(unusual_users(gl, ctx["hr"], ctx["doc_types"]), "B05", reason=F.col("reason")),
-        "B06": lambda: finding(self_approved(gl), "B06"),
-        "B07": lambda: finding(back_dated(gl), "B07", reason=F.col("class")),
-        "B08": lambda: finding(doc_type_accounts(gl), "B08", F.greatest("debit", "credit"), F.col("entry_type")),
-        "B09": lambda: finding(counter_accounts(gl, ("^1", "^4")).where("relation = '상대계정'"), "B09", F.greatest("debit", "credit"), F.col("scenario")),
-        "B10": lambda: finding(description_quality(gl), "B10", reason=F.col("issue")),
-        "B11": lambda: finding(period_end(gl, ctx["params"]), "B11", reason=F.col("class")),
-        "B12": lambda: finding(top_side(gl, ctx["params"], ctx["doc_types"]), "B12"),
-        "A03": lambda: finding(tb_rollforward(gl, ctx["tb"], ctx["coa"], ctx["equity_adjustments"]), "A03", F.abs("difference")),
+        "B01": lambda: finding(call("B01", large_pl, gl, ctx["coa"]), "B01"),
+        "B02": lambda: finding(call("B02", unmatched_accounts, gl, ctx["coa"]), "B02"),
+        "B03": lambda: finding(new_account_lines(gl, call("B03", new_accounts, ctx["coa"], ctx["tb"], ctx["tb_prior"], ctx["params"])), "B03"),
+        "B04": lambda: finding(call("B04", seldom_used, gl), "B04"),
+        "B05": lambda: finding(call("B05", unusual_users, gl, ctx["hr"], ctx["doc_types"]), "B05", reason=F.col("reason")),
+        "B06": lambda: finding(call("B06", self_approved, gl), "B06"),
+        "B07": lambda: finding(call("B07", back_dated, gl), "B07", reason=F.col("class")),
+        "B08": lambda: finding(call("B08", doc_type_accounts, gl), "B08", F.greatest("debit", "credit"), F.col("entry_type")),
+        "B09": lambda: finding(call("B09", counter_accounts, gl).where("relation = '상대계정'"), "B09", F.greatest("debit", "credit"), F.col("scenario")),
+        "B10": lambda: finding(call("B10", description_quality, gl), "B10", reason=F.col("issue")),
+        "B11": lambda: finding(call("B11", period_end, gl, ctx["params"]), "B11", reason=F.col("class")),
+        "B12": lambda: finding(call("B12", top_side, gl, ctx["params"], ctx["doc_types"]), "B12"),
+        "A03": lambda: finding(call("A03", tb_rollforward, gl, ctx["tb"], ctx["coa"], ctx["equity_adjustments"]), "A03", F.abs("difference")),
     } | {k: (lambda f=f: f(gl, ctx)) for k, f in (own or {}).items()}
     return reduce(DataFrame.unionByName, (rules[r]() for r in dict.fromkeys([*enabled, "B06", *(own or {})])))
 

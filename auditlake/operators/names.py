@@ -9,20 +9,23 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from auditlake.functions.similarity import nfkc, partial_score, token_score
+from auditlake.functions.similarity import nfkc, partial_ratio, partial_score, token_score, token_set_ratio
 
 E = "engagement_id"
 #: What is stripped from names before they are compared, thresholds, and readings of Chinese names.
 STRIP = (
-    r"(?i)[\s\-_]|㈜|\(주\)|주식회사|주식$|회사$|CO\.,?\s*LTD\.?|CO\s*,\s*LTD\.?|CORPORATION|COMPANY|LIMITED"
+    r"(?iU)[\s\-_]|㈜|\(주\)|주식회사|주식\s*회사|주식$|회사$|CO\.,?\s*LTD\.?|CO\s*,\s*LTD\.?|CORPORATION|COMPANY|LIMITED"
     r"|Co\.|Ltd\.|Inc\.|Corp\.|LLC|LLP|Sdn\.|Bhd\.|Pty\.|Ltd$|Co$|Inc$|Corp$|[.,]"
 )
 STRIP_CJK = r"(?i)有限公司|株式会社|유한공사|주식회사|\(주\)|㈜|Co\.,\s*Ltd\.?|Ltd\.?|Inc\.?"
 PARTIAL, TOKENS, HINTED = 90, 85, 80
+#: Names of a side that one task scores at once.
+BLOCK_NAMES = 1000
 NOT_CJK = r"[^一-鿿㐀-䶿豈-﫿\x{20000}-\x{2A6DF}]"
 HINTS = {
     "科丝美诗": "코스맥스 COSMAX cosmax", "科絲美詩": "코스맥스 COSMAX", "中国": "중국 China", "广州": "광주 Guangzhou", "山东昆达": "산둥쿤다 산동쿤다", "山東昆達": "산둥쿤다 산동쿤다", "昆达": "쿤다",
@@ -137,28 +140,79 @@ def filename_matches(queries: DataFrame, candidates: DataFrame, priority: int =
 
 def cjk_matches(queries: DataFrame, candidates: DataFrame, priority: int = 8) -> DataFrame:
     """Names of at least 30 % CJK whose known words' readings partly match a candidate, at nine tenths of the score."""
-    known = F.filter(F.array(*(F.when(F.contains("name", F.lit(k)), F.lit(v)) for k, v in HINTS.items())), lambda x: x.isNotNull())
-    bare = F.length(F.replace("name", F.lit(" ")))
-    q = queries.where((bare > 0) & (F.length(cjk_block("name")) / bare >= 0.3)).withColumn("n", normalize_party(F.array_join(known, " "))).where("n != ''")
+    q = queries.withColumn("n", hinted(queries)).where("n is not null")
     pairs = fuzzy_pairs(q.select(E, "query_id", "n"), normal(candidates, "candidate", "c").select(E, "candidate", "c", "pos")).withColumn("s", partial_score("n", "c"))
     return best_of(pairs, "s", HINTED, "cjk", priority, 0.9)
 
 
+def best_three(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(engagement_id, query_id, kind, candidates): for each query (engagement_id, query_id, n, and h for its readings) and
+    kind of score (partial, tokens, hint) the three best of all its engagement's candidates (candidate, c, pos), as
+    structs of score and candidate, best first, ties in the candidates' order.
+
+    Queries and candidates of an engagement are cut into blocks of BLOCK_NAMES; every two blocks meet in a task of their
+    own, which returns three candidates a query, so neither all pairs nor a whole engagement is ever held.
+    """
+    blocks = lambda df, key, seed: df.join(df.groupBy(E).agg(F.ceil(F.count("*") / BLOCK_NAMES).alias("_n")), E).withColumn("_b", F.pmod(F.xxhash64(key, F.lit(seed)), F.col("_n")))
+    q, c = blocks(queries, "query_id", 1), blocks(candidates, "candidate", 2)
+    of_q, of_c = q.groupBy(E).agg(F.first("_n").alias("_m")), c.groupBy(E).agg(F.first("_n").alias("_m"))
+    left = q.join(of_c, E).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1))).select(E, F.col("_b").alias("_q"), F.col("_o").alias("_c"), "query_id", "n", "h")
+    right = c.join(of_q, E).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1))).select(E, F.col("_o").alias("_q"), F.col("_b").alias("_c"), "candidate", "c", "pos")
+
+    def score(key, asked, known):
+        rows = []
+        known = known.sort_values("pos")
+        for query, n, h in zip(asked["query_id"], asked["n"], asked["h"]):
+            for kind, text, measure in (("partial", n, partial_ratio), ("tokens", n, token_set_ratio), ("hint", h, partial_ratio)):
+                if text:
+                    found = sorted(((-measure(text, x or ""), p, name) for x, p, name in zip(known["c"], known["pos"], known["candidate"])), key=lambda r: r[:2])[:3]
+                    rows += [(key[0], query, kind, -s, int(p), name) for s, p, name in found]
+        return pd.DataFrame(rows, columns=[E, "query_id", "kind", "score", "pos", "candidate"])
+
+    cells = left.groupBy(E, "_q", "_c").cogroup(right.groupBy(E, "_q", "_c"))
+    ids = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
+    got = cells.applyInPandas(score, f"{E} {ids[E]}, query_id {ids['query_id']}, kind string, score double, pos long, candidate string")
+    place = F.row_number().over(W.partitionBy(E, "query_id", "kind").orderBy(F.desc("score"), "pos"))
+    top = got.withColumn("r", place).where("r <= 3").groupBy(E, "query_id", "kind").agg(F.array_sort(F.collect_list(F.struct("r", "score", "candidate"))).alias("best"))
+    return top.select(E, "query_id", "kind", F.transform("best", lambda s: F.struct(s["score"].alias("score"), s["candidate"].alias("candidate"))).alias("best"))
+
+
+def hinted(queries: DataFrame) -> Column:
+    """The normalised readings of a name's known words, if at least 30 % of it is CJK; else null."""
+    known = F.filter(F.array(*(F.when(F.contains("name", F.lit(k)), F.lit(v)) for k, v in HINTS.items())), lambda x: x.isNotNull())
+    bare = F.length(F.replace("name", F.lit(" ")))
+    return F.when((bare > 0) & (F.length(cjk_block("name")) / bare >= 0.3), F.nullif(normalize_party(F.array_join(known, " ")), F.lit("")))
+
+
 def resolve_party(queries: DataFrame, candidates: DataFrame, contacts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """One row per query: the first stage that finds a candidate; else failed, with the best partial score and the three
-    best candidates. Fuzzy stages see only what the exact ones leave."""
+    """One row per query: the first stage that finds a candidate; else failed, with the best partial score. Fuzzy hits and
+    failures come with their three best candidates (hits by their own score, failures by the partial one), found among
+    all candidates of the engagement. Fuzzy stages see only what the exact ones leave."""
     exact = [business_matches(queries, candidates, contacts), alias_matches(queries, candidates, aliases), guide_matches(queries, candidates, contacts), filename_matches(queries, candidates), exact_matches(queries, candidates)]
     first = lambda df: df.withColumn("r", F.row_number().over(W.partitionBy(E, "query_id").orderBy("priority", "pos"))).where("r = 1").drop("r", "pos", "priority")
     sure = first(reduce(DataFrame.unionByName, exact))
     rest = queries.join(sure.select(E, "query_id"), [E, "query_id"], "left_anti")
-    pairs = scored(rest, candidates)
-    near = first(reduce(DataFrame.unionByName, [best_of(pairs, "partial", PARTIAL, "fuzzy_partial", 6), best_of(pairs, "tokens", TOKENS, "fuzzy_token", 7), cjk_matches(rest, candidates)]))
-    lost = rest.join(near.select(E, "query_id"), [E, "query_id"], "left_anti")
-    ranked = pairs.withColumn("r", F.row_number().over(W.partitionBy(E, "query_id").orderBy(F.desc("partial"), "pos"))).where("r <= 3")
-    top = ranked.groupBy(E, "query_id").agg(F.round(F.max("partial") / 100, 4).alias("confidence"), F.transform(F.array_sort(F.collect_list(F.struct("r", "candidate"))), lambda s: s["candidate"]).alias("best"))
-    failed = lost.select(E, "query_id").join(top, [E, "query_id"], "left").select(E, "query_id", F.lit(None).cast("string").alias("matched"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.lit("failed").alias("method"), F.array_join("best", "; ").alias("candidates"))
-    found = sure.unionByName(near).withColumn("candidates", F.lit(None).cast("string"))
-    return found.select(failed.columns).unionByName(failed)
+    asked = normal(rest, "name").withColumn("h", hinted(rest)).select(E, "query_id", "n", "h")
+    best = best_three(asked, normal(candidates, "candidate", "c").select(E, "candidate", "c", "pos"))
+    by = best.groupBy(E, "query_id").pivot("kind", ["partial", "tokens", "hint"]).agg(F.first("best"))
+    score = lambda k: F.coalesce(F.col(k)[0]["score"], F.lit(0.0))
+    hit = [(score("partial") >= PARTIAL, "partial", "fuzzy_partial", 1.0), (score("tokens") >= TOKENS, "tokens", "fuzzy_token", 1.0), (score("hint") >= HINTED, "hint", "cjk", 0.9)]
+
+    def pick(make, otherwise: Column) -> Column:
+        out = otherwise
+        for when, kind, method, factor in reversed(hit):
+            out = F.when(when, make(kind, method, factor)).otherwise(out)
+        return out
+
+    listed = lambda k: F.array_join(F.transform(F.col(k), lambda s: s["candidate"]), "; ")
+    left = rest.select(E, "query_id").join(by, [E, "query_id"], "left").select(
+        E, "query_id",
+        pick(lambda k, m, f: F.col(k)[0]["candidate"], F.lit(None).cast("string")).alias("matched"),
+        pick(lambda k, m, f: F.round(score(k) / 100 * f, 4), F.round(score("partial") / 100, 4)).alias("confidence"),
+        pick(lambda k, m, f: F.lit(m), F.lit("failed")).alias("method"),
+        pick(lambda k, m, f: listed(k), listed("partial")).alias("candidates"),
+    )
+    return sure.withColumn("candidates", F.lit(None).cast("string")).select(left.columns).unionByName(left)
 
 
 def search_names(names: DataFrame, text: str, most: int = 30) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from auditlake.sources.shared import durable
+
 E = "engagement_id"
 #: Share of performance materiality above which an item is key, and confidence factor, by risk and reliance.
 KEY_RATIO = {"낮음": {"Y": 0.875, "N": 0.375}, "보통": {"Y": 0.75, "N": 0.30}, "높음": {"Y": 0.625, "N": 0.175}, "유의적위험": {"Y": 0.75, "N": 0.15}}
@@ -105,24 +107,26 @@ def running_total(df: DataFrame, group: list[str], order: list[str], value: str,
     """df with the sum of `value` up to each row in order within its group, one huge group spread over many tasks.
 
     Rows are dealt by range of (group, order); each range is summed by itself, and the ranges' totals, a row for each
-    group and range, are summed before it. The dealt rows are checkpointed, so that both reads see the same ranges.
+    group and range, are summed before it. The dealt rows are written out, so that both reads see the same ranges, also
+    after an executor is lost.
     """
     keys = [*group, *order]
     dealt = df.repartitionByRange(*([parts] if parts else []), *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-    dealt = dealt.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else dealt.persist()
+    dealt = durable(dealt)
     before = F.sum("_t").over(W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     totals = dealt.groupBy(*group, "_part").agg(F.sum(value).alias("_t")).withColumn("_before", F.coalesce(before, F.lit(0).cast("decimal(38,2)"))).drop("_t")
     inside = F.sum(value).over(W.partitionBy(*group, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     return dealt.join(totals, [*group, "_part"]).withColumn(out, F.col("_before") + inside).drop("_part", "_before")
 
 
-def run_mus(pool: DataFrame, sizes: DataFrame, seed: str = "0", two_level: bool = False) -> DataFrame:
+def run_mus(pool: DataFrame, sizes: DataFrame, seed: str = "0", two_level: bool = True) -> DataFrame:
     """Monetary-unit selection in party order: with cumulative C, interval J and start r0, N is the running maximum of
     floor((C - r0) / J) + 1 (at least 0); a party's selections are the growth of N, remainder_after is C - r0 - J N.
 
     pool: engagement_id, kind, party, balance. sizes: interval, and start where given; else the start is J times a
-    hash of (engagement, kind, seed) in [0, 1). Without an interval nothing is selected. A huge stratum is summed on
-    two levels if asked for (balances must then be positive and the start below J, as the pool's rules ensure).
+    hash of (engagement, kind, seed) in [0, 1). Without an interval nothing is selected. Strata are
+    summed on two levels, so a huge one spans many tasks (balances must then be positive and the start below J, as the
+    pool's rules ensure); without two_level a stratum is one task, and neither need hold.
     """
     drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(E).cast("string"), "kind", F.lit(seed))), 1, 8), 16, 10).cast("double") / float(2**32)
     start = F.coalesce("start", F.col("interval") * drawn) if "start" in sizes.columns else F.col("interval") * drawn
@@ -175,11 +179,12 @@ def merge_kinds(decisions: DataFrame, replies: DataFrame | None = None) -> DataF
 
 
 def key_item_matrix(ledger: DataFrame, groups: DataFrame, decisions: DataFrame, columns: list[str]) -> DataFrame:
-    """Final parties by account group of both kinds: a column for each group, and the sum."""
-    final = decisions.where("is_final").select(E, "party").distinct()
-    wide = party_groups(ledger, groups).join(final, [E, "party"], "left_semi").groupBy(E, "party").pivot("account_group", columns).sum("amount")
+    """Final parties by account group of both kinds: a column for each group, the sum, and the flags of either kind."""
+    flags = ["is_key", "is_representative", "is_related", "is_final"]
+    final = merge_kinds(decisions).where("is_final").select(E, "party", *flags)
+    wide = party_groups(ledger, groups).join(final.select(E, "party"), [E, "party"], "left_semi").groupBy(E, "party").pivot("account_group", columns).sum("amount")
     wide = wide.fillna(0, columns)
-    return wide.withColumn("total", sum((F.col(f"`{c}`") for c in columns), F.lit(0).cast("decimal(38,2)")))
+    return wide.withColumn("total", sum((F.col(f"`{c}`") for c in columns), F.lit(0).cast("decimal(38,2)"))).join(final, [E, "party"])
 
 
 def send_list(decisions: DataFrame, contacts: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ mk as (select engagement_id, party, coalesce(r.balance, 0) as receivable, coales
 query("conf_merge_kinds", lambda t: s.merge_kinds(decisions(t)), f"with {MERGED}\nselect * replace (cast(receivable as double) as receivable, cast(payable as double) as payable, cast(total as double) as total), row_number() over (partition by engagement_id order by is_final desc, is_excluded, total desc, party) as place from mk")
 GROUPS = ["외상매출금", "받을어음", "미수금", "선급금", "외상매입금", "미지급금", "선수금"]
 query("conf_key_item_matrix", lambda t: s.key_item_matrix(t.ledger, t.account_groups, decisions(t), GROUPS),
-      f"with {FINAL}\nselect engagement_id, party, " + ", ".join(f"cast(coalesce(sum(amount) filter (where account_group = '{g}'), 0) as double) as \"{g}\"" for g in GROUPS) + ", cast(coalesce(sum(amount) filter (where account_group in (" + ", ".join(f"'{g}'" for g in GROUPS) + ")), 0) as double) as total from grouped g where (engagement_id, party) in (select engagement_id, party from fin where is_final) group by 1, 2")
+      f"with {MERGED}, gm as (select engagement_id, party, " + ", ".join(f"cast(coalesce(sum(amount) filter (where account_group = '{g}'), 0) as double) as \"{g}\"" for g in GROUPS) + ", cast(coalesce(sum(amount) filter (where account_group in (" + ", ".join(f"'{g}'" for g in GROUPS) + ")), 0) as double) as total from grouped g where (engagement_id, party) in (select engagement_id, party from fin where is_final) group by 1, 2)\nselect gm.*, is_key, is_representative, is_related, is_final from gm join mk using (engagement_id, party)")
 query("conf_send_list", lambda t: s.send_list(decisions(t), t.contacts), f"""with {FINAL},
 sl as (select f.engagement_id, kind, row_number() over (partition by f.engagement_id, kind order by balance desc, f.party) as no, f.party, balance, email, phone, case when coalesce(trim(email), '') <> '' or coalesce(trim(phone), '') <> '' then '완료' else '미완료' end as contact
  from fin f left join {{contacts}} c on f.engagement_id = c.engagement_id and f.party = c.party where is_final)
@@ -125,16 +125,19 @@ fg as (select engagement_id, party, account_group, min_by(amount, pos) as ga, mi
 bs as (select *, case when ledger_amount > 0 then greatest(5.0, abs(ledger_amount) * 0.01) else 5.0 end as tol from rp),
 ar as (select a.reply_id, tol, row_amount, upper(row_currency) as rc, ga, gc, case when upper(row_currency) = 'KRW' then row_amount else row_amount * r1.rate end as rk, case when gc = 'KRW' then ga else ga * r2.rate end as gk
  from {account_rows} a join bs using (reply_id) left join fg on fg.engagement_id = bs.engagement_id and fg.party = bs.party and fg.account_group = a.account_group
- left join rates r1 on r1.engagement_id = bs.engagement_id and r1.currency = upper(row_currency) left join rates r2 on r2.engagement_id = bs.engagement_id and r2.currency = gc where row_amount is not null),
+ left join rates r1 on r1.engagement_id = bs.engagement_id and r1.currency = upper(row_currency) left join rates r2 on r2.engagement_id = bs.engagement_id and r2.currency = gc),
 ad as (select *, case when gc = rc then ga - row_amount when rc <> 'KRW' then gk - rk end as d from ar),
-pa as (select reply_id, count(*) as n_rows, bool_or(abs(d) > tol) as is_off, bool_or(abs(d) <= tol) as is_on from ad group by 1),
-jj as (select b.*, n_rows, is_off, is_on, coalesce(case when b.currency = 'KRW' then reply_amount else reply_amount * rate end, reply_amount) as cmp, original_amount, original_currency from bs b left join pa using (reply_id)
+pa as (select reply_id, count(*) as n_all, count(row_amount) as n_rows, bool_or(abs(d) > tol) as is_off, bool_or(abs(d) <= tol) as is_on from ad group by 1),
+jj as (select b.*, n_all, coalesce(n_rows, 0) as n_rows, is_off, r.rate as rate, is_on, coalesce(case when b.currency = 'KRW' then reply_amount else reply_amount * rate end, reply_amount) as cmp, original_amount, original_currency from bs b left join pa using (reply_id)
  left join rates r on r.engagement_id = b.engagement_id and r.currency = b.currency left join orig o on o.engagement_id = b.engagement_id and o.party = b.party),
 kk as (select *, case when currency <> 'KRW' and original_currency = currency then original_amount - reply_amount else ledger_amount - cmp end as td,
- case when reply_amount is null and n_rows is null then 'fallback' when declared_match is not null then 'declared' when n_rows is not null then 'per_account' else 'total' end as decision_basis from jj),
-v2 as (select *, case decision_basis when 'fallback' then 'extraction_failed' when 'declared' then case when declared_match then case when ledger_amount <> 0 and abs((ledger_amount - cmp) / ledger_amount) > 0.05 then 'needs_review' else 'matched' end else 'mismatch' end
+ case when reply_amount is null and n_all is null then 'fallback' when declared_match is not null then 'declared' when n_rows > 0 then 'per_account' when reply_amount is null then 'fallback' else 'total' end as decision_basis,
+ currency <> 'KRW' and coalesce(original_currency = currency, false) as own from jj),
+v2 as (select *, case decision_basis when 'fallback' then 'extraction_failed' when 'declared' then case when declared_match then case when coalesce(ledger_amount <> 0 and abs((ledger_amount - cmp) / ledger_amount) > 0.05, false) then 'needs_review' else 'matched' end else 'mismatch' end
  when 'per_account' then case when is_off then 'mismatch' when is_on then 'matched' else 'needs_review' end else case when abs(td) <= tol then 'matched' else 'mismatch' end end as status from kk),
-st as (select reply_id, engagement_id, party, 'receivable' as kind, status, decision_basis, case when decision_basis = 'total' then td when decision_basis = 'declared' and status = 'matched' then 0.0 end as difference, tol as tolerance, coalesce(n_rows, 0) as account_rows from v2)"""
+st as (select reply_id, engagement_id, party, 'receivable' as kind, status, decision_basis, case when decision_basis = 'total' then td when decision_basis = 'declared' and status = 'matched' then 0.0 end as difference, 
+ case when decision_basis = 'total' then case when own then case when original_amount <> 0 then td / original_amount end when ledger_amount <> 0 then td / ledger_amount end when decision_basis = 'declared' and status = 'matched' then 0.0 end as difference_pct,
+ case when decision_basis = 'total' and (own or (currency <> 'KRW' and rate is null)) then currency else 'KRW' end as difference_currency, tol as tolerance, n_rows as account_rows from v2)"""
 
 
 def recon(t):
@@ -145,7 +148,7 @@ def statuses(t):
     return recon(t).withColumn("kind", F.lit("receivable"))
 
 
-query("recon_v2", recon, f"with {V2}\nselect * exclude (kind) from st")
+query("recon_v2", lambda t: recon(t).drop("findings", "notes"), f"with {V2}\nselect * exclude (kind) from st")
 BK = """bk0 as (select p.*, coalesce(s.kind, asked_kind) as k, receivable_ledger, payable_ledger from {parsed} p left join {sampled} s on p.engagement_id = s.engagement_id and p.party = s.party),
 bk1 as (select *, unnest(case when party is null then [asked_kind] else list_filter([case when k in ('receivable', 'both') or receivable_total is not null then 'receivable' end, case when k in ('payable', 'both') or payable_total is not null then 'payable' end], lambda x : x is not null) end) as kind from bk0),
 bk2 as (select reply_id, engagement_id, party, kind, coalesce(case when kind = 'receivable' then receivable_total else payable_total end, balance) as amount, case when kind = 'receivable' then receivable_ledger else payable_ledger end as ledger from bk1)""".replace("list_filter([", "[z for z in [").replace("], lambda x : x is not null)", "] if z is not null]")
@@ -177,8 +180,18 @@ plain = lambda n: F.lower(F.regexp_replace(n, r"\s", ""))
 query("cov_auto_identify", lambda t: c.auto_identify(finals(t), t.replies.select("engagement_id", F.lower("party").alias("party")), t.evidence.where("currency = 'USD'"), plain), f"with {FIN}\nselect * from fs2 f where not exists (select 1 from {{replies}} r where r.engagement_id = f.engagement_id and lower(replace(r.party, ' ', '')) = lower(replace(f.party, ' ', ''))) and not exists (select 1 from {{evidence}} e where e.currency = 'USD' and e.engagement_id = f.engagement_id and e.party = f.party)")
 EV = "ev as (select engagement_id, party, coalesce(upper(currency), 'KRW') as currency, sum(amount) as amount from {evidence} where success group by 1, 2, 3)"
 query("cov_evidence_by_currency", lambda t: c.evidence_by_currency(t.evidence), f"with {EV}\nselect * replace (cast(amount as double) as amount) from ev")
-query("cov_evidence_summary", lambda t: c.evidence_summary(t.evidence.withColumn("confidence", F.col("confidence").cast("double"))), f"""with {EV}, n as (select engagement_id, party, count(*) filter (where success) as success, count(*) filter (where not success) as failed, count(*) filter (where success and cast(confidence as double) < 0.5) as needs_review from {{evidence}} group by 1, 2),
-b as (select engagement_id, party, case when bool_or(currency = 'KRW') then 'KRW' else max_by(currency, amount) end as currency from ev group by 1, 2) select n.*, currency from n left join b using (engagement_id, party)""")
+READ = "cast(confidence as double) as confidence, case when cast(floor(amount) as bigint) % 7 = 0 then null else amount end as read_amount, cast(floor(amount) as bigint) % 3 <> 0 as has_file"
+
+
+def read_evidence(t):
+    """Evidence of which some files give no amount and some that failed have no file."""
+    return t.spark.sql(f"select engagement_id, party, currency, success, {READ} from {{evidence}}", evidence=t.evidence).withColumnRenamed("read_amount", "amount")
+
+
+query("cov_evidence_summary", lambda t: c.evidence_summary(read_evidence(t)), f"""with e as (select engagement_id, party, currency, success, {READ} from {{evidence}}), d as (select *, success and read_amount is not null as done from e),
+n as (select engagement_id, party, count(*) filter (where done) as success, count(*) filter (where not done) as failed, count(*) filter (where not done and (success or has_file)) as needs_review, count(*) filter (where (not done and (success or has_file)) or (done and confidence < 0.5)) as low_confidence from d group by 1, 2),
+s as (select engagement_id, party, coalesce(upper(currency), 'KRW') as currency, sum(read_amount) as amount from d where done group by 1, 2, 3),
+b as (select engagement_id, party, case when bool_or(currency = 'KRW') then 'KRW' else max_by(currency, amount) end as currency from s group by 1, 2) select n.*, currency from n left join b using (engagement_id, party)""")
 
 
 def ledgers(t):
@@ -216,5 +229,7 @@ query("cov_party_states", states, f"with {STATES}\nselect engagement_id, party,
 query("cov_report", lambda t: c.coverage_report(states(t), 100), f"with {STATES}\nselect engagement_id, count(*) as parties, " + ", ".join(f"count(*) filter (where state = '{x}') as \"{x}\"" for x in ["matched", "mismatch", "needs_review", "unresolved", *c.CONCLUSIONS.values()]) + ", count(*) filter (where state in ('unresolved', 'needs_review')) <= 100 as passed from states group by 1")
 query("cov_confirmation_status", lambda t: fx.confirmation_status(t.guide, fx.best_reply(statuses(t)), covers(t).where("conclusion != 'needs_review'"), plain), f"""with {STATES}, p as (select * from cv where conclusion <> 'needs_review'), q as (select g.*, case when b.status <> '미회신' then b.status end as bs, b.difference as bd, p.conclusion, p.covered from gu g left join best b on b.engagement_id = g.engagement_id and b.party = g.party left join p on p.engagement_id = g.engagement_id and p.party = g.party)
 select engagement_id, party, account_group, currency, amount, case when bs is not null then '원본' when conclusion is not null then '대체적' else '미회신' end as confirmed_by, case when bs is not null then -bd when conclusion is not null then covered - amount end as difference, coalesce(bs, conclusion) as note from q""")
+query("cov_confirmation_counts", lambda t: fx.confirmation_counts(fx.confirmation_status(t.guide, fx.best_reply(statuses(t)), covers(t).where("conclusion != 'needs_review'"), plain)), f"""with {STATES}, p as (select * from cv where conclusion <> 'needs_review'), q as (select g.*, case when b.status <> '미회신' then b.status end as bs, p.conclusion from gu g left join best b on b.engagement_id = g.engagement_id and b.party = g.party left join p on p.engagement_id = g.engagement_id and p.party = g.party)
+select engagement_id, count(*) as rows, count(bs) as replied, count(*) filter (where bs is null and conclusion is not null) as alternative, count(*) filter (where bs is null and conclusion is null) as no_reply from q group by 1""")
 query("cov_detail_coverage", lambda t: c.detail_coverage(t.explanations.select("engagement_id", "party", F.col("sent").alias("amount")), finals(t)), f"with {FIN}\nselect engagement_id, party, cast(sum(abs(sent)) as double) as detail_amount from {{explanations}} where (engagement_id, party) in (select engagement_id, party from fs2) group by 1, 2")
 query("cov_audit_trail", lambda t: c.audit_trail_latest(t.explanations.select("engagement_id", "party", "row_no"), "engagement_id", 1, "row_no"), "select engagement_id, party, row_no from {explanations} where engagement_id = 1")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +9,7 @@ from auditlake.functions import text as x
 from auditlake.operators import names as n
 from auditlake.queries.common import Tables, query
 from auditlake.sources import ledger as s
+from auditlake.sources.shared import new_folder
 from auditlake.streaming import jobs
 
 # sources
@@ -37,14 +35,17 @@ def mapped(t: Tables):
 
 
 query("src_party_ledger", lambda t: mapped(t).groupBy("engagement_id", "party", "currency").agg(F.count("*").alias("n"), F.sum("ending").alias("ending"), F.sum("change").alias("change")), "select engagement_id, party, 'KRW' as currency, count(*) as n, cast(sum(ending) as double) as ending, cast(count(*) * 1000 as double) as change from {ledger} group by 1, 2")
-TBT = "select engagement_id, concat(account_code, '  acct ', account_code) as account, -opening as opening, period_debit as debit, -period_credit as credit, case when cast(account_code as bigint) % 4 = 0 then null else closing end as closing from {tb}"
+TBT = "select engagement_id, n as row_no, concat(case when cast(account_code as bigint) % 3 = 0 then '00' else '' end, account_code, '  acct ', account_code) as account, -opening - n as opening, period_debit as debit, -period_credit as credit, case when cast(account_code as bigint) % 4 = 0 then null else closing end as closing from {tb} cross join (values (1), (2)) as v(n)"
+TBQ = f"""r as ({TBT}), q as (select engagement_id, regexp_extract(account, '^\\s*(\\d+)\\s+(.+)$', 1) as account_code, trim(regexp_extract(account, '^\\s*(\\d+)\\s+(.+)$', 2)) as account_name, opening, abs(debit) as d, abs(credit) as c, closing, case when substr(ltrim(account, '0'), 1, 1) in ('1', '9') then 1 else -1 end as sg from r where row_no = 2)"""
 query(
     "src_tb_split",
-    lambda t: s.load_tb_split(t.spark.sql(TBT, tb=t.tb)),
-    f"""with r as ({TBT}), q as (select engagement_id, regexp_extract(account, '^\\s*(\\d+)\\s+(.+)$', 1) as account_code, trim(regexp_extract(account, '^\\s*(\\d+)\\s+(.+)$', 2)) as account_name, opening, abs(debit) as d, abs(credit) as c, closing, case when substr(account, 1, 1) in ('1', '9') then 1 else -1 end as sg from r),
+    lambda t: s.load_tb_split(t.spark.sql(TBT, tb=t.tb), ["engagement_id"], "row_no").drop("row_no"),
+    f"""with {TBQ},
 w as (select *, opening * sg as o, coalesce(closing * sg, opening * sg + d - c) as z from q)
 select engagement_id, account_code, account_name, cast(o as double) as opening, cast(d as double) as period_debit, cast(c as double) as period_credit, cast(z as double) as closing, cast(greatest(o, 0) as double) as opening_dr, cast(greatest(-o, 0) as double) as opening_cr, cast(greatest(z, 0) as double) as closing_dr, cast(greatest(-z, 0) as double) as closing_cr from w""",
 )
+query("src_tb_positional", lambda t: s.load_tb_positional(t.spark.sql(TBT, tb=t.tb).selectExpr("engagement_id", "row_no", "account as c0", "opening as c1", "0 as c2", "closing as c3", "debit as c4", "credit as c5"), ["engagement_id"], "row_no").drop("row_no"),
+      f"with {TBQ}\nselect engagement_id, account_code, account_name, cast(d as double) as period_debit, cast(c as double) as period_credit, cast(coalesce(closing, 0) as double) as closing from q")
 MH = "select concat('20', cast(engagement_id as string)) as sheet, concat('A-', account_code) as code, 'n' as nm, opening as dro, period_debit as dr, period_debit as drc, 5 as cro, period_credit as cr, period_credit as crc, cast(substring(account_code, 1, 1) as int) as row_no from {tb} union all select '203', 'A-12', 'short', 1, 1, 1, 1, 1, 1, 1 from {region}"
 
 
@@ -66,7 +67,10 @@ FS = "select engagement_id, case when account_group = '받을어음' then 'Total
 query("src_fs_amounts", lambda t: s.load_fs_amounts(t.spark.sql(FS, fs=t.fs), ["engagement_id"]), f"with f as ({FS})\nselect engagement_id, item, cast(max_by(value, row_no) as double) as value from f group by 1, 2")
 query("src_total_assets", lambda t: s.total_assets(s.load_fs_amounts(t.spark.sql(FS, fs=t.fs), ["engagement_id"]), ["engagement_id"]), f"with f as ({FS}), v as (select engagement_id, item, max_by(value, row_no) as value from f group by 1, 2)\nselect engagement_id, cast(coalesce(max(value) filter (where lower(item) = 'total assets'), max(value) filter (where lower(item) = 'current assets') + max(value) filter (where item = '비유동자산')) as double) as total_assets from v group by 1")
 GD = "select c_name as party, case when c_custkey % 9 = 0 then ' ' else 'acct' end as account, case when c_custkey % 2 = 0 then 'usd' else null end as currency, cast(c_custkey % 5 as double) as amount, case when c_custkey % 3 = 0 then null else 'KRW' end as currency2, cast(c_custkey % 4 as double) as amount2 from {customer}"
-query("src_upload_guide", lambda t: s.explode_upload_guide(t.spark.sql(GD, customer=t.customer)), f"with g as ({GD})\nselect party, account, coalesce(upper(currency), 'KRW') as currency, amount, 1 as pos from g where trim(account) <> '' and amount <> 0 union all select party, account, currency2, amount2, 2 from g where trim(account) <> '' and amount2 <> 0 and currency2 is not null")
+query("src_upload_guide", lambda t: s.explode_upload_guide(t.spark.sql(GD, customer=t.customer)), f"with g as ({GD})\nselect party, trim(account) as account, coalesce(upper(currency), 'KRW') as currency, amount, 1 as pos from g where trim(account) <> '' and amount <> 0 union all select party, trim(account), currency2, amount2, 2 from g where amount2 <> 0 and currency2 is not null")
+XP = "select c_custkey % 4 as engagement_id, case when c_custkey % 8 = 0 then ' nan' else c_name end as party, case when c_custkey % 3 = 0 then null else '외상매출금' end as account, case when c_custkey % 5 = 0 then 'None' else 'USD' end as currency, case c_custkey % 4 when 0 then null when 1 then '1,250' else 'n/a' end as amount, '채권' as kind from {customer}"
+query("src_excluded_parties", lambda t: s.excluded_parties(t.spark.sql(XP, customer=t.customer)), f"with x as ({XP})\nselect engagement_id, party, coalesce(account, '') as account, case when currency = 'USD' then 'USD' else '' end as currency, case when amount = '1,250' then 1250.0::double else 0.0::double end as amount, kind from x where trim(party) <> 'nan'")
+query("src_preview", lambda t: s.preview_table(t.gl_raw.drop("entry_date")), "select count(*) as total, 10 as shown, 'entry_date' as missing from {gl_raw}")
 WIDE = "select cast(date as string) as date, " + ", ".join(f"max(case when ticker = 'T{i}' then {'concat(cast(1000 + volume as string), ' + chr(39) + ',000' + chr(39) + ')' if i == 1 else 'cast(close as string)' if i < 4 else chr(39) + 'x' + chr(39)} end) as T{i}" for i in range(1, 6)) + " from {prices} group by 1"
 query("src_unpivot_prices", lambda t: s.unpivot_prices(t.spark.sql(WIDE, prices=t.prices)), "select ticker, cast(date as varchar) as date, case when ticker = 'T1' then (1000 + volume) * 1000.0::double else close end as close from {prices} where ticker in ('T1', 'T2', 'T3')")
 
@@ -78,6 +82,11 @@ def matrix(t: Tables):
 
 YM = "ym as (select concat('L', cast(curve_id - curve_id % 5 as varchar)) as label, concat('s', cast(curve_id % 5 as varchar)) as subtype, t, y from {quotes} where t in (0.25, 0.5, 1, 2))"
 query("src_yield_matrix", matrix, f"with {YM}\nselect * from ym")
+CELLS = """with q as (select curve_id % 5 as tab, curve_id, t, y, cast(row_number() over (partition by curve_id order by t) as int) + 1 as col, case t when 0.25 then '3M' when 0.5 then '6개월' else concat(cast(cast(t as int) as string), 'Y') end as token from {quotes}),
+c as (select distinct tab, cast(-1 as bigint) as r, col as k, token as v from q union all select tab, curve_id, col, cast(y as string) from q
+ union all select distinct tab, curve_id, 0, case when curve_id < 5 then concat('C', cast(tab as string)) else ' ' end from q union all select distinct tab, curve_id, 1, concat('L', cast(curve_id as string)) from q union all select distinct tab, cast(-9 as bigint), 1, 'title' from q)
+select tab, case when tab % 2 = 0 then r else cast(k as bigint) end as row_no, case when tab % 2 = 0 then cast(k as bigint) else r end as col_no, v as value from c"""
+query("src_yield_rows", lambda t: s.yield_rows(t.spark.sql(CELLS, quotes=t.quotes), ["tab"]).withColumn("y", F.round("y", 9)), "select curve_id % 5 as tab, curve_id as row_no, 'C' || cast(curve_id % 5 as varchar) as category, 'L' || cast(curve_id as varchar) as subtype, 'L' || cast(curve_id as varchar) as label, t, round(y, 9) as y from {quotes}")
 query("src_merge_series", lambda t: s.merge_series(matrix(t).withColumn("source", F.lit("a")).where("t < 2 or subtype = 's1'").unionByName(matrix(t).withColumn("source", F.lit("b")).where("t > 0.3")), ["label", "subtype"]).withColumn("y", F.round("y", 9)),
       f"with {YM}\nselect label, subtype, t, round(y, 9) as y, 'a' as source from ym where t < 2 or subtype = 's1'")
 query("src_union_listings", lambda t: s.union_listings([t.supplier.selectExpr("cast(s_suppkey as string) as symbol", "s_name as name"), t.customer.selectExpr("case when c_custkey % 10 = 0 then '' else cast(c_custkey as string) end as symbol", "c_name as name")]),
@@ -85,8 +94,7 @@ query("src_union_listings", lambda t: s.union_listings([t.supplier.selectExpr("c
 
 
 def scratch(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None) or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    return new_folder(spark, "tables")
 
 
 def written(t: Tables):
@@ -98,8 +106,10 @@ def written(t: Tables):
 query("src_write_read_tables", written, "select engagement_id, entry_type as rule_code, count(*) as n, cast(sum(debit_amount) as double) as debit from {gl_base} group by 1, 2")
 
 # names
-NAMES = "select c_custkey as id, c_custkey % 4 as engagement_id, case c_custkey % 6 when 0 then concat('㈜ ', c_name) when 1 then concat(lower(c_name), ' Co., Ltd.') when 2 then concat(c_name, ' Corporation') when 3 then concat('주식회사 ', c_name, ' Inc.') when 4 then concat(substring(c_name, 1, 4), '-', substring(c_name, 5, 100)) else concat(c_name, ' LLC') end as name from {customer}"
-STRIPPED = r"trim(lower(regexp_replace({0}, '(?i)[\s\-_]|㈜|\(주\)|주식회사|주식$|회사$|CO\.,?\s*LTD\.?|CO\s*,\s*LTD\.?|CORPORATION|COMPANY|LIMITED|Co\.|Ltd\.|Inc\.|Corp\.|LLC|LLP|Sdn\.|Bhd\.|Pty\.|Ltd$|Co$|Inc$|Corp$|[.,]', '', 'g')))".format
+NAMES = "select c_custkey as id, c_custkey % 4 as engagement_id, case c_custkey % 6 when 0 then concat('㈜\u3000', c_name) when 1 then concat(lower(c_name), ' Co., Ltd.') when 2 then concat(c_name, ' Corporation') when 3 then concat('주식 회사 ', c_name, ' Inc.') when 4 then concat(substring(c_name, 1, 4), '-', substring(c_name, 5, 100)) else concat(c_name, ' LLC') end as name from {customer}"
+#: The library's pattern for an engine whose \\s is ASCII.
+STRIP_SQL = n.STRIP.replace(r"(?iU)[\s\-_]", r"(?i)[\s\p{Z}\-_]").replace(r"주식\s*회사", r"주식[\s\p{Z}]*회사")
+STRIPPED = ("trim(lower(regexp_replace({0}, '" + STRIP_SQL.replace("{", "{{").replace("}", "}}") + "', '', 'g')))").format
 
 
 def named(t: Tables):
@@ -183,6 +193,14 @@ query(
 select reply_id, case when length(trim(text)) < 100 then 'ocr_required' when kr >= 4 and kr >= en then 'kr_standard' when en >= 3.5 and en > kr then 'en_standard' when em >= 2.5 and em > kr and em > en then 'email_freeform' when kr > 0 and kr >= en and kr >= em then 'kr_standard' when en > 0 and en >= em then 'en_standard' else 'unknown' end as form,
  round(cast(case when length(trim(text)) < 100 then 0.95 when kr >= 4 and kr >= en then least(1.0, kr / 8) when en >= 3.5 and en > kr then least(1.0, en / 7) when em >= 2.5 and em > kr and em > en then least(1.0, em / 5) when kr > 0 and kr >= en and kr >= em then least(0.5, kr / 8) when en > 0 and en >= em then least(0.5, en / 7) else 0.0 end as double), 3) as form_confidence from sc""",
 )
+HINTED = "select b.*, case when reply_id % 2 = 0 then 'CC-12 reply.pdf' else 'scan.pdf' end as filename, case reply_id % 4 when 0 then array('계정과목 발송금액 일치여부', 'x') when 1 then array('Account Our Amount') when 2 then cast(null as array<string>) else array('계정과목 일치여부 account amount') end as headers from b"
+query(
+    "text_classify_form_hints",
+    lambda t: x.classify_form(t.spark.sql(f"with {B.replace('{customer}', '{c}')} {HINTED}", c=t.customer), filename="filename", headers="headers").select("reply_id", "form", "form_confidence"),
+    f"""with {B}, sc as (select *, cast({KR} as double) + case when reply_id % 2 = 0 then 0.5 else 0 end + case when reply_id % 4 in (0, 3) then 1.5 else 0 end as kr, cast({EN} as double) + case when reply_id % 4 = 1 then 1 else 0 end as en, cast({EM} as double) as em from b)
+select reply_id, case when length(trim(text)) < 100 then 'ocr_required' when kr >= 4 and kr >= en then 'kr_standard' when en >= 3.5 and en > kr then 'en_standard' when em >= 2.5 and em > kr and em > en then 'email_freeform' when kr > 0 and kr >= en and kr >= em then 'kr_standard' when en > 0 and en >= em then 'en_standard' else 'unknown' end as form,
+ round(cast(case when length(trim(text)) < 100 then 0.95 when kr >= 4 and kr >= en then least(1.0, kr / 8) when en >= 3.5 and en > kr then least(1.0, en / 7) when em >= 2.5 and em > kr and em > en then least(1.0, em / 5) when kr > 0 and kr >= en and kr >= em then least(0.5, kr / 8) when en > 0 and en >= em then least(0.5, en / 7) else 0.0 end as double), 3) as form_confidence from sc""",
+)
 query("text_fields", lambda t: bodies(t).withColumn("period_end", x.period_end("text")).select("reply_id", x.extract_party("text").alias("party"), "period_end", x.reply_date("text", "period_end").alias("reply_date"), x.declared_match("text").alias("declared"), x.parse_amount("text").alias("amount"), x.parse_currency("text").alias("currency")),
       f"""with {B.replace("select c_custkey as reply_id", "select c_name, c_custkey as reply_id")}
 select reply_id, case reply_id % 5 when 0 then c_name when 1 then c_name end as party, case when reply_id % 5 < 2 then '2025-12-31' end as period_end,
@@ -190,8 +208,16 @@ select reply_id, case reply_id % 5 when 0 then c_name when 1 then c_name end as
  case reply_id % 5 when 0 then reply_id % 2 = 0 when 2 then false end as declared,
  case reply_id % 5 when 0 then case when reply_id = 0 then 2025.0::double else reply_id end when 1 then cast(1100 + reply_id % 900 as double) + 0.5 when 2 then cast(reply_id as double) end as amount, case when reply_id % 5 = 1 then 'USD' else 'KRW' end as currency from b""")
 query("text_balances", lambda t: x.extract_balances(bodies(t)).select("reply_id", F.element_at("receivable", "외상매출금").alias("trade"), F.element_at("receivable", "미수금").alias("other"), F.element_at("payable", "미지급금").alias("payables"), "receivable_total", "payable_total", "balance"),
-      """select c_custkey as reply_id, case when c_custkey % 5 = 0 then (1000 + c_custkey) * 1000.0::double end as trade, case when c_custkey % 5 = 0 then 2500.0::double end as other, case when c_custkey % 5 = 0 then 7000.0::double end as payables, case when c_custkey % 5 = 0 then (1003 + c_custkey) * 1000.0::double + 500 end as receivable_total, case when c_custkey % 5 = 0 then 7000.0::double end as payable_total,
- case c_custkey % 5 when 0 then (1003 + c_custkey) * 1000.0::double + 500 when 1 then cast(concat('1', cast(100 + c_custkey % 900 as varchar)) as double) when 2 then 50000.0::double + c_custkey end as balance from {customer}""")
+      """with v as (select c_custkey, case c_custkey % 5 when 0 then (1003 + c_custkey) * 1000.0::double + 500 when 1 then cast(concat('1', cast(100 + c_custkey % 900 as varchar)) as double) when 2 then case when c_custkey >= 10000 then c_custkey else 50000.0::double + c_custkey end end as found from {customer})
+select c_custkey as reply_id, case when c_custkey % 5 = 0 then (1000 + c_custkey) * 1000.0::double end as trade, case when c_custkey % 5 = 0 then 2500.0::double end as other, case when c_custkey % 5 = 0 then 7000.0::double end as payables, found as receivable_total, case when c_custkey % 5 = 0 then 7000.0::double end as payable_total, found as balance from v""")
+LINES = "select c_custkey as reply_id, case c_custkey % 3 when 0 then concat('Receivable', chr(10), '장기대여금 5,000', chr(10), '임차보증금 KRW ', cast(300 + c_custkey as string), chr(10), '국외매출금 0', chr(10), 'Payable', chr(10), '외상매입금 ', cast(c_custkey as string), chr(10), 'Signature and Company', chr(10), '선수금 99') when 1 then concat('지급할 금액', chr(10), '설비미지급금 USD ', cast(c_custkey as string), '.5', chr(10), '합계 12') else concat('확인금액: (', cast(c_custkey as string), ') € ', cast(c_custkey as string)) end as text from {customer}"
+query("text_balance_lines", lambda t: x.extract_balances(t.spark.sql(LINES, customer=t.customer)).select("reply_id", F.size("receivable").alias("receivables"), F.size("payable").alias("payables"), F.element_at("receivable", "임차보증금").alias("deposit"), "receivable_total", "payable_total", x.parse_amount("text").alias("amount"), x.parse_currency("text").alias("currency")),
+      """select c_custkey as reply_id, case when c_custkey % 3 = 0 then 2 else 0 end as receivables, case when c_custkey % 3 = 2 or c_custkey = 0 then 0 else 1 end as payables, case when c_custkey % 3 = 0 then 300.0::double + c_custkey end as deposit,
+ case c_custkey % 3 when 0 then 5300.0::double + c_custkey when 2 then -c_custkey::double end as receivable_total, case c_custkey % 3 when 0 then nullif(c_custkey, 0)::double when 1 then 12.0::double end as payable_total,
+ case c_custkey % 3 when 0 then 300.0::double + c_custkey when 1 then c_custkey + 0.5::double else c_custkey::double end as amount, case c_custkey % 3 when 0 then 'KRW' when 1 then 'USD' else 'EUR' end as currency from {customer}""")
+DATED = "select o_orderkey, case o_orderkey % 3 when 0 then concat('No. 77 of ', date_format(d, 'yyyy-MM-dd')) when 1 then concat('Invoice ', upper(date_format(d, 'MMM')), date_format(d, '.dd,yyyy'), ' end') else concat('on ', date_format(d, 'd MMMM yyyy')) end as text from (select o_orderkey, cast(o_orderdate as date) + 3653 as d from {orders}) q"
+query("text_evidence_date", lambda t: t.spark.sql(DATED, orders=t.orders).select("o_orderkey", x.evidence_date("text").alias("date")), "select o_orderkey, cast(cast(o_orderdate as date) + 3653 as varchar) as date from {orders}")
+query("text_folder_party", lambda t: t.customer.withColumn("folder", F.concat(F.lit("BC-"), F.col("c_custkey").cast("string"), F.lit(",7_"), F.col("c_name"))).select("c_custkey", x.party_of_folder("folder").alias("party")), "select c_custkey, c_name as party from {customer}")
 query("text_find_total", lambda t: bodies(t).select("reply_id", x.find_total("text", ("합계", "balance is", "received")).alias("total")), "select c_custkey as reply_id, case c_custkey % 5 when 0 then (1003 + c_custkey) * 1000.0::double + 500 when 2 then 50000.0::double + c_custkey end as total from {customer}")
 ROWS = "select c_custkey as reply_id, array(array('계정과목', '발송금액', '일치여부', '회신금액'), array('받을 금액', '', '', ''), array('외상매출금', '1,000', '일치', cast(c_custkey as string)), array('notes receivable', '(200)', '불일치', concat('USD ', cast(c_custkey + 1 as string))), array('합계', '800', '', '5'), array('지급할 금액', '', '', ''), array('(cid:12)', '1', '', '1'), array('accrued expenses', '50', '', '')) as rows from {customer}"
 
@@ -200,20 +226,24 @@ def account_rows(t: Tables):
     return x.parse_account_rows(t.spark.sql(ROWS, customer=t.customer), t.account_groups)
 
 
-query("text_account_rows", account_rows, """select c_custkey as reply_id, 2 as pos, 'receivable' as section, '외상매출금' as account_name, 1000.0::double as sent, true as declared, cast(c_custkey as double) as reply, 'KRW' as currency, '외상매출금' as account_group from {customer}
-union all select c_custkey, 3, 'receivable', 'notes receivable', -200.0, false, c_custkey + 1, 'USD', '받을어음' from {customer} union all select c_custkey, 7, 'payable', 'accrued expenses', 50.0, null, null, 'KRW', '미지급금' from {customer}""")
-query("text_section_totals", lambda t: x.section_totals(account_rows(t)), "select c_custkey as reply_id, 'receivable' as section, cast(c_custkey * 2 + 1 as double) as total, 2 as accounts from {customer} union all select c_custkey, 'payable', null, 1 from {customer}")
+query("text_account_rows", account_rows, """select c_custkey as reply_id, 2 as pos, 'receivable' as section, '외상매출금' as account_name, 1000.0::double as sent, true as declared, cast(nullif(c_custkey, 0) as double) as reply, 'KRW' as currency, '외상매출금' as account_group from {customer}
+union all select c_custkey, 3, 'receivable', 'notes receivable', 200.0, false, c_custkey + 1, 'USD', '받을어음' from {customer} union all select c_custkey, 7, 'payable', 'accrued expenses', 50.0, null, null, 'KRW', '미지급금' from {customer}""")
+query("text_section_totals", lambda t: x.section_totals(account_rows(t), x.parse_total_rows(t.spark.sql(ROWS, customer=t.customer))), "select c_custkey as reply_id, 'receivable' as section, 5.0::double as total, 2 as accounts from {customer} union all select c_custkey, 'payable', null, 1 from {customer}")
+TABLES = """select c_custkey as reply_id, cast(n as int) as table_no, case when c_custkey % 2 = 0 then 'en_standard' else 'kr_standard' end as form, case when c_custkey % 3 = 0 then 'Payable to you' else 'nothing' end as text,
+ case when c_custkey % 2 = 0 then array(array('Account', 'Our Amount', 'Reply', 'Status'), array('prepayments', 'US$ 10', '$ 20', case when n = 0 then 'disagree' else 'Confirmed' end), array('TOTAL', '', '€ 7', ''), array('short')) else array(array('계정과목', '발송금액', '확인', '비고'), array('외상매출금', '1', case when n = 0 then '×' else '○' end, '3,000')) end as rows from {customer} cross join (values (0), (1)) as v(n)"""
+query("text_account_tables", lambda t: x.parse_account_rows(t.spark.sql(TABLES, customer=t.customer), t.account_groups), """select c_custkey as reply_id, n as table_no, 1 as pos, case when c_custkey % 2 = 0 and c_custkey % 3 = 0 then 'payable' when n = 1 then 'payable' else 'receivable' end as section, case when c_custkey % 2 = 0 then 'prepayments' else '외상매출금' end as account_name,
+ case when c_custkey % 2 = 0 then 10.0::double else 1.0::double end as sent, n = 1 as declared, case when c_custkey % 2 = 0 then 20.0::double else 3000.0::double end as reply, case when c_custkey % 2 = 0 then 'USD' else 'KRW' end as currency, case when c_custkey % 2 = 0 then '선급금' else '외상매출금' end as account_group from {customer} cross join (values (0), (1)) as v(n)""")
 query("text_overall_declared", lambda t: x.overall_declared(account_rows(t).where("reply_id % 2 = 0 or account_name = '외상매출금'").withColumn("m", F.lit(True)), ["reply_id"], "m"), "select c_custkey as reply_id, c_custkey % 2 <> 0 as declared_match from {customer}")
-query("text_confidence", lambda t: x.reply_confidence(x.extract_balances(bodies(t)).withColumn("period_end", x.period_end("text")).withColumn("reply_date", x.reply_date("text", "period_end")).withColumn("declared", x.declared_match("text")).withColumn("party", x.extract_party("text")), ("party", "period_end", "reply_date", "declared", "receivable_total", "balance")).select("reply_id", "reply_confidence"),
-      "select c_custkey as reply_id, round(case c_custkey % 5 when 0 then 6 when 1 then 4 when 2 then 3 else 0 end / 6, 4) as reply_confidence from {customer}")
+query("text_confidence", lambda t: x.reply_confidence(x.found_fields(bodies(t))).select("reply_id", "reply_confidence"),
+      "select c_custkey as reply_id, round(case c_custkey % 5 when 0 then 6 when 1 then 5 when 2 then 2 else 0 end / 6, 4) as reply_confidence from {customer}")
 
 
 # streams
-def drained(t: Tables, df, name: str, mode: str):
-    """A stream over files run to its end into a table in memory."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", scratch(t.spark)).start()
-    q.awaitTermination()
-    return t.spark.table(name)
+def drained(t: Tables, df, mode: str = "append"):
+    """A stream over files run to its end into a Parquet folder, and read back."""
+    path = scratch(t.spark)
+    df.writeStream.outputMode(mode).format("parquet").option("path", path).trigger(availableNow=True).option("checkpointLocation", scratch(t.spark)).start().awaitTermination()
+    return t.spark.read.schema(df.schema).parquet(path)
 
 
 def files(t: Tables, df, parts: int = 3):
@@ -226,14 +256,15 @@ def replies(t: Tables):
     return t.events.select((F.col("event_id") % 500).alias("document_id"), F.col("user_id").cast("string").alias("party"), F.lit("receivable").alias("kind"), F.col("ts").cast("timestamp").alias("received_at"))
 
 
-query("stream_replies", lambda t: drained(t, jobs.stream_replies(files(t, replies(t)), "60 days"), f"replies_{uuid.uuid4().hex}", "append").select(*jobs.REPLY_KEYS), "select distinct event_id % 500 as document_id, cast(user_id as varchar) as party, 'receivable' as kind from {events}")
+query("stream_replies", lambda t: drained(t, jobs.stream_replies(files(t, replies(t)), "60 days")).select(*jobs.REPLY_KEYS), "select distinct event_id % 500 as document_id, cast(user_id as varchar) as party, 'receivable' as kind from {events}")
 query("batch_new_replies", lambda t: jobs.new_replies(replies(t), replies(t).where("document_id < 100")).select(*jobs.REPLY_KEYS), "select distinct event_id % 500 as document_id, cast(user_id as varchar) as party, 'receivable' as kind from {events} where event_id % 500 >= 100")
 
 
 def covered(t: Tables):
-    totals = drained(t, jobs.stream_evidence(files(t, t.evidence.select("engagement_id", "party", "success", "amount"))), f"evidence_{uuid.uuid4().hex}", "complete")
     ledger = t.ledger.where("kind = 'receivable'").groupBy("engagement_id", "party").agg((F.sum("ending") * 2).cast("double").alias("ledger"))
-    return jobs.coverage_of(totals, ledger)
+    path = scratch(t.spark)
+    jobs.run_evidence_coverage(files(t, t.evidence.select("engagement_id", "party", "success", "amount")), ledger, path, scratch(t.spark))
+    return jobs.latest_coverage(t.spark, path, ledger)
 
 
 query("stream_evidence_coverage", covered, """with e as (select engagement_id, party, sum(amount) as covered from {evidence} where success group by 1, 2), l as (select engagement_id, party, cast(sum(ending) * 2 as double) as ledger from {ledger} where kind = 'receivable' group by 1, 2),

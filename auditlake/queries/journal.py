@@ -26,6 +26,7 @@ def _integrity_sql() -> str:
 
 
 query("je_a01_integrity", lambda t: j.integrity(t.gl_raw, CHECKS, ("entry_no", "entry_date", "account_code")), _integrity_sql())
+query("je_a01_totals", lambda t: j.integrity_totals(t.gl_raw, CHECKS, ("entry_no", "entry_date", "account_code")), "with i as (" + _integrity_sql().replace("with p as", "with p0 as").replace("as status from p", "as status, required from p0") + ")\nselect engagement_id, max(total) as total, cast(coalesce(sum(missing) filter (where required), 0) as bigint) as missing_required, cast(sum(invalid) as bigint) as format_errors, count(*) filter (where status = 'FAIL') as failed_columns from i group by 1")
 query(
     "je_a02_voucher_balance",
     lambda t: j.voucher_balance(t.gl),
@@ -95,18 +96,19 @@ USERS = f"""u as (select g.*, h.user_id is not null as inn, date_diff('day', h.r
  left join {{doc_types}} d on g.user_id = 'SYSTEM-' || d.entry_type where g.engagement_id in (select engagement_id from {{hr}})),
 r as (select *, case when regexp_matches(user_id, '{SYSTEM}') then 'system' when not inn and regexp_matches(user_id, '[A-Z]$') then 'external' when inn then case when late > 0 then 'post_retirement' end
  when regexp_matches(user_id, '^(?:U19)') then 'affiliate' else 'not_registered' end as reason from u)"""
+DETAIL = """case when reason = 'system' and starts_with(user_id, 'SYSTEM-') then coalesce(doc, '자동전기 (' || substr(user_id, 8) || ')') when reason = 'system' then user_id when reason = 'external' then right(user_id, 1)
+ when reason = 'affiliate' then substr(user_id, 1, 3) end"""
 query(
     "je_b05_unusual_users",
     lambda t: j.unusual_users(t.gl, t.hr, t.doc_types, affiliate=("U19",)),
     f"""with {USERS}
-select {LINE}, reason, case when reason = 'system' and starts_with(user_id, 'SYSTEM-') then coalesce(doc, '자동전기 (' || substr(user_id, 8) || ')') when reason = 'system' then user_id when reason = 'external' then right(user_id, 1)
- when reason = 'affiliate' then substr(user_id, 1, 3) end as detail_type, case when reason = 'post_retirement' then late end as days_after from r where reason is not null""",
+select {LINE}, reason, {DETAIL} as detail_type, case when reason = 'post_retirement' then late end as days_after from r where reason is not null""",
 )
 query(
     "je_b05_user_summary",
-    lambda t: j.unusual_user_summary(j.unusual_users(t.gl, t.hr, t.doc_types, affiliate=("U19",))),
-    f"""with {USERS}, s as (select engagement_id, reason, user_id, count(*) as lines, cast(max(greatest(debit_amount, credit_amount)) as double) as largest from r where reason is not null group by 1, 2, 3),
-p as (select *, row_number() over (partition by engagement_id, reason order by lines desc, user_id) as place, greatest(count(*) over (partition by engagement_id, reason) - 100, 0) as omitted from s) select * from p where place <= 100""",
+    lambda t: j.unusual_user_summary(j.unusual_users(t.gl, t.hr, t.doc_types, affiliate=("U19",)), t.hr.select("engagement_id", "user_id", j.F.concat(j.F.lit("name "), j.F.col("user_no").cast("string")).alias("user_name"))),
+    f"""with {USERS}, s as (select engagement_id, reason, user_id, count(*) as lines, cast(max(greatest(debit_amount, credit_amount)) as double) as largest, max({DETAIL}) as detail_type from r where reason is not null group by 1, 2, 3),
+p as (select *, row_number() over (partition by engagement_id, reason order by lines desc, user_id) as place, greatest(count(*) over (partition by engagement_id, reason) - 100, 0) as omitted from s) select p.*, case when h.user_id is not null then 'name ' || cast(user_no as varchar) end as user_name from p left join {{hr}} h using (engagement_id, user_id) where place <= 100""",
 )
 query("je_b06_self_approved", lambda t: j.self_approved(t.gl_named), f"select {LINE} from {{gl_named}} where user_id = approver_id")
 query("je_b07_back_dated", lambda t: j.back_dated(t.gl), f"select {LINE}, date_diff('day', entry_date, posting_date) as delay, case when date_diff('day', entry_date, posting_date) > 30 then 'late' else 'reversed' end as class from {{gl}} where date_diff('day', entry_date, posting_date) > 30 or date_diff('day', entry_date, posting_date) < 0")
@@ -116,14 +118,17 @@ query(
     """with d as (select *, date_diff('day', entry_date, posting_date) as delay from {gl}) select engagement_id, count(*) filter (where delay > 30) as late_lines, count(distinct entry_no) filter (where delay > 30) as late_vouchers,
  count(*) filter (where delay < 0) as reversed_lines, count(distinct entry_no) filter (where delay < 0) as reversed_vouchers, count(*) filter (where posting_date is null) as skipped_no_date from d group by 1""",
 )
-query("je_b08_doc_type_accounts", lambda t: j.doc_type_accounts(t.gl), f"with {SALES}\nselect engagement_id, entry_type, account_code, case when debit_amount > 0 then 'D' else 'C' end as side, {D('sum(debit_amount)')} as debit, {D('sum(credit_amount)')} as credit, count(*) as lines from {{gl}} join sales using (engagement_id) where cast(greatest(debit_amount, credit_amount) as double) > threshold group by 1, 2, 3, 4")
-query("je_b08_rare_combinations", lambda t: j.rare_doc_type_accounts(t.gl), "select engagement_id, entry_type, account_code, count(*) as frequency from {gl} group by 1, 2, 3 having count(*) <= 2")
+NAMES = "left join {doc_types} d using (entry_type) left join {coa} a using (engagement_id, account_code)"
+query("je_b08_doc_type_accounts", lambda t: j.doc_type_accounts(t.gl, doc_types=t.doc_types, accounts=t.coa), f"with {SALES}, b8 as (select engagement_id, entry_type, account_code, case when debit_amount > 0 then 'D' else 'C' end as side, {D('sum(debit_amount)')} as debit, {D('sum(credit_amount)')} as credit, count(*) as lines from {{gl}} join sales using (engagement_id) where cast(greatest(debit_amount, credit_amount) as double) > threshold group by 1, 2, 3, 4)\nselect b8.*, d.description as entry_type_name, a.account_name from b8 {NAMES}")
+query("je_b08_rare_combinations", lambda t: j.rare_doc_type_accounts(t.gl, doc_types=t.doc_types, accounts=t.coa), f"with b8 as (select engagement_id, entry_type, account_code, count(*) as frequency, {D('sum(debit_amount)')} as debit, {D('sum(credit_amount)')} as credit from {{gl}} group by 1, 2, 3 having count(*) <= 2)\nselect b8.*, d.description as entry_type_name, a.account_name from b8 {NAMES}")
 B09 = """cells as (select engagement_id, entry_no, account_code, case when debit_amount > 0 then 'D' else 'C' end as side, sum(debit_amount) as debit, sum(credit_amount) as credit from {gl} group by 1, 2, 3, 4),
 ps(scenario) as (values ('^1'), ('^4')), b09 as (
 select m.engagement_id, ps.scenario, m.account_code as main_account, m.side as main_side, c.account_code, c.side,
  case when c.account_code = m.account_code then '본계정' when c.side <> m.side then '상대계정' else '참고계정' end as relation, sum(c.debit) as debit, sum(c.credit) as credit, count(*) as vouchers
 from cells m join ps on regexp_matches(m.account_code, ps.scenario) join cells c on m.engagement_id = c.engagement_id and m.entry_no = c.entry_no group by all)"""
 query("je_b09_counter_accounts", lambda t: j.counter_accounts(t.gl, ("^1", "^4")), f"with {B09}\nselect * replace (cast(debit as double) as debit, cast(credit as double) as credit) from b09")
+DEFAULT_B09 = B09.replace("(values ('^1'), ('^4'))", "(values " + ", ".join(f"('{p}')" for p in j.COUNTER_SCENARIOS) + ")")
+query("je_b09_default_scenarios", lambda t: j.counter_accounts(t.gl), f"with {DEFAULT_B09}\nselect * replace (cast(debit as double) as debit, cast(credit as double) as credit) from b09")
 ISSUE = "case when coalesce(trim(description), '') = '' then 'absent' when trim(description) in ('TBD', '기타', '임시', 'test', '-', '.') then 'vague' when length(trim(description)) < 5 then 'short' end"
 query("je_b10_description", lambda t: j.description_quality(t.gl), f"select {LINE}, description, {ISSUE} as issue from {{gl}} where {ISSUE} is not null")
 B11 = """b11 as (select g.*, period_end, case when entry_date between period_end - 10 and period_end + 10 then 'proximity' when entry_date <= period_end and posting_date > period_end then 'post_close' end as class from {gl} g join {params} using (engagement_id))"""
@@ -141,7 +146,7 @@ CTX = ("coa", "tb", "tb_prior", "params", "hr", "doc_types", "equity_adjustments
 
 
 def findings(t):
-    return j.run_rules(t.gl_named, {k: getattr(t, k) for k in CTX})
+    return j.run_rules(t.gl_named, {k: getattr(t, k) for k in CTX}, params={"B09": {"scenarios": ("^1", "^4")}})
 
 
 AMT = "cast(greatest(debit_amount, credit_amount) as decimal(38,2))"

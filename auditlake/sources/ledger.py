@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,9 +11,15 @@ from pyspark.sql import Window as W
 
 #: Header keywords of ledger fields, in order of preference.
 LEDGER_KEYWORDS = {
-    "code": ["거래처코드", "코드", "code"], "party": ["거래처명", "거래처", "명칭", "name", "party"], "account_code": ["계정코드", "accountcode"], "account_name": ["계정과목명", "계정과목", "계정명", "account"],
-    "currency": ["통화", "currency"], "beginning": ["기초", "opening", "beginning"], "change": ["증감", "change"], "ending": ["기말", "잔액", "ending", "balance"],
-}
+    "code": ["거래처코드", "고객코드", "공급업체코드", "vendorcode", "customercode", "vendor code", "customer code", "party code", "bp code", "code", "코드"],
+    "party": ["거래처명", "고객명", "공급업체명", "vendorname", "customername", "vendor name", "customer name", "company name", "party name", "bp name", "name", "명"],
+    "account_code": ["계정과목코드", "계정코드", "accountcode", "gl account code", "account code", "gl code", "gl account", "계정과목", "account"],
+    "account_name": ["계정과목명", "계정명", "accountname", "gl account name", "account name", "account description"],
+    "currency": ["통화", "currency", "ccy", "curr"],
+    "beginning": ["기초", "기초잔액", "전기말", "beginningbalance", "openingbalance", "opening balance", "opening", "beginning balance", "beg balance", "beg bal"],
+    "change": ["증감", "증감액", "당기증감", "change", "movement", "net change", "net movement"],
+    "ending": ["기말", "잔액", "기말잔액", "당기말", "endingbalance", "closingbalance", "closing balance", "closing", "ending balance", "end balance", "end bal", "balance"],
+}
 GL_REQUIRED = ("entry_no", "entry_date", "account_code")
 TOTAL_ASSETS = ("자산총계", "자산 총계", "total assets")
 YEAR_TOKEN = r"(?i)^\s*(?:(\d+(?:\.\d+)?)\s*(?:Y|년))?\s*(?:(\d+(?:\.\d+)?)\s*(?:M|개월))?\s*$"
@@ -25,15 +32,12 @@ def read_gl(spark: SparkSession, paths: list[str], fmt: str = "parquet", **optio
 
 
 def suggest_mapping(columns: list[str], keywords: dict[str, list[str]] | None = None, override: dict[str, str] | None = None) -> dict[str, str | None]:
-    """field -> column: the first keyword, in order, that equals or is part of a header without spaces and case; each
-    column once; `override` wins. Metadata only."""
-    plain = {c: c.lower().replace(" ", "") for c in columns}
-    found: dict[str, str | None] = {}
-    for name, words in (LEDGER_KEYWORDS if keywords is None else keywords).items():
-        free = [c for c in columns if c not in found.values()]
-        exact = ((c, w) for w in words for c in free if plain[c] == w.lower().replace(" ", ""))
-        part = ((c, w) for w in words for c in free if w.lower().replace(" ", "") in plain[c])
-        found[name] = next(exact, next(part, (None, None)))[0]
+    """field -> column: for the first keyword, in order, that equals or is part of a header, without spaces and case, the
+    first such column; a column may serve several fields; `override` wins. Metadata only."""
+    bare = lambda x: x.strip().lower().replace(" ", "")
+    plain = [(c, bare(c)) for c in columns]
+    fields = (LEDGER_KEYWORDS if keywords is None else keywords).items()
+    found = {name: next((c for w in words for c, h in plain if bare(w) in h), None) for name, words in fields}
     return found | (override or {})
 
 
@@ -46,6 +50,12 @@ def preview(df: DataFrame, n: int = 10, required: tuple[str, ...] = GL_REQUIRED)
     return {"rows": df.limit(n), "total": df.count(), "missing": [c for c in required if c not in df.columns]}
 
 
+def preview_table(df: DataFrame, n: int = 10, required: tuple[str, ...] = GL_REQUIRED) -> DataFrame:
+    """preview's figures as one row: total rows, rows shown, required fields without a column."""
+    missing = ",".join(c for c in required if c not in df.columns)
+    return df.agg(F.count("*").alias("total")).select("total", F.least(F.lit(n).cast("long"), F.col("total")).alias("shown"), F.lit(missing).alias("missing"))
+
+
 def filled(c: str) -> Column:
     """Text without the ways of writing nothing."""
     t = F.trim(c)
@@ -59,6 +69,13 @@ def normalize_gl(raw: DataFrame, amount_unit: int = 1, pad: int = 0, dr_cr: str
     credit_amount), single_signed (amount: above 0 is debit) or single_indicator (amount, indicator D or C). A line
     without a user is the system's: SYSTEM-{entry_type}.
     """
+    typed = cleaned(raw, amount_unit, pad, dr_cr)
+    return typed.where("reason = ''").drop("reason"), typed.where("reason != ''")
+
+
+def cleaned(raw: DataFrame, amount_unit: int, pad: int, dr_cr: str) -> DataFrame:
+    """Typed ledger lines, with the required fields that they lack as `reason`. All fields of a line are made in one array
+    of one struct, whose inlining is a step that the optimiser doesn't fold into what reads it, so each is made once."""
     amount = lambda c: F.coalesce(F.regexp_replace(filled(c), ",", "").try_cast("decimal(20,2)"), F.lit(0).cast("decimal(20,2)")) * amount_unit
     nought = F.lit(0).cast("decimal(20,2)")
     if dr_cr == "split":
@@ -70,26 +87,66 @@ def normalize_gl(raw: DataFrame, amount_unit: int = 1, pad: int = 0, dr_cr: str
         debit, credit = F.when(is_debit, amount("amount")).otherwise(nought), F.when(is_debit, nought).otherwise(amount("amount"))
     code = filled("account_code")
     code = F.when(F.length(code) < pad, F.lpad(code, pad, "0")).otherwise(code) if pad else code
-    typed = raw.withColumns({
+    made = {
         "entry_no": filled("entry_no"), "entry_date": filled("entry_date").try_cast("date"), "posting_date": filled("posting_date").try_cast("date"), "account_code": code,
         "debit_amount": debit.cast("decimal(20,2)"), "credit_amount": credit.cast("decimal(20,2)"), "is_system_generated": filled("user_id").isNull(), "user_id": F.coalesce(filled("user_id"), F.concat(F.lit("SYSTEM-"), F.coalesce(filled("entry_type"), F.lit("")))),
-    })
-    reason = F.concat_ws(",", *(F.when(F.col(c).isNull(), F.lit(c)) for c in GL_REQUIRED))
-    marked = typed.withColumn("reason", reason)
-    return marked.where("reason = ''").drop("reason"), marked.where("reason != ''")
+    }
+    rest = [c for c in raw.columns if c not in made]
+    typed = raw.select(*(F.col(f"`{c}`") for c in rest), F.inline(F.array(F.struct(*(x.alias(c) for c, x in made.items())))))
+    return typed.withColumn("reason", F.concat_ws(",", *(F.when(F.col(c).isNull(), F.lit(c)) for c in GL_REQUIRED)))
 
 
 def account_sign(code: Column) -> Column:
-    """1 for codes starting with 1 or 9, -1 for others."""
-    return F.when(F.substring(code, 1, 1).isin("1", "9"), 1).otherwise(-1)
+    """1 for codes that start with 1 or 9 after leading zeros, -1 for others."""
+    return F.when(F.regexp_extract(code, "^0*(.)", 1).isin("1", "9"), 1).otherwise(-1)
 
 
-def load_tb_split(df: DataFrame) -> DataFrame:
-    """Trial balance with `account` text (code and name), opening, debit, credit, closing, or closing_parts to sum: signed
-    by code, movements absolute, a missing closing rolled forward; both balances also split by side. Other rows drop."""
+def last_of(df: DataFrame, keys: list[str], row_no: str) -> DataFrame:
+    """The last row, by row_no, of each key."""
+    return df.withColumn("_last", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(row_no)))).where("_last = 1").drop("_last")
+
+
+def coded(df: DataFrame) -> DataFrame:
+    """Rows whose `account` text is a code and a name, with both apart."""
     pattern = r"^\s*(\d+)\s+(.+)$"
+    return df.where(F.col("account").rlike(pattern)).withColumn("account_code", F.regexp_extract("account", pattern, 1)).withColumn("account_name", F.trim(F.regexp_extract("account", pattern, 2)))
+
+
+def load_tb_positional(df: DataFrame, keys: list[str] | None = None, row_no: str | None = None) -> DataFrame:
+    """Trial-balance sheet without headers, columns c0 to c5 by position: code and name, opening, unused, closing, debit
+    and credit so far; movements absolute, other rows dropped. With row_no the last row of a repeated code (within keys)
+    stays. The opening is left to merge_opening_closing."""
+    num = lambda c: F.coalesce(F.regexp_replace(F.col(c).cast("string"), ",", "").try_cast("decimal(20,2)"), F.lit(0).cast("decimal(20,2)"))
+    rows = coded(df.withColumn("account", F.col("c0")))
+    rows = last_of(rows, [*(keys or []), "account_code"], row_no) if row_no else rows
+    keep = [*(keys or []), *([row_no] if row_no else [])]
+    return rows.select(*keep, "account_code", "account_name", F.abs(num("c4")).alias("period_debit"), F.abs(num("c5")).alias("period_credit"), num("c3").alias("closing"))
+
+
+def pick_opening_closing(names: list[str]) -> tuple[str | None, str | None]:
+    """(opening, closing) sheet or file of a list of names, in their order: the first one dated in months up to 3 and from
+    10, or, without a date, named 기초 and 기말; if neither is found the first and the last one, a single one being the
+    closing."""
+    opening = closing = None
+    for name in names:
+        dated = re.search(r"(\d{4})[./\-](\d{1,2})", name)
+        month = int(dated[2]) if dated else None
+        if opening is None and (month <= 3 if dated else "기초" in name):
+            opening = name
+        elif closing is None and (month >= 10 if dated else "기말" in name):
+            closing = name
+    if opening is None and closing is None and names:
+        opening, closing = (names[0] if len(names) > 1 else None), names[-1]
+    return opening, closing
+
+
+def load_tb_split(df: DataFrame, keys: list[str] | None = None, row_no: str | None = None) -> DataFrame:
+    """Trial balance with `account` text (code and name), opening, debit, credit, closing, or closing_parts to sum: signed
+    by code, movements absolute, a missing closing rolled forward; both balances also split by side. Other rows drop; with
+    row_no the last row of a repeated code (within keys) stays."""
     num = lambda c: F.coalesce(F.regexp_replace(F.col(c).cast("string"), ",", "").try_cast("decimal(20,2)"), F.lit(0).cast("decimal(20,2)"))
-    rows = df.where(F.col("account").rlike(pattern)).withColumn("account_code", F.regexp_extract("account", pattern, 1)).withColumn("account_name", F.trim(F.regexp_extract("account", pattern, 2)))
+    rows = coded(df)
+    rows = last_of(rows, [*(keys or []), "account_code"], row_no) if row_no else rows
     sign = account_sign(F.col("account_code"))
     rows = rows.withColumn("o", num("opening") * sign).withColumn("d", F.abs(num("debit"))).withColumn("c", F.abs(num("credit")))
     parts = F.aggregate("closing_parts", F.lit(0).cast("decimal(20,2)"), lambda s, x: (s + x).cast("decimal(20,2)")) if "closing_parts" in df.columns else F.lit(None).cast("decimal(20,2)")
@@ -158,9 +215,22 @@ def total_assets(fs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def explode_upload_guide(df: DataFrame) -> DataFrame:
-    """Guide rows (party, account, currency, amount, currency2, amount2) as one row for each amount that isn't 0."""
-    pair = lambda c, a, n: F.when((F.coalesce(filled("account"), F.lit("")) != "") & (F.coalesce(F.col(a), F.lit(0.0)) != 0) & (F.lit(n == 1) | filled(c).isNotNull()), F.struct(F.coalesce(F.upper(filled(c)), F.lit("KRW")).alias("currency"), F.col(a).cast("double").alias("amount"), F.lit(n).alias("pos")))
-    return df.select("party", "account", F.inline(F.array_compact(F.array(pair("currency", "amount", 1), pair("currency2", "amount2", 2)))))
+    """Guide rows (party, account, currency, amount, currency2, amount2) as one row for each amount that isn't 0: the first
+    needs an account, and is KRW without a currency; the second needs a currency, and shares the account, which may be
+    blank. Rows without a party are left out; amounts may be text with commas, unreadable ones are 0."""
+    amount = lambda a: F.coalesce(F.regexp_replace(F.col(a).cast("string"), ",", "").try_cast("double"), F.lit(0.0))
+    made = lambda c, a, n: F.struct(F.coalesce(F.upper(filled(c)), F.lit("KRW")).alias("currency"), amount(a).alias("amount"), F.lit(n).alias("pos"))
+    one = F.when(filled("account").isNotNull() & (amount("amount") != 0), made("currency", "amount", 1))
+    two = F.when(filled("currency2").isNotNull() & (amount("amount2") != 0), made("currency2", "amount2", 2))
+    return df.where(filled("party").isNotNull()).select(filled("party").alias("party"), F.coalesce(filled("account"), F.lit("")).alias("account"), F.inline(F.array_compact(F.array(one, two))))
+
+
+def excluded_parties(df: DataFrame) -> DataFrame:
+    """The guide's list of parties that get no letter (party, account, currency, amount, kind): blanks for missing texts, 0
+    for missing or unreadable amounts; rows without a party are left out. Missing columns are blank."""
+    text = lambda c: F.coalesce(filled(c), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c)
+    amount = F.coalesce(F.regexp_replace(F.col("amount").cast("string"), ",", "").try_cast("double"), F.lit(0.0)) if "amount" in df.columns else F.lit(0.0)
+    return df.where(filled("party").isNotNull()).select(*([F.col("engagement_id")] if "engagement_id" in df.columns else []), text("party"), text("account"), text("currency"), amount.alias("amount"), text("kind"))
 
 
 def unpivot_prices(df: DataFrame, date: str = "date") -> DataFrame:
@@ -177,14 +247,44 @@ def years_of(token: Column) -> Column:
     return F.when(y.isNotNull() | m.isNotNull(), F.coalesce(y, F.lit(0.0)) + F.coalesce(m, F.lit(0.0)) / 12)
 
 
-def unpivot_yield_matrix(df: DataFrame, labels: list[str], row_no: str = "row_no") -> DataFrame:
+def yield_rows(cells: DataFrame, keys: list[str], least: int = 4) -> DataFrame:
+    """Points (keys, label, subtype, category, t, y) of published tables given as cells (keys, row_no, col_no, value).
+
+    The header of a table is its first row with at least `least` maturities; without one, rows and columns change
+    places. The columns before the first maturity are labels, filled down: the first is the category, the second the
+    subtype, the last the label; series without a label, and values that aren't numbers, are left out. All of it is
+    joins and windows by table, so any number of tables is read at once.
+    """
+    token = cells.select(*keys, "row_no", "col_no", F.trim(F.col("value").cast("string")).alias("value")).withColumn("years", years_of(F.col("value")))
+    rows = token.groupBy(*keys, "row_no").agg(F.count("years").alias("n")).where(F.col("n") >= least).groupBy(*keys).agg(F.min("row_no").alias("head"))
+    columns = token.groupBy(*keys, "col_no").agg(F.count("years").alias("n")).where(F.col("n") >= least).groupBy(*keys).agg(F.min("col_no").alias("head"))
+    straight = token.join(rows, keys)
+    turned = token.join(rows, keys, "left_anti").join(columns, keys).select(*keys, F.col("col_no").alias("row_no"), F.col("row_no").alias("col_no"), "value", "years", "head")
+    table = straight.unionByName(turned)
+    terms = table.where("row_no = head and years is not null").select(*keys, "col_no", F.col("years").alias("t"))
+    first = terms.groupBy(*keys).agg(F.min("col_no").alias("first"))
+    body = table.where("row_no > head").join(first, keys)
+    down = W.partitionBy(*keys, "col_no").orderBy("row_no").rowsBetween(W.unboundedPreceding, 0)
+    said = F.when(~F.col("value").isin("", "-"), F.col("value"))
+    labels = body.where("col_no < first").withColumn("text", F.last(said, True).over(down))
+    at = lambda i: F.max(F.when(i, F.col("text")))
+    c = F.col("col_no") - F.min("col_no").over(W.partitionBy(*keys))
+    named = labels.withColumn("_c", c).groupBy(*keys, "row_no").agg(at(F.col("_c") == 0).alias("category"), at(F.col("_c") == 1).alias("subtype"), at(F.col("col_no") == F.col("first") - 1).alias("label"))
+    y = F.regexp_replace("value", ",", "").try_cast("double")
+    points = body.join(terms, [*keys, "col_no"]).withColumn("y", y).where("y is not null").join(named.where("label is not null"), [*keys, "row_no"])
+    return points.select(*keys, "row_no", "category", "subtype", "label", "t", "y")
+
+
+def unpivot_yield_matrix(df: DataFrame, labels: list[str], row_no: str = "row_no", keys: list[str] | None = None) -> DataFrame:
     """Yield table with label columns (filled down) and a column for each maturity to label, subtype, t, y points; other
-    columns and values that aren't numbers are left out."""
-    terms = [c for c in df.columns if c not in labels and c != row_no]
-    w = W.orderBy(row_no).rowsBetween(W.unboundedPreceding, 0)  # one published table
-    down = df.select(row_no, *(F.last(filled(c), True).over(w).alias(c) for c in labels), *(F.col(f"`{c}`").cast("string").alias(c) for c in terms))
-    long = down.unpivot([row_no, *labels], terms, "term", "raw").withColumn("t", years_of(F.col("term"))).withColumn("y", F.regexp_replace(F.trim("raw"), ",", "").try_cast("double"))
-    return long.where("t is not null and y is not null").select(*labels, "t", "y")
+    columns and values that aren't numbers are left out. `keys` tell many tables apart; without them df is one published
+    table, which one task fills down."""
+    keys = keys or []
+    terms = [c for c in df.columns if c not in labels and c != row_no and c not in keys]
+    w = W.partitionBy(*keys).orderBy(row_no).rowsBetween(W.unboundedPreceding, 0)
+    down = df.select(*keys, row_no, *(F.last(filled(c), True).over(w).alias(c) for c in labels), *(F.col(f"`{c}`").cast("string").alias(c) for c in terms))
+    long = down.unpivot([*keys, row_no, *labels], terms, "term", "raw").withColumn("t", years_of(F.col("term"))).withColumn("y", F.regexp_replace(F.trim("raw"), ",", "").try_cast("double"))
+    return long.where("t is not null and y is not null").select(*keys, *labels, "t", "y")
 
 
 def merge_series(series: DataFrame, keys: list[str]) -> DataFrame:

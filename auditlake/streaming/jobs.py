@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.operators.coverage import conclude
@@ -30,3 +30,21 @@ def coverage_of(covered: DataFrame, ledgers: DataFrame) -> DataFrame:
     """Share and conclusion of covered amounts against ledgers (engagement_id, party, ledger): foreachBatch's body."""
     share = F.when((F.col("ledger") > 0) & F.col("covered").isNotNull(), F.least(F.lit(1.0), F.col("covered").cast("double") / F.col("ledger")))
     return ledgers.join(covered, ["engagement_id", "party"], "left").withColumn("share", share).withColumn("conclusion", conclude(share))
+
+
+def run_evidence_coverage(evidence: DataFrame, ledgers: DataFrame, path: str, checkpoint: str) -> None:
+    """Run a stream of evidence (of what is there now) in update mode: each batch writes the parties that it changed, with
+    covered amount, share and conclusion, to its own folder of `path`. A batch that is run again overwrites its folder."""
+
+    def write(changed: DataFrame, batch: int) -> None:
+        coverage_of(changed, ledgers).where("covered is not null").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    stream = stream_evidence(evidence).writeStream.outputMode("update").foreachBatch(write)
+    stream.trigger(availableNow=True).option("checkpointLocation", checkpoint).start().awaitTermination()
+
+
+def latest_coverage(spark: SparkSession, path: str, ledgers: DataFrame) -> DataFrame:
+    """Each ledger party's coverage by its latest batch; needs_review for those without any."""
+    keys = ["engagement_id", "party"]
+    seen = spark.read.schema("engagement_id long, party string, covered decimal(30,2), batch long").option("basePath", path).parquet(path)
+    return coverage_of(seen.groupBy(*keys).agg(F.max_by("covered", "batch").alias("covered")), ledgers)

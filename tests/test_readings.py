@@ -1,0 +1,219 @@
+"""Literal cases: how headers, names, texts, tables and evidence are read."""
+
+import unicodedata
+
+import pytest
+from pyspark.sql import functions as F
+
+from auditlake.functions import similarity, text as x
+from auditlake.operators import coverage, fx, names, sampling
+from auditlake.sources import ledger as s
+
+
+@pytest.mark.parametrize(
+    "columns,want",
+    [
+        (["코드", "명", "계정과목", "계정과목명", "통화", "기초", "증감", "기말"], ["코드", "명", "계정과목", "계정과목명", "통화", "기초", "증감", "기말"]),
+        (["Vendor Code", "Vendor Name", "GL Account", "Account Name", "Currency", "Opening", "Movement", "Closing"], ["Vendor Code", "Vendor Name", "GL Account", "Account Name", "Currency", "Opening", "Movement", "Closing"]),
+        (["고객코드", "고객명", "계정코드", "계정명", "CCY", "기초", "당기증감", "당기말"], ["고객코드", "고객명", "계정코드", "계정명", "CCY", "기초", "당기증감", "당기말"]),
+        (["Account Name", "Vendor Name"], [None, "Vendor Name", "Account Name", "Account Name", None, None, None, None]),
+        (["x"], [None] * 8),
+    ],
+)
+def test_header_mapping(columns, want):
+    assert list(s.suggest_mapping(columns).values()) == want
+    assert s.suggest_mapping(columns, override={"code": "x"})["code"] == "x"
+
+
+def test_split_trial_balance(spark):
+    rows = [(1, "01100 cash", "100", "5", "-3", None), (2, "2100 debt", "100", "0", "0", "40"), (3, "no code", "1", "1", "1", "1"), (4, "01100 cash again", "1,000", "0", "0", "7")]
+    got = s.load_tb_split(spark.createDataFrame(rows, "row_no int, account string, opening string, debit string, credit string, closing string"), [], "row_no").orderBy("account_code").collect()
+    assert [(r.account_code, r.account_name, float(r.opening), float(r.closing), float(r.opening_dr), float(r.closing_cr)) for r in got] == [("01100", "cash again", 1000.0, 7.0, 1000.0, 0.0), ("2100", "debt", -100.0, -40.0, 0.0, 40.0)]
+
+
+@pytest.mark.parametrize("names_,want", [(["2025.01", "2025.12"], ("2025.01", "2025.12")), (["기말 TB", "기초 TB"], ("기초 TB", "기말 TB")), (["a"], (None, "a")), (["a", "b", "c"], ("a", "c")), ([], (None, None)), (["2025-06", "2025-11"], (None, "2025-11"))])
+def test_opening_and_closing_by_name(names_, want):
+    assert s.pick_opening_closing(names_) == want
+
+
+def test_positional_trial_balance(spark):
+    rows = [(1, "  1110 cash", "9", "x", "1,250", "10", "-4"), (2, "title", None, None, None, None, None)]
+    got = s.load_tb_positional(spark.createDataFrame(rows, "row_no int, c0 string, c1 string, c2 string, c3 string, c4 string, c5 string")).collect()
+    assert [(r.account_code, r.account_name, float(r.period_debit), float(r.period_credit), float(r.closing)) for r in got] == [("1110", "cash", 10.0, 4.0, 1250.0)]
+
+
+def test_upload_guide(spark):
+    rows = [("a", " ", "KRW", "5", "KRW", "7,000"), ("b", "acct", None, "3", "USD", "0"), ("c", "acct", "usd", "n/a", None, "4"), (" ", "acct", "KRW", "1", "KRW", "1")]
+    got = s.explode_upload_guide(spark.createDataFrame(rows, "party string, account string, currency string, amount string, currency2 string, amount2 string")).collect()
+    assert sorted(tuple(r) for r in got) == [("a", "", "KRW", 7000.0, 2), ("b", "acct", "KRW", 3.0, 1)]
+
+
+def test_yield_tables_either_way(spark):
+    table = [["2025", "", "", "", "", ""], ["kind", "name", "3M", "6개월", "1Y", "1Y6M"], ["gov", "AAA", "1.0", "-", "1,000.5", "2"], ["", "AA", "3", "4", "x", "5"], ["", "-", "9", "9", "9", "9"]]
+    cells = [(0, r, c, v) for r, row in enumerate(table) for c, v in enumerate(row)] + [(1, c, r, v) for r, row in enumerate(table) for c, v in enumerate(row)] + [(2, 0, 0, "1Y")]
+    got = sorted((r.tab, r.category, r.label, r.t, r.y) for r in s.yield_rows(spark.createDataFrame(cells, "tab int, row_no int, col_no int, value string"), ["tab"]).collect())
+    one = [("gov", "AA", 0.25, 3.0), ("gov", "AA", 0.25, 9.0), ("gov", "AA", 0.5, 4.0), ("gov", "AA", 0.5, 9.0), ("gov", "AA", 1.0, 9.0), ("gov", "AA", 1.5, 5.0), ("gov", "AA", 1.5, 9.0), ("gov", "AAA", 0.25, 1.0), ("gov", "AAA", 1.0, 1000.5), ("gov", "AAA", 1.5, 2.0)]
+    assert got == [(t, *p) for t in (0, 1) for p in one]
+
+
+def test_normalised_names(spark):
+    cases = {"주식 회사 삼성": "삼성", "주식회사　삼성": "삼성", "㈜삼성": "삼성", "(주) 삼성": "삼성", "Cosmax Co., Ltd.": "cosmax", "COSMAX INC.": "cosmax", "A-B_C Corp": "abc", "Acme Sdn. Bhd.": "acme", "": ""}
+    df = spark.createDataFrame([(k,) for k in cases], "name string").select("name", names.normalize_party("name").alias("n"))
+    assert {r.name: r.n for r in df.collect()} == cases
+
+
+def test_nfkc_names(spark):
+    import re
+
+    cases = ["ＡＢＣ 有限公司", "株式会社テスト", "㈜ 가나", "ｶﾅ Ltd.", "Foo（Seoul Korea branch）", "Foo (KR)", "", None, "plain Co., Ltd."]
+
+    def brute(t):
+        if t is None:
+            return None
+        t = re.sub(r"(?i)有限公司|株式会社|유한공사|주식회사|\(주\)|㈜|Co\.,\s*Ltd\.?|Ltd\.?|Inc\.?", "", t.replace("（", "(").replace("）", ")"))
+        return re.sub(r"\s", "", unicodedata.normalize("NFKC", re.sub(r"\([^)]{6,}\)", "", t))).lower()
+
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, name string").select("i", names.normalize_party_nfkc("name").alias("n"))
+    assert {r.i: r.n for r in df.collect()} == {i: brute(c) for i, c in enumerate(cases)}
+
+
+Q = "engagement_id long, query_id long, name string, business_no string, filename string"
+C = "engagement_id long, candidate string, pos long"
+CANDIDATES = ["Alpha Trading", "Beta Works", "코스맥스 중국", "山东昆达公司", "Gamma Co., Ltd.", "Alpha Trading East"]
+
+
+def frames(spark, queries, contacts=()):
+    q = spark.createDataFrame([(1, i, n, b, f) for i, (n, b, f) in enumerate(queries)], Q)
+    c = spark.createDataFrame([(1, n, i) for i, n in enumerate(CANDIDATES)], C)
+    k = spark.createDataFrame([(1, n, b, i) for i, (n, b) in enumerate(contacts)], "engagement_id long, contact string, business_no string, pos long")
+    return q, c, k, spark.createDataFrame([("alfa", "Alpha Trading")], "alias string, canonical string")
+
+
+@pytest.mark.parametrize("block", [1000, 2])
+def test_cascade(spark, monkeypatch, block):
+    monkeypatch.setattr(names, "BLOCK_NAMES", block)
+    asked = [("GAMMA", None, None), ("alfa", None, None), ("Alpha Tradng", None, None), ("zzz", None, None), ("whatever", "123-45", None), ("Betta Works Works", None, None), ("科丝美诗（中国）", None, None), ("x", None, "昆达公司.pdf"), ("Betas Worx Seoul", None, None)]
+    q, c, k, a = frames(spark, asked, [("Beta Works", "12345"), ("Betas Worx Seoul", None)])
+    got = {r.query_id: (r.matched, r.method) for r in names.resolve_party(q, c, k, a).collect()}
+    assert got[0] == ("Gamma Co., Ltd.", "exact") and got[1] == ("Alpha Trading", "alias") and got[4] == ("Beta Works", "alias") and got[7] == ("山东昆达公司", "alias")
+    rows = {r.query_id: r for r in names.resolve_party(q, c, k, a).collect()}
+    norm = {r.candidate: r.n for r in c.select("candidate", names.normalize_party("candidate").alias("n")).collect()}
+    for i, name in ((2, "alphatradng"), (3, "zzz"), (5, "bettaworksworks"), (8, "betasworxseoul")):
+        best = sorted(CANDIDATES, key=lambda n: (-similarity.partial_ratio(name, norm[n]), CANDIDATES.index(n)))[:3]
+        score = similarity.partial_ratio(name, norm[best[0]])
+        if score >= 90:
+            assert rows[i].matched == best[0] and rows[i].method == "fuzzy_partial"
+        if score >= 90 or rows[i].method == "failed":
+            assert rows[i].candidates == "; ".join(best) and rows[i].confidence == pytest.approx(score / 100, abs=1e-4)
+    assert rows[3].method == "failed" and rows[3].matched is None and rows[3].candidates.count(";") == 2  # shares no letter pair with any
+
+
+def test_file_names_and_guide(spark):
+    q, c, k, _ = frames(spark, [("x", None, "CC-19_昆达公司.pdf"), ("y", None, "昆.pdf"), ("Alpha Tradings", None, None), ("unknown", None, None)], [("Alpha Tradings", None), ("Beta works", None)])
+
+    def brute(f):  # the last candidate of whose CJK letters at least 0.6 are in the file name
+        block = [z for z in (f or "") if "一" <= z <= "鿿"]
+        if len(block) < 3:
+            return None
+        hits = [n for n in CANDIDATES if len(cjk := [z for z in n if "一" <= z <= "鿿"]) >= 2 and sum(z in block for z in cjk) / len(cjk) >= 0.6]
+        return hits[-1] if hits else None
+
+    got = {r.query_id: r.matched for r in names.filename_matches(q, c).collect()}
+    assert got == {r.query_id: b for r in q.collect() if (b := brute(r.filename))}
+    guide = {r.query_id: r.matched for r in names.guide_matches(q, c, k).collect()}
+    assert guide == {2: "Alpha Trading"}
+
+
+@pytest.mark.parametrize("a,b", [("alpha", "alphabet"), ("abc", "xyz"), ("", ""), ("a", ""), ("beta works", "works beta now"), ("코스맥스", "코스맥스비티아이")])
+def test_scores_by_brute_force(a, b):
+    def lcs(p, q):
+        row = [0] * (len(q) + 1)
+        for i in p:
+            before = 0
+            for n, k in enumerate(q, 1):
+                before, row[n] = row[n], before + 1 if i == k else max(row[n], row[n - 1])
+        return row[-1]
+
+    ratio = lambda p, q: 200 * lcs(p, q) / (len(p) + len(q)) if p or q else 100.0
+    short, long = sorted((a, b), key=len)
+    windows = [long[max(0, e - len(short)) : e] for e in range(1, len(long) + len(short))] if short else []
+    assert similarity.partial_ratio(a, b) == pytest.approx(max((ratio(short, w) for w in windows), default=100.0 if not long else 0.0))
+    assert similarity.ratio(a, b) == pytest.approx(ratio(a, b))
+
+
+@pytest.mark.parametrize("cell,form,want", [("disagree", "en_standard", False), ("Confirmed", "en_standard", True), ("agree", "en_standard", True), ("불일치", "kr_standard", False), ("일치", "kr_standard", True), ("○", "kr_standard", True), ("×", "kr_standard", False), ("O", "kr_standard", True), ("X", "kr_standard", False), ("✓", "kr_standard", True), ("✗", "kr_standard", False), (" ", "kr_standard", None), ("?", "email_freeform", None)])
+def test_statements(spark, cell, form, want):
+    df = spark.createDataFrame([(cell, form)], "c string, f string")
+    assert [tuple(r) for r in df.select(x.declared_cell(F.col("c"), form), x.declared_cell(F.col("c"), F.col("f"))).collect()] == [(want, want)]
+
+
+@pytest.mark.parametrize("text,amount,currency", [("$ 500", 500.0, "USD"), ("€ 20", 20.0, "EUR"), ("RMB 1,234.5", 1234.5, "CNY"), ("¥3", 3.0, "JPY"), ("￥ 3", 3.0, "JPY"), ("0 and 0.5 and 12", 12.0, "KRW"), ("nothing", None, "KRW"), ("usd 7", 7.0, "USD")])
+def test_amounts(spark, text, amount, currency):
+    assert [tuple(r) for r in spark.createDataFrame([(text,)], "t string").select(x.parse_amount("t"), x.parse_currency("t")).collect()] == [(amount, currency)]
+
+
+@pytest.mark.parametrize("text,recv,payb,rt,pt", [
+    ("받을 금액\n장기대여금 5,000\n임차보증금 KRW 300\n지급할 금액\n합계 12\n확인통지 미수금 9", {"장기대여금": 5000.0, "임차보증금": 300.0}, {}, 5300.0, 12.0),
+    ("Receivable\n국외매출금 70\nPayable\n선수금 USD 8\nSignature and Company\n선수금 9", {"국외매출금": 70.0}, {"선수금": 8.0}, 70.0, 8.0),
+    ("잔액: (1,200)", {}, {}, -1200.0, None),
+    ("see 00012 and 45,678", {}, {}, 45678.0, None),
+    ("", {}, {}, None, None),
+])
+def test_balances(spark, text, recv, payb, rt, pt):
+    r = x.extract_balances(spark.createDataFrame([(text,)], "text string")).first()
+    assert (r.receivable, r.payable, r.receivable_total, r.payable_total) == (recv, payb, rt, pt)
+
+
+def test_reply_dates(spark):
+    rows = [("2025년 12월 31일 현재 확인통지 2026. 2. 4", None), ("x 01.02.2026 Signature and Company 02.10.2026", "2026-02-10"), ("1999-01-01", None), ("2026- 02- 04", "2026-02-04")]
+    df = spark.createDataFrame(rows, "text string, want string").withColumn("end", x.period_end("text")).withColumn("got", x.reply_date("text", "end").cast("string"))
+    got = {r.text: r.got for r in df.collect()}
+    assert got[rows[1][0]] == "2026-02-10" and got[rows[2][0]] is None and got[rows[3][0]] == "2026-02-04"
+
+
+def test_reply_tables(spark):
+    groups = spark.createDataFrame([("ar", "외상매출금")], "alias string, account_group string")
+    en = [["Account", "Our Amount", "Answer"], ["AR", "$ 5", "$ 6"], ["TOTAL", "", "9"], ["(cid:1)", "1", "1"]]
+    kr = [["계정과목", "발송금액", "일치여부", "비고", "?"], ["미지급금", "1", "○", "77", ""], ["합계", "1", "", "80", ""]]
+    odd = [["name", "amount"], ["a", "1"]]
+    df = spark.createDataFrame([(1, 0, "en_standard", "", en), (1, 1, "kr_standard", "", kr), (2, 0, "kr_standard", "지급할 금액", kr), (3, 0, "kr_standard", "", odd), (4, 0, "kr_standard", "", None)], "reply_id long, table_no int, form string, text string, rows array<array<string>>")
+    rows = x.parse_account_rows(df, groups)
+    got = sorted((r.reply_id, r.table_no, r.section, r.account_group, r.sent, r.declared, r.reply, r.currency) for r in rows.collect())
+    assert got == [(1, 0, "receivable", "외상매출금", 5.0, None, 6.0, "USD"), (1, 1, "payable", "미지급금", 1.0, True, 77.0, "KRW"), (2, 0, "payable", "미지급금", 1.0, True, 77.0, "KRW")]
+    totals = x.section_totals(rows, x.parse_total_rows(df)).collect()
+    assert sorted((r.reply_id, r.section, r.total, r.accounts) for r in totals) == [(1, "payable", 80.0, 1), (1, "receivable", 9.0, 1), (2, "payable", 80.0, 1)]
+
+
+RP = "reply_id long, engagement_id long, party string, ledger_amount double, reply_amount double, currency string, declared_match boolean"
+
+
+def test_reconciliation(spark):
+    replies = [(1, 1, "a", 100.0, None, "KRW", True), (2, 1, "a", 100.0, None, "KRW", None), (3, 1, "a", 100.0, 80.0, "KRW", True), (4, 1, "a", 100.0, 80.0, "KRW", False), (5, 1, "a", 100.0, 99.0, "KRW", None), (6, 1, "b", 100.0, 3.0, "USD", None), (7, 1, "a", 0.0, 3.0, "EUR", None), (8, 1, "a", 100.0, None, "KRW", None), (9, 1, "a", 100.0, 50.0, "KRW", None)]
+    rows = [(1, "acct", "KRW", None, 1), (2, "acct", "KRW", None, 1), (8, "acct", "KRW", 5.0, 1), (9, "acct", "KRW", 5.0, 2), (9, "other", "USD", 1.0, 1)]
+    guide = [(1, "a", "acct", "KRW", 5.0, 1), (1, "a", "acct", "KRW", 6.0, 2), (1, "b", "x", "USD", 3.5, 1)]
+    got = {r.reply_id: r for r in fx.reconcile_v2(
+        spark.createDataFrame(replies, RP), spark.createDataFrame(rows, "reply_id long, account_group string, row_currency string, row_amount double, pos int"),
+        spark.createDataFrame(guide, "engagement_id long, party string, account_group string, currency string, amount double, pos int"),
+        spark.createDataFrame([(1, "USD", 1000.0, "m")], "engagement_id long, currency string, rate double, rate_source string"), 1.0, 0.0).collect()}
+    view = {k: (r.status, r.decision_basis, r.difference, r.difference_currency) for k, r in got.items()}
+    assert view == {
+        1: ("matched", "declared", 0.0, "KRW"), 2: ("extraction_failed", "fallback", None, "KRW"), 3: ("needs_review", "declared", None, "KRW"), 4: ("mismatch", "declared", None, "KRW"), 5: ("matched", "total", 1.0, "KRW"),
+        6: ("matched", "total", 0.5, "USD"), 7: ("mismatch", "total", -3.0, "EUR"), 8: ("matched", "per_account", None, "KRW"), 9: ("matched", "per_account", None, "KRW"),
+    }
+    assert got[5].difference_pct == pytest.approx(0.01) and got[6].difference_pct == pytest.approx(0.5 / 3.5) and got[7].difference_pct is None
+    assert [(f.account, f.within, f.difference) for f in got[9].findings] == [("other", None, None), ("acct", True, 0.0)] and got[5].findings is None
+    assert got[4].notes == ["stated mismatch"] and got[9].notes == ["accounts compared: 2"] and len(got[3].notes) == 2
+
+
+def test_evidence_counts(spark):
+    rows = [(1, "a", "KRW", 5.0, True, 0.4, True), (1, "a", "USD", 9.0, True, 0.9, True), (1, "a", None, None, True, 0.9, True), (1, "a", None, None, False, 0.0, False), (1, "a", None, None, False, 0.0, True)]
+    r = coverage.evidence_summary(spark.createDataFrame(rows, "engagement_id long, party string, currency string, amount double, success boolean, confidence double, has_file boolean")).first()
+    assert (r.success, r.failed, r.needs_review, r.low_confidence, r.currency) == (2, 3, 2, 3, "KRW")
+
+
+def test_default_selection_is_two_level(spark):
+    rows = [(1, "receivable", f"p{k:03}", float(k % 17 + 1)) for k in range(300)]
+    pool = spark.createDataFrame(rows, "engagement_id long, kind string, party string, balance double").withColumn("balance", F.col("balance").cast("decimal(20,2)"))
+    sizes = spark.createDataFrame([(1, "receivable", 40.0)], "engagement_id long, kind string, interval double")
+    both = [sorted((r.party, r.selections) for r in sampling.run_mus(pool, sizes, two_level=t).collect()) for t in (True, False)]
+    assert both[0] == both[1] and sum(n for _, n in both[0]) > 10
