@@ -73,6 +73,11 @@ def byte_slices(batch: pa.RecordBatch, most: int = SLICE_BYTES):
         yield from byte_slices(batch.slice(half), most)
 
 
+def lean_memory() -> None:
+    """Let Arrow return what it frees to the system at once: a worker waits beside the next stage's with what it holds."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def arrow_columns(df: DataFrame, make, fields: list[T.StructField], drop: tuple[str, ...] = ()) -> DataFrame:
     """df without `drop`, with the columns that make(batch) returns as Arrow arrays or lists, one for each field."""
     keep = [i for i, f in enumerate(df.schema.fields) if f.name not in drop]
@@ -81,6 +86,7 @@ def arrow_columns(df: DataFrame, make, fields: list[T.StructField], drop: tuple[
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_type
 
+        lean_memory()
         kinds = [to_arrow_type(f.dataType) for f in fields]
         for batch in (part for whole in batches for part in byte_slices(whole)):
             made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(make(batch), kinds)]

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.llm.common import arrow_columns, field, fresh, utf8, words
+from auditlake.llm.common import arrow_columns, byte_slices, durable, field, fresh, utf8, words
 
 WINDOW = 10
 #: Bytes of benchmark text held by a task at once; a larger benchmark is taken in blocks, one after the other.
 BLOCK_BYTES = 8 << 20
+#: Words that a task counts before it sends them on.
+HELD_WORDS = 200_000
 
 
 def _blocks(bench: DataFrame, item: str, text: str) -> list[DataFrame]:
@@ -23,61 +26,63 @@ def _blocks(bench: DataFrame, item: str, text: str) -> list[DataFrame]:
     return [rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b) if n > 1 else rows for b in range(n)]
 
 
-def _rarity(docs: DataFrame, text: str, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """Documents of the whole corpus that hold each word of the block; one row a word and task is shuffled."""
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+def _word_counts(docs: DataFrame, text: str, vocabulary: set[bytes] | None) -> DataFrame:
+    """(word, n): documents of the whole corpus that hold each word, of the vocabulary if there is one; a task sends a row a
+    word, or a row each time that it holds HELD_WORDS of them."""
+    known = docs.sparkSession.sparkContext.broadcast(None if vocabulary is None else frozenset(vocabulary))
 
     def count(batches):
         import pyarrow as pa
 
-        seen = Counter()
-        for batch in batches:
+        def told(seen):
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+        seen, only = Counter(), known.value
+        for batch in (part for whole in batches for part in byte_slices(whole)):
             for t in utf8(batch.column(0)):
-                seen.update(known.value.intersection(words(t)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-    counted = docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n"))
-    return {bytes(w): n for w, n in counted.collect()}  # at most the block's vocabulary
-
-
-def _prefixes(items: list[tuple[str, list[bytes]]], rarity: dict[bytes, int], window: int) -> dict[bytes, list[tuple[int, int]]]:
-    """word -> (item, position): for each window its rarest word. A window lies in a document only if that word does,
-    so for full containment this one-word prefix is the necessary one."""
-    found = defaultdict(set)
-    for k, (_, w) in enumerate(items):
-        for s in range(max(1, len(w) - window + 1)):
-            p = min(range(s, min(s + window, len(w))), key=lambda i: (rarity.get(w[i], 0), w[i]))
-            found[w[p]].add((k, p))
-    return {w: sorted(at) for w, at in found.items() if rarity.get(w, 0)}
-
-
-def find_hits(w: list[bytes], items: list[tuple[str, list[bytes]]], prefixes: dict[bytes, list[tuple[int, int]]], window: int) -> tuple[list[list[int]], set[str]]:
-    """Document words that lie in an occurrence of a window, as disjoint [start, end), and the items they come from."""
-    spans, got, n = [], set(), len(w)
-    for i in [i for i, x in enumerate(w) if x in prefixes]:
-        for k, p in prefixes[w[i]]:
-            name, v = items[k]
-            m = len(v)
-            need = min(window, m)
-            if n < need:  # length bound
-                continue
-            # positional bounds: no window that holds position p reaches further than need - 1 to either side
-            left = min(p, i, need - 1)
-            right = min(m - 1 - p, n - 1 - i, need - 1)
-            if left + right + 1 < need:
-                continue
-            a = 0
-            while a < left and w[i - a - 1] == v[p - a - 1]:
-                a += 1
-            if a + right + 1 < need:
-                continue
-            b = 0
-            while b < right and w[i + b + 1] == v[p + b + 1]:
-                b += 1
-            if a + b + 1 >= need:
-                spans.append((i - a, i + b + 1))
-                got.add(name)
-    return merged(spans), got
+                seen.update(set(words(t)) if only is None else only.intersection(words(t)))
+            if len(seen) > HELD_WORDS:
+                yield told(seen)
+                seen.clear()
+        yield told(seen)
+
+    return docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class Windows:
+    """A block's item windows. items[key]: the items with the window of these joined words. shapes[word]: (offset, length)
+    of the windows whose rarest word that is: a window lies in a document only if that word does, at that offset, so for
+    full containment this one-word prefix is the necessary one."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], rarity: dict[bytes, int], window: int):
+        self.items: dict[bytes, set[str]] = defaultdict(set)
+        shapes = defaultdict(set)
+        for name, w in items:
+            n = min(window, len(w))
+            for s in range(len(w) - n + 1 if w else 0):
+                p = min(range(s, s + n), key=lambda i: (rarity.get(w[i], 0), w[i]))
+                if rarity.get(w[p], 0):  # a word of no document is in none
+                    self.items[b" ".join(w[s : s + n])].add(name)
+                    shapes[w[p]].add((p - s, n))
+        self.shapes = {w: sorted(x) for w, x in shapes.items()}
+
+    def hits(self, w: list[bytes]) -> tuple[list[list[int]], set[str]]:
+        """Document words that lie in an occurrence of a window, as disjoint [start, end), and the items they come from.
+        Each place of a prefix word is checked against the window's words once for each offset and length, however many
+        items and places share them."""
+        spans, got, seen, n = [], set(), set(), len(w)
+        for i, x in enumerate(w):
+            for offset, length in self.shapes.get(x, ()):
+                s = i - offset
+                if s < 0 or s + length > n:  # positional and length bounds
+                    continue
+                key = b" ".join(w[s : s + length])
+                if key in self.items:
+                    spans.append((s, s + length))
+                    if key not in seen:
+                        seen.add(key)
+                        got |= self.items[key]
+        return merged(spans), got
 
 
 def merged(spans) -> list[list[int]]:
@@ -94,37 +99,57 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", item: s
     """docs with n_words, hits (disjoint word spans [start, end)) and items (sorted ids), and those columns' names.
 
     An item of fewer than `window` words is one window; without words it has none. Null item ids and texts take no
-    part; null document texts have no words. Documents are never shuffled: the benchmark, in blocks of bounded size,
-    goes to them, with the corpus's word counts to order words by rarity; each further block runs over the same rows.
+    part; null document texts have no words. Documents aren't shuffled: the benchmark goes to them, with the corpus's word
+    counts to order words by rarity. A benchmark over BLOCK_BYTES goes in blocks, one after the other: words are counted
+    once for all, each block's hits are written out before the next one starts, and join the documents in the end.
     Several documents, items or windows that are equal each count. Empty inputs give no hits.
     """
     spark = docs.sparkSession
     name = {k: fresh(docs, k) for k in ("n_words", "hits", "items")}
     fields = [field(name["n_words"], T.LongType()), field(name["hits"], T.ArrayType(T.ArrayType(T.LongType()))), field(name["items"], T.ArrayType(T.StringType()))]
-    parts = []
-    for block in _blocks(bench, item, item_text):
+    drop = () if keep_text else (text,)
+    blocks = _blocks(bench, item, item_text)
+
+    def made(block: DataFrame, counts: DataFrame | None):
         rows = [(r.item, v) for r in block.collect() if (v := words(r.text.encode()))]  # a block is bounded
-        rarity = _rarity(docs, text, {x for _, v in rows for x in v})
-        parts.append(spark.sparkContext.broadcast((rows, _prefixes(rows, rarity, window))))
-    out = docs
-    for k, part in enumerate(parts or [spark.sparkContext.broadcast(([], {}))]):
-        last = k == max(len(parts), 1) - 1
-
-        def scan(batch, part=part, k=k):
-            rows, prefixes = part.value
-            at = {n: i for i, n in enumerate(batch.schema.names)}
-            before = list(zip(batch.column(at[name["hits"]]).to_pylist(), batch.column(at[name["items"]]).to_pylist())) if k else [((), ())] * batch.num_rows
-            counts, hits, items = [], [], []
-            for t, (h, i) in zip(utf8(batch.column(at[text])), before):
-                w = words(t)
-                spans, got = find_hits(w, rows, prefixes, window)
-                counts.append(len(w))
-                hits.append(merged([*h, *spans]))
-                items.append(sorted({*i, *got}))
-            return counts, hits, items
-
-        out = arrow_columns(out, scan, fields, drop=(*(name.values() if k else ()), *(() if keep_text or not last else (text,))))
-    return out, name
+        vocabulary = {x for _, v in rows for x in v}
+        if counts is None:
+            counts = _word_counts(docs, text, vocabulary)
+        else:
+            counts = counts.join(F.broadcast(spark.createDataFrame([(bytearray(x),) for x in vocabulary], "word binary")), "word")
+        return spark.sparkContext.broadcast(Windows(rows, {bytes(w): n for w, n in counts.collect()}, window))  # at most the block's words
+
+    if len(blocks) <= 1:
+        shared = made(blocks[0], None) if blocks else spark.sparkContext.broadcast(Windows([], {}, window))
+
+        def scan(batch):
+            split = [words(t) for t in utf8(batch.column(batch.schema.get_field_index(text)))]
+            found = [shared.value.hits(w) for w in split]
+            return [len(w) for w in split], [h for h, _ in found], [sorted(i) for _, i in found]
+
+        return arrow_columns(docs, scan, fields, drop=drop), name
+
+    row = fresh(docs, "_row")
+    base, counts = durable(docs.withColumn(row, F.monotonically_increasing_id())), durable(_word_counts(docs, text, None))
+    parts = []
+    for block in blocks:
+        shared = made(block, counts)
+
+        def look(batch, shared=shared):
+            found = [shared.value.hits(words(t)) for t in utf8(batch.column(1))]
+            return [h for h, _ in found], [sorted(i) for _, i in found]
+
+        hit = arrow_columns(base.select(row, text), look, [field("_h", fields[1].dataType), field("_i", fields[2].dataType)], drop=(text,))
+        parts.append(durable(hit.where(F.size("_h") > 0)))
+        shared.destroy()
+    every = reduce(DataFrame.unionByName, parts).groupBy(row).agg(F.flatten(F.collect_list("_h")).alias("_h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_i")))).alias("_i"))
+    joined = base.join(every, row, "left")
+
+    def count(batch):
+        at = batch.schema.get_field_index
+        return [len(words(t)) for t in utf8(batch.column(at(text)))], [merged(h or ()) for h in batch.column(at("_h")).to_pylist()], [i or [] for i in batch.column(at("_i")).to_pylist()]
+
+    return arrow_columns(joined, count, fields, drop=(row, "_h", "_i", *drop)), name
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

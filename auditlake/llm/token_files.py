@@ -28,14 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from auditlake.llm.common import byte_slices, shared_dir, strings
+from auditlake.llm.common import byte_slices, lean_memory, shared_dir, strings
 
 MAGIC, BLOCK, PERCENTILE, END_ID = b"PFR1", 128, 90, 2
 #: Ids after which a file is closed; a document is never split.
 FILE_IDS = 1 << 19
 #: Bytes of text cut at once, parts of it encoded at once, pieces in a generation of those whose ids a task remembers,
 #: and the length up to which it does.
-SLICE_BYTES, PARTS_KEPT, PIECES_KEPT, PIECE_CHARS = 8 << 20, 350_000, 150_000, 64
+SLICE_BYTES, PARTS_KEPT, PIECES_KEPT, PIECE_CHARS = 5 << 20, 350_000, 120_000, 64
 FILES = "part int, seq int, n_ids long, n_docs long, first_key long, last_key long, payload binary"
 INDEX = ("part", "seq", "start", "n_ids", "n_docs", "first_key", "last_key")
 LONG_SPACE = re.compile(r"\s{3}|\s\s\Z").search
@@ -300,6 +300,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        lean_memory()
         file = tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer)
         encoder = _ENCODERS.setdefault(file, None) or Encoder(file, added=True)
         _ENCODERS[file] = encoder  # the tokenizer alone is kept between tasks
@@ -327,7 +328,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
                 yield close()
         finally:
             encoder.forget()
-            pa.default_memory_pool().release_unused()
 
     slim = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
     dealt = slim.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first())

@@ -62,3 +62,15 @@ def test_one_group_of_most_fingerprints(spark, hot, monkeypatch):
             if (prints[i] ^ prints[k]).bit_count() <= 4 and root[i] != root[k]:
                 root = [min(root[i], root[k]) if r in (root[i], root[k]) else r for r in root]
     assert found == {p: root[i] for i, p in rows}
+
+
+def test_repetitive_items_and_documents_are_linear():
+    import time
+
+    from auditlake.llm.decontaminate import Windows
+
+    item, doc = [b"w"] * 3000, [b"w"] * 60000
+    began = time.process_time()
+    spans, got = Windows([(str(k), item) for k in range(50)], {b"w": 1}, 10).hits(doc)
+    assert spans == [[0, 60000]] and len(got) == 50
+    assert time.process_time() - began < 20
