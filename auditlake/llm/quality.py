@@ -13,42 +13,69 @@ from auditlake.llm.common import arrow_columns, field, fresh, utf8
 
 #: Labelled documents that are fitted and broadcast at most, those of the smallest hash of their id; 4,000 vectors of
 #: RANK float32 are under 1 MB.
-SAMPLE, RANK, NEIGHBOURS, SHARPNESS, THRESHOLD = 4000, 24, 9, 4, 0.3
-#: Documents whose cosines are computed at once.
-BLOCK = 256
-
-# The terms are pairs of neighbouring character kinds; a byte's kind:
+SAMPLE, RANK, NEIGHBOURS, SHARPNESS, THRESHOLD = 4000, 32, 9, 4, 0.3
+#: Documents whose cosines are computed at once, and bytes of a text whose terms are counted at once.
+BLOCK, PIECE = 256, 1 << 20
+
+# The terms: hashed runs of three bytes, hashed words, pairs of neighbouring character kinds, and four of the whole text.
+GRAMS, WORDS, PAIRS = 1024, 512, 256
+N_TERMS = GRAMS + WORDS + PAIRS + 4
+# A byte's kind:
 _KINDS = ["\n\r", " \t", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".", ",", "!", "?", "|", "*#$%&~^=+", "\"'`", "()[]{}<>", "-_/\\@:;"]
-_KIND = bytes(next((k for k, s in enumerate(_KINDS) if b < 128 and chr(b) in s), 14 if b < 128 else 15) for b in range(256))
-N_TERMS = 256 + 4
+_KIND = np.array([next((k for k, s in enumerate(_KINDS) if b < 128 and chr(b) in s), 14 if b < 128 else 15) for b in range(256)], np.int16)
+_BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+#: Odd multipliers, for hashing.
+_A, _B, _C = (np.uint32(x) for x in (2654435761, 2246822519, 3266489917))
+
+
+def _counts(b: np.ndarray) -> np.ndarray:
+    """How often each gram, word and kind pair stands in a piece of text."""
+    x = b.astype(np.uint32)
+    gram = ((x[:-2] * _A) ^ (x[1:-1] * _B) ^ (x[2:] * _C)) * _A >> np.uint32(22)
+    kind = _KIND[b]
+    blank = _BLANK[b]
+    starts = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+    word = np.zeros(0, np.uint32)
+    if len(starts):
+        # a word's hash is the sum of a hash of each byte and its place in the word
+        at = np.arange(starts[0], len(b)) - np.repeat(starts, np.diff(np.r_[starts, len(b)]))
+        mixed = (x[starts[0] :] + np.uint32(1)) * (_A * (at.astype(np.uint32) * np.uint32(2) + np.uint32(1)))
+        mixed = (mixed ^ (mixed >> np.uint32(15))) * _B
+        mixed[blank[starts[0] :]] = 0
+        word = np.add.reduceat(mixed, starts - starts[0], dtype=np.uint32) * _A >> np.uint32(23)
+    pair = kind[:-1] * 16 + kind[1:]
+    return np.concatenate([np.bincount(gram, minlength=GRAMS), np.bincount(word, minlength=WORDS), np.bincount(pair, minlength=PAIRS)]).astype(np.float64)
 
 
 def terms(text: bytes | None) -> np.ndarray:
-    """A document's term weights: square roots of the shares of kind pairs, and of repetition terms (words like the one
-    before, words seen before, new words, words of one pair of bytes' length class). Zeros for null and empty texts."""
+    """A document's term weights: square roots of the shares of its grams, words and kind pairs, each of their own kind, and
+    those of repetition (words like the one before, words seen before), of the number of words and of their length. Whole
+    texts are counted, in pieces of PIECE bytes, a word on the edge of two counting as two. Zeros for null and empty
+    texts."""
     out = np.zeros(N_TERMS, np.float32)
     w = text.split() if text else []
     if not w:
         return out
-    kinds = np.frombuffer(text.translate(_KIND), np.uint8)
-    pairs = np.bincount(kinds[:-1].astype(np.int16) * 16 + kinds[1:], minlength=256)
-    out[:256] = np.sqrt(pairs / max(1, len(kinds) - 1))
+    whole = np.frombuffer(text, np.uint8)
+    counts = sum((_counts(whole[a : a + PIECE]) for a in range(0, len(whole), PIECE)), np.zeros(GRAMS + WORDS + PAIRS))
+    for part in np.split(counts, (GRAMS, GRAMS + WORDS)):
+        part /= max(1.0, part.sum())
+    out[:-4] = np.sqrt(counts)
     n, distinct = len(w), len(set(w))
-    out[256] = np.sqrt(sum(map(eq, w, w[1:])) / n)
-    out[257] = np.sqrt(1 - distinct / n)
-    out[258] = np.log1p(n) / 10
-    out[259] = np.sqrt(min(1.0, len(text) / n / 40))
+    out[-4:] = np.sqrt(sum(map(eq, w, w[1:])) / n), np.sqrt(1 - distinct / n), np.log1p(n) / 10, np.sqrt(min(1.0, len(text) / n / 40))
     return out
 
 
 class Model:
-    """Mean and scale of terms, latent axes, labelled unit vectors and their labels."""
+    """Latent-semantic space of labelled documents: terms' mean and inverse document frequencies, the axes of largest
+    spread of the weighted terms, the documents' unit vectors in it, and their labels."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.mean = x.mean(0) if len(x) else np.zeros(N_TERMS, np.float32)
-        self.scale = 1 / np.maximum(x.std(0), 0.02) if len(x) else np.ones(N_TERMS, np.float32)
+        self.scale = (1 + np.log((1 + len(x)) / (1 + (x > 0).sum(0)))).astype(np.float32)
         z = ((x - self.mean) * self.scale).astype(np.float32)
-        self.axes = np.linalg.svd(z, full_matrices=False)[2][:RANK].T.astype(np.float32) if len(x) else np.zeros((N_TERMS, 1), np.float32)
+        # the right singular vectors of z, largest first, are the eigenvectors of z'z
+        self.axes = np.linalg.eigh(z.T.astype(np.float64) @ z)[1][:, : -RANK - 1 : -1].astype(np.float32) if len(x) else np.zeros((N_TERMS, 1), np.float32)
         self.vectors, self.y = self._unit(z @ self.axes), y.astype(np.float32)
         self.prior = float(y.mean()) if len(y) else 1.0
 
@@ -84,9 +111,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         .limit(sample)
     )
     rows = docs.select(docs[key].alias("_id"), docs[text].alias("text")).join(F.broadcast(chosen), F.col("_id") == F.col("_k")).select("_k", "_y", "text")
-    got = arrow_columns(rows, lambda b: [[terms(t).tolist() for t in utf8(b.column(2))]], [field("x", T.ArrayType(T.FloatType()))], drop=("text",))
+    got = arrow_columns(rows, lambda b: [[terms(t).tobytes() for t in utf8(b.column(2))]], [field("x", T.BinaryType())], drop=("text",))
     got = got.orderBy(F.xxhash64("_k"), "_k").limit(sample).collect()  # bounded by `sample`
-    return Model(np.array([r.x for r in got], np.float32).reshape(-1, N_TERMS), np.array([r["_y"] for r in got], np.float32))
+    return Model(np.frombuffer(b"".join(r.x for r in got), np.float32).reshape(-1, N_TERMS), np.array([r["_y"] for r in got], np.float32))
 
 
 def with_quality(docs: DataFrame, model: Model, text: str = "text", drop: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
@@ -105,5 +132,5 @@ def with_quality(docs: DataFrame, model: Model, text: str = "text", drop: tuple[
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     scored, _ = with_quality(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), drop=("text",))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))  # no id, not held out
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
