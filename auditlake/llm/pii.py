@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.llm.common import arrow_columns, durable, field, fresh, utf8, words
+from auditlake.llm.common import arrow_columns, byte_slices, durable, field, fresh, strings, utf8, words
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Words on either side of an entity that count as its context, and the characters that are looked at for them.
@@ -18,8 +18,8 @@ CONTEXT_WORDS, CONTEXT_CHARS = 8, 160
 #: A term is disclosing if it stands near the entity in at least SUPPORT different contexts, at least SHARE of the
 #: documents that hold it do so, and that tells at least BITS bits about the entity.
 SUPPORT, SHARE, BITS = 3, 0.75, 5.0
-#: Terms that a task holds at once.
-BLOCK_TERMS = 200_000
+#: Terms that a task holds at once, and the shortest prefix that a term is generalised to.
+BLOCK_TERMS, LEAST_PREFIX = 200_000, 3
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -99,9 +99,9 @@ def _neighbours(batches):
     """(term, entity, context, first): first is 1 once a document and (term, entity). The term '' stands for the entity."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in byte_slices(whole)):
         rows = []
-        for t in batch.column(0).to_pylist():
+        for t in strings(batch.column(0)):
             spans = base_spans(t) if t else []
             seen = set()
             for e, mark, near in contexts(t, spans) if spans else ():
@@ -112,92 +112,148 @@ def _neighbours(batches):
 
 
 def disclosing_terms(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, bits): terms that reveal a protected entity, from counts over all documents.
+    """(term, bits, general): terms that reveal a protected entity, from counts over all documents, and what they are
+    generalised to: the longest prefix, of LEAST_PREFIX bytes or more, that so many documents hold that even all of the
+    entity's would be less than SHARE of them; null where none is that common, then the term is removed.
 
     Pairs of term and entity are combined before the shuffle; pairs without SUPPORT contexts go first. The documents
-    that hold the remaining terms are counted in a second pass, again combined within each task.
+    that hold the remaining terms, and those that hold the prefixes of disclosing ones, are counted in further passes,
+    again combined within each task.
     """
-    spark = docs.sparkSession
     pairs = docs.select(text).mapInArrow(_neighbours, "term binary, entity long, context long, first long")
     pairs = pairs.groupBy("term", "entity", "context").agg(F.sum("first").alias("n"))
     pairs = durable(pairs.groupBy("term", "entity").agg(F.sum("n").alias("near"), F.count("*").alias("contexts")))
     entities = pairs.where("term = X''").select("entity", F.col("near").alias("held"))
     close = durable(pairs.where(f"term != X'' and contexts >= {SUPPORT}"))
-    wanted = [bytes(r[0]) for r in close.select("term").distinct().limit(BLOCK_TERMS + 1).collect()]
-    known = spark.sparkContext.broadcast(frozenset(wanted) if len(wanted) <= BLOCK_TERMS else None)  # None: count all terms
-    if not wanted:
-        return close.select("term", F.lit(0.0).alias("bits"))
+    wanted = _bounded(close.select("term").distinct())
+    if wanted is not None and not wanted:
+        return close.select("term", F.lit(0.0).alias("bits"), F.lit(None).cast("binary").alias("general"))
+    held = durable(_document_counts(docs, text, wanted))
+    total = held.where("term = X''").first()["docs"]
+    share = F.col("near") / F.col("docs")
+    told = durable(
+        close.join(held, "term")
+        .join(entities, "entity")
+        .withColumn("bits", F.log2(share / (F.col("held") / F.lit(float(total)))))
+        .where((share >= SHARE) & (F.col("bits") >= BITS))
+        .groupBy("term")
+        .agg(F.max("bits").alias("bits"), F.max("held").alias("held"))
+    )
+    sizes = F.sequence(F.lit(LEAST_PREFIX), F.octet_length("term") - 1)
+    cut = told.where(F.octet_length("term") > LEAST_PREFIX).select("term", "held", F.explode(F.transform(sizes, lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("prefix"))
+    prefixes = _bounded(cut.select(F.col("prefix").alias("term")).distinct())
+    if prefixes is not None and not prefixes:
+        return told.select("term", "bits", F.lit(None).cast("binary").alias("general"))
+    common = _document_counts(docs, text, prefixes, prefix=True).where("term != X''")
+    general = cut.join(common.select(F.col("term").alias("prefix"), "docs"), "prefix").where(F.col("held") < F.col("docs") * SHARE)
+    return told.join(general.groupBy("term").agg(F.max_by("prefix", F.octet_length("prefix")).alias("general")), "term", "left").select("term", "bits", "general")
+
+
+def _bounded(terms: DataFrame) -> frozenset | None:
+    """The terms, if they are BLOCK_TERMS at most; else None, which stands for all."""
+    got = [bytes(r[0]) for r in terms.limit(BLOCK_TERMS + 1).collect()]
+    return frozenset(got) if len(got) <= BLOCK_TERMS else None
+
+
+def _document_counts(docs: DataFrame, text: str, wanted: frozenset | None, prefix: bool = False) -> DataFrame:
+    """(term, docs): documents that hold each wanted term (None: each term), or a term with each wanted prefix; the term ''
+    stands for all documents. A task sends its counts on when it holds BLOCK_TERMS of them."""
+    known = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches):
         import pyarrow as pa
 
         schema = pa.schema([("term", pa.binary()), ("docs", pa.int64())])
         seen, only = Counter(), known.value
-        for batch in batches:
+        starts = {p[:LEAST_PREFIX] for p in only} if prefix and only is not None else None
+        for batch in (part for whole in batches for part in byte_slices(whole)):
             for t in utf8(batch.column(0)):
-                seen.update(set(words(t)) if only is None else only.intersection(words(t)))
+                held = set(words(t))
+                if prefix:
+                    held = {w[:n] for w in held if starts is None or w[:LEAST_PREFIX] in starts for n in range(LEAST_PREFIX, len(w) + 1)}
+                seen.update(held if only is None else only.intersection(held))
                 seen[b""] += 1
             if len(seen) > BLOCK_TERMS:
                 yield pa.RecordBatch.from_pydict({"term": list(seen), "docs": list(seen.values())}, schema=schema)
                 seen.clear()
         yield pa.RecordBatch.from_pydict({"term": list(seen), "docs": list(seen.values())}, schema=schema)
 
-    held = durable(docs.select(text).mapInArrow(count, "term binary, docs long").groupBy("term").agg(F.sum("docs").alias("docs")))
-    total = held.where("term = X''").first()["docs"]
-    share = F.col("near") / F.col("docs")
-    return (
-        close.join(held, "term")
-        .join(entities, "entity")
-        .withColumn("bits", F.log2(share / (F.col("held") / F.lit(float(total)))))
-        .where((share >= SHARE) & (F.col("bits") >= BITS))
-        .groupBy("term")
-        .agg(F.max("bits").alias("bits"))
-    )
+    return docs.select(text).mapInArrow(count, "term binary, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+
+
+def term_spans(text: str, base: list[tuple[int, int, int]], terms) -> list[tuple[int, int, int]]:
+    """Spans of the text's words that are among `terms` (lower-cased text), outside of the base spans; both lists are walked
+    once."""
+    out, at, end = [], 0, 0
+    base = sorted((a, b) for a, _, b in base)
+    for m in _TERM.finditer(text.translate(_LOWER)):
+        if m[0] not in terms:
+            continue
+        while at < len(base) and base[at][0] < m.end():  # all that start before the word ends: the furthest end counts
+            end = max(end, base[at][1])
+            at += 1
+        if end <= m.start():
+            out.append((m.start(), 4, m.end()))
+    return out
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", clean: bool = False, drop: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
     """docs with spans (start, kind, end; kind indexes KINDS; code points, by start, then kind) and, if asked for,
-    `clean`: the text with entities generalised to their kind's name and disclosing terms removed; and the names.
+    `clean`: the text with entities generalised to their kind's name, and disclosing terms to their common prefix and *
+    or, without one, removed; and the names.
 
     Base spans always stay. Terms are looked for outside of them, in every document. Null texts have no spans and clean
-    null. Disclosing terms go to the documents in blocks of bounded size; no document is shuffled.
+    null; empty ones stay empty. Repeated rows each come back. Disclosing terms go to the documents in blocks of bounded
+    size; no document is shuffled.
     """
-    spark, terms = docs.sparkSession, durable(disclosing_terms(docs, text).select("term"))
+    spark, terms = docs.sparkSession, durable(disclosing_terms(docs, text).select("term", "general"))
     blocks = max(1, -(-terms.count() // BLOCK_TERMS))
     names = {"spans": fresh(docs, "spans")} | ({"clean": fresh(docs, "clean")} if clean else {})
     kind = T.ArrayType(T.ArrayType(T.LongType()))
     out = docs
+    told = fresh(docs, "_told")  # what each term span becomes, carried from block to block
     for b in range(blocks):
-        mine = [bytes(r[0]).decode("utf-8", "replace") for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).collect()]  # bounded
-        shared, last = spark.sparkContext.broadcast(frozenset(mine)), b == blocks - 1
+        rows = terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).collect()  # bounded
+        mine = {bytes(r.term).decode("utf-8", "replace"): bytes(r.general).decode("utf-8", "ignore") if r.general is not None else "" for r in rows}
+        shared, last = spark.sparkContext.broadcast(mine), b == blocks - 1
 
         def make(batch, shared=shared, b=b, last=last):
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            before = batch.column(batch.schema.get_field_index(names["spans"])).to_pylist() if b else None
-            spans = []
+            at = batch.schema.get_field_index
+            texts = strings(batch.column(at(text)))
+            before = batch.column(at(names["spans"])).to_pylist() if b else None
+            carried = batch.column(at(told)).to_pylist() if b else None
+            spans, become = [], []
             for i, t in enumerate(texts):
                 got = base_spans(t) if t and not b else [tuple(s) for s in before[i]] if b else []
+                forms = dict(carried[i]) if b else {}
                 if t and shared.value:
-                    base = [s for s in got if s[1] < 4]
-                    for m in _TERM.finditer(t.translate(_LOWER)):
-                        if m[0] in shared.value and not any(s < m.end() and m.start() < e for s, _, e in base):
-                            got.append((m.start(), 4, m.end()))
-                spans.append(sorted(got))
-            return [spans] + ([[sanitised(t, s) for t, s in zip(texts, spans)]] if clean and last else [])
-
-        fields = [field(names["spans"], kind)] + ([field(names["clean"], T.StringType())] if clean and last else [])
-        out = arrow_columns(out, make, fields, drop=(*((names["spans"],) if b else ()), *(drop if last else ())))
+                    more = term_spans(t, [s for s in got if s[1] < 4], shared.value)
+                    forms |= {a: shared.value[t[a:e].translate(_LOWER)] for a, _, e in more}
+                    got = sorted([*got, *more])
+                spans.append(got)
+                become.append(forms)
+            made = [spans]
+            if clean and last:
+                made.append([sanitised(t, s, f) for t, s, f in zip(texts, spans, become)])
+            if not last:
+                made.append([list(f.items()) for f in become])
+            return made
+
+        fields = [field(names["spans"], kind)] + ([field(names["clean"], T.StringType())] if clean and last else []) + ([] if last else [field(told, T.MapType(T.LongType(), T.StringType()))])
+        out = arrow_columns(out, make, fields, drop=(*((names["spans"], told) if b else ()), *(drop if last else ())))
     return out, names
 
 
-def sanitised(text: str | None, spans) -> str | None:
+def sanitised(text: str | None, spans, general: dict[int, str]) -> str | None:
+    """The text with each span replaced: entities by their kind, terms by what `general` has for their start."""
     if text is None:
         return None
     out, done = [], 0
     for a, kind, b in spans:
         if b <= done:
             continue
-        out += [text[done : max(a, done)], "" if kind == 4 else f"<{KINDS[kind].upper()}>"]
+        form = general.get(a, "")
+        out += [text[done : max(a, done)], (f"{form}*" if form else "") if kind == 4 else f"<{KINDS[kind].upper()}>"]
         done = b
     return "".join([*out, text[done:]])
 
