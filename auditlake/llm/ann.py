@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from auditlake.llm.common import durable
 
-CURVES, DIMENSIONS, BITS = 4, 8, 8
+CURVES, DIMENSIONS, BITS = 8, 8, 8
 #: Vectors of one key window; a query looks through its own and the two next to it on each curve.
 WINDOW = 2048
-#: Queries held by a task at once, and vectors that they meet at once.
-QUERY_BLOCK, ROW_BLOCK, QUERY_STEP = 8192, 1024, 2048
+#: Bytes of queries held by a task at once, and rows of them and of vectors that meet at once.
+QUERY_BYTES, ROW_BLOCK, QUERY_STEP = 16 << 20, 1024, 2048
 #: Inner products from a matrix product are taken up to this, then computed anew one by one.
 SLACK = 1e-9
 
@@ -83,14 +86,15 @@ def best_pairs(q_ids, q, ids, v, k: int, floor: np.ndarray | None = None):
     return x[rank < k], y[rank < k], s[rank < k]
 
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64)
+def _matrix(column, kind: str) -> np.ndarray:
+    """Vectors of a binary column, a row each, in double precision."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.float64).reshape(len(column), -1)
 
 
-def _distinct(table):
+def _distinct(table, kind: str):
     """Ids and vectors of a group's rows, each pair once: a window may hold a vector by several curves."""
     ids, data = zip(*dict.fromkeys(zip(table.column("vec_id").to_pylist(), table.column("v").to_pylist())))
-    return np.array(ids, np.int64), np.frombuffer(b"".join(data), np.float64).reshape(len(ids), -1)
+    return np.array(ids, np.int64), np.frombuffer(b"".join(data), kind).astype(np.float64).reshape(len(ids), -1)
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -103,37 +107,43 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.join(F.broadcast(common.select("n")), F.size("v") == F.col("n")).drop("n")
 
 
-def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, exact: bool = True) -> DataFrame:
+def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, exact: bool = True, curves: int = CURVES, window: int = WINDOW) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by inner product for each row whose id is divisible by `every`.
 
-    Each vector gets keys on CURVES shifted Hilbert curves of random projections. (curve, key, hash of id) is range
-    partitioned into windows of about WINDOW rows; a query meets its own window and both neighbours on every curve, in
-    double precision, and the windows' best merge. The hash splits equal keys, so a vector that many rows share fills
-    many windows. With `exact`, the k-th score found is a floor: queries, in blocks of bounded size, meet each block of
-    rows unless the block's centre and radius show that none reaches the floor; only rows at or above it are returned.
+    Each vector gets keys on `curves` shifted Hilbert curves of random projections. (curve, key, hash of id) is range
+    partitioned into windows of about `window` rows; a query meets its own window and both neighbours on every curve, in
+    double precision, and the windows' best merge: that is the index's answer, and all of it if not `exact`. The hash
+    splits equal keys, so a vector that many rows share fills many windows.
+
+    With `exact`, a check follows for vectors without structure, where no fixed number of windows holds the nearest: the
+    k-th score found is a floor, and queries, in blocks of QUERY_BYTES one after the other, meet each block of rows
+    unless the block's centre and radius show that none reaches the floor; only rows at or above it are returned, and
+    written out before the next block of queries starts.
 
     Rows whose id or vector is null, zero, non-finite or of another length than most take no part. Repeated ids are one
-    neighbour, at their best score. Fewer candidates than k give all; an empty table gives none.
+    neighbour, at their best score. Fewer candidates than k give all; an empty table gives none. Other columns are not
+    read.
     """
     spark = vectors.sparkSession
+    kind = "<f4" if vectors.schema[vector].dataType.elementType == T.FloatType() else "<f8"  # as given: half the bytes
     rows = durable(usable(vectors, key, vector))
     shape = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"), F.avg(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) / F.size("v")).alias("ms")).first()
     result = "query_id long, vec_id long, score double"
     if not shape.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    curves, spread = spark.sparkContext.broadcast(Curves(shape.d)), float(np.sqrt(shape.ms))
+    shared, spread = spark.sparkContext.broadcast(Curves(shape.d, curves)), float(np.sqrt(shape.ms))
 
     def place(batches):
         import pyarrow as pa
 
         for batch in batches:
             ids, v = batch.column(0), np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            data = pa.array([x.tobytes() for x in v], pa.binary())
-            for c, keys in enumerate(curves.value.keys(v, spread)):
+            data = pa.array([x.tobytes() for x in v.astype(kind)], pa.binary())
+            for c, keys in enumerate(shared.value.keys(v, spread)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c, np.int32)), pa.array(keys), ids, data], names=["curve", "key", "vec_id", "v"])
 
     placed = rows.mapInArrow(place, "curve int, key long, vec_id long, v binary")
-    windows = CURVES * -(-shape.n // WINDOW)
+    windows = curves * -(-shape.n // window)
     held = durable(placed.repartitionByRange(windows, "curve", "key", F.xxhash64("vec_id")).withColumn("window", F.spark_partition_id()))
     asked = held.where(F.col("vec_id") % every == 0).select(F.explode(F.array(*(F.col("window") + i for i in (-1, 0, 1)))).alias("window"), "vec_id", "v")
 
@@ -142,7 +152,7 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
 
         x, y, s = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         if len(left) and len(right):
-            (ids, v), (q_ids, q) = _distinct(left), _distinct(right)
+            (ids, v), (q_ids, q) = _distinct(left, kind), _distinct(right, kind)
             x, y, s = best_pairs(q_ids, q, ids, v, k)
         return pa.table({"query_id": x, "vec_id": y, "score": s})
 
@@ -152,20 +162,21 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
     found = durable(top(met))
     if exact:
         floor = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-        queries = durable(rows.where(F.col("vec_id") % every == 0).join(floor, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "floor"))
-        blocks = -(-queries.count() // QUERY_BLOCK)
         base = held.where("curve = 0").select("vec_id", "v")
+        queries = durable(base.where(F.col("vec_id") % every == 0).join(floor, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "floor"))
+        blocks = -(-queries.count() * shape.d * 8 // QUERY_BYTES)
+        parts = [found.select("query_id", "vec_id", "score")]
         for b in range(blocks):
-            mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()  # about QUERY_BLOCK rows
+            mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()  # about QUERY_BYTES
             if mine:
-                found = found.select("query_id", "vec_id", "score").unionByName(_checked(base, mine, k, result))
-        found = top(found)
+                parts.append(_checked(base, mine, k, result, kind))
+        found = top(reduce(DataFrame.unionByName, parts))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _checked(base: DataFrame, queries: list, k: int, schema: str) -> DataFrame:
-    """Rows of base at or above a query's floor, at most k a query and block of rows."""
-    ids, q = np.array([r.vec_id for r in queries], np.int64), np.array([r.v for r in queries], np.float64)
+def _checked(base: DataFrame, queries: list, k: int, schema: str, kind: str) -> DataFrame:
+    """Rows of base at or above a query's floor, at most k a query and block of rows; written out."""
+    ids, q = np.array([r.vec_id for r in queries], np.int64), np.frombuffer(b"".join(bytes(r.v) for r in queries), kind).astype(np.float64).reshape(len(queries), -1)
     floor = np.array([-np.inf if r.floor is None else r.floor for r in queries])
     shared = base.sparkSession.sparkContext.broadcast((ids, q, floor, np.linalg.norm(q, axis=1)))
 
@@ -176,7 +187,7 @@ def _checked(base: DataFrame, queries: list, k: int, schema: str) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, ROW_BLOCK):
                 part = batch.slice(a, ROW_BLOCK)
-                v = _matrix(part.column(1)).reshape(part.num_rows, -1)
+                v = _matrix(part.column(1), kind)
                 centre = v.mean(0)
                 radius = np.sqrt(((v - centre) ** 2).sum(1).max())
                 near = q @ centre + length * radius >= floor - SLACK
@@ -184,7 +195,9 @@ def _checked(base: DataFrame, queries: list, k: int, schema: str) -> DataFrame:
                     x, y, s = best_pairs(ids[near], q[near], part.column(0).to_numpy(), v, k, floor[near])
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-    return base.mapInArrow(run, schema)
+    done = durable(base.mapInArrow(run, schema))
+    shared.destroy()
+    return done
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
