@@ -90,7 +90,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    slim = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(SIZE_WORDS)), F.lit(0)).cast("long").alias("n"))
+    # words are counted once: the ranking reads its rows twice, to find the ranges and to deal them
+    slim = durable(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(SIZE_WORDS)), F.lit(0)).cast("long").alias("n")))
     return mix_sources(slim, size=slim["n"]).select("doc.doc_id", "size", "source_size", "target", "taken")
 
 

@@ -48,17 +48,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
         .withColumn("path", F.coalesce(F.regexp_extract("url", PARTS, 2), F.lit("")))
     )
     labels = F.split("host", r"\.")
-    made = F.array_compact(
-        F.array(
-            *(
-                F.when(
-                    (F.size(labels) >= s.n) & (F.length("path") >= s.m),
-                    F.concat(F.array_join(F.slice(labels, -s.n, s.n), "."), F.substring("path", 1, s.m)),
-                )
-                for s in shapes
-            )
-        ).cast("array<string>")
-    )
+    # label number and path length of each shape in one number; a constant array, however many rules there are
+    codes = F.array(*(F.lit(s.n << 32 | s.m) for s in shapes)).cast("array<bigint>")
+    n, m = lambda c: F.shiftright(c, 32).cast("int"), lambda c: c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    fit = F.filter(codes, lambda c: (F.size(labels) >= n(c)) & (F.length("path") >= m(c)))
+    made = F.transform(fit, lambda c: F.concat(F.array_join(F.slice(labels, -n(c), n(c)), "."), F.left(F.col("path"), m(c))))
     terms = urls.withColumn("term", F.explode_outer(made)).withColumn("t_digest", F.sha2("term", 256)).withColumn("t_prefix", F.substring("t_digest", 1, 8))
     rule = table.select("rule", "action", "digest", "prefix", F.length("host").alias("host_length"))
     if table.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
@@ -69,12 +63,18 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
         terms = terms.withColumn("t_salt", F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int"))
         met = (F.col("t_prefix") == F.col("prefix")) & (F.col("t_salt") == F.col("salt")) & (F.col("t_digest") == F.col("digest"))
         joined = terms.join(salted, met, "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), F.col("host_length"), F.col("rule"), F.col("action"))))
+    # a url's rules differ in length or in their host's: both, and the verdict, in one number, which hashes aggregate; the
+    # rule's text is then the url's own
+    best = F.max(F.when(F.col("rule").isNotNull(), F.shiftleft(F.length("rule").cast("long"), 32) + F.col("host_length") * 2 + (F.col("action") == "block").cast("int")))
+    host_length = F.shiftright(F.col("best").bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int")
+    rule_length = F.shiftright("best", 32).cast("int")
+    won = F.when(F.col("best").isNotNull(), F.concat(F.right(F.col("host"), host_length), F.left(F.col("path"), rule_length - host_length)))
+    verdict = F.when(F.col("best").isNull(), default).when(F.col("best").bitwiseAND(F.lit(1)) == 1, "block").otherwise("allow")
     return (
         joined.groupBy("key", "url", "host", "path", "copies")
         .agg(best.alias("best"))
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(F.col("key").alias(key), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+        .select(F.col("key").alias(key), "host", "path", won.alias("rule"), verdict.alias("verdict"))
     )
 
 
