@@ -190,18 +190,30 @@ def bond_legs(steps: DataFrame, mode: str = "irr_y") -> DataFrame:
     return out.withColumn("puttable_bond", F.greatest("bond_floor", "_x")).select("deal_id", "bond_floor", "puttable_bond", (F.col("puttable_bond") - F.col("bond_floor")).alias("put_option"))
 
 
-def scenario_grid(deals: DataFrame, forwards: DataFrame, coupons: DataFrame, spreads: tuple[float, ...] = (-0.05, -0.02, 0.0, 0.02, 0.05), irrs: tuple[float, ...] = (-0.02, 0.0, 0.02)) -> DataFrame:
-    """Puttable bond under bumps of spread and put yield (not below 0), and its change against no bump in percent."""
-    bumps = F.array(*(F.struct(F.lit(s).alias("spread_bump"), F.lit(r).alias("irr_bump")) for s in spreads for r in irrs))
-    wide = deals.withColumn("_b", F.explode(bumps)).select("*", "_b.*").drop("_b").withColumn("put_irr", F.greatest(F.col("put_irr").cast("double") + F.col("irr_bump"), F.lit(0.0))).withColumn("_deal", F.col("deal_id"))
-    key = F.concat_ws("|", F.col("_deal").cast("string"), F.col("spread_bump").cast("string"), F.col("irr_bump").cast("string"))
-    wide = wide.withColumn("deal_id", key)
-    rows = wide.withColumn("step", F.explode(F.sequence(F.lit(1), F.col("steps").cast("int")))).join(forwards.select("curve_id", "step", "forward"), ["curve_id", "step"]).join(coupons.withColumnRenamed("deal_id", "_deal"), ["_deal", "step"], "left")
-    w = W.partitionBy("deal_id").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("df", F.exp(-F.sum((F.col("forward") + F.col("spread_bump")) * F.col("dt")).over(w))).withColumn("coupon_pv", F.coalesce("amount", F.lit(0.0)) * F.col("df"))
-    legs = bond_legs(rows).join(wide.select("deal_id", "_deal", "spread_bump", "irr_bump"), "deal_id")
-    base = F.max(F.when((F.col("spread_bump") == 0) & (F.col("irr_bump") == 0), F.col("puttable_bond"))).over(W.partitionBy("_deal"))
-    return legs.withColumn("_base", base).select(F.col("_deal").alias("deal_id"), "spread_bump", "irr_bump", "puttable_bond", ((F.col("puttable_bond") / F.col("_base") - 1) * 100).alias("change_pct"))
+def scenario_grid(deals: DataFrame, forwards: DataFrame, coupons: DataFrame, spreads: tuple[float, ...] = (-0.05, -0.02, 0.0, 0.02, 0.05), irrs: tuple[float, ...] = (-0.02, 0.0, 0.02), mode: str = "irr_y") -> DataFrame:
+    """Puttable bond under bumps of spread and put yield (not below 0), and its change against no bump in percent.
+
+    A spread only multiplies a step's discount factor by exp(-spread x time), and a put price doesn't depend on it: a deal
+    and step is one row, with a column for each spread's prefix sum of coupons and each yield's put price, so one shuffle
+    and one window by deal serve all bumps. Bumps become rows in the end, a row each a deal.
+    """
+    rows = bond_steps(deals, forwards, coupons)
+    t = F.col("step") * F.col("dt")
+    last = F.col("step") == F.col("steps")
+    may = (F.col("step") >= F.col("put_step")) & ~last
+    before = W.partitionBy("deal_id").orderBy("step").rowsBetween(W.unboundedPreceding, -1)
+    put = lambda r: exercise_price(F.col("face"), t, F.greatest(F.col("put_irr").cast("double") + r, F.lit(0.0)), mode, F.col("coupon").cast("double"), F.col("interval"))
+    bumped = rows.withColumns({f"_df{i}": F.col("df") * F.exp(-t * s) for i, s in enumerate(spreads)} | {f"_put{k}": put(r) for k, r in enumerate(irrs)})
+    bumped = bumped.withColumns({f"_pv{i}": F.coalesce("amount", F.lit(0.0)) * F.col(f"_df{i}") for i in range(len(spreads))})
+    bumped = bumped.withColumns({f"_sum{i}": F.coalesce(F.sum(f"_pv{i}").over(before), F.lit(0.0)) for i in range(len(spreads))})
+    cells = [(i, k) for i in range(len(spreads)) for k in range(len(irrs))]
+    floor = lambda i, k: F.sum(f"_pv{i}") + F.max(F.when(last, F.greatest("face", f"_put{k}") * F.col(f"_df{i}")))
+    best = lambda i, k: F.max(F.when(may, F.col(f"_sum{i}") + F.col(f"_put{k}") * F.col(f"_df{i}")))
+    wide = bumped.groupBy("deal_id").agg(*(F.greatest(floor(i, k), best(i, k)).alias(f"_b{i}_{k}") for i, k in cells))
+    base = next((F.col(f"_b{i}_{k}") for i, k in cells if spreads[i] == 0 and irrs[k] == 0), F.lit(None).cast("double"))
+    each = F.array(*(F.struct(F.lit(float(spreads[i])).alias("spread_bump"), F.lit(float(irrs[k])).alias("irr_bump"), F.col(f"_b{i}_{k}").alias("puttable_bond")) for i, k in cells))
+    out = wide.select("deal_id", base.alias("_base"), F.inline(each))
+    return out.select("deal_id", "spread_bump", "irr_bump", "puttable_bond", ((F.col("puttable_bond") / F.col("_base") - 1) * 100).alias("change_pct"))
 
 
 def dcf_scenarios(companies: DataFrame, years: DataFrame, waccs: tuple[float, ...] = (-0.01, 0.0, 0.01), growths: tuple[float, ...] = (-0.005, 0.0, 0.005)) -> DataFrame:

@@ -138,9 +138,9 @@ def filename_matches(queries: DataFrame, candidates: DataFrame, priority: int =
     return stage(hit, "candidate", F.when(F.col("n") == F.col("nf"), 0.92).otherwise(0.90), "alias", priority)
 
 
-def cjk_matches(queries: DataFrame, candidates: DataFrame, priority: int = 8) -> DataFrame:
+def cjk_matches(queries: DataFrame, candidates: DataFrame, priority: int = 8, hints: dict[str, str] = HINTS) -> DataFrame:
     """Names of at least 30 % CJK whose known words' readings partly match a candidate, at nine tenths of the score."""
-    q = queries.withColumn("n", hinted(queries)).where("n is not null")
+    q = queries.withColumn("n", hinted(queries, hints)).where("n is not null")
     pairs = fuzzy_pairs(q.select(E, "query_id", "n"), normal(candidates, "candidate", "c").select(E, "candidate", "c", "pos")).withColumn("s", partial_score("n", "c"))
     return best_of(pairs, "s", HINTED, "cjk", priority, 0.9)
 
@@ -177,22 +177,23 @@ def best_three(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     return top.select(E, "query_id", "kind", F.transform("best", lambda s: F.struct(s["score"].alias("score"), s["candidate"].alias("candidate"))).alias("best"))
 
 
-def hinted(queries: DataFrame) -> Column:
+def hinted(queries: DataFrame, hints: dict[str, str] = HINTS) -> Column:
     """The normalised readings of a name's known words, if at least 30 % of it is CJK; else null."""
-    known = F.filter(F.array(*(F.when(F.contains("name", F.lit(k)), F.lit(v)) for k, v in HINTS.items())), lambda x: x.isNotNull())
+    known = F.filter(F.array(*(F.when(F.contains("name", F.lit(k)), F.lit(v)) for k, v in hints.items())), lambda x: x.isNotNull())
     bare = F.length(F.replace("name", F.lit(" ")))
     return F.when((bare > 0) & (F.length(cjk_block("name")) / bare >= 0.3), F.nullif(normalize_party(F.array_join(known, " ")), F.lit("")))
 
 
-def resolve_party(queries: DataFrame, candidates: DataFrame, contacts: DataFrame, aliases: DataFrame) -> DataFrame:
+def resolve_party(queries: DataFrame, candidates: DataFrame, contacts: DataFrame, aliases: DataFrame, hints: dict[str, str] = HINTS) -> DataFrame:
     """One row per query: the first stage that finds a candidate; else failed, with the best partial score. Fuzzy hits and
     failures come with their three best candidates (hits by their own score, failures by the partial one), found among
-    all candidates of the engagement. Fuzzy stages see only what the exact ones leave."""
+    all candidates of the engagement. Fuzzy stages see only what the exact ones leave. hints: known words of Chinese
+    names and their readings."""
     exact = [business_matches(queries, candidates, contacts), alias_matches(queries, candidates, aliases), guide_matches(queries, candidates, contacts), filename_matches(queries, candidates), exact_matches(queries, candidates)]
     first = lambda df: df.withColumn("r", F.row_number().over(W.partitionBy(E, "query_id").orderBy("priority", "pos"))).where("r = 1").drop("r", "pos", "priority")
     sure = first(reduce(DataFrame.unionByName, exact))
     rest = queries.join(sure.select(E, "query_id"), [E, "query_id"], "left_anti")
-    asked = normal(rest, "name").withColumn("h", hinted(rest)).select(E, "query_id", "n", "h")
+    asked = normal(rest, "name").withColumn("h", hinted(rest, hints)).select(E, "query_id", "n", "h")
     best = best_three(asked, normal(candidates, "candidate", "c").select(E, "candidate", "c", "pos"))
     by = best.groupBy(E, "query_id").pivot("kind", ["partial", "tokens", "hint"]).agg(F.first("best"))
     score = lambda k: F.coalesce(F.col(k)[0]["score"], F.lit(0.0))
