@@ -252,11 +252,14 @@ def drop_copies(docs: DataFrame, slim: DataFrame, found: DataFrame, with_print:
     loose = marked.where("not stays and key is null")
     # the usual case: a key is one row, so rows go by key alone; the text isn't shuffled if those that go are few
     if not repeats.take(1) and not loose.take(1) and not marked.where("stays").join(out, "key", "left_semi").take(1):
-        return docs.join(small_side(durable(out)).withColumnRenamed("key", "_gone"), docs[key] == F.col("_gone"), "left_anti")
-    keep = durable(marked.where("stays").select(F.col("key").alias("_k"), F.col("fingerprint").alias("_f"), "component").distinct())
-    one = with_print.join(keep, with_print[key].eqNullSafe(F.col("_k")) & (with_print[name] == F.col("_f")))
-    one = one.withColumn("_group", F.when(F.col("component").isNull(), F.col("_f"))).dropDuplicates(["_k", "_group"])
-    return one.select(*(with_print[f"`{c}`"] for c in docs.columns))
+        gone = fresh(docs, "_gone")
+        return docs.join(small_side(durable(out)).withColumnRenamed("key", gone), docs[f"`{key}`"] == F.col(gone), "left_anti")
+    # names that no column of docs has
+    k, f, c, group = (fresh(with_print, x) for x in ("_k", "_f", "_c", "_group"))
+    keep = durable(marked.where("stays").select(F.col("key").alias(k), F.col("fingerprint").alias(f), F.col("component").alias(c)).distinct())
+    one = with_print.join(keep, with_print[f"`{key}`"].eqNullSafe(F.col(k)) & (with_print[name] == F.col(f)))
+    one = one.withColumn(group, F.when(F.col(c).isNull(), F.col(f))).dropDuplicates([k, group])
+    return one.select(*(with_print[f"`{x}`"] for x in docs.columns))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
