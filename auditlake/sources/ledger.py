@@ -76,7 +76,7 @@ def normalize_gl(raw: DataFrame, amount_unit: int = 1, pad: int = 0, dr_cr: str
 def cleaned(raw: DataFrame, amount_unit: int, pad: int, dr_cr: str) -> DataFrame:
     """Typed ledger lines, with the required fields that they lack as `reason`. All fields of a line are made in one array
     of one struct, whose inlining is a step that the optimiser doesn't fold into what reads it, so each is made once."""
-    amount = lambda c: F.coalesce(F.regexp_replace(filled(c), ",", "").try_cast("decimal(20,2)"), F.lit(0).cast("decimal(20,2)")) * amount_unit
+    amount = lambda c: F.coalesce(F.translate(filled(c), ",", "").try_cast("decimal(20,2)"), F.lit(0).cast("decimal(20,2)")) * amount_unit
     nought = F.lit(0).cast("decimal(20,2)")
     if dr_cr == "split":
         debit, credit = amount("debit_amount"), amount("credit_amount")
