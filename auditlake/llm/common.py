@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,20 +34,42 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/") if root else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: later reads don't recompute it, lost executors don't lose it."""
+#: Folders that durable() made inside of each open scratch(), innermost last.
+_MADE: list[list[str]] = []
+
+
+def durable(df: DataFrame, kept: bool = False) -> DataFrame:
+    """df written once to the shared folder and read back: later reads don't recompute it, lost executors don't lose it.
+    Inside of scratch() the folder goes at its end, unless `kept`."""
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    if _MADE and not kept:
+        _MADE[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete the durable tables made inside when it ends: results must be written by then."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a durable table that nothing reads any more."""
-    session = df.sparkSession
     for file in df.inputFiles()[:1]:
-        folder = session._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if folder.getName().startswith("stage-"):
-            folder.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        folder = file.rsplit("/", 1)[0]
+        if folder.rsplit("/", 1)[-1].startswith("stage-"):
+            _delete(df.sparkSession, folder)
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
