@@ -71,8 +71,15 @@ query("src_upload_guide", lambda t: s.explode_upload_guide(t.spark.sql(GD, custo
 XP = "select c_custkey % 4 as engagement_id, case when c_custkey % 8 = 0 then ' nan' else c_name end as party, case when c_custkey % 3 = 0 then null else '외상매출금' end as account, case when c_custkey % 5 = 0 then 'None' else 'USD' end as currency, case c_custkey % 4 when 0 then null when 1 then '1,250' else 'n/a' end as amount, '채권' as kind from {customer}"
 query("src_excluded_parties", lambda t: s.excluded_parties(t.spark.sql(XP, customer=t.customer)), f"with x as ({XP})\nselect engagement_id, party, coalesce(account, '') as account, case when currency = 'USD' then 'USD' else '' end as currency, case when amount = '1,250' then 1250.0::double else 0.0::double end as amount, kind from x where trim(party) <> 'nan'")
 query("src_preview", lambda t: s.preview_table(t.gl_raw.drop("entry_date")), "select count(*) as total, 10 as shown, 'entry_date' as missing from {gl_raw}")
-WIDE = "select cast(date as string) as date, " + ", ".join(f"max(case when ticker = 'T{i}' then {'concat(cast(1000 + volume as string), ' + chr(39) + ',000' + chr(39) + ')' if i == 1 else 'cast(close as string)' if i < 4 else chr(39) + 'x' + chr(39)} end) as T{i}" for i in range(1, 6)) + " from {prices} group by 1"
-query("src_unpivot_prices", lambda t: s.unpivot_prices(t.spark.sql(WIDE, prices=t.prices)), "select ticker, cast(date as varchar) as date, case when ticker = 'T1' then (1000 + volume) * 1000.0::double else close end as close from {prices} where ticker in ('T1', 'T2', 'T3')")
+RAW = "select cast(date as string) as date, ticker, case cast(substring(ticker, 2, 9) as int) % 5 when 4 then 'x' when 1 then concat(cast(1000 + volume as string), ',000') else cast(close as string) end as raw from {prices}"
+
+
+def wide_prices(t: Tables):
+    """Date by ticker, for all tickers; each fifth one's values aren't numbers, another fifth's have commas."""
+    return t.spark.sql(RAW, prices=t.prices).groupBy("date").pivot("ticker").agg(F.first("raw"))
+
+
+query("src_unpivot_prices", lambda t: s.unpivot_prices(wide_prices(t)), "select ticker, cast(date as varchar) as date, case when cast(substr(ticker, 2) as int) % 5 = 1 then (1000 + volume) * 1000.0::double else close end as close from {prices} where cast(substr(ticker, 2) as int) % 5 <> 4")
 
 
 def matrix(t: Tables):
