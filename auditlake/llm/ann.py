@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from auditlake.llm.common import durable
+from auditlake.llm.common import bounded_batches, durable
 
 CURVES, DIMENSIONS, BITS = 8, 8, 8
 #: Vectors of one key window; a query looks through its own and the two next to it on each curve.
@@ -125,6 +125,7 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
     read.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     kind = "<f4" if vectors.schema[vector].dataType.elementType == T.FloatType() else "<f8"  # as given: half the bytes
     rows = durable(usable(vectors, key, vector))
     shape = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"), F.avg(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) / F.size("v")).alias("ms")).first()

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 #: Rows of a slim table (an id or two) that may be broadcast; above it Spark shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Bytes of a batch that become Python objects at once.
-SLICE_BYTES = 4 << 20
+#: Bytes of a batch that Spark sends to Python, and of one that become Python objects at once.
+BATCH_BYTES, SLICE_BYTES = 4 << 20, 5 << 20
 
 # Bytes that belong to no word become spaces and A-Z become a-z, so split() gives the words
 # [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the lower-cased text (all bytes from 0x80 on belong to words).
@@ -96,6 +96,13 @@ def byte_slices(batch: pa.RecordBatch, most: int = SLICE_BYTES):
         yield from byte_slices(batch.slice(half), most)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Have this session send Python batches of about BATCH_BYTES, however long the texts are, unless it has a setting of its
+    own: Spark's default bounds a batch's rows alone, and Spark's side and Python's each hold a batch a task."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def lean_memory() -> None:
     """Let Arrow return what it frees to the system at once: a worker waits beside the next stage's with what it holds."""
     pa.set_memory_pool(pa.system_memory_pool())
@@ -103,6 +110,7 @@ def lean_memory() -> None:
 
 def arrow_columns(df: DataFrame, make, fields: list[T.StructField], drop: tuple[str, ...] = ()) -> DataFrame:
     """df without `drop`, with the columns that make(batch) returns as Arrow arrays or lists, one for each field."""
+    bounded_batches(df.sparkSession)
     keep = [i for i, f in enumerate(df.schema.fields) if f.name not in drop]
     schema = T.StructType([T.StructField(df.schema.fields[i].name, df.schema.fields[i].dataType) for i in keep] + fields)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.llm.common import arrow_columns, byte_slices, durable, field, fresh, utf8, words
+from auditlake.llm.common import arrow_columns, bounded_batches, byte_slices, durable, field, fresh, utf8, words
 
 WINDOW = 10
 #: Bytes of benchmark text held by a task at once; a larger benchmark is taken in blocks, one after the other.
@@ -29,6 +29,7 @@ def _blocks(bench: DataFrame, item: str, text: str) -> list[DataFrame]:
 def _word_counts(docs: DataFrame, text: str, vocabulary: set[bytes] | None) -> DataFrame:
     """(word, n): documents of the whole corpus that hold each word, of the vocabulary if there is one; a task sends a row a
     word, or a row each time that it holds HELD_WORDS of them."""
+    bounded_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(None if vocabulary is None else frozenset(vocabulary))
 
     def count(batches):

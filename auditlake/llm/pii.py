@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.llm.common import arrow_columns, byte_slices, durable, field, fresh, strings, utf8, words
+from auditlake.llm.common import arrow_columns, bounded_batches, byte_slices, durable, field, fresh, strings, utf8, words
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: Words on either side of an entity that count as its context, and the characters that are looked at for them.
@@ -120,6 +120,7 @@ def disclosing_terms(docs: DataFrame, text: str = "text") -> DataFrame:
     that hold the remaining terms, and those that hold the prefixes of disclosing ones, are counted in further passes,
     again combined within each task.
     """
+    bounded_batches(docs.sparkSession)
     pairs = docs.select(text).mapInArrow(_neighbours, "term binary, entity long, context long, first long")
     pairs = pairs.groupBy("term", "entity", "context").agg(F.sum("first").alias("n"))
     pairs = durable(pairs.groupBy("term", "entity").agg(F.sum("n").alias("near"), F.count("*").alias("contexts")))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from auditlake.llm.common import byte_slices, lean_memory, shared_dir, strings
+from auditlake.llm.common import bounded_batches, byte_slices, lean_memory, shared_dir, strings
 
 MAGIC, BLOCK, PERCENTILE, END_ID = b"PFR1", 128, 90, 2
 #: Ids after which a file is closed; a document is never split.
@@ -329,6 +329,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
         finally:
             encoder.forget()
 
+    bounded_batches(docs.sparkSession)
     slim = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
     dealt = slim.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first())
     dealt.mapInArrow(run, FILES).write.option("compression", "none").parquet(f"{path}/files")
@@ -359,6 +360,7 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> Dat
                     names=["part", "seq", "key", "inside", "n_tokens", "ids_crc32"],
                 )
 
+    bounded_batches(spark)
     files = spark.read.schema(FILES).parquet(f"{path}/files").select("part", "seq", "payload")
     docs = files.mapInArrow(run, "part int, seq int, key long, inside long, n_tokens long, ids_crc32 long")
     offsets = spark.read.schema(FILES.replace("payload binary", "start long")).parquet(f"{path}/index").select("part", "seq", F.col("start").alias("offset"))
