@@ -236,9 +236,10 @@ def excluded_parties(df: DataFrame) -> DataFrame:
 def unpivot_prices(df: DataFrame, date: str = "date") -> DataFrame:
     """Date by ticker columns to rows; blanks and what isn't a number are left out."""
     tickers = [c for c in df.columns if c != date]
-    text = df.select(F.col(date), *(F.col(f"`{c}`").cast("string").alias(c) for c in tickers))
-    long = text.unpivot([date], tickers, "ticker", "raw")
-    return long.withColumn("close", F.regexp_replace(F.trim("raw"), ",", "").try_cast("double")).where("close is not null").select("ticker", date, "close")
+    values = F.array(*(F.col(f"`{c}`").cast("string") for c in tickers))
+    # one array a row, however many tickers there are
+    long = df.select(F.col(date), F.inline(F.arrays_zip(F.array(*map(F.lit, tickers)).alias("ticker"), values.alias("raw"))))
+    return long.withColumn("close", F.translate(F.trim("raw"), ",", "").try_cast("double")).where("close is not null").select("ticker", date, "close")
 
 
 def years_of(token: Column) -> Column:
