@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from auditlake.llm.common import bounded_batches, durable
 
-CURVES, DIMENSIONS, BITS = 8, 8, 8
+CURVES, DIMENSIONS, BITS = 6, 8, 8
 #: Vectors of one key window; a query looks through its own and the two next to it on each curve.
 WINDOW = 2048
 #: Bytes of queries held by a task at once, and rows of them and of vectors that meet at once.
