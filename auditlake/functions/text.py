@@ -214,13 +214,16 @@ def declared_match(text: str) -> Column:
     return F.when(t.rlike("불일치"), False).when(t.rlike(r"(^|\s)일치(\s|$)"), True).when(t.rlike("(?i)discrepan"), False)
 
 
-def declared_cell(cell: Column, form: str | Column = "kr_standard") -> Column:
+def declared_cell(cell: Column, form: str | Column | None = None) -> Column:
     """A table cell's statement by the form's words, in any case and place; negative words first, a blank says nothing.
-    form: a name, or a column of names; unknown ones read as the Korean standard."""
+    form: a name, or a column of names, of which unknown ones read as the Korean standard; without it the words of all
+    forms count."""
     low = F.lower(F.trim(cell))
-    says = lambda f, i: reduce(or_, (low.contains(w.lower()) for w in STATED[f][i]))
-    read = {f: F.when(low == "", None).when(says(f, 1), False).when(says(f, 0), True) for f in STATED}
-    return by_form(form, read)
+    says = lambda words: reduce(or_, (low.contains(w.lower()) for w in dict.fromkeys(words)))
+    read = lambda yes, no: F.when(low == "", None).when(says(no), False).when(says(yes), True)
+    if form is None:
+        return read(*([w for lists in STATED.values() for w in lists[i]] for i in (0, 1)))
+    return by_form(form, {f: read(*STATED[f]) for f in STATED})
 
 
 def by_form(form: str | Column, values: dict[str, Column]) -> Column:
