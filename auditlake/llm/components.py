@@ -21,11 +21,12 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, count: str = "n", how:
     Rows of a hot key get their entry from a broadcast, of 1 / HOT_SHARE entries at most, and stay where they are; only
     the others are dealt by key, so no task gets a hot key's rows. how: inner or left.
     """
-    least = table.agg(F.greatest(F.lit(HOT_ROWS), F.sum(count) * HOT_SHARE).alias("least")).first()["least"] or HOT_ROWS
+    all_rows, most = table.agg(F.sum(count), F.max(count)).first()
+    least = max(HOT_ROWS, (all_rows or 0) * HOT_SHARE)
+    if (most or 0) <= least:
+        return rows.join(table.drop(count), key, how)
     others = [c for c in table.columns if c not in (key, count)]
     hot = table.where(F.col(count) > least).select(key, *others)
-    if not hot.take(1):
-        return rows.join(table.drop(count), key, how)
     mark = "_hot"
     marked = rows.join(F.broadcast(hot.withColumn(mark, F.lit(True))), key, "left")
     cold = marked.where(F.col(mark).isNull()).drop(mark, *others).join(table.where(F.col(count) <= least).drop(count), key, how)
