@@ -9,26 +9,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from auditlake.operators.ranges import PART, carried, cuts, with_halo, with_part
+
 EPS = 1e-9
 
 
-def interp_linear(points: DataFrame, targets: DataFrame, out: str = "y") -> DataFrame:
-    """targets (curve_id, t, ...) with the curve's value: linear between points, flat outside.
+def interp_linear(points: DataFrame, targets: DataFrame, out: str = "y", rows: int | None = None) -> DataFrame:
+    """targets (curve_id, t, ...) with the curve's value: linear between points, flat outside; of points of one t that of the
+    largest y counts.
 
-    Points and targets are sorted together by curve and t; each target sees the last point up to it and the next one, so
-    the cost is one sort however many points there are.
+    Points and targets are sorted together by curve and t, and each target takes the last point in either direction, a scan
+    forward and one backward, so the cost is a sort and grows with the rows alone. A curve of more than `rows` rows
+    (ranges.ROWS) is cut into ranges of t, targets of a single t too; a range's outer neighbours come from a table with a
+    row a range.
     """
     rest = [c for c in targets.columns if c not in ("curve_id", "t")]
-    both = points.select("curve_id", "t", F.struct(F.col("t").alias("pt"), F.col("y").alias("py")).alias("_p"), F.lit(None).cast(targets.select(F.struct(*targets.columns).alias("s")).schema["s"].dataType).alias("_row")).unionByName(
-        targets.select("curve_id", "t", F.lit(None).cast("struct<pt:double,py:double>").alias("_p"), F.struct(*targets.columns).alias("_row"))
-    )
-    w = W.partitionBy("curve_id").orderBy("t")
-    low = F.last("_p", True).over(w.rangeBetween(W.unboundedPreceding, 0))
-    high = F.first("_p", True).over(w.rangeBetween(0, W.unboundedFollowing))
-    seen = both.withColumn("_lo", low).withColumn("_hi", high).where("_row is not null")
+    key, point = ["curve_id"], F.struct(F.col("t").alias("pt"), F.col("y").alias("py"))
+    row = F.struct(F.lit(1).alias("_one"), *rest)  # null of points
+    of_targets = targets.select("curve_id", "t", row.alias("_row"), F.xxhash64(*targets.columns).alias("_h"))
+    of_points = points.select("curve_id", "t", point.alias("_p"))
+    both = of_points.unionByName(of_targets, allowMissingColumns=True)
+    at = cuts(both.select("curve_id", "t"), key, F.col("t"), rows)
+    both = carried(with_part(both, key, F.col("t"), at, F.coalesce("_h", F.lit(0))), key, at, {"_before": (F.max("_p"), "last", "before"), "_after": (F.max_by("_p", F.struct(-F.col("_p.pt"), F.col("_p.py"))), "last", "after")})
+    by, is_row = W.partitionBy("curve_id", PART), F.col("_row").isNotNull()
+    scan = lambda w: F.last("_p", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    low, high = scan(by.orderBy("t", is_row, "_p")), scan(by.orderBy(F.desc("t"), is_row, "_p"))
+    seen = both.withColumn("_lo", F.coalesce(low, "_before")).withColumn("_hi", F.coalesce(high, "_after")).where("_row is not null")
     t, a, b = F.col("t"), F.col("_lo"), F.col("_hi")
     value = F.when(a.isNull(), b["py"]).when(b.isNull() | (b["pt"] == a["pt"]), a["py"]).otherwise(a["py"] + (b["py"] - a["py"]) * (t - a["pt"]) / (b["pt"] - a["pt"]))
-    return seen.withColumn(out, value).select("curve_id", "t", *(F.col(f"_row.{c}").alias(c) for c in rest), out)
+    return seen.withColumn(out, value).select("curve_id", "t", *(F.col(f"_row.`{c}`").alias(c) for c in rest), out)
 
 
 def interp_df(factors: DataFrame, targets: DataFrame, out: str = "df") -> DataFrame:
@@ -225,23 +234,32 @@ def dcf_scenarios(companies: DataFrame, years: DataFrame, waccs: tuple[float, ..
     return dcf_value(wide, flows).join(wide.select("company_id", "_c", "wacc_bump", "growth_bump"), "company_id").select(F.col("_c").alias("company_id"), "wacc_bump", "growth_bump", "equity_value", "error")
 
 
-def covenant_monitor(prices: DataFrame, trigger: float = 0.9, floor: float = 0.7, barrier: float = 1.2, window: int = 10, count: int = 6, average: int = 3, knock_in: float = 0.8, every: int = 5) -> DataFrame:
+def covenant_monitor(prices: DataFrame, trigger: float = 0.9, floor: float = 0.7, barrier: float = 1.2, window: int = 10, count: int = 6, average: int = 3, knock_in: float = 0.8, every: int = 5, rows: int | None = None) -> DataFrame:
     """Observed prices (deal_id, date, price, conversion_price, face) with covenant states day by day.
 
     reference: mean of the last `average` prices. On every `every`-th row a reference below conversion price x trigger
     resets to the larger of conversion price x floor and the price; effective_price is the lowest reset so far.
     call_active: at least `count` of the last `window` prices at or above barrier x conversion price. knocked_in: the
     price was at or below knock_in x the first price. conversion_value: face / effective price x price.
+
+    A deal of more than `rows` rows (ranges.ROWS) is cut into ranges of dates; a range brings the last rows of those before it
+    along for the windows, and its earlier ranges' count, first price and lowest price and reset come from a small table.
     """
-    w = W.partitionBy("deal_id").orderBy("date")
-    k, p = F.col("conversion_price"), F.col("price")
-    rows = prices.withColumn("_i", F.row_number().over(w)).withColumn("reference", F.avg("price").over(w.rowsBetween(1 - average, 0)))
-    reset = F.when((F.col("_i") % every == 0) & (F.col("reference") < k * trigger), F.greatest(k * floor, p))
+    key, day = ["deal_id"], F.datediff(F.col("date"), F.lit("1970-01-01").cast("date"))
+    at = cuts(prices.select("deal_id", day.alias("_o")), key, F.col("_o"), rows)
+    dealt = carried(with_part(prices, key, day, at), key, at, {"_i0": (F.count("*"), "sum", "before"), "_low0": (F.min("price"), "min", "before"), "_first0": (F.min_by(F.struct("price"), "date"), "first", "before")})
+    w = W.partitionBy("deal_id", PART).orderBy("date")
     past = w.rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("reset", reset).withColumn("effective_price", F.least(k, F.coalesce(F.min("reset").over(past), k)))
-    hits = F.sum((p >= barrier * k).cast("int")).over(w.rowsBetween(1 - window, 0))
-    rows = rows.withColumn("call_active", hits >= count).withColumn("knocked_in", F.min("price").over(past) <= knock_in * F.first("price").over(past))
-    return rows.select("deal_id", "date", "price", "reference", "reset", "effective_price", "call_active", "knocked_in", (F.col("face") / F.col("effective_price") * p).alias("conversion_value"))
+    k, p = F.col("conversion_price"), F.col("price")
+    known = with_halo(dealt, key, [F.col("date")], at, max(window, average) - 1)
+    known = known.withColumn("reference", F.avg("price").over(w.rowsBetween(1 - average, 0))).withColumn("_hits", F.sum((p >= barrier * k).cast("int")).over(w.rowsBetween(1 - window, 0))).where("not _halo")
+    number = F.coalesce("_i0", F.lit(0)) + F.row_number().over(w)
+    known = known.withColumn("reset", F.when((number % every == 0) & (F.col("reference") < k * trigger), F.greatest(k * floor, p)))
+    known = carried(known, key, at, {"_reset0": (F.min("reset"), "min", "before")})
+    known = known.withColumn("effective_price", F.least(k, F.coalesce(F.least(F.min("reset").over(past), "_reset0"), k)))
+    first = F.coalesce("_first0", F.first(F.struct("price")).over(past))["price"]
+    known = known.withColumn("call_active", F.col("_hits") >= count).withColumn("knocked_in", F.least(F.min("price").over(past), "_low0") <= knock_in * first)
+    return known.select("deal_id", "date", "price", "reference", "reset", "effective_price", "call_active", "knocked_in", (F.col("face") / F.col("effective_price") * p).alias("conversion_value"))
 
 
 def validate_deals(deals: DataFrame) -> DataFrame:

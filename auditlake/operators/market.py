@@ -1,6 +1,7 @@
 """Market inputs for valuation: volatilities, betas, as-of financials, multiples, rates.
 
-prices: ticker, date, close, volume. Windows run within a ticker, so one shuffle by ticker serves them all.
+prices: ticker, date, close, volume. Windows run within a ticker, so one shuffle by ticker serves them all; the dates of a
+ticker of more than ranges.ROWS rows are cut into ranges.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from auditlake.operators.ranges import previous
+from auditlake.operators.selection import exact_percentiles
+
 
 def usable() -> Column:
     close = F.col("close").isNotNull() & ~F.isnan(F.col("close").cast("double")) & (F.col("close") > 0)
@@ -25,10 +29,15 @@ def clean_counts(prices: DataFrame) -> DataFrame:
     return prices.groupBy("ticker").agg(F.count_if(usable()).alias("kept"), F.count_if(~usable()).alias("removed"))
 
 
-def returns(clean: DataFrame, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
+def day_number(date: str = "date") -> Column:
+    return F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
+
+
+def returns(clean: DataFrame, keys: tuple[str, ...] = ("ticker",), rows: int | None = None) -> DataFrame:
     """clean with log_return and simple_return to the close before."""
-    before = F.lag("close").over(W.partitionBy(*keys).orderBy("date"))
-    return clean.withColumn("log_return", F.log(F.col("close")) - F.log(before)).withColumn("simple_return", F.col("close") / before - 1)
+    close, before = F.col("close"), F.col("_before.close")
+    told = previous(clean, list(keys), day_number(), F.struct("close"), "_before", rows)
+    return told.withColumn("log_return", F.log(close) - F.log(before)).withColumn("simple_return", close / before - 1).drop("_before")
 
 
 def trading_days_auto(clean: DataFrame) -> DataFrame:
@@ -37,10 +46,10 @@ def trading_days_auto(clean: DataFrame) -> DataFrame:
     return clean.groupBy("ticker").agg(F.when((F.count("*") >= 2) & (days > 0), F.round(F.count("*") * 365.25 / days, 1)).otherwise(252.0).alias("trading_days"))
 
 
-def historical_vol(clean: DataFrame, trading_days: float | None = 252, log: bool = True, keys: tuple[str, ...] = ("ticker",)) -> DataFrame:
+def historical_vol(clean: DataFrame, trading_days: float | None = 252, log: bool = True, keys: tuple[str, ...] = ("ticker",), rows: int | None = None) -> DataFrame:
     """Annual volatility with standard error, 95 % interval and the other convention's difference in points; under two
     closes, sigma is null and error says so. trading_days None: measured per ticker."""
-    stats = returns(clean, keys).groupBy(*keys).agg(
+    stats = returns(clean, keys, rows).groupBy(*keys).agg(
         F.stddev_samp("log_return").alias("_l"), F.stddev_samp("simple_return").alias("_s"), F.count("log_return").alias("n_obs"), F.count("*").alias("n_prices"),
         F.when((F.count("*") >= 2) & (F.datediff(F.max("date"), F.min("date")) > 0), F.round(F.count("*") * 365.25 / F.datediff(F.max("date"), F.min("date")), 1)).otherwise(252.0).alias("_d"),
     )
@@ -54,24 +63,24 @@ def historical_vol(clean: DataFrame, trading_days: float | None = 252, log: bool
     )
 
 
-def trailing_vols(clean: DataFrame, years: tuple[int, ...] = (1, 2, 3, 5), least: int = 30, trading_days: float = 252) -> DataFrame:
+def trailing_vols(clean: DataFrame, years: tuple[int, ...] = (1, 2, 3, 5), least: int = 30, trading_days: float = 252, rows: int | None = None) -> DataFrame:
     """Volatility over the last y years of each ticker, to int(y x 365.25) days before its last date; null under `least`
     closes."""
-    last = F.max("date").over(W.partitionBy("ticker"))
+    last = clean.groupBy("ticker").agg(F.max("date").alias("_last"))
     age = F.datediff(F.col("_last"), F.col("date"))
-    rows = clean.withColumn("_last", last).withColumn("period_years", F.explode(F.filter(F.array(*(F.when(age <= int(y * 365.25), F.lit(y)) for y in years)), lambda y: y.isNotNull())))
-    vols = historical_vol(rows, trading_days, keys=("ticker", "period_years"))
+    each = clean.join(last, "ticker").withColumn("period_years", F.explode(F.filter(F.array(*(F.when(age <= int(y * 365.25), F.lit(y)) for y in years)), lambda y: y.isNotNull())))
+    vols = historical_vol(each, trading_days, keys=("ticker", "period_years"), rows=rows)
     enough = F.col("n_prices") >= least
     return vols.select("ticker", "period_years", "n_obs", *(F.when(enough, F.col(c)).alias(c) for c in ("sigma", "sigma_se", "ci95_low", "ci95_high")))
 
 
-def outlier_flags(vols: DataFrame, basket: str, method: str = "iqr", k: float = 1.5, k_mad: float = 3.0, least: int = 5) -> DataFrame:
+def outlier_flags(vols: DataFrame, basket: str, method: str = "iqr", k: float = 1.5, k_mad: float = 3.0, least: int = 5, rows: int | None = None) -> DataFrame:
     """vols with `outlier` within their basket: outside quartiles +- k ranges (iqr), further than k_mad median absolute
     deviations from the median (mad), either (iqr_or_mad) or both (iqr_and_mad). Baskets under `least` have none; a
     deviation of 0 flags nothing."""
-    valid = vols.where("sigma is not null")
-    q = valid.groupBy(basket).agg(F.count("*").alias("_n"), F.expr("percentile(sigma, 0.25)").alias("_q1"), F.expr("percentile(sigma, 0.5)").alias("_m"), F.expr("percentile(sigma, 0.75)").alias("_q3"))
-    mad = valid.join(q, basket).groupBy(basket).agg(F.expr("percentile(abs(sigma - _m), 0.5)").alias("_mad"))
+    valid = vols.where("sigma is not null").select(basket, "sigma")
+    q = exact_percentiles(valid, basket, "sigma", {"_q1": 0.25, "_m": 0.5, "_q3": 0.75}, "_n", rows)
+    mad = exact_percentiles(valid.join(q, basket).select(basket, F.abs(F.col("sigma") - F.col("_m")).alias("_d")), basket, "_d", {"_mad": 0.5}, rows=rows)
     s, width = F.col("sigma"), k * (F.col("_q3") - F.col("_q1"))
     by_iqr = (s < F.col("_q1") - width) | (s > F.col("_q3") + width)
     by_mad = (F.col("_mad") > 0) & (F.abs(s - F.col("_m")) > k_mad * F.col("_mad"))
@@ -79,26 +88,29 @@ def outlier_flags(vols: DataFrame, basket: str, method: str = "iqr", k: float =
     return vols.join(q, basket, "left").join(mad, basket, "left").withColumn("outlier", F.coalesce(rule & (F.col("_n") >= least), F.lit(False))).drop("_n", "_q1", "_m", "_q3", "_mad")
 
 
-def aggregate_vol(flagged: DataFrame, basket: str, cap: str | None = None) -> DataFrame:
+def aggregate_vol(flagged: DataFrame, basket: str, cap: str | None = None, rows: int | None = None) -> DataFrame:
     """Per basket the median, mean and cap-weighted volatility of what isn't an outlier, and how many those are. Unknown
     caps weigh 0; without a positive sum the weighted one is null."""
     kept = F.col("sigma").isNotNull() & ~F.col("outlier")
     weight = F.coalesce(F.col(cap).cast("double"), F.lit(0.0)) if cap else F.lit(0.0)
     total = F.sum(F.when(kept, weight))
-    return flagged.groupBy(basket).agg(
-        F.count_if(kept).alias("n"), F.count_if("outlier").alias("n_excluded"), F.expr("percentile(case when sigma is not null and not outlier then sigma end, 0.5)").alias("median"), F.avg(F.when(kept, F.col("sigma"))).alias("mean"),
+    sums = flagged.groupBy(basket).agg(
+        F.count_if(kept).alias("n"), F.count_if("outlier").alias("n_excluded"), F.avg(F.when(kept, F.col("sigma"))).alias("mean"),
         F.when(total > 0, F.sum(F.when(kept, weight * F.col("sigma"))) / total).alias("cap_weighted"), F.avg(F.when(kept, F.col("sigma_se"))).alias("mean_se"),
     )
+    median = exact_percentiles(flagged.where(kept).select(basket, "sigma"), basket, "sigma", {"median": 0.5}, rows=rows)
+    return sums.join(median, basket, "left").select(basket, "n", "n_excluded", "median", "mean", "cap_weighted", "mean_se")
 
 
-def aligned_returns(prices: DataFrame, market: DataFrame, weekly: bool = False) -> DataFrame:
+def aligned_returns(prices: DataFrame, market: DataFrame, weekly: bool = False, rows: int | None = None) -> DataFrame:
     """Log returns of ticker and market over their common dates, of each ISO week's last one if weekly."""
     both = prices.select("ticker", "date", "close").join(market.select("date", F.col("close").alias("market")), "date")
     if weekly:
         week = F.date_trunc("week", "date")
         both = both.groupBy("ticker", week.alias("_w")).agg(F.max("date").alias("date"), F.max_by("close", "date").alias("close"), F.max_by("market", "date").alias("market"))
-    log_return = lambda c: F.log(F.col(c)) - F.log(F.lag(c).over(W.partitionBy("ticker").orderBy("date")))
-    return both.withColumn("r", log_return("close")).withColumn("m", log_return("market"))
+    told = previous(both, ["ticker"], day_number(), F.struct("close", "market"), "_before", rows)
+    log_return = lambda c: F.log(F.col(c)) - F.log(F.col(f"_before.{c}"))
+    return told.withColumn("r", log_return("close")).withColumn("m", log_return("market")).drop("_before")
 
 
 def beta(prices: DataFrame, market: DataFrame, weekly: bool = False, least: int = 30, blume: bool = True) -> DataFrame:
@@ -166,10 +178,11 @@ def peer_multiples(peers: DataFrame) -> DataFrame:
     return peers.withColumn("ev", ev).withColumn("ev_ebitda", F.when(F.col("ebitda") > 0, ev / F.col("ebitda")))
 
 
-def multiple_summary(multiples: DataFrame, basket: str) -> DataFrame:
+def multiple_summary(multiples: DataFrame, basket: str, rows: int | None = None) -> DataFrame:
     """Median and mean of multiples between 0 and 100."""
     fit = F.when((F.col("ev_ebitda") > 0) & (F.col("ev_ebitda") < 100), F.col("ev_ebitda"))
-    return multiples.groupBy(basket).agg(F.expr("percentile(case when ev_ebitda > 0 and ev_ebitda < 100 then ev_ebitda end, 0.5)").alias("median"), F.avg(fit).alias("mean"), F.count(fit).alias("n"))
+    median = exact_percentiles(multiples.where("ev_ebitda > 0 and ev_ebitda < 100").select(basket, "ev_ebitda"), basket, "ev_ebitda", {"median": 0.5}, rows=rows)
+    return multiples.groupBy(basket).agg(F.avg(fit).alias("mean"), F.count(fit).alias("n")).join(median, basket, "left").select(basket, "median", "mean", "n")
 
 
 def hamada(peers: DataFrame, basket: str, tax: float, target_de: float) -> DataFrame:

@@ -104,43 +104,43 @@ def sample_size(classified: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def running_total(df: DataFrame, group: list[str], order: list[str], value: str, out: str, parts: int | None = None) -> DataFrame:
-    """df with the sum of `value` up to each row in order within its group, one huge group spread over many tasks.
+    """df with the sum of `value` up to each row in order within its group, and the largest such sum up to the row
+    ({out}_top) and before it ({out}_top_before, null for the first row); one huge group is spread over many tasks.
 
-    Rows are dealt by range of (group, order); each range is summed by itself, and the ranges' totals, a row for each
-    group and range, are summed before it. The dealt rows are written out, so that both reads see the same ranges, also
+    Rows are dealt by range of (group, order). A range gives its sum and the largest of its own running sums; these pairs,
+    a row for each group and range, add up in range order, (s, m) before (t, n) to (s + t, max(m, s + n)), and what
+    comes before a range is added to its rows. The dealt rows are written out, so that both reads see the same ranges, also
     after an executor is lost.
     """
-    keys = [*group, *order]
+    keys, top = [*group, *order], f"{out}_top"
     dealt = df.repartitionByRange(*([parts] if parts else []), *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-    dealt = durable(dealt)
-    before = F.sum("_t").over(W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    totals = dealt.groupBy(*group, "_part").agg(F.sum(value).alias("_t")).withColumn("_before", F.coalesce(before, F.lit(0).cast("decimal(38,2)"))).drop("_t")
-    inside = F.sum(value).over(W.partitionBy(*group, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return dealt.join(totals, [*group, "_part"]).withColumn(out, F.col("_before") + inside).drop("_part", "_before")
-
-
-def run_mus(pool: DataFrame, sizes: DataFrame, seed: str = "0", two_level: bool = True) -> DataFrame:
-    """Monetary-unit selection in party order: with cumulative C, interval J and start r0, N is the running maximum of
-    floor((C - r0) / J) + 1 (at least 0); a party's selections are the growth of N, remainder_after is C - r0 - J N.
-
-    pool: engagement_id, kind, party, balance. sizes: interval, and start where given; else the start is J times a
-    hash of (engagement, kind, seed) in [0, 1). Without an interval nothing is selected. Strata are
-    summed on two levels, so a huge one spans many tasks (balances must then be positive and the start below J, as the
-    pool's rules ensure); without two_level a stratum is one task, and neither need hold.
+    w = W.partitionBy(*group, "_part").orderBy(*order, value)
+    upto, before = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
+    inside = durable(dealt).withColumn("_in", F.sum(value).over(upto))
+    earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    of_range = inside.groupBy(*group, "_part").agg(F.sum(value).alias("_s"), F.max("_in").alias("_m"))
+    of_range = of_range.withColumn("_before", F.coalesce(F.sum("_s").over(earlier), F.lit(0).cast("decimal(38,2)"))).withColumn("_high", F.max(F.col("_before") + F.col("_m")).over(earlier))
+    rows = inside.withColumn("_top", F.max("_in").over(upto)).withColumn("_top0", F.max("_in").over(before))
+    rows = rows.join(of_range.drop("_s", "_m"), [*group, "_part"])
+    at = F.col("_before")
+    return rows.withColumns({out: at + F.col("_in"), top: F.greatest("_high", at + F.col("_top")), f"{top}_before": F.greatest("_high", at + F.col("_top0"))}).drop("_part", "_before", "_high", "_in", "_top", "_top0")
+
+
+def run_mus(pool: DataFrame, sizes: DataFrame, seed: str = "0", parts: int | None = None) -> DataFrame:
+    """Monetary-unit selection in party order: with cumulative C, interval J and start r0, N is floor((H - r0) / J) + 1 (at least
+    0) of the largest cumulative H so far; a party's selections are the growth of N, remainder_after is C - r0 - J N.
+
+    pool: engagement_id, kind, party, balance (of any sign). sizes: interval, and start where given (of any size); else the
+    start is J times a hash of (engagement, kind, seed) in [0, 1). Without an interval nothing is selected. Sums and
+    largest sums run on two levels (running_total), so a huge stratum spans many tasks; parts: how many, else Spark's number.
     """
     drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(E).cast("string"), "kind", F.lit(seed))), 1, 8), 16, 10).cast("double") / float(2**32)
     start = F.coalesce("start", F.col("interval") * drawn) if "start" in sizes.columns else F.col("interval") * drawn
-    by = W.partitionBy(E, "kind").orderBy("party")
     rows = pool.join(sizes.withColumn("r0", start).select(E, "kind", "interval", "r0"), [E, "kind"]).where("interval > 0")
-    if two_level:
-        rows = running_total(rows, [E, "kind"], ["party"], "balance", "cumulative")
-        count = lambda c: F.greatest(F.floor((c.cast("double") - F.col("r0")) / F.col("interval")) + 1, F.lit(0).cast("long"))
-        rows = rows.withColumn("n", count(F.col("cumulative"))).withColumn("before", count(F.col("cumulative") - F.col("balance")))
-    else:
-        rows = rows.withColumn("cumulative", F.sum("balance").over(by.rowsBetween(W.unboundedPreceding, 0)))
-        raw = F.greatest(F.floor((F.col("cumulative").cast("double") - F.col("r0")) / F.col("interval")) + 1, F.lit(0).cast("long"))
-        rows = rows.withColumn("n", F.max(raw).over(by.rowsBetween(W.unboundedPreceding, 0))).withColumn("before", F.coalesce(F.lag("n").over(by), F.lit(0).cast("long")))
-    return rows.withColumn("selections", F.col("n") - F.col("before")).select(E, "kind", "party", "balance", "cumulative", "selections", (F.col("cumulative").cast("double") - F.col("r0") - F.col("interval") * F.col("n")).alias("remainder_after"), (F.col("selections") > 0).alias("hit"))
+    rows = running_total(rows, [E, "kind"], ["party"], "balance", "cumulative", parts)
+    count = lambda c: F.coalesce(F.greatest(F.floor((F.col(c).cast("double") - F.col("r0")) / F.col("interval")) + 1, F.lit(0).cast("long")), F.lit(0).cast("long"))
+    rows = rows.withColumn("n", count("cumulative_top")).withColumn("selections", F.col("n") - count("cumulative_top_before"))
+    return rows.select(E, "kind", "party", "balance", "cumulative", "selections", (F.col("cumulative").cast("double") - F.col("r0") - F.col("interval") * F.col("n")).alias("remainder_after"), (F.col("selections") > 0).alias("hit"))
 
 
 def final_selection(classified: DataFrame, params: DataFrame, force_related: bool = True, seed: str = "0") -> DataFrame:

@@ -66,14 +66,14 @@ query("conf_classify_parties", classified, f"with {CLASSIFIED}\nselect {COLS} fr
 query("conf_sample_size", lambda t: s.sample_size(classified(t), t.params), f"with {SIZES}\nselect engagement_id, kind, population, key_amount, threshold, key_ratio, confidence_factor, remaining, base_size, final_size, interval from sz")
 
 
-def mus(t, two_level):
+def mus(t, parts=None):
     k = classified(t)
-    return s.run_mus(k.where("is_active and not is_key").select("engagement_id", "kind", "party", "balance"), s.sample_size(k, t.params), two_level=two_level)
+    return s.run_mus(k.where("is_active and not is_key").select("engagement_id", "kind", "party", "balance"), s.sample_size(k, t.params), parts=parts)
 
 
 MUS_SELECT = f"with {MUS}\nselect engagement_id, kind, party, cast(balance as double) as balance, cast(cumulative as double) as cumulative, selections, cast(cumulative as double) - r0 - interval * n as remainder_after, selections > 0 as hit from mus"
-query("conf_mus", lambda t: mus(t, False), MUS_SELECT)
-query("conf_mus_two_level", lambda t: mus(t, True), MUS_SELECT)
+query("conf_mus", mus, MUS_SELECT)
+query("conf_mus_two_level", lambda t: mus(t, 16), MUS_SELECT)
 query("conf_final_selection", decisions, f"with {FINAL}\nselect {COLS}, selections, is_representative, is_final from fin")
 query("conf_summary_distribution", lambda t: s.summary_distribution(decisions(t)), f"""with {FINAL}
 select engagement_id, kind, count(*) filter (where not is_excluded) as included, count(*) filter (where is_key) as key_items, count(*) filter (where is_representative and not is_key) as representative, count(*) filter (where is_related) as related,

@@ -30,19 +30,21 @@ def sequential_mus(balances, r0, step):
     return out
 
 
-@pytest.mark.parametrize("two_level", [False, True])
-def test_mus_against_the_sequential_walk(spark, two_level):
+@pytest.mark.parametrize("parts", [None, 1, 7])
+@pytest.mark.parametrize("signed", [False, True])
+def test_mus_against_the_sequential_walk(spark, parts, signed):
+    """Also with negative balances and starts above the interval."""
     rng = random.Random(5)
     rows, sizes, want = [], [], {}
     for e in range(12):
-        balances = [rng.randint(1, 5000) for _ in range(rng.randint(1, 40))]
+        balances = [rng.randint(-3000 if signed else 1, 5000) for _ in range(rng.randint(1, 40) if e else 400)]
         step = float(rng.randint(50, 4000))
-        r0 = step * rng.random()
+        r0 = step * rng.random() * (4 if signed else 1)
         sizes.append((e, "receivable", step, r0))
         rows += [(e, "receivable", f"p{i:03}", b) for i, b in enumerate(balances)]
         want |= {(e, f"p{i:03}"): n for i, n in enumerate(sequential_mus(balances, r0, step))}
     pool = spark.createDataFrame(rows, "engagement_id int, kind string, party string, b long").withColumn("balance", F.col("b").cast("decimal(38,2)"))
-    got = sampling.run_mus(pool, spark.createDataFrame(sizes, "engagement_id int, kind string, interval double, start double"), two_level=two_level)
+    got = sampling.run_mus(pool, spark.createDataFrame(sizes, "engagement_id int, kind string, interval double, start double"), parts=parts)
     assert {(r.engagement_id, r.party): r.selections for r in got.collect()} == want
 
 

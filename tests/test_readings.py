@@ -215,7 +215,7 @@ def test_default_selection_is_two_level(spark):
     rows = [(1, "receivable", f"p{k:03}", float(k % 17 + 1)) for k in range(300)]
     pool = spark.createDataFrame(rows, "engagement_id long, kind string, party string, balance double").withColumn("balance", F.col("balance").cast("decimal(20,2)"))
     sizes = spark.createDataFrame([(1, "receivable", 40.0)], "engagement_id long, kind string, interval double")
-    both = [sorted((r.party, r.selections) for r in sampling.run_mus(pool, sizes, two_level=t).collect()) for t in (True, False)]
+    both = [sorted((r.party, r.selections) for r in sampling.run_mus(pool, sizes, parts=n).collect()) for n in (5, 1)]
     assert both[0] == both[1] and sum(n for _, n in both[0]) > 10
 
 
