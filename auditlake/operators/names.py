@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from auditlake.functions.similarity import nfkc, partial_ratio, partial_score, token_score, token_set_ratio
+from auditlake.functions.similarity import NameIndex, nfkc, pair_scores, partial_score
 
 E = "engagement_id"
 #: What is stripped from names before they are compared, thresholds, and readings of Chinese names.
@@ -24,8 +24,8 @@ STRIP = (
 )
 STRIP_CJK = r"(?i)有限公司|株式会社|유한공사|주식회사|\(주\)|㈜|Co\.,\s*Ltd\.?|Ltd\.?|Inc\.?"
 PARTIAL, TOKENS, HINTED = 90, 85, 80
-#: Names of a side that one task scores at once.
-BLOCK_NAMES = 1000
+#: Asked names and candidates that one task holds, and asked names whose bounds it holds at once.
+BLOCK_NAMES, BLOCK_CANDIDATES, BOUNDS = 1000, 20_000, 64
 NOT_CJK = r"[^一-鿿㐀-䶿豈-﫿\x{20000}-\x{2A6DF}]"
 HINTS = {
     "科丝美诗": "코스맥스 COSMAX cosmax", "科絲美詩": "코스맥스 COSMAX", "中国": "중국 China", "广州": "광주 Guangzhou", "山东昆达": "산둥쿤다 산동쿤다", "山東昆達": "산둥쿤다 산동쿤다", "昆达": "쿤다",
@@ -105,7 +105,7 @@ def fuzzy_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
 def scored(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     c = normal(candidates, "candidate", "c").select(E, "candidate", "c", "pos")
     pairs = fuzzy_pairs(normal(queries, "name").where("n != ''").select(E, "query_id", "n"), c)
-    return pairs.withColumn("partial", partial_score("n", "c")).withColumn("tokens", token_score("n", "c"))
+    return pairs.withColumn("_s", pair_scores("n", "c")).withColumns({k: F.col(f"_s.{k}") for k in ("partial", "tokens")}).drop("_s")
 
 
 def best_of(pairs: DataFrame, score: str, least: float, method: str, priority: int, factor: float = 1.0) -> DataFrame:
@@ -150,24 +150,32 @@ def best_three(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     kind of score (partial, tokens, hint) the three best of all its engagement's candidates (candidate, c, pos), as
     structs of score and candidate, best first, ties in the candidates' order.
 
-    Queries and candidates of an engagement are cut into blocks of BLOCK_NAMES; every two blocks meet in a task of their
-    own, which returns three candidates a query, so neither all pairs nor a whole engagement is ever held.
+    Queries and candidates of an engagement are cut into blocks of BLOCK_NAMES and BLOCK_CANDIDATES; every two blocks meet in a
+    task of their own, which returns three candidates a query, so neither all pairs nor a whole engagement is ever held. In
+    a task, counts of shared characters and neighbours bound every score from above, and candidates are scored by falling
+    bound until three beat the rest (similarity.NameIndex).
     """
-    blocks = lambda df, key, seed: df.join(df.groupBy(E).agg(F.ceil(F.count("*") / BLOCK_NAMES).alias("_n")), E).withColumn("_b", F.pmod(F.xxhash64(key, F.lit(seed)), F.col("_n")))
-    q, c = blocks(queries, "query_id", 1), blocks(candidates, "candidate", 2)
+    blocks = lambda df, key, seed, size: df.join(df.groupBy(E).agg(F.ceil(F.count("*") / size).alias("_n")), E).withColumn("_b", F.pmod(F.xxhash64(key, F.lit(seed)), F.col("_n")))
+    q, c = blocks(queries, "query_id", 1, BLOCK_NAMES), blocks(candidates, "candidate", 2, BLOCK_CANDIDATES)
     of_q, of_c = q.groupBy(E).agg(F.first("_n").alias("_m")), c.groupBy(E).agg(F.first("_n").alias("_m"))
     left = q.join(of_c, E).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1))).select(E, F.col("_b").alias("_q"), F.col("_o").alias("_c"), "query_id", "n", "h")
     right = c.join(of_q, E).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1))).select(E, F.col("_o").alias("_q"), F.col("_b").alias("_c"), "candidate", "c", "pos")
 
     def score(key, asked, known):
-        rows = []
-        known = known.sort_values("pos")
-        for query, n, h in zip(asked["query_id"], asked["n"], asked["h"]):
-            for kind, text, measure in (("partial", n, partial_ratio), ("tokens", n, token_set_ratio), ("hint", h, partial_ratio)):
-                if text:
-                    found = sorted(((-measure(text, x or ""), p, name) for x, p, name in zip(known["c"], known["pos"], known["candidate"])), key=lambda r: r[:2])[:3]
-                    rows += [(key[0], query, kind, -s, int(p), name) for s, p, name in found]
-        return pd.DataFrame(rows, columns=[E, "query_id", "kind", "score", "pos", "candidate"])
+        rows, columns = [], [E, "query_id", "kind", "score", "pos", "candidate"]
+        if asked.empty or known.empty:
+            return pd.DataFrame(rows, columns=columns)
+        index, places, names = NameIndex(known["c"].fillna("").tolist()), known["pos"].tolist(), known["candidate"].tolist()
+        for column, kinds in (("n", ("partial", "tokens")), ("h", ("hint",))):
+            some = asked[asked[column].fillna("") != ""]
+            for a in range(0, len(some), BOUNDS):
+                part = some[a : a + BOUNDS]
+                partial, tokens = index.bounds(part[column].tolist())
+                for i, (query, text) in enumerate(zip(part["query_id"], part[column])):
+                    for kind in kinds:
+                        bound, measure = (tokens, index.token_set) if kind == "tokens" else (partial, index.partial)
+                        rows += [(key[0], query, kind, s, int(places[r]), names[r]) for s, r in index.best(text, bound[i], measure, places)[0]]
+        return pd.DataFrame(rows, columns=columns)
 
     cells = left.groupBy(E, "_q", "_c").cogroup(right.groupBy(E, "_q", "_c"))
     ids = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
