@@ -20,6 +20,8 @@ CURRENCIES = r"(KRW|USD|EUR|JPY|CNY|RMB|SGD|AUD|MYR|THB|\$|￥|¥|€)"
 CURRENCY_OF = {"RMB": "CNY", "$": "USD", "￥": "JPY", "¥": "JPY", "€": "EUR"}
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
 #: Account names of a balance line, and the endings of others.
+#: Account names with a bracket.
+BRACKETED = r"외상매입금\(관계사\)|외상매입금\(국외\)|미지급금\(국외\)"
 ACCOUNTS = "외상매출금|받을어음|미수금|선급금|장기대여금|임차보증금|기타채권|외상매입금|미지급금|지급어음|선수금|임대보증금|외담대미지급금"
 ACCOUNT_ENDINGS = "채권|어음|지급금|매출금|매입금|수금|급금|보증금|대여금"
 #: What a cell says for a match and against it, by form.
@@ -191,7 +193,7 @@ def extract_balances(df: DataFrame, text: str = "text") -> DataFrame:
     amounts = lambda s, pattern, i: F.transform(F.regexp_extract_all(s, F.lit(pattern), F.lit(i)), lambda n: F.regexp_replace(n, ",", "").try_cast("double"))
 
     def rows(s: Column) -> Column:
-        line = rf"({ACCOUNTS}|[가-힣]{{2,8}}(?:{ACCOUNT_ENDINGS}))\s+(?:KRW|USD|EUR|JPY|CNY|SGD|AUD|MYR|THB)?\s*([\d,]+(?:\.\d+)?)"
+        line = rf"({BRACKETED}|{ACCOUNTS}|[가-힣]{{2,8}}(?:{ACCOUNT_ENDINGS}))\s+(?:KRW|USD|EUR|JPY|CNY|SGD|AUD|MYR|THB)?\s*([\d,]+(?:\.\d+)?)"
         found = F.arrays_zip(F.regexp_extract_all(s, F.lit(line), F.lit(1)).alias("k"), amounts(s, line, 2).alias("v"))
         kept = F.coalesce(F.filter(found, lambda e: e["v"] > 0), F.array().cast("array<struct<k:string,v:double>>"))
         keys = F.array_distinct(F.transform(kept, lambda e: e["k"]))

@@ -86,9 +86,13 @@ def classify_party_status(df: DataFrame) -> DataFrame:
     return df.withColumn("state", state)
 
 
-def party_states(final: DataFrame, statuses: DataFrame, procedures: DataFrame) -> DataFrame:
+def party_states(final: DataFrame, statuses: DataFrame, procedures: DataFrame, newest: str | None = None) -> DataFrame:
+    """Final parties with reply_status (the best reply's), conclusion and state. Of a party's procedures the latest by the
+    column `newest` counts; without it that of the strongest conclusion."""
+    strength = F.array_position(F.array(*map(F.lit, reversed(list(CONCLUSIONS)))), F.col("conclusion"))
+    chosen = procedures.groupBy(E, "party").agg(F.max_by("conclusion", F.struct(*([newest] if newest else []), strength, "conclusion")).alias("conclusion"))
     best = best_reply(statuses).select(E, "party", "kind", F.col("status").alias("reply_status"))
-    j = final.select(E, "party", "kind").distinct().join(best, [E, "party", "kind"], "left").join(procedures.select(E, "party", "conclusion").dropDuplicates([E, "party"]), [E, "party"], "left")
+    j = final.select(E, "party", "kind").distinct().join(best, [E, "party", "kind"], "left").join(chosen, [E, "party"], "left")
     return classify_party_status(j)
 
 

@@ -198,11 +198,14 @@ def reply_tracking(final: DataFrame, best: DataFrame) -> DataFrame:
     return j.groupBy(E, "kind").agg(F.count("*").alias("sent"), F.count_if(replied).alias("replied"), n("matched").alias("matched"), n("mismatch").alias("mismatch"), n("needs_review").alias("needs_review"), F.count_if(~replied).alias("no_reply"), F.sum(-F.col("difference")).alias("detail_difference"))
 
 
-def confirmation_status(guide: DataFrame, best: DataFrame, procedures: DataFrame, key) -> DataFrame:
+def confirmation_status(guide: DataFrame, best: DataFrame, procedures: DataFrame, key, newest: str | None = None) -> DataFrame:
     """Guide rows with how they are confirmed: 원본 (matched or differing reply), 대체적 (alternative procedure), 미회신; key
-    makes the name that the three meet on."""
-    b = best.where("status != '미회신'").select(E, key("party").alias("_n"), "status", F.col("difference").alias("_d")).dropDuplicates([E, "_n"])
-    p = procedures.select(E, key("party").alias("_n"), "conclusion", F.col("covered").alias("_v")).dropDuplicates([E, "_n"])
+    makes the name that the three meet on. Of a party's replies, of any kind, that of the best status counts, the first of
+    equal ones; of its procedures the latest by the column `newest`, without it the one that covers most."""
+    first = F.struct(status_rank(), -F.col("reply_id"), "status", F.col("difference"))
+    b = best.where("status != '미회신'").groupBy(E, key("party").alias("_n")).agg(F.max_by(F.struct("status", "difference"), first).alias("_b")).select(E, "_n", "_b.status", F.col("_b.difference").alias("_d"))
+    last = F.struct(*([newest] if newest else []), "covered", "conclusion")
+    p = procedures.groupBy(E, key("party").alias("_n")).agg(F.max_by(F.struct("conclusion", "covered"), last).alias("_p")).select(E, "_n", "_p.conclusion", F.col("_p.covered").alias("_v"))
     j = guide.withColumn("_n", key("party")).join(b, [E, "_n"], "left").join(p, [E, "_n"], "left")
     how = F.when(F.col("status").isNotNull(), "원본").when(F.col("conclusion").isNotNull(), "대체적").otherwise("미회신")
     return j.select(E, "party", "account_group", "currency", "amount", how.alias("confirmed_by"), F.when(how == "원본", -F.col("_d")).when(how == "대체적", F.col("_v") - F.col("amount")).alias("difference"), F.coalesce("status", "conclusion").alias("note"))

@@ -86,9 +86,11 @@ def voucher_balance_summary(gl: DataFrame, tolerance: float = 0.01, sample: int
     return v.groupBy(E).agg(F.count("*").alias("vouchers"), F.count_if("ok").alias("balanced")).join(low.groupBy(E).agg(F.array_join(F.array_sort(F.collect_list("entry_no")), ",").alias("sample")), E, "left")
 
 
-def account_sums(gl: DataFrame) -> DataFrame:
-    """Per engagement and stripped account code the sums, and the first name in line order."""
-    name = F.min_by("account_name", "l_linenumber") if "account_name" in gl.columns else F.lit(None).cast("string")
+def account_sums(gl: DataFrame, row_no: str | None = None) -> DataFrame:
+    """Per engagement and stripped account code the sums, and the first name: in the order of the column `row_no`, without it in
+    text order; null for a ledger without names."""
+    first = F.min_by("account_name", row_no) if row_no else F.min("account_name")
+    name = first if "account_name" in gl.columns else F.lit(None).cast("string")
     return gl.groupBy(E, stripped("account_code").alias("account_code")).agg(F.sum("debit_amount").alias("gl_debit"), F.sum("credit_amount").alias("gl_credit"), name.alias("gl_name"))
 
 
@@ -100,13 +102,14 @@ def profit_loss_flag(accounts: DataFrame, coa: DataFrame, names: str = PL_NAME)
     return accounts.join(types, [E, "account_code"], "left").withColumn("is_pl", F.coalesce("_p", by_name, F.col("account_code").rlike("^[4-8]"))).drop("_p")
 
 
-def tb_rollforward(gl: DataFrame, tb: DataFrame, coa: DataFrame, adjustments: DataFrame, tolerance: float = 0.5) -> DataFrame:
+def tb_rollforward(gl: DataFrame, tb: DataFrame, coa: DataFrame, adjustments: DataFrame, tolerance: float = 0.5, row_no: str | None = None) -> DataFrame:
     """Accounts of the trial balance whose opening plus ledger movement misses its closing by more than 0.5.
 
     The opening takes the equity adjustment and is zero for profit and loss accounts. Ledger codes are stripped of
-    leading zeros to meet the trial balance's codes. Engagements without ledger lines or trial balance give no rows.
+    leading zeros to meet the trial balance's codes. Engagements without ledger lines or trial balance give no rows. row_no: the
+    ledger's column of line order, for the first name of an account.
     """
-    ledger = account_sums(gl)
+    ledger = account_sums(gl, row_no)
     adjust = adjustments.groupBy(E, "account_code").agg(F.sum("amount").alias("adjustment"))
     base = tb.join(ledger.select(E).distinct(), E, "left_semi").join(ledger, [E, "account_code"], "left")
     flagged = profit_loss_flag(base, coa).join(adjust, [E, "account_code"], "left")

@@ -76,8 +76,10 @@ def by_risk(matrix: dict[str, dict[str, float]]) -> Column:
 
 def classify_parties(parties: DataFrame, related: DataFrame, excluded: DataFrame, params: DataFrame) -> DataFrame:
     """Party balances with is_excluded, its reason, is_active (not excluded, balance above 0), is_key (balance of at
-    least performance materiality times the ratio), is_related. Excluded parties without a balance are appended at 0."""
-    out = excluded.select(E, "kind", "party", F.col("reason").alias("exclusion_reason")).dropDuplicates([E, "kind", "party"])
+    least performance materiality times the ratio), is_related. Excluded parties without a balance are appended at 0; of
+    several reasons for a party the last one listed (row_no) counts, without such a column the first in text order."""
+    reason = F.coalesce(F.max_by("reason", "row_no") if "row_no" in excluded.columns else F.min("reason"), F.lit(""))
+    out = excluded.groupBy(E, "kind", "party").agg(reason.alias("exclusion_reason"))
     both = parties.join(out, [E, "kind", "party"], "full").withColumn("balance", F.coalesce("balance", F.lit(0).cast("decimal(38,2)")))
     rel = related_parties(both, related).withColumn("is_related", F.lit(True))
     p = params.select(E, F.col("pm").alias("_pm"), by_risk(KEY_RATIO).alias("_ratio"))

@@ -46,26 +46,38 @@ select engagement_id, account_code, account_name, cast(o as double) as opening,
 )
 query("src_tb_positional", lambda t: s.load_tb_positional(t.spark.sql(TBT, tb=t.tb).selectExpr("engagement_id", "row_no", "account as c0", "opening as c1", "0 as c2", "closing as c3", "debit as c4", "credit as c5"), ["engagement_id"], "row_no").drop("row_no"),
       f"with {TBQ}\nselect engagement_id, account_code, account_name, cast(d as double) as period_debit, cast(c as double) as period_credit, cast(coalesce(closing, 0) as double) as closing from q")
-MH = "select concat('20', cast(engagement_id as string)) as sheet, concat('A-', account_code) as code, 'n' as nm, opening as dro, period_debit as dr, period_debit as drc, 5 as cro, period_credit as cr, period_credit as crc, cast(substring(account_code, 1, 1) as int) as row_no from {tb} union all select '203', 'A-12', 'short', 1, 1, 1, 1, 1, 1, 1 from {region}"
+# two clients a sheet name: even engagements have the years 2024 and 2023, odd ones 2023 and 2022; some codes are repeated
+MH = """select engagement_id, case when engagement_id % 2 = 0 then '2024' else '2023' end as sheet, concat('A-', account_code) as code, 'n' as nm, opening as dro, period_debit as dr, period_debit as drc, 5 as cro, period_credit as cr, period_credit as crc, 1 as row_no from {tb}
+union all select engagement_id, case when engagement_id % 2 = 0 then '2024' else '2023' end, account_code, 'again', 1, 2, 3, 4, 5, 6, 2 from {tb} where cast(account_code as bigint) % 19 = 0
+union all select engagement_id, case when engagement_id % 2 = 0 then '2023' else '2022' end, account_code, 'p', closing, 0, closing, 0, 0, 0, 1 from {tb_prior}
+union all select 1, '2023', 'A-12', 'short', 1, 1, 1, 1, 1, 1, 1 from {region}"""
 
 
 def sheets(t: Tables):
     names = dict(zip(["code", "name", "dr_open", "dr", "dr_close", "cr_open", "cr", "cr_close"], ["code", "nm", "dro", "dr", "drc", "cro", "cr", "crc"]))
-    return s.load_tb_multiheader(t.spark.sql(MH, tb=t.tb, region=t.region), names)
+    return s.load_tb_multiheader(t.spark.sql(MH, tb=t.tb, tb_prior=t.tb_prior, region=t.region), names)
 
 
-MHQ = f"mh as ({MH}), ms as (select sheet, regexp_replace(code, '[^0-9]', '', 'g') as account_code, nm as account_name, cast(dro - cro as double) as opening, cast(dr as double) as period_debit, cast(cr as double) as period_credit, cast(drc - crc as double) as closing from mh where length(regexp_replace(code, '[^0-9]', '', 'g')) >= 4)"
+MHQ = f"mh as ({MH}), ms as (select engagement_id, sheet, regexp_replace(code, '[^0-9]', '', 'g') as account_code, nm as account_name, cast(dro - cro as double) as opening, cast(dr as double) as period_debit, cast(cr as double) as period_credit, cast(drc - crc as double) as closing from mh where length(regexp_replace(code, '[^0-9]', '', 'g')) >= 4 qualify row_number() over (partition by engagement_id, sheet, regexp_replace(code, '[^0-9]', '', 'g') order by row_no desc) = 1)"
 query("src_tb_multiheader", sheets, f"with {MHQ}\nselect * from ms")
-query("src_tb_current", lambda t: s.tb_current_prior(sheets(t))[0], f"with {MHQ}\nselect * from ms where sheet = '203'")
-query("src_tb_prior", lambda t: s.tb_current_prior(sheets(t))[1], f"with {MHQ}\nselect * from ms where sheet = '202'")
+query("src_tb_current", lambda t: s.tb_current_prior(sheets(t))[0], f"with {MHQ}\nselect * from ms where sheet = case when engagement_id % 2 = 0 then '2024' else '2023' end")
+query("src_tb_prior", lambda t: s.tb_current_prior(sheets(t))[1], f"with {MHQ}\nselect * from ms where sheet = case when engagement_id % 2 = 0 then '2023' else '2022' end")
 query(
     "src_merge_opening_closing",
     lambda t: s.merge_opening_closing(t.tb.where("cast(account_code as bigint) % 13 <> 0").withColumn("account_name", F.lit("a")), t.tb_prior.withColumn("account_name", F.lit("b")), ["engagement_id", "account_code"]),
     "select engagement_id, account_code, coalesce(case when c.account_code is not null then 'a' end, 'b') as account_name, cast(coalesce(p.closing, 0) as double) as opening, cast(coalesce(c.period_debit, 0) as double) as period_debit, cast(coalesce(c.period_credit, 0) as double) as period_credit, cast(coalesce(c.closing, 0) as double) as closing from (select * from {tb} where cast(account_code as bigint) % 13 <> 0) c full join {tb_prior} p using (engagement_id, account_code)",
 )
-FS = "select engagement_id, case when account_group = '받을어음' then 'Total Assets' when account_group = '미수금' then 'Current assets' when account_group = '선급금' then '비유동자산' else account_group end as item, amount as value, case when kind = 'payable' then 1 else 2 end as row_no from {fs} where account_group <> '받을어음' or engagement_id < 2"
-query("src_fs_amounts", lambda t: s.load_fs_amounts(t.spark.sql(FS, fs=t.fs), ["engagement_id"]), f"with f as ({FS})\nselect engagement_id, item, cast(max_by(value, row_no) as double) as value from f group by 1, 2")
-query("src_total_assets", lambda t: s.total_assets(s.load_fs_amounts(t.spark.sql(FS, fs=t.fs), ["engagement_id"]), ["engagement_id"]), f"with f as ({FS}), v as (select engagement_id, item, max_by(value, row_no) as value from f group by 1, 2)\nselect engagement_id, cast(coalesce(max(value) filter (where lower(item) = 'total assets'), max(value) filter (where lower(item) = 'current assets') + max(value) filter (where item = '비유동자산')) as double) as total_assets from v group by 1")
+FS = """select engagement_id, case when account_group = '받을어음' then case when engagement_id = 0 then 'Total Assets' else '총자산' end when account_group = '미수금' then 'Current assets' when account_group = '선급금' then '비유동자산' else account_group end as "계정과목",
+ 1 as "전기 금액", amount as "당기 금액", case when kind = 'payable' then 1 else 2 end as row_no from {fs} where (account_group <> '받을어음' or engagement_id < 2) and (account_group <> '선급금' or engagement_id <> 3)"""
+FSQ = f"f as ({FS}), v as (select engagement_id, \"계정과목\" as item, max_by(\"당기 금액\", row_no) as value from f group by 1, 2)"
+
+
+def statements(t: Tables):
+    return s.load_fs_amounts(t.spark.sql(FS.replace('"', "`"), fs=t.fs), ["engagement_id"], headers=True)
+
+
+query("src_fs_amounts", statements, f"with {FSQ}\nselect engagement_id, item, cast(value as double) as value from v")
+query("src_total_assets", lambda t: s.total_assets(statements(t), ["engagement_id"]), f"with {FSQ}\nselect engagement_id, cast(coalesce(max(value) filter (where lower(item) in ('total assets', '총자산')), coalesce(max(value) filter (where lower(item) = 'current assets'), 0) + coalesce(max(value) filter (where item = '비유동자산'), 0)) as double) as total_assets from v group by 1")
 GD = "select c_name as party, case when c_custkey % 9 = 0 then ' ' else 'acct' end as account, case when c_custkey % 2 = 0 then 'usd' else null end as currency, cast(c_custkey % 5 as double) as amount, case when c_custkey % 3 = 0 then null else 'KRW' end as currency2, cast(c_custkey % 4 as double) as amount2 from {customer}"
 query("src_upload_guide", lambda t: s.explode_upload_guide(t.spark.sql(GD, customer=t.customer)), f"with g as ({GD})\nselect party, trim(account) as account, coalesce(upper(currency), 'KRW') as currency, amount, 1 as pos from g where trim(account) <> '' and amount <> 0 union all select party, trim(account), currency2, amount2, 2 from g where amount2 <> 0 and currency2 is not null")
 XP = "select c_custkey % 4 as engagement_id, case when c_custkey % 8 = 0 then ' nan' else c_name end as party, case when c_custkey % 3 = 0 then null else '외상매출금' end as account, case when c_custkey % 5 = 0 then 'None' else 'USD' end as currency, case c_custkey % 4 when 0 then null when 1 then '1,250' else 'n/a' end as amount, '채권' as kind from {customer}"
@@ -264,13 +276,15 @@ def replies(t: Tables):
 
 
 query("stream_replies", lambda t: drained(t, jobs.stream_replies(files(t, replies(t)), "60 days")).select(*jobs.REPLY_KEYS), "select distinct event_id % 500 as document_id, cast(user_id as varchar) as party, 'receivable' as kind from {events}")
-query("batch_new_replies", lambda t: jobs.new_replies(replies(t), replies(t).where("document_id < 100")).select(*jobs.REPLY_KEYS), "select distinct event_id % 500 as document_id, cast(user_id as varchar) as party, 'receivable' as kind from {events} where event_id % 500 >= 100")
+query("stream_first_replies", lambda t: drained(t, jobs.first_replies(files(t, replies(t)))).select(*jobs.REPLY_KEYS), "select distinct event_id % 500 as document_id, cast(user_id as varchar) as party, 'receivable' as kind from {events}")
+query("batch_new_replies", lambda t: jobs.new_replies(replies(t), replies(t).where("document_id < 100")).select(*jobs.REPLY_KEYS, F.unix_millis("received_at").alias("received_ms")), "select event_id % 500 as document_id, cast(user_id as varchar) as party, 'receivable' as kind, epoch_ms(min(cast(ts as timestamp))) as received_ms from {events} where event_id % 500 >= 100 group by 1, 2, 3")
 
 
 def covered(t: Tables):
     ledger = t.ledger.where("kind = 'receivable'").groupBy("engagement_id", "party").agg((F.sum("ending") * 2).cast("double").alias("ledger"))
     path = scratch(t.spark)
     jobs.run_evidence_coverage(files(t, t.evidence.select("engagement_id", "party", "success", "amount")), ledger, path, scratch(t.spark))
+    jobs.compact_coverage(t.spark, path)
     return jobs.latest_coverage(t.spark, path, ledger)
 
 

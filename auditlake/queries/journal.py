@@ -49,7 +49,7 @@ x as (select t.engagement_id, t.account_code, coalesce(c.account_type = 'P', cas
 select engagement_id, account_code, is_pl, cast(case when is_pl then 0 else op end as double) as used_opening, cast(case when is_pl then 0 else op end + gd - gc as double) as calculated, cast(closing as double) as closing,
  cast(case when is_pl then 0 else op end + gd - gc - closing as double) as difference, cast(gd - period_debit as double) as dr_diff, cast(gc - period_credit as double) as cr_diff
 from x where abs(case when is_pl then 0 else op end + gd - gc - closing) > 0.5"""
-query("je_a03_tb_rollforward", lambda t: j.tb_rollforward(t.gl_named, t.tb, t.coa, t.equity_adjustments), A03)
+query("je_a03_tb_rollforward", lambda t: j.tb_rollforward(t.gl_named, t.tb, t.coa, t.equity_adjustments, row_no="l_linenumber"), A03)
 query(
     "je_a03_scope",
     lambda t: j.tb_rollforward_scope(t.gl_named, t.tb),
@@ -60,7 +60,7 @@ from c join g using (engagement_id) join t using (engagement_id) group by 1""",
 )
 query(
     "je_b_pl_accounts",
-    lambda t: j.profit_loss_flag(j.account_sums(t.gl_named).select("engagement_id", "account_code", "gl_name"), t.coa),
+    lambda t: j.profit_loss_flag(j.account_sums(t.gl_named, "l_linenumber").select("engagement_id", "account_code", "gl_name"), t.coa),
     """with g as (select engagement_id, coalesce(nullif(regexp_replace(account_code, '^0+', ''), ''), account_code) as account_code, min_by(account_name, l_linenumber) as gl_name from {gl_named} group by 1, 2)
 select g.*, coalesce(c.account_type = 'P', case when nullif(trim(gl_name), '') is not null then regexp_matches(gl_name, '매출|수익|비용|원가|손실|이익|revenue|expense') end, regexp_matches(g.account_code, '^[4-8]')) as is_pl
 from g left join {coa} c using (engagement_id, account_code)""",

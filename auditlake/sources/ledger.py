@@ -21,7 +21,9 @@ LEDGER_KEYWORDS = {
     "ending": ["기말", "잔액", "기말잔액", "당기말", "endingbalance", "closingbalance", "closing balance", "closing", "ending balance", "end balance", "end bal", "balance"],
 }
 GL_REQUIRED = ("entry_no", "entry_date", "account_code")
-TOTAL_ASSETS = ("자산총계", "자산 총계", "total assets")
+TOTAL_ASSETS = ("자산총계", "자산 총계", "총자산", "total assets")
+#: Words of a statement's header for its items, its amounts, and the amounts of the current period.
+ITEM_WORDS, VALUE_WORDS, CURRENT_WORDS = ("항목", "계정", "item", "account", "과목"), ("금액", "잔액", "value", "amount", "balance"), ("당기", "기말", "current", "ending")
 YEAR_TOKEN = r"(?i)^\s*(?:(\d+(?:\.\d+)?)\s*(?:Y|년))?\s*(?:(\d+(?:\.\d+)?)\s*(?:M|개월))?\s*$"
 
 
@@ -167,21 +169,21 @@ def join_headers(top: list[str | None], sub: list[str | None]) -> list[str]:
     return out
 
 
-def load_tb_multiheader(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+def load_tb_multiheader(df: DataFrame, columns: dict[str, str], keys: tuple[str, ...] = ("engagement_id",)) -> DataFrame:
     """Trial balance of two header rows (see join_headers): code of digits only and at least 4, opening and closing debit
-    less credit; of repeated codes the last row stays. columns: code, name, dr_open, dr, dr_close, cr_open, cr, cr_close."""
+    less credit; of a code repeated in a sheet of the same `keys` (a client's file) the last row stays. columns: code, name, dr_open, dr, dr_close, cr_open, cr, cr_close."""
     num = lambda k: F.coalesce(F.regexp_replace(F.col(f"`{columns[k]}`").cast("string"), ",", "").try_cast("decimal(20,2)"), F.lit(0).cast("decimal(20,2)"))
     code = F.regexp_replace(F.col(f"`{columns['code']}`").cast("string"), "[^0-9]", "")
     rows = df.withColumn("account_code", code).where(F.length("account_code") >= 4)
-    last = F.row_number().over(W.partitionBy("sheet", "account_code").orderBy(F.desc("row_no")))
+    last = F.row_number().over(W.partitionBy(*keys, "sheet", "account_code").orderBy(F.desc("row_no")))
     out = rows.withColumn("_r", last).where("_r = 1")
-    return out.select("sheet", "account_code", F.col(f"`{columns['name']}`").alias("account_name"), (num("dr_open") - num("cr_open")).alias("opening"), num("dr").alias("period_debit"), num("cr").alias("period_credit"), (num("dr_close") - num("cr_close")).alias("closing"))
+    return out.select(*keys, "sheet", "account_code", F.col(f"`{columns['name']}`").alias("account_name"), (num("dr_open") - num("cr_open")).alias("opening"), num("dr").alias("period_debit"), num("cr").alias("period_credit"), (num("dr_close") - num("cr_close")).alias("closing"))
 
 
-def tb_current_prior(df: DataFrame, sheet: str = "sheet") -> tuple[DataFrame, DataFrame]:
-    """The rows of the sheet with the last name, and of the one before it."""
-    names = df.select(sheet).distinct().withColumn("_r", F.dense_rank().over(W.orderBy(F.desc(sheet))))  # a row a sheet
-    ranked = df.join(names, sheet)
+def tb_current_prior(df: DataFrame, sheet: str = "sheet", keys: tuple[str, ...] = ("engagement_id",)) -> tuple[DataFrame, DataFrame]:
+    """For each client (keys) the rows of the sheet with the last name, and of the one before it."""
+    names = df.select(*keys, sheet).distinct().withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(sheet))))  # a row a sheet
+    ranked = df.join(names, [*keys, sheet]).select(*df.columns, "_r")
     return ranked.where("_r = 1").drop("_r"), ranked.where("_r = 2").drop("_r")
 
 
@@ -202,16 +204,34 @@ def load_party_ledger(df: DataFrame) -> DataFrame:
     return rows
 
 
-def load_fs_amounts(df: DataFrame, keys: list[str]) -> DataFrame:
-    """item -> value of a statement (item, value, row_no), the last row of a repeated item."""
+def fs_columns(headers: list[str]) -> tuple[str | None, str | None]:
+    """The columns of a statement's items and amounts, by their headers: the first one named like items; of those named like
+    amounts the first of the current period, else the last one. None where no header fits."""
+    plain = {h: h.strip().lower().replace(" ", "") for h in headers}
+    holds = lambda words: [h for h in headers if any(w in plain[h] for w in words)]
+    amounts = holds(VALUE_WORDS)
+    current = [h for h in amounts if h in holds(CURRENT_WORDS)]
+    return next(iter(holds(ITEM_WORDS)), None), next(iter(current or amounts[::-1]), None)
+
+
+def load_fs_amounts(df: DataFrame, keys: list[str], headers: bool = False) -> DataFrame:
+    """item -> value of a statement (item, value, row_no), the last row with a number of a repeated item. With `headers` the
+    columns of items and amounts are found by fs_columns."""
+    if headers:
+        item, value = fs_columns([c for c in df.columns if c not in (*keys, "row_no")])
+        if item is None or value is None:
+            raise ValueError("no column of items or of amounts")
+        df = df.select(*keys, "row_no", F.col(f"`{item}`").alias("item"), F.col(f"`{value}`").alias("value"))
     last = F.row_number().over(W.partitionBy(*keys, "item").orderBy(F.desc("row_no")))
-    return df.withColumn("item", filled("item")).where("item is not null").withColumn("_r", last).where("_r = 1").select(*keys, "item", "value")
+    return df.withColumn("item", filled("item")).where("item is not null and value is not null").withColumn("_r", last).where("_r = 1").select(*keys, "item", "value")
 
 
 def total_assets(fs: DataFrame, keys: list[str]) -> DataFrame:
-    """The total's value, else current plus non-current assets."""
-    pick = lambda names: F.max(F.when(F.lower("item").isin(*names), F.col("value")))
-    return fs.groupBy(*keys).agg(pick(TOTAL_ASSETS).alias("t"), pick(("유동자산", "current assets")).alias("c"), pick(("비유동자산", "non-current assets")).alias("n")).select(*keys, F.coalesce("t", F.col("c") + F.col("n")).alias("total_assets"))
+    """The total's value, by the first of its names that a statement has; else current plus non-current assets, each 0 where
+    missing."""
+    pick = lambda *names: F.coalesce(*(F.max(F.when(F.lower("item") == n, F.col("value"))) for n in names))
+    parts = F.coalesce("c", F.lit(0)) + F.coalesce("n", F.lit(0))
+    return fs.groupBy(*keys).agg(pick(*TOTAL_ASSETS).alias("t"), pick("유동자산", "current assets").alias("c"), pick("비유동자산", "non-current assets").alias("n")).select(*keys, F.coalesce("t", parts).alias("total_assets"))
 
 
 def explode_upload_guide(df: DataFrame) -> DataFrame:
