@@ -190,8 +190,10 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = 6) -> DataFrame
     keyed = prints.select(F.explode(made).alias("key"), "fingerprint")
     counts = durable(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))  # combined before the shuffle
     schema = "a long, b long"
-    # rows of a key meet where the join has dealt them by key
-    plain = keyed.join(counts.where(F.col("n") <= TILE).hint("shuffle_hash"), "key").select("key", "fingerprint").sortWithinPartitions("key").mapInArrow(_compare, schema)
+    # a key's rows must stand in one task, where the join has dealt them; the window asks for that, so adaptive execution, which
+    # may else split a skewed partition of the join, leaves it whole
+    place = F.row_number().over(W.partitionBy("key").orderBy("fingerprint"))
+    plain = keyed.join(counts.where(F.col("n") <= TILE).hint("shuffle_hash"), "key").select("key", "fingerprint", place.alias("place")).sortWithinPartitions("key").mapInArrow(_compare, schema)
     large = counts.where(F.col("n") > TILE)  # at most keys / TILE rows
     if not large.take(1):
         return plain.where("a != b").distinct()
