@@ -35,6 +35,10 @@ IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)),
 }
 KEPT = frozenset("html body".split())
+#: Elements whose own headers belong to the article, and headings, whose ids are made of their words.
+SECTIONS, HEADINGS = ("main", "section", "blockquote"), frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What readers fill in.
+INPUTS = frozenset("input select textarea button".split())
 #: How sure it is that an element isn't the article: 1 may be a wrapper of it, 2 is taken back only if nothing else has
 #: text, 3 never is.
 MAYBE, LIKELY, SURE = 1, 2, 3
@@ -76,12 +80,13 @@ def doubt_of(names: list[str], marks: frozenset, tag: str) -> int:
 
 class Page:
     """A page's elements that may hold or not be the article, in page order: path (a hash of the tags and names down to
-    it), parent, last descendant, doubt; and its text pieces (element, text or None for the edge of a block, whether it
+    it), parent, last descendant, doubt, whether only its names raise it; and its text pieces (element, text or None for the edge of a block, whether it
     is a link's). Nothing is left out while parsing but what a browser doesn't show."""
 
     def __init__(self, source: str):
         self.paths, self.parents, self.tags, self.good, self.doubts, self.depths, self.ends = [path_hash(0, "html")], [-1], ["html"], [False], [0], [0], [0]
-        self.containers = [True]
+        self.containers, self.named, self.in_good, self.inputs = [True], [False], [False], [0]
+        self.heads: list[int] = []  # headers in an article's section or wrapper
         self.pieces: list[tuple[int, str | None, bool]] = []
         self.titled: set[int] = set()
         self._parse(source)
@@ -95,6 +100,7 @@ class Page:
                 size = len(piece) - piece.count(" ") - piece.count("\n")
                 self.own_text[node] += size
                 self.own_links[node] += size * link
+        self._own_headers()
         self.cut = self._doubts_settled()
         self.text, self.links = self._sums(self.cut)
 
@@ -113,11 +119,32 @@ class Page:
             out[i] = out[i] or out[self.parents[i]]
         return out
 
+    def _own_headers(self) -> None:
+        """A header in a section or wrapper of an article belongs to it if it holds a heading."""
+        if self.heads:
+            before = [0]  # elements with a heading, up to each
+            for i in range(len(self.paths)):
+                before.append(before[-1] + (i in self.titled))
+            for i in self.heads:
+                if before[self.ends[i] + 1] > before[i]:
+                    self.doubts[i] = 0
+
+    def _lists_or_forms(self) -> list[bool]:
+        """Elements that are mostly links or that readers fill in."""
+        text, links = self._sums([False] * len(self.paths))
+        inputs = list(self.inputs)
+        for i in range(len(inputs) - 1, 0, -1):
+            inputs[self.parents[i]] += inputs[i]
+        return [2 * l > t or n > 0 for t, l, n in zip(text, links, inputs)]
+
     def _doubts_settled(self) -> list[bool]:
         """Which elements are cut: the likely ones, and those that may be unless they hold most of the text that isn't
-        likely to be something else. If that leaves no text but links, first what may be is taken back, then what is
+        likely to be something else; of those that may be by a name alone, only what is mostly links or a form. If that leaves no text but links, first what may be is taken back, then what is
         likely and holds most of the page."""
         prose = lambda cut: [t - l for t, l in zip(*self._sums(cut))]
+        if any(self.named):
+            odd = self._lists_or_forms()
+            self.doubts = [0 if n and d == MAYBE and not o else d for d, n, o in zip(self.doubts, self.named, odd)]
         sure = self._within([d >= LIKELY for d in self.doubts])
         held = prose(sure)
         cut = self._within([d >= LIKELY or (d == MAYBE and 2 * held[i] <= held[0]) for i, d in enumerate(self.doubts)])
@@ -145,7 +172,11 @@ class Page:
             at = shut + 1
 
     def _parse(self, s: str) -> None:
-        low = s.lower() if len(s.lower()) == len(s) else s
+        low = s.lower()
+        if len(low) == len(s):
+            end_tag = lambda tag, at: low.find(f"</{tag}", at)
+        else:  # some letters have longer lower-case forms, so places in s and low differ
+            end_tag = lambda tag, at: found.start() if (found := re.compile(f"</{tag}", re.I | re.A).search(s, at)) else -1
         self._quotes = {'"': len(s), "'": len(s)}
         missing: set[str] = set()
         stack: list[tuple[str, int, bool]] = []  # tag, element to go back to, not shown
@@ -192,10 +223,12 @@ class Page:
                 k = min((open_[t][-1] for t in ended if open_.get(t) and open_[t][-1] > last(around)), default=-1)
                 if k >= 0:
                     close(k)
+            if tag in INPUTS and not unshown:
+                self.inputs[node] += 1
             if tag in VOID:
                 continue
             if tag in RAW:
-                shut = -1 if tag in missing else low.find(f"</{tag}", at)
+                shut = -1 if tag in missing else end_tag(tag, at)
                 if shut < 0:
                     missing.add(tag)
                     at = len(s) if tag in ("script", "style") else at
@@ -209,11 +242,14 @@ class Page:
             if attributes and _NAMES.search(attributes):
                 found = {a.lower(): (b or c or d) for a, b, c, d in reversed(_ATTRIBUTE.findall(attributes))}
                 hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-                names = [x for x in f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".lower().split() if not _STATE.match(x)]
+                own = f"{found.get('class', '')} {'' if tag in HEADINGS else found.get('id', '')} {found.get('role', '')}"
+                names = [x for x in own.lower().split() if not _STATE.match(x)]
             marks = frozenset(x for name in names for x in _SPLIT.split(name) if x)
-            doubt = 0
+            doubt, by_tag = 0, 0
             if tag not in KEPT and not unshown:
-                doubt = max(LIKELY if hidden else 0, doubt_of(names, marks, tag) if names else 0, 0 if tag == "header" and open_.get("article") else DOUBTFUL.get(tag, 0))
+                own = (tag == "header" and open_.get("article")) or (tag in ("header", "footer") and last(("blockquote",)) > last(("article", "section", "main")))
+                by_tag = max(LIKELY if hidden else 0, 0 if own else DOUBTFUL.get(tag, 0))
+                doubt = max(by_tag, doubt_of(names, marks, tag) if names else 0)
             if tag in ("h1", "h2") and not unshown:
                 self.titled.add(node)
             if not (doubt or tag in STACKED):
@@ -228,6 +264,12 @@ class Page:
                 self.tags.append(tag)
                 self.good.append(not GOOD.isdisjoint(marks))
                 self.doubts.append(doubt)
+                self.named.append(doubt > by_tag)
+                good = self.in_good[node] or (self.good[-1] and tag not in KEPT)
+                self.in_good.append(good)
+                self.inputs.append(0)
+                if tag == "header" and doubt == LIKELY and not hidden and not self.named[-1] and (good or any(open_.get(t) for t in SECTIONS)):
+                    self.heads.append(len(self.paths) - 1)
                 self.depths.append(self.depths[node] + 1)
                 self.containers.append(tag in CONTAINERS)
                 node = len(self.paths) - 1

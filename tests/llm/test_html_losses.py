@@ -77,3 +77,37 @@ def test_the_vote_of_a_host_changes_a_page(spark):
     got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert alone == ARTICLE + " Win a prize in our great game today."
     assert got == {k: ARTICLE for k in range(8)}
+
+
+@pytest.mark.parametrize("source,want", [
+    ("<article><p>{a}</p><h2 id='related-work'>Related work</h2><p>{a}</p><h2 id='share-of-the-vote'>Share</h2><h3 id=comments>Comments</h3></article>", "{a} Related work {a} Share Comments"),
+    ("<article><p>{a}</p><section id='search-and-rescue'><p>Short one.</p></section><div id='copyright-law'>Law text.</div><p>{a}</p></article>", "{a} Short one. Law text. {a}"),
+    ("<body><header>Site</header><main><header><h1>Head</h1><p>lead</p></header><p>{a}</p></main></body>", "Head lead {a}"),
+    ("<body><div class='article'><header><h1>Head</h1>lead</header><p>{a}</p></div></body>", "Head lead {a}"),
+    ("<body><p>{a}</p><section><header><h2>Sub</h2></header><p>{a}</p></section></body>", "{a} Sub {a}"),
+    ("<article><p>{a}</p><blockquote><p>Words</p><footer>Author</footer></blockquote><p>{a}</p><footer>Site</footer></article>", "{a} Words Author {a}"),
+    ("<body><SCRIPT>var x = 1;</SCRIPT><p>İstanbul {a}</p><STYLE>p {{}}</STYLE>after</body>", "İstanbul {a} after"),
+    ("<body class='post-template'><header>Site name</header><div id=header>site</div><p>{a}</p><div id=footer>foot</div><div id=comments>I agree.</div></body>", "{a}"),
+    ("<body><p>{a}</p><div id='search-our-site'>Find <input name=q></div><div class='more-related-here'><a href=1>one</a> <a href=2>two</a></div></body>", "{a}"),
+])
+def test_names_and_sections(source, want):
+    assert Page(source.format(a=ARTICLE)).main_text(None) == want.format(a=ARTICLE)
+
+
+def test_random_trees_with_names_lose_nothing():
+    """Names that hold a word of the list beside others, and headings with ids of such words, aren't evidence by themselves."""
+    from auditlake.llm.html_text import BOILERPLATE
+
+    rng, words = random.Random(4), sorted(BOILERPLATE)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return f" w{rng.randrange(1000)} "
+        tag = rng.choice(["div", "section", "p", "ul", "span", "h2", "h3", "article"])
+        word = rng.choice(words)
+        name = "" if rng.random() < 0.4 else f" id={word}" if tag[0] == "h" else f" {rng.choice(['id', 'class'])}={word}-of-the-{rng.choice(['vote', 'law', 'sea'])}"
+        return f"<{tag}{name}>{''.join(tree(depth - 1) for _ in range(rng.randrange(1, 4)))}</{tag}>"
+
+    for _ in range(300):
+        source = f"<body>{''.join(tree(4) for _ in range(3))}</body>"
+        assert Page(source).main_text(None).split() == re.findall(r"\bw\d+", source)
