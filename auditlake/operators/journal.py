@@ -7,12 +7,14 @@ types, parameters) are joined on it; Spark broadcasts them where its own size es
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from auditlake.operators.sampling import running_total
 from auditlake.sources.shared import durable
 
 E = "engagement_id"
@@ -360,7 +362,10 @@ def run_rules(gl: DataFrame, ctx: dict[str, DataFrame], enabled: tuple[str, ...]
     of (gl, ctx) that returns lines in the form of finding(). With `stage` ledger and masters are written out once, since
     a dozen rules read them; leave it out if they are tables already."""
     if stage:
-        gl, ctx = durable(gl), {k: durable(df) for k, df in ctx.items()}
+        with ThreadPoolExecutor(4) as pool:  # small jobs beside the ledger's
+            tables = dict(zip(["", *ctx], pool.map(durable, [gl, *ctx.values()])))
+        gl = tables.pop("")
+        ctx = tables
     given = params or {}
     unknown = set(given) - {*RULE_ORDER, "B02", "B03"}
     if unknown:
@@ -387,37 +392,45 @@ def run_rules(gl: DataFrame, ctx: dict[str, DataFrame], enabled: tuple[str, ...]
     return reduce(DataFrame.unionByName, (rules[r]() for r in dict.fromkeys([*enabled, "B06", *(own or {})])))
 
 
-def inquiry_list(findings: DataFrame, order: tuple[str, ...] = RULE_ORDER, most: int = 100) -> DataFrame:
+def inquiry_list(findings: DataFrame, order: tuple[str, ...] = RULE_ORDER, most: int = 100, stage: bool = True) -> DataFrame:
     """The findings of the listed rules, at most `most` a rule and engagement, numbered Q-001 on within each engagement
-    by rule order, date, voucher, account, amount and reason; with the rule's count, total and whether it was cut."""
+    by rule order, date, voucher, account, amount and reason; with the rule's count, total and whether it was cut.
+
+    Findings are read twice, for the totals and for the first ones, of which each task passes on only `most` a rule; with
+    `stage` they are written out once before."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col("rule_code"))
-    within = W.partitionBy(E, "rule_code")
     by = [F.col("entry_date").asc_nulls_first(), F.col("entry_no").asc_nulls_first(), F.col("account_code").asc_nulls_first(), F.col("amount"), F.col("reason").asc_nulls_first()]
-    cut = findings.where(F.col("rule_code").isin(*order)).withColumn("seq", F.row_number().over(within.orderBy(*by))).withColumn("section_total", F.count("*").over(within)).where(F.col("seq") <= most)
+    listed = findings.where(F.col("rule_code").isin(*order)).select(E, "rule_code", "entry_date", "entry_no", "account_code", "amount", "reason")
+    listed = durable(listed) if stage else listed
+    totals = listed.groupBy(E, "rule_code").agg(F.count("*").alias("section_total"))
+    cut = listed.withColumn("seq", F.row_number().over(W.partitionBy(E, "rule_code").orderBy(*by))).where(F.col("seq") <= most).join(totals, [E, "rule_code"])
     number = F.row_number().over(W.partitionBy(E).orderBy(place, "seq"))
     return cut.withColumn("q", number).select(E, F.concat(F.lit("Q-"), F.lpad(F.col("q").cast("string"), 3, "0")).alias("q_no"), "rule_code", "seq", "entry_no", "account_code", "amount", F.least("section_total", F.lit(most)).alias("section_count"), "section_total", (F.col("section_total") > most).alias("is_sampled"))
 
 
-def sample_findings(findings: DataFrame, method: str, n: int, key: str = "entry_no", seed: str = "0", amount: str = "amount") -> DataFrame:
+def sample_findings(findings: DataFrame, method: str, n: int, key: str = "entry_no", seed: str = "0", amount: str = "amount", parts: int | None = None) -> DataFrame:
     """n findings a rule and engagement; all where there are no more.
 
-    random: the n lowest md5(key, seed); systematic: every floor(N / n)-th by key, the first n; mus: those in which a
-    multiple of (sum of abs(amount) / n) falls, by key.
+    random: the n lowest md5(key, seed), of which each task passes on only n a rule; systematic: every floor(N / n)-th by
+    key, the first n; mus: those in which a multiple of (sum of abs(amount) / n) falls, by key. Ranks and running sums of
+    the last two are made on two levels (sampling.running_total), so one rule spans `parts` tasks.
     """
-    group = W.partitionBy(E, "rule_code")
-    by = [F.col(key).asc_nulls_first(), F.col("account_code").asc_nulls_first(), F.col(amount).asc_nulls_first(), F.col("reason").asc_nulls_first()]
-    total = findings.withColumn("_n", F.count("*").over(group))
+    by = [F.col(c).asc_nulls_first() for c in (key, "account_code", amount, "reason")]
     if method == "random":
         mark = F.md5(F.concat_ws("|", key, "account_code", F.lit(seed)))
-        return total.withColumn("_r", F.row_number().over(group.orderBy(mark, *by))).where(F.col("_r") <= n).drop("_r", "_n")
+        return findings.withColumn("_r", F.row_number().over(W.partitionBy(E, "rule_code").orderBy(mark, *by))).where(F.col("_r") <= n).drop("_r")
+    group, size = [E, "rule_code"], F.lit(1) if method == "systematic" else F.abs(F.coalesce(F.col(amount), zero()))
+    run = running_total(findings.withColumn("_size", size.cast("decimal(38,2)")), group, [key, "account_code", amount, "reason"], "_size", "_run", parts)
+    total = run.groupBy(*group).agg(F.count("*").alias("_n"), F.sum("_size").alias("_sum"))
+    run = run.join(total, group)
     if method == "systematic":
-        step = F.greatest(F.floor(F.col("_n") / n), F.lit(1))
-        return total.withColumn("_r", F.row_number().over(group.orderBy(*by)) - 1).where((F.pmod("_r", step) == 0) & (F.floor(F.col("_r") / step) < n)).drop("_r", "_n")
-    size = F.abs(F.coalesce(F.col(amount), zero())).cast("decimal(38,2)")
-    run = F.sum(size).over(group.orderBy(*by).rowsBetween(W.unboundedPreceding, 0))
-    step = F.sum(size).over(group).cast("double") / n
-    hit = F.floor(run.cast("double") / step) > F.floor((run - size).cast("double") / step)
-    return total.withColumn("_h", (F.col("_n") <= n) | F.coalesce(hit, F.lit(False))).where("_h").drop("_h", "_n")
+        step, place = F.greatest(F.floor(F.col("_n") / n), F.lit(1)), F.col("_run").cast("long") - 1
+        chosen = (F.pmod(place, step) == 0) & (F.floor(place / step) < n)
+    else:
+        step = F.col("_sum").cast("double") / n
+        hit = F.floor(F.col("_run").cast("double") / step) > F.floor((F.col("_run") - F.col("_size")).cast("double") / step)
+        chosen = (F.col("_n") <= n) | F.coalesce(hit, F.lit(False))
+    return run.where(chosen).select(*findings.columns)
 
 
 def rule_summary(findings: DataFrame, scenarios: DataFrame, warn: int = 1, fail: int = 100) -> DataFrame:

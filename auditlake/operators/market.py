@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from auditlake.operators.ranges import previous
+from auditlake.operators.ranges import PART, carried, cuts, previous, with_halo, with_part
 from auditlake.operators.selection import exact_percentiles
 
 
@@ -140,12 +140,35 @@ def asof_price(targets: DataFrame, prices: DataFrame, days: int = 14) -> DataFra
     return asof(targets, prices.select("ticker", "date", "close"), "ticker", "target_date", "date", days)
 
 
-def asof_balance_sheet(targets: DataFrame, statements: DataFrame) -> DataFrame:
+def asof_merge(targets: DataFrame, rows: DataFrame, key: str, target: str, at: str, carried_: dict[str, tuple[Column, Column]], limit: int | None = None) -> DataFrame:
+    """targets with a column for each name -> (condition, value): the value of the last row up to the target's date, of its key,
+    that meets the condition; null without one.
+
+    Targets and rows are sorted together by key and date, rows before targets of their day, and each target takes what was
+    carried so far: one shuffle, and no row for a pair. A key of more than `limit` rows (ranges.ROWS) is cut into ranges of
+    dates. Of rows of one date the largest value counts.
+    """
+    kinds = rows.select(*(v.alias(n) for n, (_, v) in carried_.items())).schema
+    held = rows.select(F.col(key), F.col(at).alias("_at"), F.lit(0).alias("_kind"), *(F.when(c, F.struct(v.alias("v"))).alias(f"_c_{n}") for n, (c, v) in carried_.items()))
+    asked = targets.select(F.col(key), F.col(target).alias("_at"), F.lit(1).alias("_kind"), F.struct(*targets.columns).alias("_row"))
+    both = held.unionByName(asked, allowMissingColumns=True)
+    day = day_number("_at")
+    cut = cuts(both.select(key, day.alias("_o")), [key], F.col("_o"), limit)
+    newest = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct("_at", c)))
+    both = carried(with_part(both, [key], day, cut), [key], cut, {f"_b{c[2:]}": (newest(c), "last", "before") for c in (f"_c_{n}" for n in carried_)})
+    told = []
+    for n in carried_:
+        w = W.partitionBy(key, PART).orderBy("_at", "_kind", f"_c_{n}")
+        told.append(F.coalesce(F.last(f"_c_{n}", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), f"_b_{n}")["v"].cast(kinds[n].dataType).alias(n))
+    return both.select("_row", "_kind", *told).where("_kind = 1").select("_row.*", *carried_)
+
+
+def asof_balance_sheet(targets: DataFrame, statements: DataFrame, limit: int | None = None) -> DataFrame:
     """The last statement up to the target that has total debt, quarterly before annual; equity is the first item there is."""
-    s = statements.where("total_debt is not null").withColumn("equity", F.coalesce("equity_a", "equity_b")).select("ticker", "period_end", "period_type", "total_debt", "equity", "cash")
-    j = targets.join(s, "ticker").where("period_end <= target_date")
-    place = F.row_number().over(W.partitionBy("ticker", "target_date").orderBy(F.when(F.col("period_type") == "quarter", 0).otherwise(1), F.desc("period_end")))
-    return j.withColumn("_r", place).where("_r = 1").drop("_r")
+    sheet = F.struct("period_end", "period_type", "total_debt", F.coalesce("equity_a", "equity_b").alias("equity"), "cash")
+    quarter = F.col("period_type") == "quarter"
+    j = asof_merge(targets, statements.where("total_debt is not null"), "ticker", "target_date", "period_end", {"_quarter": (quarter, sheet), "_other": (~F.coalesce(quarter, F.lit(False)), sheet)}, limit)
+    return j.withColumn("_s", F.coalesce("_quarter", "_other")).where("_s is not null").select(*targets.columns, "_s.*")
 
 
 def debt_equity(sheets: DataFrame, snapshot: DataFrame, cap: str = "market_cap") -> DataFrame:
@@ -157,19 +180,26 @@ def debt_equity(sheets: DataFrame, snapshot: DataFrame, cap: str = "market_cap")
     return j.select("ticker", "target_date", F.when(F.col("total_debt").isNotNull(), "statement").otherwise("snapshot").alias("source"), pct(equity).alias("de_book"), pct(F.col(cap)).alias("de_market"), F.coalesce(F.abs(F.datediff("target_date", "period_end")) > 90, F.lit(False)).alias("stale"))
 
 
-def ttm_ebitda(targets: DataFrame, statements: DataFrame) -> DataFrame:
+def ttm_ebitda(targets: DataFrame, statements: DataFrame, limit: int | None = None) -> DataFrame:
     """EBITDA, else operating income plus D&A: the last 4 quarters of 400 days, fewer scaled to 4; without quarters the
-    last annual one."""
+    last annual one. A quarter carries its three predecessors along, so a target takes them from its last quarter alone."""
     value = F.coalesce("ebitda", F.col("operating_income") + F.coalesce("da", F.lit(0.0)))
     s = statements.withColumn("v", value).where("v is not null").select("ticker", "period_end", "period_type", "v")
-    j = targets.join(s, "ticker").where("period_end <= target_date")
-    w = W.partitionBy("ticker", "target_date", "period_type").orderBy(F.desc("period_end"))
-    q = j.where((F.col("period_type") == "quarter") & (F.datediff("target_date", "period_end") <= 400)).withColumn("_r", F.row_number().over(w)).where("_r <= 4")
-    q = q.groupBy("ticker", "target_date").agg(F.sum("v").alias("s"), F.count("*").alias("n"), F.max("period_end").alias("q_end"))
-    a = j.where(F.col("period_type") == "annual").groupBy("ticker", "target_date").agg(F.max_by("v", "period_end").alias("a"), F.max("period_end").alias("a_end"))
-    out = targets.join(q, ["ticker", "target_date"], "left").join(a, ["ticker", "target_date"], "left")
-    basis = F.when(F.col("n") == 4, "quarterly_ttm").when(F.col("n") > 0, "quarterly_annualized").when(F.col("a").isNotNull(), "annual")
-    return out.select("ticker", "target_date", F.coalesce(F.col("s") * 4.0 / F.col("n"), "a").alias("ebitda"), F.coalesce("q_end", "a_end").alias("period_end"), basis.alias("basis"))
+    day = day_number("period_end")
+    quarters = s.where("period_type = 'quarter'")
+    cut = cuts(quarters.select("ticker", day.alias("_o")), ["ticker"], F.col("_o"), limit)
+    dealt = with_halo(with_part(quarters, ["ticker"], day, cut), ["ticker"], [F.col("period_end"), F.col("v")], cut, 3)
+    last_four = F.collect_list(F.struct("period_end", "v")).over(W.partitionBy("ticker", PART).orderBy("period_end", "v").rowsBetween(-3, 0))
+    quarters = dealt.withColumn("_four", last_four).where("not _halo").select("ticker", "period_end", "period_type", "v", "_four")
+    rows = quarters.unionByName(s.where("period_type = 'annual'"), allowMissingColumns=True)
+    annual = F.struct("v", "period_end")
+    out = asof_merge(targets, rows, "ticker", "target_date", "period_end", {"_four": (F.col("period_type") == "quarter", F.col("_four")), "_annual": (F.col("period_type") == "annual", annual)}, limit)
+    near = F.filter("_four", lambda q: F.datediff("target_date", q["period_end"]) <= 400)
+    out = out.withColumn("_near", F.coalesce(near, F.array().cast("array<struct<period_end:date,v:double>>"))).withColumn("n", F.size("_near"))
+    total = F.aggregate("_near", F.lit(0.0), lambda a, q: a + q["v"])
+    basis = F.when(F.col("n") == 4, "quarterly_ttm").when(F.col("n") > 0, "quarterly_annualized").when(F.col("_annual").isNotNull(), "annual")
+    some = F.col("n") > 0
+    return out.select("ticker", "target_date", F.when(some, total * 4.0 / F.col("n")).otherwise(F.col("_annual.v")).alias("ebitda"), F.when(some, F.array_max(F.transform("_near", lambda q: q["period_end"]))).otherwise(F.col("_annual.period_end")).alias("period_end"), basis.alias("basis"))
 
 
 def peer_multiples(peers: DataFrame) -> DataFrame:
