@@ -6,6 +6,9 @@ sums don't depend on how rows are dealt.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,6 +16,8 @@ from pyspark.sql import Window as W
 from auditlake.sources.shared import durable
 
 E = "engagement_id"
+#: Characters of related names that a task holds in one automaton.
+BLOCK_CHARACTERS = 4_000_000
 #: Share of performance materiality above which an item is key, and confidence factor, by risk and reliance.
 KEY_RATIO = {"낮음": {"Y": 0.875, "N": 0.375}, "보통": {"Y": 0.75, "N": 0.30}, "높음": {"Y": 0.625, "N": 0.175}, "유의적위험": {"Y": 0.75, "N": 0.15}}
 CONFIDENCE = {"낮음": {"Y": 0.7, "N": 1.6}, "보통": {"Y": 1.2, "N": 2.3}, "높음": {"Y": 1.9, "N": 2.6}, "유의적위험": {"Y": 1.4, "N": 3.0}}
@@ -49,23 +54,54 @@ def bare_name(name: str) -> Column:
     return F.upper(F.regexp_replace(name, r"㈜|\(주\)|주식회사|[ ,.]", ""))
 
 
+def _holders(names: DataFrame, inside: list[tuple]) -> DataFrame:
+    """Rows (engagement_id, text) of names (engagement_id, n, text) whose n holds one of the strings `inside` (engagement_id,
+    string) of its engagement. An automaton of all strings reads each name once."""
+    shared = names.sparkSession.sparkContext.broadcast(inside)
+
+    def run(batches):
+        import ahocorasick
+
+        of: dict[str, set] = {}
+        for engagement, string in shared.value:
+            of.setdefault(string, set()).add(engagement)
+        automaton = ahocorasick.Automaton()
+        for string, engagements in of.items():
+            automaton.add_word(string, engagements)
+        automaton.make_automaton()
+        for batch in batches:
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            yield batch.filter(pa.array([any(key in found for _, found in automaton.iter(n)) for key, n in zip(keys, texts)], pa.bool_()))
+
+    return names.mapInArrow(run, names.schema).select(E, "text")
+
+
 def related_parties(parties: DataFrame, related: DataFrame) -> DataFrame:
-    """Parties whose bare name equals, contains or is contained in that of a related one of the engagement.
+    """Parties whose bare name equals, contains or is contained in that of a related one of the engagement. Names that are
+    bare of everything match nobody.
 
-    Equal names meet by equi-join. For containment a related name and a party meet on a shared piece of PIECE
-    characters of the shorter, its first ones, among all pieces of the longer; names shorter than that meet within the
-    engagement. Names that are bare of everything match nobody.
+    Related names go out in blocks of at most BLOCK_CHARACTERS to all tasks, each of which streams its parties through an
+    automaton of the block's names; so names that start alike, as those of a group do, meet under no common key. For
+    the other direction a related name is cut into its substrings of the lengths that party names of the engagement have,
+    and these meet the names by equality.
     """
-    piece = 6
     left = parties.select(E, "party", bare_name("party").alias("n")).where("n != ''").distinct()
     right = related.select(E, bare_name("name").alias("r")).where("r != ''").distinct()
-    pieces = lambda c: F.explode(F.when(F.length(c) >= piece, F.transform(F.sequence(F.lit(1), F.length(c) - piece + 1), lambda i: F.substring(F.col(c), i, F.lit(piece)))).otherwise(F.array(F.lit(""))))
-    head = lambda c: F.when(F.length(c) >= piece, F.substring(c, 1, piece))
-    holds = left.withColumn("k", pieces("n")).join(right.withColumn("k", head("r")), [E, "k"]).where(F.col("n").contains(F.col("r")))
-    held = left.withColumn("k", head("n")).join(right.withColumn("k", pieces("r")), [E, "k"]).where(F.col("r").contains(F.col("n")))
-    short_r, short_n = right.where(F.length("r") < piece), left.where(F.length("n") < piece)
-    few = left.join(short_r, E).where(F.col("n").contains(F.col("r"))).select(E, "party").union(short_n.join(right, E).where(F.col("r").contains(F.col("n"))).select(E, "party"))
-    return holds.select(E, "party").union(held.select(E, "party")).union(few).distinct()
+    size = right.agg(F.sum(F.length("r"))).first()[0] or 0
+    if size <= BLOCK_CHARACTERS:
+        blocks = [right]
+    else:  # a hash deals the names into slices of about a block each, running sums cut a slice into blocks of bounded size
+        right = durable(right)
+        before = F.sum(F.length("r")).over(W.partitionBy("_s").orderBy(E, "r")) - F.length("r")
+        dealt = durable(right.withColumn("_s", F.pmod(F.xxhash64(E, "r"), F.lit(1 + int(size // BLOCK_CHARACTERS)))).withColumn("_b", F.floor(before / BLOCK_CHARACTERS)))
+        blocks = [dealt.where((F.col("_s") == s) & (F.col("_b") == b)).select(E, "r") for s, b in dealt.select("_s", "_b").distinct().orderBy("_s", "_b").collect()]
+    names = left.select(E, "n", F.col("party").alias("text"))
+    holds = [_holders(names, [tuple(r) for r in block.collect()]) for block in blocks]
+    lengths = left.select(E, F.length("n").alias("_k")).distinct()
+    starts = F.sequence(F.lit(1), F.length("r") - F.col("_k") + 1)
+    pieces = right.join(lengths, E).where(F.col("_k") < F.length("r")).select(E, F.explode(F.transform(starts, lambda i: F.substring("r", i, F.col("_k")))).alias("n")).distinct()
+    held = left.join(pieces, [E, "n"], "left_semi").select(E, "party")
+    return reduce(DataFrame.unionByName, (h.withColumnRenamed("text", "party") for h in holds), held).distinct()
 
 
 def by_risk(matrix: dict[str, dict[str, float]]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from auditlake.sources.archives import ArchiveSource
+
 #: Header keywords of ledger fields, in order of preference.
 LEDGER_KEYWORDS = {
     "code": ["거래처코드", "고객코드", "공급업체코드", "vendorcode", "customercode", "vendor code", "customer code", "party code", "bp code", "code", "코드"],
@@ -28,7 +31,11 @@ YEAR_TOKEN = r"(?i)^\s*(?:(\d+(?:\.\d+)?)\s*(?:Y|년))?\s*(?:(\d+(?:\.\d+)?)\s*(
 
 
 def read_gl(spark: SparkSession, paths: list[str], fmt: str = "parquet", **options) -> DataFrame:
-    """Ledger files of one format, each by Spark's reader, united by column name; missing columns are null."""
+    """Ledger files of one format, each by Spark's reader, united by column name; missing columns are null. Of zip archives the
+    csv and txt members are read, all fields as text."""
+    if fmt == "zip":
+        spark.dataSource.register(ArchiveSource)
+        return spark.read.format(ArchiveSource.name()).options(paths=json.dumps(list(paths)), **options).load()
     read = {"csv": spark.read.option("header", True).csv, "txt": spark.read.option("header", True).option("sep", "\t").csv, "parquet": spark.read.parquet, "json": spark.read.json}[fmt]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (read(p, **options) for p in paths))
 
