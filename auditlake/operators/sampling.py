@@ -89,7 +89,7 @@ def related_parties(parties: DataFrame, related: DataFrame) -> DataFrame:
     right = related.select(E, bare_name("name").alias("r")).where("r != ''").distinct()
     size = right.agg(F.sum(F.length("r"))).first()[0] or 0
     if size <= BLOCK_CHARACTERS:
-        blocks = [right]
+        blocks = [right] if size else []
     else:  # a hash deals the names into slices of about a block each, running sums cut a slice into blocks of bounded size
         right = durable(right)
         before = F.sum(F.length("r")).over(W.partitionBy("_s").orderBy(E, "r")) - F.length("r")
