@@ -285,7 +285,7 @@ def has_long_space(t: str) -> bool:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", key: str = "doc_id", text: str = "text", end_id: int = END_ID, slice_bytes: int = SLICE_BYTES) -> None:
     """Encode every whole text, null as empty, append end_id, and write the ids in ascending key order, null first.
 
     Texts are dealt by range of key, the one shuffle; each task packs its range into files of about FILE_IDS ids. Rows
@@ -315,7 +315,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
 
         try:
             for batch in batches:
-                for some in byte_slices(batch, SLICE_BYTES):
+                for some in byte_slices(batch, slice_bytes):
                     for k, ids in zip(some.column(0).to_pylist(), encoder.encode([t or "" for t in strings(some.column(1))])):
                         held.append(ids + end)
                         keys.append(k)
@@ -367,11 +367,12 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> Dat
     return docs.join(offsets, ["part", "seq"]).select(F.col("key").alias(key), (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The documents' places in token files, which are written to `path` or a new folder of the shared one."""
+def tokenize(docs: DataFrame, path: str | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The documents' places in token files, which are written to `path` or a new folder of the shared one. Of smaller slices a
+    task holds less at once and knows fewer parts of texts from before."""
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/token_files-{uuid.uuid4().hex}"
-    write_token_files(docs, path)
+    write_token_files(docs, path, slice_bytes=slice_bytes)
     return read_token_files(spark, path)
 
 
