@@ -14,9 +14,13 @@ from auditlake.llm.common import bounded_batches, durable
 
 CURVES, DIMENSIONS, BITS = 6, 8, 8
 #: Vectors of one key window; a query looks through its own and the two next to it on each curve.
-WINDOW = 2048
+WINDOW = 4096
+#: Bytes of placed vectors in one range of the curves, which a task streams; how many windows it holds doesn't matter.
+RANGE_BYTES = 128 << 20
 #: Bytes of queries held by a task at once, and rows of them and of vectors that meet at once.
-QUERY_BYTES, ROW_BLOCK, QUERY_STEP = 16 << 20, 1024, 2048
+QUERY_BYTES, ROW_BLOCK, QUERY_STEP = 16 << 20, 1024, 512
+#: What a row of the search is: a pair, a row of the window before or after the edge of two ranges, a vector.
+FOUND, EARLIER, LATER, ROW = range(4)
 #: Inner products from a matrix product are taken up to this, then computed anew one by one.
 SLACK = 1e-9
 
@@ -64,13 +68,14 @@ class Curves:
 
 
 def best_pairs(q_ids, q, ids, v, k: int, floor: np.ndarray | None = None):
-    """(query, vector, score) of each query's k largest inner products, not below its floor; ties to smaller ids."""
-    out = []
+    """(query, vector, score) of each query's k largest inner products, not below its floor; ties to smaller ids. An id that
+    repeats, on either side, counts once, at its best score."""
+    out, most = [], k * int(np.unique(ids, return_counts=True)[1].max()) if len(ids) else k
     for a in range(0, len(q), QUERY_STEP):
         qs, qi = q[a : a + QUERY_STEP], q_ids[a : a + QUERY_STEP]
         s = qs @ v.T
         s[qi[:, None] == ids[None, :]] = -np.inf  # the query's own row
-        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(qs), -np.inf)
+        least = np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most] if s.shape[1] > most else np.full(len(qs), -np.inf)
         if floor is not None:
             least = np.maximum(least, floor[a : a + QUERY_STEP])
         i, j = np.nonzero((s >= (least - SLACK)[:, None]) & (s > -np.inf))
@@ -81,6 +86,10 @@ def best_pairs(q_ids, q, ids, v, k: int, floor: np.ndarray | None = None):
     x, y, s = (np.concatenate(c) for c in zip(*out))
     order = np.lexsort((y, -s, x))
     x, y, s = x[order], y[order], s[order]
+    if most > k or len(np.unique(q_ids)) < len(q_ids):
+        best = np.zeros(len(x), bool)
+        best[np.unique(np.stack([x, y]), axis=1, return_index=True)[1]] = True  # the first of each pair
+        x, y, s = x[best], y[best], s[best]
     starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
     rank = np.arange(len(x)) - np.repeat(starts, np.diff(np.r_[starts, len(x)]))
     return x[rank < k], y[rank < k], s[rank < k]
@@ -91,10 +100,26 @@ def _matrix(column, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.float64).reshape(len(column), -1)
 
 
-def _distinct(table, kind: str):
-    """Ids and vectors of a group's rows, each pair once: a window may hold a vector by several curves."""
-    ids, data = zip(*dict.fromkeys(zip(table.column("vec_id").to_pylist(), table.column("v").to_pylist())))
-    return np.array(ids, np.int64), np.frombuffer(b"".join(data), kind).astype(np.float64).reshape(len(ids), -1)
+def _distinct(ids: np.ndarray, v: np.ndarray):
+    """Ids and vectors with each pair once: ids may repeat, and windows where a curve ends and the next one starts hold
+    vectors of both."""
+    if len(np.unique(ids)) == len(ids):
+        return ids, v
+    first = list({(i, x.tobytes()): at for at, (i, x) in enumerate(zip(ids.tolist(), v))}.values())
+    return ids[first], v[first]
+
+
+def _windows(batches, size: int, kind: str):
+    """(ids, vectors) of each `size` rows of a sorted stream of (vec_id, v, ...), the last window with what is left."""
+    ids, data = [], []
+    for batch in batches:
+        ids += batch.column(0).to_pylist()
+        data += batch.column(1).to_pylist()
+        while len(ids) >= size:
+            yield np.array(ids[:size], np.int64), np.frombuffer(b"".join(data[:size]), kind).reshape(size, -1)
+            ids, data = ids[size:], data[size:]
+    if ids:
+        yield np.array(ids, np.int64), np.frombuffer(b"".join(data), kind).reshape(len(ids), -1)
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -110,10 +135,11 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, exact: bool = True, curves: int = CURVES, window: int = WINDOW) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by inner product for each row whose id is divisible by `every`.
 
-    Each vector gets keys on `curves` shifted Hilbert curves of random projections. (curve, key, hash of id) is range
-    partitioned into windows of about `window` rows; a query meets its own window and both neighbours on every curve, in
-    double precision, and the windows' best merge: that is the index's answer, and all of it if not `exact`. The hash
-    splits equal keys, so a vector that many rows share fills many windows.
+    Each vector gets keys on `curves` shifted Hilbert curves of random projections. The curves, one after the other, are
+    cut into ranges of (curve, key, hash of id) of about RANGE_BYTES, and each task streams its range in windows of
+    `window` rows: a query meets its own window and both neighbours on every curve, in double precision. The first and
+    the last window of a range go to the ranges beside it. The windows' best merge: that is the index's answer, and all
+    of it if not `exact`. The hash splits equal keys, so a vector that many rows share fills many windows.
 
     With `exact`, a check follows for vectors without structure, where no fixed number of windows holds the nearest: the
     k-th score found is a floor, and queries, in blocks of QUERY_BYTES one after the other, meet each block of rows
@@ -144,26 +170,82 @@ def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c, np.int32)), pa.array(keys), ids, data], names=["curve", "key", "vec_id", "v"])
 
     placed = rows.mapInArrow(place, "curve int, key long, vec_id long, v binary")
-    windows = curves * -(-shape.n // window)
-    held = durable(placed.repartitionByRange(windows, "curve", "key", F.xxhash64("vec_id")).withColumn("window", F.spark_partition_id()))
-    asked = held.where(F.col("vec_id") % every == 0).select(F.explode(F.array(*(F.col("window") + i for i in (-1, 0, 1)))).alias("window"), "vec_id", "v")
+    width = shape.d * int(kind[-1]) + 24
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), curves * shape.n * width // RANGE_BYTES)
+    ranges = max(1, min(ranges, curves * shape.n // (2 * window)))  # two windows at least, where the table is small
+    order = ["curve", "key", F.xxhash64("vec_id"), "vec_id"]
+    dealt = placed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("vec_id", "v", "curve", F.spark_partition_id().alias("part"))
 
-    def meet(left, right):
+    def search(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def out(kind_of, n, query_id=None, vec_id=None, score=None, edge=None, v=None):
+            columns = [pa.array(np.full(n, kind_of, np.int32))]
+            for x, t in ((query_id, pa.int64()), (vec_id, pa.int64()), (score, pa.float64()), (edge, pa.int32()), (v, pa.binary())):
+                columns.append(pa.nulls(n, t) if x is None else x if isinstance(x, pa.Array) else pa.array(x, t))
+            return pa.RecordBatch.from_arrays(columns, names=["kind", "query_id", "vec_id", "score", "edge", "v"])
+
+        def edge(kind_of, at, rows):
+            return out(kind_of, len(rows[0]), vec_id=rows[0], edge=np.full(len(rows[0]), at, np.int32), v=[x.tobytes() for x in rows[1]])
+
+        def met(middle, beside):
+            """The queries of `middle` among its rows and those beside it."""
+            asks = middle[0] % every == 0
+            if asks.any():
+                q_ids, q = _distinct(middle[0][asks], middle[1][asks].astype(np.float64))
+                ids, v = _distinct(np.concatenate([w[0] for w in beside]), np.concatenate([w[1] for w in beside]).astype(np.float64))
+                x, y, s = best_pairs(q_ids, q, ids, v, k)
+                yield out(FOUND, len(x), x, y, s)
+
+        part, near, first = None, [], []  # range, last windows up to three, rows of the first curve to be written
+
+        def stream():
+            nonlocal part
+            for batch in batches:
+                if batch.num_rows:
+                    part = batch.column(3)[0].as_py()
+                    if exact:
+                        first.append(batch.filter(pc.equal(batch.column(2), 0)))
+                    yield batch
+
+        for w in _windows(stream(), window, kind):
+            while first:
+                rows = first.pop(0)
+                yield out(ROW, rows.num_rows, vec_id=rows.column(0), v=rows.column(1))
+            if not near:
+                yield edge(LATER, part, w)
+            near = [*near[-2:], w]
+            if len(near) > 1:
+                yield from met(near[-2], near)
+        if near:
+            yield edge(EARLIER, part + 1, near[-1])
+            yield from met(near[-1], near[-2:])
+
+    crossed = durable(dealt.mapInArrow(search, "kind int, query_id long, vec_id long, score double, edge int, v binary"))
+
+    def meet(table):
+        """Queries of the window before an edge among the rows of the one after it, and the other way round."""
         import pyarrow as pa
 
-        x, y, s = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        if len(left) and len(right):
-            (ids, v), (q_ids, q) = _distinct(left, kind), _distinct(right, kind)
-            x, y, s = best_pairs(q_ids, q, ids, v, k)
+        sides = table.column("kind").to_numpy()
+        ids, v = table.column("vec_id").to_numpy(), _matrix(table.column("v"), kind)
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for a, b in ((EARLIER, LATER), (LATER, EARLIER)):
+            asks = (sides == a) & (ids % every == 0)
+            if asks.any() and (sides == b).any():
+                parts.append(best_pairs(*_distinct(ids[asks], v[asks]), *_distinct(ids[sides == b], v[sides == b]), k))
+        x, y, s = (np.concatenate(c) for c in zip(*parts))
         return pa.table({"query_id": x, "vec_id": y, "score": s})
 
-    met = held.select("window", "vec_id", "v").groupBy("window").cogroup(asked.groupBy("window")).applyInArrow(meet, result)
+    edges = crossed.where(F.col("kind").isin(EARLIER, LATER)).select("edge", "kind", "vec_id", "v").groupBy("edge").applyInArrow(meet, result)
+    met = crossed.where(F.col("kind") == FOUND).select("query_id", "vec_id", "score").unionByName(edges)
     place_of = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     top = lambda df: df.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", place_of).where(F.col("rank") <= k)
     found = durable(top(met))
     if exact:
         floor = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-        base = held.where("curve = 0").select("vec_id", "v")
+        base = crossed.where(F.col("kind") == ROW).select("vec_id", "v")  # in the order of the first curve
         queries = durable(base.where(F.col("vec_id") % every == 0).join(floor, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "floor"))
         blocks = -(-queries.count() * shape.d * 8 // QUERY_BYTES)
         parts = [found.select("query_id", "vec_id", "score")]

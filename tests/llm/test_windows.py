@@ -55,3 +55,37 @@ def test_repeated_ids_and_one_vector_shared_by_most(spark):
     by = {q: sorted((r.rank, r.vec_id) for r in rows if r.query_id == q) for q in {r.query_id for r in rows}}
     assert set(by) == {0, 40, 80, 120, 160}
     assert [i for _, i in by[0]] == list(range(1, 21)) and [i for _, i in by[40]] == list(range(20))  # ties to smaller ids, each id once
+
+
+def test_ids_repeat_with_other_vectors(spark):
+    v = np.random.default_rng(5).standard_normal((90, 8)).astype(np.float32)
+    ids = [i % 30 for i in range(90)]  # each id three times, queries too
+    df = spark.createDataFrame([(i, [float(z) for z in x]) for i, x in zip(ids, v)], "vec_id long, embedding array<float>")
+    got, want = {}, {}
+    for r in ann.nearest(df, every=10, k=6, window=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    for q in (0, 10, 20):
+        best = {}
+        for a in range(q, 90, 30):
+            for b in range(90):
+                if ids[b] != q:
+                    best[ids[b]] = max(best.get(ids[b], -np.inf), float(v[a].astype(float) @ v[b].astype(float)))
+        want[q] = [(i, round(s, 9)) for i, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:6]]
+    assert got == want
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_ranges_and_windows_are_apart(spark, monkeypatch, ranges):
+    """However many ranges the curves are cut into, a query meets the windows before and after its own."""
+    monkeypatch.setattr(ann, "RANGE_BYTES", max(1, 2 * 500 * (32 * 4 + 24) // ranges))
+    v = clustered(500)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        rows = ann.nearest(frame(spark, v), every=20, exact=False, curves=2, window=30).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want, got = nearest_by_brute_force(v, 20, 20), {}
+    for r in rows:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert {len(x) for x in got.values()} == {20} and np.mean([len(got[q] & set(want[q])) / 20 for q in want]) > 0.5
