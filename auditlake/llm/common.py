@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 BROADCAST_ROWS = 1_000_000
 #: Bytes of a batch that Spark sends to Python, and of one that become Python objects at once.
 BATCH_BYTES, SLICE_BYTES = 4 << 20, 5 << 20
+#: Bytes of a row group of a durable table, which its writer holds and of which its reader holds the columns, and rows that
+#: a reader makes of it at once: Spark's defaults, 128 MB and 4,096 rows, hold much of a heap if texts are long.
+GROUP_BYTES, READ_ROWS = 16 << 20, 512
 
 # Bytes that belong to no word become spaces and A-Z become a-z, so split() gives the words
 # [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the lower-cased text (all bytes from 0x80 on belong to words).
@@ -44,7 +47,7 @@ def durable(df: DataFrame, kept: bool = False) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     if _MADE and not kept:
         _MADE[-1].append(path)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -97,10 +100,12 @@ def byte_slices(batch: pa.RecordBatch, most: int = SLICE_BYTES):
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Have this session send Python batches of about BATCH_BYTES, however long the texts are, unless it has a setting of its
-    own: Spark's default bounds a batch's rows alone, and Spark's side and Python's each hold a batch a task."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Have this session send Python batches of about BATCH_BYTES, however long the texts are, and read Parquet in batches of
+    READ_ROWS, unless it has settings of its own: Spark's defaults bound rows alone, and Spark's side and Python's each hold
+    a batch a task."""
+    for name, value, usual in (("execution.arrow.maxBytesPerBatch", BATCH_BYTES, None), ("parquet.columnarReaderBatchSize", READ_ROWS, "4096")):
+        if spark.conf.get(f"spark.sql.{name}", None) in (None, usual):
+            spark.conf.set(f"spark.sql.{name}", str(value))
 
 
 def lean_memory() -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from auditlake.llm.common import durable, running_sums
+from auditlake.llm.common import bounded_batches, durable, running_sums, small_side
 
 SIZE_WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -53,6 +53,7 @@ def mix_sources(docs: DataFrame, source: str = "source", size=None, key: str = "
     place in its range plus the counts of the ranges before. Null sources are one source. Null texts have size 0 and
     take 0 words; a source of size 0 has target 0. Repeated rows count each. Empty input gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     row = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc")
     size = F.coalesce(F.regexp_count(docs["text"], F.lit(SIZE_WORDS)), F.lit(0)).cast("long") if size is None else size
     order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("key").asc_nulls_first()]
@@ -75,8 +76,9 @@ def mix_sources(docs: DataFrame, source: str = "source", size=None, key: str = "
     offset = F.conv(F.substring(drawn, 1, 5), 16, 10).cast("double") / F.lit(float(16**5))
     rank = F.col("at") - F.col("first") + F.col("before")  # from 0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    # a row a range and source: with a checked size they go out to the documents, which aren't shuffled anew
     return (
-        dealt.join(offsets, (F.col("part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s")))
+        dealt.join(small_side(durable(offsets)), (F.col("part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s")))
         .withColumn("copies", F.floor((rank + 1) * rate + offset) - F.floor(rank * rate + offset))
         .select("doc", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
