@@ -14,8 +14,8 @@ from auditlake.llm.common import arrow_columns, field, fresh, utf8
 #: Labelled documents that are fitted and broadcast at most, those of the smallest hash of their id; 4,000 vectors of
 #: RANK float32 are under 1 MB.
 SAMPLE, RANK, NEIGHBOURS, SHARPNESS, THRESHOLD = 4000, 32, 9, 4, 0.3
-#: Documents whose cosines are computed at once, and bytes of a text whose terms are counted at once.
-BLOCK, PIECE = 256, 1 << 20
+#: Documents whose cosines are computed at once, bytes of a long text whose terms are counted at once, and of short texts.
+BLOCK, PIECE, PACK = 256, 1 << 20, 1 << 18
 
 # The terms: hashed runs of three bytes, hashed words, pairs of neighbouring character kinds, and four of the whole text.
 GRAMS, WORDS, PAIRS = 1024, 512, 256
@@ -28,42 +28,76 @@ _BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 _A, _B, _C = (np.uint32(x) for x in (2654435761, 2246822519, 3266489917))
 
 
-def _counts(b: np.ndarray) -> np.ndarray:
-    """How often each gram, word and kind pair stands in a piece of text."""
-    x = b.astype(np.uint32)
+def _counts(parts: list[bytes], of: list[int], n: int) -> np.ndarray:
+    """How often each gram, word and kind pair stands in the parts of each of n texts; part i is of text of[i]. No part is
+    empty, and none of a run of bytes, a word or a pair spans two parts."""
+    b = np.frombuffer(b"".join(parts), np.uint8)
+    x, size = b.astype(np.uint32), np.array([len(p) for p in parts])
+    owner, end = np.repeat(np.array(of, np.int64), size), np.cumsum(size)
     gram = ((x[:-2] * _A) ^ (x[1:-1] * _B) ^ (x[2:] * _C)) * _A >> np.uint32(22)
-    kind = _KIND[b]
-    blank = _BLANK[b]
-    starts = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
-    word = np.zeros(0, np.uint32)
+    gram = owner[:-2] * GRAMS + gram
+    # what begins at a part's end goes to a bin after all others
+    edges = np.concatenate([end - 1, end - 2])
+    gram[edges[(edges >= 0) & (edges < len(gram))]] = n * GRAMS
+    kind, blank = _KIND[b], _BLANK[b]
+    pair = owner[:-1] * PAIRS + (kind[:-1] * 16 + kind[1:])
+    pair[end[:-1] - 1] = n * PAIRS
+    first = ~blank
+    first[1:] &= blank[:-1]
+    heads = end[:-1]
+    first[heads] = ~blank[heads]
+    starts = np.flatnonzero(first)
+    word = np.zeros(0, np.int64)
     if len(starts):
         # a word's hash is the sum of a hash of each byte and its place in the word
-        at = np.arange(starts[0], len(b)) - np.repeat(starts, np.diff(np.r_[starts, len(b)]))
+        at = np.arange(starts[0], len(b)) - np.repeat(starts, np.diff(starts, append=len(b)))
         mixed = (x[starts[0] :] + np.uint32(1)) * (_A * (at.astype(np.uint32) * np.uint32(2) + np.uint32(1)))
         mixed = (mixed ^ (mixed >> np.uint32(15))) * _B
         mixed[blank[starts[0] :]] = 0
-        word = np.add.reduceat(mixed, starts - starts[0], dtype=np.uint32) * _A >> np.uint32(23)
-    pair = kind[:-1] * 16 + kind[1:]
-    return np.concatenate([np.bincount(gram, minlength=GRAMS), np.bincount(word, minlength=WORDS), np.bincount(pair, minlength=PAIRS)]).astype(np.float64)
+        word = owner[starts] * WORDS + (np.add.reduceat(mixed, starts - starts[0], dtype=np.uint32) * _A >> np.uint32(23))
+    counted = ((gram, GRAMS), (word, WORDS), (pair, PAIRS))
+    return np.concatenate([np.bincount(v, minlength=n * k)[: n * k].reshape(n, k) for v, k in counted], 1)
+
+
+def all_terms(texts: list[bytes | None]) -> np.ndarray:
+    """Documents' term weights, a row each: square roots of the shares of its grams, words and kind pairs, each of their own
+    kind, and those of repetition (words like the one before, words seen before), of the number of words and of their
+    length. Whole texts are counted: short ones together, about PACK bytes at once, long ones in pieces of PIECE bytes, a
+    word on the edge of two counting as two. Zeros for null, empty and blank texts."""
+    counts, rest, worded = np.zeros((len(texts), GRAMS + WORDS + PAIRS)), np.zeros((len(texts), 4)), []
+    for i, text in enumerate(texts):
+        if w := text.split() if text else []:
+            n, distinct = len(w), len(set(w))
+            rest[i] = sum(map(eq, w, w[1:])) / n, 1 - distinct / n, np.log1p(n), min(1.0, len(text) / n / 40)
+            worded.append(i)
+    parts, of, held = [], [], 0
+
+    def count():
+        low = of[0]
+        got = _counts(parts, [i - low for i in of], of[-1] + 1 - low)
+        counts[low : of[-1] + 1] += got
+
+    for i in worded:
+        for a in range(0, len(texts[i]), PIECE):
+            piece = texts[i][a : a + PIECE]
+            if parts and held + len(piece) > PACK:
+                count()
+                parts, of, held = [], [], 0
+            parts.append(piece)
+            of.append(i)
+            held += len(piece)
+    if parts:
+        count()
+    for part in np.split(counts, (GRAMS, GRAMS + WORDS), axis=1):
+        part /= np.maximum(1.0, part.sum(1, keepdims=True))
+    rest[:, (0, 1, 3)] = np.sqrt(rest[:, (0, 1, 3)])
+    rest[:, 2] /= 10
+    return np.concatenate([np.sqrt(counts), rest], 1).astype(np.float32)
 
 
 def terms(text: bytes | None) -> np.ndarray:
-    """A document's term weights: square roots of the shares of its grams, words and kind pairs, each of their own kind, and
-    those of repetition (words like the one before, words seen before), of the number of words and of their length. Whole
-    texts are counted, in pieces of PIECE bytes, a word on the edge of two counting as two. Zeros for null and empty
-    texts."""
-    out = np.zeros(N_TERMS, np.float32)
-    w = text.split() if text else []
-    if not w:
-        return out
-    whole = np.frombuffer(text, np.uint8)
-    counts = sum((_counts(whole[a : a + PIECE]) for a in range(0, len(whole), PIECE)), np.zeros(GRAMS + WORDS + PAIRS))
-    for part in np.split(counts, (GRAMS, GRAMS + WORDS)):
-        part /= max(1.0, part.sum())
-    out[:-4] = np.sqrt(counts)
-    n, distinct = len(w), len(set(w))
-    out[-4:] = np.sqrt(sum(map(eq, w, w[1:])) / n), np.sqrt(1 - distinct / n), np.log1p(n) / 10, np.sqrt(min(1.0, len(text) / n / 40))
-    return out
+    """One document's term weights."""
+    return all_terms([text])[0]
 
 
 class Model:
@@ -111,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         .limit(sample)
     )
     rows = docs.select(docs[key].alias("_id"), docs[text].alias("text")).join(F.broadcast(chosen), F.col("_id") == F.col("_k")).select("_k", "_y", "text")
-    got = arrow_columns(rows, lambda b: [[terms(t).tobytes() for t in utf8(b.column(2))]], [field("x", T.BinaryType())], drop=("text",))
+    got = arrow_columns(rows, lambda b: [[x.tobytes() for x in all_terms(utf8(b.column(2)))]], [field("x", T.BinaryType())], drop=("text",))
     got = got.orderBy(F.xxhash64("_k"), "_k").limit(sample).collect()  # bounded by `sample`
     return Model(np.frombuffer(b"".join(r.x for r in got), np.float32).reshape(-1, N_TERMS), np.array([r["_y"] for r in got], np.float32))
 
@@ -123,7 +157,7 @@ def with_quality(docs: DataFrame, model: Model, text: str = "text", drop: tuple[
 
     def make(batch):
         t = utf8(batch.column(batch.schema.get_field_index(text)))
-        blocks = [shared.value.score(np.stack([terms(x) for x in t[i : i + BLOCK]])) for i in range(0, len(t), BLOCK)]
+        blocks = [shared.value.score(all_terms(t[i : i + BLOCK])) for i in range(0, len(t), BLOCK)]
         return [np.concatenate(blocks).tolist() if blocks else []]
 
     return arrow_columns(docs, make, [field(name, T.DoubleType())], drop=drop), name
