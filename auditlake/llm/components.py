@@ -37,9 +37,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): for each node of the edges the smallest node that it is connected to; loops alone give no row.
 
     Alternating large-star and small-star steps: each joins edges to their node's smallest neighbour, found by a
-    map-side combined min, and replaces them, until every edge points to a root. Edges never become more, and each
-    round is written to the shared folder, the round before it deleted. A node of many edges, as the root of a large
-    group becomes, is looked up from a broadcast (look_up), so its edges needn't meet in a task.
+    map-side combined min, and replaces them, until every edge points to a root, which the table of smallest neighbours
+    tells before a step is made. Edges never become more, and each round is written to the shared folder, the round before
+    it deleted. A node of many edges, as the root of a large group becomes, is looked up from a broadcast (look_up), so its
+    edges needn't meet in a task.
     """
     spent: list[DataFrame] = []
 
@@ -48,10 +49,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         return spent[-1]
 
     now = kept(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
-    mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = kept(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")))
+        # edges are distinct: where no node with a smaller neighbour has a second one, those neighbours are roots
+        if not low.agg(F.max(F.expr("m < u and n > 1"))).first()[0]:
+            return low.select(F.col("u").alias("node"), F.col("m").alias("root"))
         # large star: larger neighbours point to the smallest one
         large = look_up(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         large = kept(large.distinct())
@@ -59,10 +62,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         least = kept(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = look_up(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = kept(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
-        got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         for old in spent[:-1]:
             forget(old)
         del spent[:-1]
-        if got == mark:
-            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = got
