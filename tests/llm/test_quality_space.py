@@ -42,6 +42,19 @@ def test_pieces_add_up(monkeypatch):
     assert quality.terms(text) == pytest.approx(whole, abs=0.1) and not quality.terms(b"").any() and not quality.terms(None).any()
 
 
+@pytest.mark.parametrize("pack", [1, 9, 1 << 18])
+def test_texts_counted_together_are_as_alone(monkeypatch, pack):
+    monkeypatch.setattr(quality, "PACK", pack)
+    rng = random.Random(7)
+    texts = [None, b"", b" ", b"a", b"ab", b"\n", b"x ", b" x"] + [bytes(rng.choice(b" \nabZ9.\xc3") for _ in range(rng.randrange(12))) for _ in range(300)]
+    got = quality.all_terms(texts)
+    for text, row in zip(texts, got):
+        alone = np.zeros(quality.N_TERMS - 4)
+        if text and text.split():
+            alone = np.concatenate([np.sqrt(np.array(c) / max(1, sum(c))) for c in brute(text)])
+        assert row[:-4] == pytest.approx(alone, abs=1e-6) and row.any() == bool(text and text.split())
+
+
 def test_axes_are_the_singular_vectors():
     rng = np.random.default_rng(3)
     x = (rng.random((200, quality.N_TERMS)) ** 4 * (rng.random((200, 1)) + 0.5)).astype(np.float32)
