@@ -264,5 +264,6 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, KINDS))
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, (s[1] + 1).cast("int")), s[0].cast("string"), s[2].cast("string"))), ",")
     base = F.filter("spans", lambda s: s[1] < 4)
-    n = [F.size(F.filter("spans", lambda s, k=k: s[1] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    of = lambda k: F.filter("spans", lambda s: s[1] == k)  # noqa: E731 (a second argument would be the element's index)
+    n = [F.size(of(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
     return found.select("doc_id", *n, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
