@@ -98,18 +98,25 @@ def fcff(years: DataFrame) -> DataFrame:
     return years.withColumn("fcff", F.col("ebit") * (1 - F.col("tax")) + F.col("da") - F.col("capex") - F.col("dnwc"))
 
 
+def discounted(companies: DataFrame, years: DataFrame, bumps: dict[str, float], mid_year: bool = False) -> DataFrame:
+    """Per company with years its cash flows' present value at each bump of its cost of capital, the last flow and EBITDA,
+    and the last year n."""
+    flows = fcff(years).join(companies.select("company_id", F.col("wacc").cast("double").alias("w")).hint("merge"), "company_id")
+    t = F.col("yr") - (0.5 if mid_year else 0.0)
+    values = [F.sum(F.col("fcff") * F.pow(1 / (1 + (F.col("w") + a)), t)).alias(name) for name, a in bumps.items()]
+    return flows.groupBy("company_id").agg(*values, F.max_by("fcff", "yr").alias("last"), F.max_by(F.col("ebit") + F.col("da"), "yr").alias("ebitda"), F.max("yr").alias("n"))
+
+
 def dcf_value(companies: DataFrame, years: DataFrame, method: str = "gordon", weight_gordon: float = 0.5, mid_year: bool = False) -> DataFrame:
     """Per company explicit and terminal present value, enterprise and equity value, price, and error or warning.
 
     The terminal value is Gordon growth, an EBITDA multiple, or both weighed; it is discounted like the last year. A
     growth of at least the cost of capital, or no years, is an error; a negative equity prices at 0 with a warning.
     """
-    flows = fcff(years).join(companies.select("company_id", F.col("wacc").cast("double").alias("w")), "company_id")
-    t = F.col("yr") - (0.5 if mid_year else 0.0)
-    sums = flows.groupBy("company_id").agg(F.sum(F.col("fcff") * F.pow(1 / (1 + F.col("w")), t)).alias("pv_explicit"), F.max_by("fcff", "yr").alias("last"), F.max_by(F.col("ebit") + F.col("da"), "yr").alias("ebitda"), F.max("yr").alias("n"))
-    j = companies.withColumns({c: F.col(c).cast("double") for c in ("wacc", "growth", "multiple")}).join(sums, "company_id", "left")
+    sums = discounted(companies, years, {"pv_explicit": 0.0}, mid_year)
+    j = companies.withColumns({c: F.col(c).cast("double") for c in ("wacc", "growth", "multiple")}).join(sums.hint("merge"), "company_id", "left")
     g, w = F.col("growth"), F.col("wacc")
-    gordon, multiple = F.col("last") * (1 + g) / (w - g), F.col("ebitda") * F.col("multiple")
+    gordon, multiple = F.col("last") * (1 + g) / F.nullif(w - g, F.lit(0.0)), F.col("ebitda") * F.col("multiple")
     tv = {"gordon": gordon, "multiple": multiple, "weighted": gordon * weight_gordon + multiple * (1 - weight_gordon)}[method]
     bad = F.when(F.col("n").isNull(), "no cash flows").when(w <= g, "wacc not above growth")
     out = j.withColumn("error", bad).withColumn("pv_terminal", tv * F.pow(1 / (1 + w), F.col("n") - (0.5 if mid_year else 0.0)))
@@ -226,12 +233,22 @@ def scenario_grid(deals: DataFrame, forwards: DataFrame, coupons: DataFrame, spr
 
 
 def dcf_scenarios(companies: DataFrame, years: DataFrame, waccs: tuple[float, ...] = (-0.01, 0.0, 0.01), growths: tuple[float, ...] = (-0.005, 0.0, 0.005)) -> DataFrame:
-    """dcf_value's equity under bumps of cost of capital and growth."""
-    bumps = F.array(*(F.struct(F.lit(a).alias("wacc_bump"), F.lit(b).alias("growth_bump")) for a in waccs for b in growths))
-    wide = companies.withColumn("_b", F.explode(bumps)).select("*", "_b.*").drop("_b").withColumn("_c", F.col("company_id"))
-    wide = wide.withColumn("company_id", F.concat_ws("|", F.col("_c").cast("string"), F.col("wacc_bump").cast("string"), F.col("growth_bump").cast("string"))).withColumn("wacc", F.col("wacc").cast("double") + F.col("wacc_bump")).withColumn("growth", F.col("growth").cast("double") + F.col("growth_bump"))
-    flows = wide.select("company_id", "_c").join(years.withColumnRenamed("company_id", "_c"), "_c").drop("_c")
-    return dcf_value(wide, flows).join(wide.select("company_id", "_c", "wacc_bump", "growth_bump"), "company_id").select(F.col("_c").alias("company_id"), "wacc_bump", "growth_bump", "equity_value", "error")
+    """dcf_value's equity under bumps of cost of capital and growth.
+
+    Growth bears on the terminal value alone, so a company is one row with a present value for each cost of capital; bumps
+    become rows in the end. Companies and years meet by sorted shuffles: Spark's estimate of a few columns of a compressed
+    file would have it broadcast millions of rows.
+    """
+    sums = discounted(companies, years, {f"_pv{i}": a for i, a in enumerate(waccs)})
+    j = companies.join(sums.hint("merge"), "company_id", "left")
+
+    def cell(i: int, a: float, b: float) -> Column:
+        w, g = F.col("wacc").cast("double") + a, F.col("growth").cast("double") + b
+        error = F.when(F.col("n").isNull(), "no cash flows").when(w <= g, "wacc not above growth")
+        equity = F.col(f"_pv{i}") + F.col("last") * (1 + g) / F.nullif(w - g, F.lit(0.0)) * F.pow(1 / (1 + w), F.col("n").cast("double")) - F.col("net_debt")
+        return F.struct(F.lit(float(a)).alias("wacc_bump"), F.lit(float(b)).alias("growth_bump"), F.when(error.isNull(), equity).alias("equity_value"), error.alias("error"))
+
+    return j.select("company_id", F.inline(F.array(*(cell(i, a, b) for i, a in enumerate(waccs) for b in growths))))
 
 
 def covenant_monitor(prices: DataFrame, trigger: float = 0.9, floor: float = 0.7, barrier: float = 1.2, window: int = 10, count: int = 6, average: int = 3, knock_in: float = 0.8, every: int = 5, rows: int | None = None) -> DataFrame:
