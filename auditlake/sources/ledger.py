@@ -269,6 +269,17 @@ def unpivot_prices(df: DataFrame, date: str = "date") -> DataFrame:
     return long.withColumn("close", F.translate(F.trim("raw"), ",", "").try_cast("double")).where("close is not null").select("ticker", date, "close")
 
 
+def unpivot_price_sheets(sheets: DataFrame, headers: DataFrame, keys: list[str], date: str = "date") -> DataFrame:
+    """unpivot_prices for any number of wide tables at once: sheets has their rows (keys, date, and a column a place),
+    headers one row a sheet (keys) with the ticker of each place, null where it has none. The tickers may be as many as
+    they like, since a sheet's places alone are columns."""
+    places = [c for c in headers.columns if c not in keys]
+    row = lambda name: F.array(*(F.col(f"`{c}`").cast("string") for c in places)).alias(name)
+    both = sheets.select(*keys, date, row("raw")).join(headers.select(*keys, row("ticker")), keys)
+    long = both.select(date, F.inline(F.arrays_zip("ticker", "raw")))
+    return long.withColumn("close", F.translate(F.trim("raw"), ",", "").try_cast("double")).where("close is not null and ticker is not null").select("ticker", date, "close")
+
+
 def years_of(token: Column) -> Column:
     """Years of 3M, 1.5Y, 1Y6M, 3개월, 1년; else null."""
     y, m = (F.regexp_extract(token, YEAR_TOKEN, i).try_cast("double") for i in (1, 2))
