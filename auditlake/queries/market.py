@@ -33,7 +33,7 @@ def clean(t: Tables):
 
 
 query("mkt_clean_closes", lambda t: clean(t), f"with {CLEAN}\nselect ticker, cast(date as varchar) as date, close, volume from cl")
-query("mkt_clean_counts", lambda t: m.clean_counts(t.prices.withColumn("volume", F.when(F.col("volume") > 2, 0).otherwise(F.col("volume")))), "select ticker, count(*) filter (where close > 0 and volume <= 2) as kept, count(*) filter (where volume > 2) as removed from {prices} group by 1")
+query("mkt_clean_counts", lambda t: m.clean_counts(t.prices.withColumn("volume", F.when(F.col("volume") > 2, 0).otherwise(F.col("volume")))), "select ticker, count(*) filter (where close > 0 and not isnan(close) and volume <= 2) as kept, count(*) filter (where not coalesce(close > 0 and not isnan(close) and volume <= 2, false)) as removed from {prices} group by 1")
 query("mkt_historical_vol", lambda t: r(m.historical_vol(clean(t))), f"with {vol_sql('252')}\n{HV}")
 query("mkt_historical_vol_simple", lambda t: r(m.historical_vol(clean(t), None, False)), f"with {vol_sql('trading_days', 'sr', 'lr')}\n{HV}")
 query("mkt_trading_days", lambda t: m.trading_days_auto(clean(t)), f"with {RET}\nselect ticker, cast(trading_days as double) as trading_days from td")
