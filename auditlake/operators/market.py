@@ -115,11 +115,11 @@ def aligned_returns(prices: DataFrame, market: DataFrame, weekly: bool = False,
 
 def beta(prices: DataFrame, market: DataFrame, weekly: bool = False, least: int = 30, blume: bool = True) -> DataFrame:
     """Slope, r2 and alpha of ticker on market returns; tickers under `least` common dates or without market variance
-    are left out."""
+    are left out. A close that isn't positive has no return, neither to it nor from it. No zero is negative."""
     r = aligned_returns(prices, market, weekly)
     out = r.groupBy("ticker").agg(F.count("*").alias("_n"), F.regr_slope("r", "m").alias("b"), F.corr("r", "m").alias("c"), F.regr_intercept("r", "m").alias("a"), F.min("date").alias("start"), F.max("date").alias("end"), F.var_samp("m").alias("_v"))
     adjusted = 0.67 * F.col("b") + 0.33 if blume else F.col("b")
-    return out.where((F.col("_n") >= least) & (F.col("_v") > 0)).select("ticker", F.round("b", 4).alias("raw_beta"), F.round(adjusted, 4).alias("adjusted_beta"), F.round(F.col("c") * F.col("c"), 4).alias("r2"), F.round("a", 6).alias("alpha"), (F.col("_n") - 1).alias("n_obs"), "start", "end")
+    return out.where((F.col("_n") >= least) & (F.col("_v") > 0)).select("ticker", (F.round("b", 4) + 0.0).alias("raw_beta"), (F.round(adjusted, 4) + 0.0).alias("adjusted_beta"), F.round(F.col("c") * F.col("c"), 4).alias("r2"), (F.round("a", 6) + 0.0).alias("alpha"), (F.col("_n") - 1).alias("n_obs"), "start", "end")
 
 
 def asof(targets: DataFrame, rows: DataFrame, key: str, target: str, at: str, days: int, order: list[Column] | None = None) -> DataFrame:

@@ -66,9 +66,10 @@ query(
     f"with {FLAG}\nselect basket, count(*) filter (where sigma is not null and not outlier) as n, count(*) filter (where outlier) as n_excluded, round(quantile_cont(sigma, 0.5) filter (where not outlier), 8) as median, round(avg(sigma) filter (where not outlier), 8) as mean, round(sum(sigma * n_prices * 100) filter (where not outlier and sigma is not null) / sum(n_prices * 100) filter (where not outlier and sigma is not null), 8) as cap_weighted, round(avg(sigma_se) filter (where not outlier), 8) as mean_se from fl group by 1",
 )
 ALIGNED = """al as (select p.ticker, p.date, p.close, k.close as market from {prices} p join {market} k using (date)),
-ar as (select *, ln(close) - ln(lag(close) over w) as r, ln(market) - ln(lag(market) over w) as m from al window w as (partition by ticker order by date))"""
-WEEKLY = ALIGNED.replace("ar as (select *", "wk as (select ticker, max(date) as date, max_by(close, date) as close, max_by(market, date) as market from al group by ticker, date_trunc('week', date)), ar as (select *").replace("from al window", "from wk window")
-BETA = "select ticker, round(regr_slope(r, m), 4) as raw_beta, round(0.67 * regr_slope(r, m) + 0.33, 4) as adjusted_beta, round(corr(r, m) * corr(r, m), 4) as r2, round(regr_intercept(r, m), 6) as alpha, count(*) - 1 as n_obs, cast(min(date) as varchar) as start, cast(max(date) as varchar) as \"end\" from ar group by 1 having count(*) >= {} and var_samp(m) > 0"
+lg as (select *, case when close > 0 then ln(close) end as lc, case when market > 0 then ln(market) end as lm from al),
+ar as (select *, lc - lag(lc) over w as r, lm - lag(lm) over w as m from lg window w as (partition by ticker order by date))"""
+WEEKLY = ALIGNED.replace("lg as (select *", "wk as (select ticker, max(date) as date, max_by(close, date) as close, max_by(market, date) as market from al group by ticker, date_trunc('week', date)), lg as (select *").replace("as lm from al)", "as lm from wk)")
+BETA = "select ticker, round(regr_slope(r, m), 4) + 0.0 as raw_beta, round(0.67 * regr_slope(r, m) + 0.33, 4) + 0.0 as adjusted_beta, round(corr(r, m) * corr(r, m), 4) as r2, round(regr_intercept(r, m), 6) + 0.0 as alpha, count(*) - 1 as n_obs, cast(min(date) as varchar) as start, cast(max(date) as varchar) as \"end\" from ar group by 1 having count(*) >= {} and var_samp(m) > 0"
 query("mkt_beta", lambda t: m.beta(t.prices, t.market, least=20), f"with {ALIGNED}\n{BETA.format(20)}")
 query("mkt_beta_weekly", lambda t: m.beta(t.prices, t.market, True, least=4), f"with {WEEKLY}\n{BETA.format(4)}")
 query("mkt_regression_line", lambda t: r(m.regression_line(m.aligned_returns(t.prices, t.market))), f"with {ALIGNED}\nselect ticker, round(min(m), 8) as x0, round(regr_intercept(r, m) + regr_slope(r, m) * min(m), 8) as y0, round(max(m), 8) as x1, round(regr_intercept(r, m) + regr_slope(r, m) * max(m), 8) as y1 from ar where r is not null group by 1")
