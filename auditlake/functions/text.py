@@ -249,6 +249,9 @@ def table_cells(replies: DataFrame) -> DataFrame:
 
     Tables without an account column in the header are left out, and rows too short for the columns found. Without a
     reply column it is the third of an English table and the fourth of another, or the last one.
+
+    Replies are dealt by id before they are read, as with_section's windows need them: few tasks would read a small file. Places
+    are found once a table, before it becomes rows.
     """
     form = F.col("form") if "form" in replies.columns else F.lit("kr_standard")
     head = F.transform(F.col("rows")[0], lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))))
@@ -259,8 +262,9 @@ def table_cells(replies: DataFrame) -> DataFrame:
     english = joined.contains("account")
     fallback = F.least(F.when(english & (F.size(head) > 2), F.lit(2)).otherwise(F.lit(3)), last)
     keep = ["reply_id", *(c for c in ("table_no", "text") if c in replies.columns)]
-    tables = replies.where((F.size("rows") > 1) & (F.size(F.col("rows")[0]) > 0) & (joined.contains("계정과목") | english))
-    placed = tables.select(*keep, form.alias("form"), F.coalesce(where(["계정과목", "Account"]), F.lit(0)).alias("_a"), at(2).alias("_s"), at(0).alias("_d"), F.coalesce(at(1), fallback).alias("_r"), F.posexplode("rows").alias("pos", "cells"))
+    tables = replies.repartition("reply_id").where((F.size("rows") > 1) & (F.size(F.col("rows")[0]) > 0) & (joined.contains("계정과목") | english))
+    placed = tables.select(*keep, form.alias("form"), F.coalesce(where(["계정과목", "Account"]), F.lit(0)).alias("_a"), at(2).alias("_s"), at(0).alias("_d"), F.coalesce(at(1), fallback).alias("_r"), "rows")
+    placed = placed.select(*(c for c in placed.columns if c != "rows"), F.posexplode("rows").alias("pos", "cells"))
     need = F.greatest("_a", "_r", F.coalesce("_d", F.lit(0)), F.coalesce("_s", F.lit(0)))
     return placed.where((F.col("pos") > 0) & (F.size("cells") > need))
 
