@@ -186,28 +186,34 @@ def extract_balances(df: DataFrame, text: str = "text") -> DataFrame:
     """
     t = F.col(text)
     at = lambda p: F.regexp_instr(t, F.lit(f"(?i){p}"))
-    r, p, c = at(r"받을\s*금액|Receivable"), at(r"지급할\s*금액|Payable"), at("확인통지|Signature and Company")
+    # each step is a column of its own, so none is read again by those after it
+    df = df.withColumns({"_r": at(r"받을\s*금액|Receivable"), "_p": at(r"지급할\s*금액|Payable"), "_c": at("확인통지|Signature and Company")})
+    r, p, c = F.col("_r"), F.col("_p"), F.col("_c")
     part = lambda a, b: F.when(b > 0, F.substring(t, a, b - a)).otherwise(F.substring(t, a, F.lit(2**31 - 1)))
     end = lambda a, *stops: F.coalesce(*(F.when(x > a, x) for x in stops), F.lit(0))
-    recv, payb = F.when(r > 0, part(r, end(r, p, c))), F.when(p > 0, part(p, end(p, c)))
+    df = df.withColumns({"_recv": F.when(r > 0, part(r, end(r, p, c))), "_payb": F.when(p > 0, part(p, end(p, c)))})
     amounts = lambda s, pattern, i: F.transform(F.regexp_extract_all(s, F.lit(pattern), F.lit(i)), lambda n: F.regexp_replace(n, ",", "").try_cast("double"))
 
-    def rows(s: Column) -> Column:
-        line = rf"({BRACKETED}|{ACCOUNTS}|[가-힣]{{2,8}}(?:{ACCOUNT_ENDINGS}))\s+(?:KRW|USD|EUR|JPY|CNY|SGD|AUD|MYR|THB)?\s*([\d,]+(?:\.\d+)?)"
+    line = rf"({BRACKETED}|{ACCOUNTS}|[가-힣]{{2,8}}(?:{ACCOUNT_ENDINGS}))\s+(?:KRW|USD|EUR|JPY|CNY|SGD|AUD|MYR|THB)?\s*([\d,]+(?:\.\d+)?)"
+
+    def lines(s: str) -> Column:
         found = F.arrays_zip(F.regexp_extract_all(s, F.lit(line), F.lit(1)).alias("k"), amounts(s, line, 2).alias("v"))
-        kept = F.coalesce(F.filter(found, lambda e: e["v"] > 0), F.array().cast("array<struct<k:string,v:double>>"))
+        return F.coalesce(F.filter(found, lambda e: e["v"] > 0), F.array().cast("array<struct<k:string,v:double>>"))
+
+    def rows(kept: str) -> Column:
         keys = F.array_distinct(F.transform(kept, lambda e: e["k"]))
         return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(kept, lambda e: e["k"] == k), -1)["v"].alias("value"))))
 
     total = lambda s: F.get(amounts(s, r"(?im)^(?:합계|TOTAL)\s+(?:KRW|USD|EUR|JPY|CNY)?\s*([\d,]+(?:\.\d+)?)", 1), 0)
-    out = df.withColumns({"receivable": rows(recv), "payable": rows(payb), "_rt": total(recv), "_pt": total(payb)})
+    df = df.withColumns({"_rl": lines("_recv"), "_pl": lines("_payb"), "_rt": total("_recv"), "_pt": total("_payb")})
+    out = df.withColumns({"receivable": rows("_rl"), "payable": rows("_pl")})
     word = r"(?i)(?:잔액|확인금액|Balance|금액|합계)[\s:：]*(?:KRW|USD|EUR|JPY|CNY|SGD|AUD|MYR|THB|\$|￥|¥|€)?\s*([\(（]?\s*[\d,]+(?:\.\d+)?\s*[\)）]?)"
     near = F.get(F.filter(F.transform(F.regexp_extract_all(t, F.lit(word), F.lit(1)), number), lambda v: F.abs(v) >= 1), 0)
     big = F.get(F.filter(amounts(t, r"([\d,]{5,}(?:\.\d+)?)", 1), lambda v: v >= 10_000), 0)
     silent = (F.size("receivable") == 0) & (F.size("payable") == 0) & F.col("_rt").isNull() & F.col("_pt").isNull()
     summed = lambda m: F.when(F.size(m) > 0, F.aggregate(F.map_values(m), F.lit(0.0), lambda a, x: a + x))
     out = out.withColumn("receivable_total", F.when(silent, F.coalesce(near, big)).otherwise(F.coalesce("_rt", summed("receivable")))).withColumn("payable_total", F.coalesce("_pt", summed("payable")))
-    return out.withColumn("balance", F.coalesce("receivable_total", "payable_total")).drop("_rt", "_pt")
+    return out.withColumn("balance", F.coalesce("receivable_total", "payable_total")).drop("_rt", "_pt", "_r", "_p", "_c", "_recv", "_payb", "_rl", "_pl")
 
 
 def declared_match(text: str) -> Column:
