@@ -91,9 +91,12 @@ def voucher_balance_summary(gl: DataFrame, tolerance: float = 0.01, sample: int
 def account_sums(gl: DataFrame, row_no: str | None = None) -> DataFrame:
     """Per engagement and stripped account code the sums, and the first name: in the order of the column `row_no`, without it in
     text order; null for a ledger without names."""
-    first = F.min_by("account_name", row_no) if row_no else F.min("account_name")
-    name = first if "account_name" in gl.columns else F.lit(None).cast("string")
-    return gl.groupBy(E, stripped("account_code").alias("account_code")).agg(F.sum("debit_amount").alias("gl_debit"), F.sum("credit_amount").alias("gl_credit"), name.alias("gl_name"))
+    first = F.min_by("account_name", "_no") if row_no else F.min("account_name")
+    name = F.col("account_name") if "account_name" in gl.columns else F.lit(None).cast("string")
+    kinds = [f.dataType for f in gl.select(F.sum("debit_amount"), F.sum("credit_amount")).schema]
+    # the first of texts is found by sorting, so names are keys of a sum by hash before, which leaves few rows to sort
+    cells = gl.groupBy(E, stripped("account_code").alias("account_code"), name.alias("account_name")).agg(F.sum("debit_amount").alias("debit_amount"), F.sum("credit_amount").alias("credit_amount"), F.min(row_no or F.lit(0)).alias("_no"))
+    return cells.groupBy(E, "account_code").agg(F.sum("debit_amount").cast(kinds[0]).alias("gl_debit"), F.sum("credit_amount").cast(kinds[1]).alias("gl_credit"), first.alias("gl_name"))
 
 
 def profit_loss_flag(accounts: DataFrame, coa: DataFrame, names: str = PL_NAME) -> DataFrame:
@@ -138,8 +141,10 @@ def sales(gl: DataFrame, pattern: str = "^4", basis: str = "net_credit") -> Data
 
 
 def pl_threshold(gl: DataFrame, ratio: float = 0.005, absolute: float | None = None, basis: str = "net_credit") -> DataFrame:
+    """(engagement_id, threshold) of engagements with sales. It is written out: joined with the ledger as it stands, its size would be
+    taken for the ledger's, and all lines of an engagement would meet in a task."""
     limit = F.lit(absolute) if absolute is not None else F.col("sales").cast("double") * ratio
-    return sales(gl, basis=basis).select(E, limit.cast("double").alias("threshold"))
+    return durable(sales(gl, basis=basis).select(E, limit.cast("double").alias("threshold")))
 
 
 def line_amount() -> Column:
@@ -159,8 +164,8 @@ def line_and_voucher_counts(lines: DataFrame) -> DataFrame:
 
 def unmatched_accounts(gl: DataFrame, coa: DataFrame) -> DataFrame:
     """Lines whose code, raw or stripped, isn't in the master; engagements without a master are skipped."""
-    known = coa.select(E, F.explode(F.array("account_code", stripped("account_code"))).alias("_c")).distinct()
-    lines = gl.join(coa.select(E).distinct(), E, "left_semi")
+    known = durable(coa.select(E, F.explode(F.array("account_code", stripped("account_code"))).alias("_c")).distinct())
+    lines = gl.join(known.select(E).distinct(), E, "left_semi")
     for code in (F.col("account_code"), stripped("account_code")):
         lines = lines.withColumn("_c", code).join(known, [E, "_c"], "left_anti").drop("_c")
     return lines.select(*LINE)
@@ -181,7 +186,7 @@ def new_accounts(coa: DataFrame, tb: DataFrame, prior: DataFrame, params: DataFr
 
 def new_account_lines(gl: DataFrame, found: DataFrame) -> DataFrame:
     """Ledger lines of the new accounts, met by raw or stripped code."""
-    codes = found.select(E, F.explode(F.array_distinct(F.array("account_code", stripped("account_code")))).alias("_c"), "created_date").groupBy(E, "_c").agg(F.min("created_date").alias("created_date"))
+    codes = durable(found.select(E, F.explode(F.array_distinct(F.array("account_code", stripped("account_code")))).alias("_c"), "created_date").groupBy(E, "_c").agg(F.min("created_date").alias("created_date")))
     raw = gl.withColumn("_c", F.col("account_code")).join(codes, [E, "_c"])
     bare = gl.where(stripped("account_code") != F.col("account_code")).join(codes.select(E, F.col("_c").alias("account_code")), [E, "account_code"], "left_anti").withColumn("_c", stripped("account_code")).join(codes, [E, "_c"])
     return raw.unionByName(bare).select(*LINE, "created_date")
@@ -195,7 +200,7 @@ def new_account_summary(gl: DataFrame, found: DataFrame) -> DataFrame:
 
 def seldom_used(gl: DataFrame, most: int = 5) -> DataFrame:
     """Lines of accounts with at most `most` lines."""
-    rare = gl.groupBy(E, "account_code").agg(F.count("*").alias("usage_count")).where(F.col("usage_count") <= most)
+    rare = durable(gl.groupBy(E, "account_code").agg(F.count("*").alias("usage_count")).where(F.col("usage_count") <= most))
     return gl.join(rare, [E, "account_code"]).select(*LINE, "usage_count")
 
 
@@ -300,7 +305,8 @@ def counter_accounts(gl: DataFrame, scenarios: tuple[str, ...] = COUNTER_SCENARI
     Lines are summed to (voucher, account, side) first, so a large batch voucher joins accounts, not lines; a counter
     amount counts once for each main account and side of its voucher.
     """
-    cells = gl.groupBy(E, "entry_no", "account_code", side().alias("side")).agg(F.sum("debit_amount").alias("debit"), F.sum("credit_amount").alias("credit"))
+    dealt = gl.select(E, "entry_no", "account_code", "debit_amount", "credit_amount").repartition(E, "entry_no")  # once, for the sums and both sides of the join
+    cells = dealt.groupBy(E, "entry_no", "account_code", side().alias("side")).agg(F.sum("debit_amount").alias("debit"), F.sum("credit_amount").alias("credit"))
     hits = F.filter(F.array(*(F.when(F.col("account_code").rlike(p), F.lit(p)) for p in scenarios)), lambda p: p.isNotNull())
     main = cells.select(E, "entry_no", F.explode(hits).alias("scenario"), F.col("account_code").alias("main_account"), F.col("side").alias("main_side"))
     pairs = main.join(cells, [E, "entry_no"])
