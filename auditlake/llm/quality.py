@@ -107,12 +107,21 @@ class Model:
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.mean = x.mean(0) if len(x) else np.zeros(N_TERMS, np.float32)
         self.scale = (1 + np.log((1 + len(x)) / (1 + (x > 0).sum(0)))).astype(np.float32)
-        z = ((x - self.mean) * self.scale).astype(np.float32)
-        # the right singular vectors of z, largest first, are the eigenvectors of z'z
-        self.axes = np.linalg.eigh(z.T.astype(np.float64) @ z)[1][:, : -RANK - 1 : -1].astype(np.float32) if len(x) else np.zeros((N_TERMS, 1), np.float32)
-        self.vectors, self.y = self._unit(z @ self.axes), y.astype(np.float32)
+        # the right singular vectors of the weighted terms, largest first, are the eigenvectors of their products' sum, which is
+        # added up a block at a time, so the driver holds no second copy of them
+        both = np.zeros((N_TERMS, N_TERMS))
+        for a in range(0, len(x), BLOCK):
+            z = self._weighted(x[a : a + BLOCK]).astype(np.float64)
+            both += z.T @ z
+        self.axes = np.linalg.eigh(both)[1][:, : -RANK - 1 : -1].astype(np.float32) if len(x) else np.zeros((N_TERMS, 1), np.float32)
+        del both
+        vectors = [self._weighted(x[a : a + BLOCK]) @ self.axes for a in range(0, len(x), BLOCK)]
+        self.vectors, self.y = self._unit(np.concatenate(vectors) if vectors else np.zeros((0, self.axes.shape[1]), np.float32)), y.astype(np.float32)
         self.prior = float(y.mean()) if len(y) else 1.0
 
+    def _weighted(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.mean) * self.scale).astype(np.float32)
+
     @staticmethod
     def _unit(v: np.ndarray) -> np.ndarray:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
@@ -122,7 +131,7 @@ class Model:
         with a small weight, so a text without terms, or near none, gets the prior."""
         if not len(self.y):
             return np.full(len(x), self.prior)
-        v = self._unit(((x - self.mean) * self.scale).astype(np.float32) @ self.axes)
+        v = self._unit(self._weighted(x) @ self.axes)
         cos = v @ self.vectors.T
         k = min(NEIGHBOURS, cos.shape[1])
         near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
@@ -147,7 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = docs.select(docs[key].alias("_id"), docs[text].alias("text")).join(F.broadcast(chosen), F.col("_id") == F.col("_k")).select("_k", "_y", "text")
     got = arrow_columns(rows, lambda b: [[x.tobytes() for x in all_terms(utf8(b.column(2)))]], [field("x", T.BinaryType())], drop=("text",))
     got = got.orderBy(F.xxhash64("_k"), "_k").limit(sample).collect()  # bounded by `sample`
-    return Model(np.frombuffer(b"".join(r.x for r in got), np.float32).reshape(-1, N_TERMS), np.array([r["_y"] for r in got], np.float32))
+    x, y = np.frombuffer(b"".join(r.x for r in got), np.float32).reshape(-1, N_TERMS), np.array([r["_y"] for r in got], np.float32)
+    del got  # as large as x
+    return Model(x, y)
 
 
 def with_quality(docs: DataFrame, model: Model, text: str = "text", drop: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
