@@ -1,7 +1,11 @@
-"""Near copies by exact Jaccard similarity of 5-word shingles; MinHash bands find the candidates."""
+"""Near copies: SimHash fingerprints under several hashes find the candidates, bit-sliced as in `simhash`; exact Jaccard
+similarity of 5-word shingles confirms them."""
 
 from __future__ import annotations
 
+from functools import reduce
+from math import ceil, comb, log
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,18 +13,23 @@ from pyspark.sql import types as T
 
 from auditlake.llm.common import arrow_columns, durable, field, fresh, small_side, utf8
 from auditlake.llm.components import components, look_up
-from auditlake.llm.simhash import _LOWER, SEED, drop_copies, least_of
+from auditlake.llm.simhash import _LOWER, SEED, bit_counts, drop_copies, least_of, links, majority
 
 SHINGLE, SIMILAR = 5, 0.8
-#: A pair of similarity s misses all bands with probability (1 - s^ROWS)^BANDS: 3e-6 at 0.8.
-BANDS, ROWS = 24, 4
-#: Pairs whose share of equal minima is below this aren't compared exactly; at 0.8 that is five standard deviations away.
-ESTIMATE = 0.6
+#: The most that a bit of two fingerprints differs with at similarity 0.8: 0.151 for long texts, 0.161 for 13 and 14 shingles,
+#: 3 / 16 for the one pair of shorter texts that can be so similar and stands out, 4 and 5 shingles.
+DIFFER, DIFFER_SHORT = 0.1612, 0.1875
+#: A pair of similarity 0.8 is found under no fingerprint with this probability at most; one of more is missed far less.
+MISS = 3e-6
+#: Values that a key of one block joins by chance, in the mean; so many are compared with each other.
+RUN = 512
+#: Keys that a text has in one search: fingerprints are searched so many at a time.
+KEYS = 192
+#: Fingerprints that tell which pairs are compared exactly, and the bits in which those may differ: 5 standard deviations
+#: more than 3 / 16 of them.
+WIDE, WIDE_BITS = 16, 256
 #: Documents and words of a group that one task compares at once; a larger group is cut into tiles, and every two meet.
 TILE, TILE_WORDS = 1024, 2_000_000
-_RNG = np.random.default_rng(SEED)
-_TIMES = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)[:, None] | np.uint32(1)
-_PLUS = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32)[:, None]
 
 
 def content(text: bytes | None) -> tuple[int, list[bytes]]:
@@ -42,20 +51,33 @@ def shingles(w: list[bytes]) -> np.ndarray:
     return np.unique(np.array([h64(joined[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())], np.uint64))
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    """The smallest of the shingles under each of BANDS * ROWS orders."""
-    x, out = (s >> np.uint64(32)).astype(np.uint32), None
-    for a in range(0, len(x), 2048):
-        low = (x[a : a + 2048] * _TIMES + _PLUS).min(1)
-        out = low if out is None else np.minimum(out, low)
-    return out
+def prints(s: np.ndarray, n: int) -> np.ndarray:
+    """n fingerprints of distinct shingles, each under a hash of its own."""
+    counts, family = np.zeros(64 * n, np.int64), np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for a in range(0, len(s), 255):  # a byte holds the counts of so many
+        h = s[a : a + 255, None] + family
+        for times in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = (h ^ (h >> np.uint64(33))) * np.uint64(times)
+        counts += bit_counts(h ^ (h >> np.uint64(33)), np.uint8)
+    return majority(counts, len(s))
 
 
-def bands(m: np.ndarray) -> list[int]:
-    """A key for each band of minima."""
-    import xxhash
+def search(texts: int) -> tuple[int, int]:
+    """Blocks and radius of the search among so many texts: the shortest blocks that bring at most RUN together by chance,
+    and a radius at which chance links fewer than one in five texts."""
+    blocks = next((b for b in (8, 7, 6, 5, 4) if texts <= RUN * 2 ** (64 / b)), 3)
+    return blocks, min(11, blocks + 4)
+
 
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), b) for b, r in enumerate(m.reshape(BANDS, ROWS))], np.uint64).view(np.int64).tolist()
+def needed(blocks: int, radius: int, differ: float) -> int:
+    """Fingerprints, such that a pair whose bits differ with this probability is missed by all with at most MISS: one finds
+    the pair if at most `radius` bits differ and some block is equal."""
+    any_, none = np.ones(1), np.ones(1)  # by number of differing bits: all cases, those without an equal block
+    for i in range(blocks):
+        size = round(64 * (i + 1) / blocks) - round(64 * i / blocks)
+        p = np.array([comb(size, k) * differ**k * (1 - differ) ** (size - k) for k in range(size + 1)])
+        any_, none = np.convolve(any_, p), np.convolve(none, np.r_[0, p[1:]])
+    return ceil(log(MISS) / log(1 - (any_ - none)[: radius + 1].sum()))
 
 
 def with_content(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
@@ -73,10 +95,10 @@ def similar(texts: list[bytes]) -> list[tuple[int, int]]:
     already connected aren't compared."""
     sets = [shingles(content(t)[1]) for t in texts]
     sizes = np.array([len(s) for s in sets])
-    m = np.array([minima(s) for s in sets])
+    wide = np.array([prints(s, WIDE) for s in sets])
     root = np.arange(len(sets))
     for i in range(1, len(sets)):
-        near = ((m[:i] == m[i]).mean(1) >= ESTIMATE) & (root[:i] != root[i])
+        near = (np.bitwise_count(wide[:i] ^ wide[i]).sum(1, dtype=np.int64) <= WIDE_BITS) & (root[:i] != root[i])
         while near.any():
             j = int(near.argmax())
             near[j] = False
@@ -106,18 +128,24 @@ def _compare(batches):
     yield links(nodes, texts)
 
 
-def near_copies(docs: DataFrame, sketched: DataFrame, text: str = "text") -> DataFrame:
-    """(fingerprint, component): for each content in `sketched` (key, fingerprint, words, bands) the smallest key over all
+def candidates(nodes: DataFrame, blocks: int, radius: int) -> DataFrame:
+    """(a, b) contents of `nodes` (fingerprint, prints) that a fingerprint links, by the bit-sliced search of `simhash`."""
+    each = nodes.select(F.col("fingerprint").alias("node"), F.posexplode("prints").alias("family", "fingerprint"))
+    at_once, most = KEYS // blocks, nodes.agg(F.max(F.size("prints"))).first()[0] or 0
+    found = [durable(links(each.where(F.col("family").between(a, a + at_once - 1)), radius, blocks, 1, "family")) for a in range(0, max(1, most), at_once)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def near_copies(docs: DataFrame, sketched: DataFrame, blocks: int, radius: int, text: str = "text") -> DataFrame:
+    """(fingerprint, component): for each content in `sketched` (key, fingerprint, words, prints) the smallest key over all
     documents that can be reached by steps of similarity SIMILAR or more.
 
-    Contents that share a band are linked to its smallest one, which gives loose groups. In a loose group all pairs are
+    Contents with a fingerprint within the radius are candidates, which gives loose groups. In a loose group all pairs are
     held against each other exactly; a large group's tiles meet two by two in tasks of their own.
     """
-    nodes = durable(sketched.groupBy("fingerprint").agg(F.min("key").alias("smallest"), F.max("words").alias("words"), F.first("bands").alias("bands")))
-    keyed = nodes.select(F.explode("bands").alias("band"), "fingerprint")
-    low = durable(keyed.groupBy("band").agg(F.min("fingerprint").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    loose = components(durable(keyed.join(small_side(low), "band").where("fingerprint != low").select("fingerprint", "low").distinct()), "fingerprint", "low")
-    grouped = durable(nodes.join(loose.withColumnRenamed("node", "fingerprint"), "fingerprint").select("fingerprint", "root", "words"))
+    nodes = durable(sketched.groupBy("fingerprint").agg(F.min("key").alias("smallest"), F.max("words").alias("words"), F.first("prints").alias("prints")))
+    loose = components(candidates(nodes, blocks, radius), "a", "b").withColumnRenamed("node", "fingerprint")
+    grouped = durable(nodes.join(loose, "fingerprint").select("fingerprint", "root", "words"))
     tiles = durable(grouped.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("words") / TILE_WORDS)).alias("tiles"), F.count("*").alias("n")))
     placed = durable(look_up(grouped, tiles, "root").select("fingerprint", "root", "tiles"))
     read, name = with_content(docs.select(docs[text].alias("text")))
@@ -126,8 +154,8 @@ def near_copies(docs: DataFrame, sketched: DataFrame, text: str = "text") -> Dat
     i = F.pmod(F.xxhash64("fingerprint", F.lit(7)), F.col("tiles"))
     cells = texts.withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     cells = cells.select(F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "fingerprint", "text")
-    links = cells.repartition("cell").sortWithinPartitions("cell", "fingerprint").mapInArrow(_compare, "a long, b long")
-    near = durable(components(durable(links), "a", "b")).withColumnRenamed("node", "fingerprint")
+    confirmed = cells.repartition("cell").sortWithinPartitions("cell", "fingerprint").mapInArrow(_compare, "a long, b long")
+    near = durable(components(durable(confirmed), "a", "b")).withColumnRenamed("node", "fingerprint")
     return least_of(nodes, near)
 
 
@@ -135,11 +163,16 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """docs without the rows of a group of near copies other than that of its smallest key; of repeats of that row one
     stays. In a group without any key one row stays."""
 
+    blocks, radius = search(docs.count())
+    usual, short = (needed(blocks, radius, p) for p in (DIFFER, DIFFER_SHORT))
+
     def sketch(batch):
         found = [content(t) for t in utf8(batch.column(1))]
-        return [[c for c, _ in found], [len(w) for _, w in found], [bands(minima(shingles(w))) if w else [] for _, w in found]]
+        sets = [shingles(w) if w else () for _, w in found]
+        made = [prints(s, short if len(s) in (4, 5) else usual).view(np.int64).tolist() if len(s) else [] for s in sets]
+        return [[c for c, _ in found], [len(w) for _, w in found], made]
 
-    fields = [field("fingerprint", T.LongType()), field("words", T.LongType()), field("bands", T.ArrayType(T.LongType()))]
+    fields = [field("fingerprint", T.LongType()), field("words", T.LongType()), field("prints", T.ArrayType(T.LongType()))]
     sketched = durable(arrow_columns(docs.select(docs[key].alias("key"), docs[text].alias("text")), sketch, fields, drop=("text",)))
-    found = durable(near_copies(docs, sketched, text))
+    found = durable(near_copies(docs, sketched, blocks, radius, text))
     return drop_copies(docs, sketched.select("key", "fingerprint"), found, *with_content(docs, text), key)

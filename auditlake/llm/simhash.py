@@ -35,8 +35,18 @@ def fingerprint(text: bytes | None) -> int:
     h = np.array([h64(view[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())], np.uint64)
     counts = np.zeros(64, np.int64)
     for s in range(0, len(h), 4096):
-        counts += np.unpackbits(h[s : s + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0])
+        counts += bit_counts(h[s : s + 4096, None])
+    return int(majority(counts, len(h))[0])
+
+
+def bit_counts(h: np.ndarray, kind=np.int64) -> np.ndarray:
+    """How many of the rows of h (uint64, contiguous) have each bit, for the bits of all columns; `kind` holds the counts."""
+    return np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=kind)
+
+
+def majority(counts: np.ndarray, n: int) -> np.ndarray:
+    """The fingerprints, one for 64 counts, of bits that over half of n hashes have."""
+    return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", drop: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
@@ -60,13 +70,13 @@ def planes_of(x: np.ndarray) -> np.ndarray:
 
 
 def within(planes: np.ndarray, lag: int, lanes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Which of `lanes` (packed) hold an i whose value and the one `lag` after differ in at most `radius` (below 8) bits.
+    """Which of `lanes` (packed) hold an i whose value and the one `lag` after differ in at most `radius` bits.
 
-    Carry-save counters c0, c1, c2 and a sticky overflow hold all distances at once, one bit a lane; after every 8
-    planes lanes beyond the radius drop out, and when none is left the block is abandoned.
+    Carry-save counters, as many as the radius has bits, and a sticky overflow hold all distances at once, one bit a lane;
+    after every 8 planes lanes beyond the radius drop out, and when none is left the block is abandoned.
     """
     n, (word, bit) = len(lanes), divmod(lag, 64)
-    c0 = c1 = c2 = np.zeros(n, np.uint64)
+    counters = [np.zeros(n, np.uint64)] * radius.bit_length()
     alive = lanes.copy()
     for b in range(64):
         row = planes[b]
@@ -78,40 +88,54 @@ def within(planes: np.ndarray, lag: int, lanes: np.ndarray, radius: int = RADIUS
             if len(high) < n:
                 high = np.concatenate([high, np.zeros(n - len(high), np.uint64)])
             low = (low >> np.uint64(bit)) | (high << np.uint64(64 - bit))
-        x = row[:n] ^ low
-        t = c0 & x
-        c0 = c0 ^ x
-        u = c1 & t
-        c1 = c1 ^ t
-        over = c2 & u
-        c2 = c2 ^ u
-        alive &= ~over
+        carry = row[:n] ^ low
+        for k, c in enumerate(counters):
+            counters[k], carry = c ^ carry, c & carry
+        alive &= ~carry
         if b % 8 == 7:
-            alive &= ~beyond(c0, c1, c2, radius)
+            alive &= ~beyond(counters, radius)
             if not alive.any():
                 break
     return alive
 
 
-def beyond(c0, c1, c2, radius: int):
-    """Lanes whose 3-bit count is over the radius."""
-    above, equal = np.zeros_like(c0), ~np.zeros_like(c0)
-    for c, bit in ((c2, 4), (c1, 2), (c0, 1)):
-        if radius & bit:
-            equal = equal & c
+def beyond(counters: list[np.ndarray], radius: int):
+    """Lanes whose count, lowest bit first, is over the radius."""
+    above, equal = np.zeros_like(counters[0]), ~np.zeros_like(counters[0])
+    for k in reversed(range(len(counters))):
+        if radius >> k & 1:
+            equal = equal & counters[k]
         else:
-            above = above | (equal & c)
-            equal = equal & ~c
+            above = above | (equal & counters[k])
+            equal = equal & ~counters[k]
     return above
 
 
-def linked(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (value, smallest linked value) within runs of equal key: a spanning star for each group of a run, in which
-    all values that are joined by steps of at most `radius` bits meet. keys are sorted."""
+def sunk(root: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """root, the smallest known index of each index's group, after links left to right; groups so far stay together."""
+    held = np.flatnonzero(root != np.arange(len(root)))
+    left, right = np.concatenate([held, *left]), np.concatenate([root[held], *right])
+    while True:  # labels sink to the smallest index of their group
+        low = np.minimum(root[left], root[right])
+        new = root.copy()
+        np.minimum.at(new, left, low)
+        np.minimum.at(new, right, low)
+        np.minimum.at(new, root[left], low)
+        np.minimum.at(new, root[right], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def linked(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS, nodes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, first linked node) within runs of equal key: a spanning star for each group of a run, in which all
+    nodes whose values are joined by steps of at most `radius` bits meet. A node is its value where none are given. keys
+    are sorted."""
     cut = np.flatnonzero(np.diff(keys)) + 1
     starts, ends = np.r_[0, cut], np.r_[cut, len(keys)]
     sizes = ends - starts
-    left, right = [], []
+    root = np.arange(len(values))
     top = 1
     while top < sizes.max(initial=1):
         top, low = top * 2, top
@@ -123,56 +147,59 @@ def linked(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> tuple[
         run = np.repeat(np.arange(pick.sum()), sizes[pick])
         v, planes = values[at], planes_of(values[at])
         n = len(v)
+        left, right, waiting, met = [], [], 0, None
         for lag in range(1, int(sizes[pick].max())):
             same = np.zeros(planes.shape[1] * 64 - 64, bool)
             same[: n - lag] = run[lag:] == run[:-lag]
+            if met is not None:  # what is joined already isn't compared
+                same[: n - lag] &= met[lag:] != met[:-lag]
+                if not same.any():
+                    continue
             hit = within(planes, lag, np.packbits(same, bitorder="little").view(np.uint64), radius)
             if hit.any():
                 i = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little"))
                 left.append(at[i])
                 right.append(at[i + lag])
-    if not left:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    left, right = np.concatenate(left), np.concatenate(right)
-    root = np.arange(len(values))
-    while True:  # labels sink to the smallest index of their group
-        low = np.minimum(root[left], root[right])
-        new = root.copy()
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, right, low)
-        np.minimum.at(new, root[left], low)
-        np.minimum.at(new, root[right], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
+                waiting += len(i)
+                if waiting > n:  # a crowd: its links become a star, so they never are more than a few for each value
+                    root = sunk(root, left, right)
+                    left, right, waiting, met = [], [], 0, root[at]
+        if left:
+            root = sunk(root, left, right)
     got = np.flatnonzero(root != np.arange(len(values)))
-    return values[got], values[root[got]]
+    nodes = values if nodes is None else nodes
+    return nodes[got], nodes[root[got]]
 
 
 def _runs(batches):
-    """(key, value) arrays of a stream that is sorted by key; a key's rows come in one piece."""
-    key, value = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """(key, value, node) arrays of a stream that is sorted by key, node its column of that name or the value; a key's rows
+    come in one piece."""
+    held = [np.zeros(0, np.int64)] * 3
     for batch in batches:
-        key = np.r_[key, batch.column(0).to_numpy(zero_copy_only=False)]
-        value = np.r_[value, batch.column(1).to_numpy(zero_copy_only=False)]
+        got = [c.to_numpy(zero_copy_only=False) for c in (batch.column(0), batch.column(1))]
+        got.append(batch.column("node").to_numpy(zero_copy_only=False) if "node" in batch.schema.names else got[1])
+        held = [np.r_[a, b] for a, b in zip(held, got)]
+        key = held[0]
         if len(key) >= CHUNK and key[-1] != key[0]:
             cut = np.flatnonzero(key != key[-1])[-1] + 1
-            yield key[:cut], value[:cut]
-            key, value = key[cut:], value[cut:]
-    if len(key):
-        yield key, value
+            yield [x[:cut] for x in held]
+            held = [x[cut:] for x in held]
+    if len(held[0]):
+        yield held
+
 
+def _comparer(radius: int):
+    def compare(batches):
+        import pyarrow as pa
 
-def _compare(batches):
-    import pyarrow as pa
+        for key, value, node in _runs(batches):
+            a, b = linked(key, value.view(np.uint64), radius, node)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    for key, value in _runs(batches):
-        a, b = linked(key, value.view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+    return compare
 
 
-def links(prints: DataFrame, radius: int = RADIUS, blocks: int = 6) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, blocks: int = 6, agree: int | None = None, family: str | None = None) -> DataFrame:
     """(a, b) fingerprints, such that those of `prints` (fingerprint, distinct) within the radius are connected.
 
     The 64 bits are cut into `blocks`; values that differ in at most `radius` bits agree on blocks - radius of them, so
@@ -180,20 +207,26 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = 6) -> DataFrame
     rows are sorted together and compared bit-sliced. Keys are counted first; those of one row are dropped before
     Python, and a key of more than TILE rows is cut into tiles, each two of which meet in a task of their own: its rows
     are dealt by tile from the start, so no row is left out and no task sees a whole large key.
+
+    With `agree` keys are made of that many blocks instead, and only those within the radius that agree on some such blocks
+    are connected: fingerprints of one text under several hashes, told apart by the column `family`, then make up for it.
+    Where prints has a column `node`, (a, b) are nodes.
     """
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = []
-    for chosen in combinations(range(blocks), blocks - radius):
+    for chosen in combinations(range(blocks), agree or blocks - radius):
         m = sum(((1 << (edges[c + 1] - edges[c])) - 1) << edges[c] for c in chosen)
         masks.append(m - (1 << 64) if m >> 63 else m)
-    made = F.array(*(F.xxhash64(F.lit(i), F.col("fingerprint").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)))
-    keyed = prints.select(F.explode(made).alias("key"), "fingerprint")
+    parts = [F.col(family)] if family else []
+    made = F.array(*(F.xxhash64(F.lit(i), *parts, F.col("fingerprint").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)))
+    columns = ["key", "fingerprint", *(["node"] if "node" in prints.columns else [])]
+    keyed = prints.withColumn("key", F.explode(made)).select(*columns)
     counts = durable(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))  # combined before the shuffle
-    schema = "a long, b long"
+    schema, compare = "a long, b long", _comparer(radius)
     # a key's rows must stand in one task, where the join has dealt them; the window asks for that, so adaptive execution, which
     # may else split a skewed partition of the join, leaves it whole
     place = F.row_number().over(W.partitionBy("key").orderBy("fingerprint"))
-    plain = keyed.join(counts.where(F.col("n") <= TILE).hint("shuffle_hash"), "key").select("key", "fingerprint", place.alias("place")).sortWithinPartitions("key").mapInArrow(_compare, schema)
+    plain = keyed.join(counts.where(F.col("n") <= TILE).hint("shuffle_hash"), "key").select(*columns, place.alias("place")).sortWithinPartitions("key").mapInArrow(compare, schema)
     large = counts.where(F.col("n") > TILE)  # at most keys / TILE rows
     if not large.take(1):
         return plain.where("a != b").distinct()
@@ -204,10 +237,10 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = 6) -> DataFrame
         keyed.join(small_side(large), "key")
         .withColumn("i", tile)
         .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), t - 1)))
-        .select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "fingerprint")
+        .select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), *columns[1:])
         .repartition("key")
         .sortWithinPartitions("key")
-        .mapInArrow(_compare, schema)
+        .mapInArrow(compare, schema)
     )
     return plain.unionByName(hot).where("a != b").distinct()
 
