@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from auditlake.llm.common import arrow_columns, durable, field, fresh, small_side, utf8
 from auditlake.llm.components import components, look_up
 from auditlake.llm.simhash import _LOWER, SEED, bit_counts, drop_copies, least_of, links, majority
+from auditlake.llm.tiles import first_cells, open_cells
 
 SHINGLE, SIMILAR = 5, 0.8
 #: The most that a bit of two fingerprints differs with at similarity 0.8: 0.151 for long texts, 0.161 for 13 and 14 shingles,
@@ -28,7 +29,7 @@ KEYS = 192
 #: Fingerprints that tell which pairs are compared exactly, and the bits in which those may differ: 5 standard deviations
 #: more than 3 / 16 of them.
 WIDE, WIDE_BITS = 16, 256
-#: Documents and words of a group that one task compares at once; a larger group is cut into tiles, and every two meet.
+#: Documents and words of a group that one task compares at once; a larger group is cut into tiles.
 TILE, TILE_WORDS = 1024, 2_000_000
 
 
@@ -90,13 +91,14 @@ def with_content(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
     return arrow_columns(docs, make, [field(name, T.LongType())]), name
 
 
-def similar(texts: list[bytes]) -> list[tuple[int, int]]:
-    """Links (i, j) of each text to the first one that it is joined with by steps of similarity SIMILAR or more; pairs
-    already connected aren't compared."""
+def similar(texts: list[bytes], nodes: list[int]) -> list[tuple[int, int]]:
+    """Links (node, first node) of texts that are joined by steps of similarity SIMILAR or more; pairs already connected
+    aren't compared, nor are texts of one node. Nodes are sorted."""
     sets = [shingles(content(t)[1]) for t in texts]
     sizes = np.array([len(s) for s in sets])
     wide = np.array([prints(s, WIDE) for s in sets])
-    root = np.arange(len(sets))
+    _, at, inverse = np.unique(nodes, return_index=True, return_inverse=True)
+    root = at[inverse]
     for i in range(1, len(sets)):
         near = (np.bitwise_count(wide[:i] ^ wide[i]).sum(1, dtype=np.int64) <= WIDE_BITS) & (root[:i] != root[i])
         while near.any():
@@ -107,15 +109,15 @@ def similar(texts: list[bytes]) -> list[tuple[int, int]]:
                 a, b = root[i], root[j]
                 root[root == max(a, b)] = min(a, b)
                 near &= root[:i] != root[i]
-    return [(i, r) for i, r in enumerate(root.tolist()) if i != r]
+    return sorted({(n, nodes[r]) for n, r in zip(nodes, root.tolist()) if n != nodes[r]})
 
 
 def _compare(batches):
     import pyarrow as pa
 
     def links(nodes, texts):
-        found = similar(texts) if len(texts) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], names=["a", "b"])
+        found = similar(texts, nodes) if len(texts) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
     now, nodes, texts = None, [], []
     for batch in batches:
@@ -141,21 +143,33 @@ def near_copies(docs: DataFrame, sketched: DataFrame, blocks: int, radius: int,
     documents that can be reached by steps of similarity SIMILAR or more.
 
     Contents with a fingerprint within the radius are candidates, which gives loose groups. In a loose group all pairs are
-    held against each other exactly; a large group's tiles meet two by two in tasks of their own.
+    held against each other exactly, but those that are connected already; a large group's tiles meet the first one, then two
+    by two with what that leaves apart, in tasks of their own.
     """
     nodes = durable(sketched.groupBy("fingerprint").agg(F.min("key").alias("smallest"), F.max("words").alias("words"), F.first("prints").alias("prints")))
     loose = components(candidates(nodes, blocks, radius), "a", "b").withColumnRenamed("node", "fingerprint")
     grouped = durable(nodes.join(loose, "fingerprint").select("fingerprint", "root", "words"))
     tiles = durable(grouped.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("words") / TILE_WORDS)).alias("tiles"), F.count("*").alias("n")))
-    placed = durable(look_up(grouped, tiles, "root").select("fingerprint", "root", "tiles"))
+    placed = durable(look_up(grouped, tiles, "root").select("fingerprint", F.col("root").alias("group"), "words", "tiles"))
     read, name = with_content(docs.select(docs[text].alias("text")))
-    # an exact copy's text goes to its group once
-    texts = read.withColumnRenamed(name, "fingerprint").join(small_side(placed), "fingerprint").groupBy("fingerprint", "root", "tiles").agg(F.first("text").alias("text"))
-    i = F.pmod(F.xxhash64("fingerprint", F.lit(7)), F.col("tiles"))
-    cells = texts.withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    cells = cells.select(F.xxhash64("root", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "fingerprint", "text")
-    confirmed = cells.repartition("cell").sortWithinPartitions("cell", "fingerprint").mapInArrow(_compare, "a long, b long")
-    near = durable(components(durable(confirmed), "a", "b")).withColumnRenamed("node", "fingerprint")
+    read = read.withColumnRenamed(name, "fingerprint")
+
+    def confirmed(rows: DataFrame) -> DataFrame:
+        rows = durable(rows.select("fingerprint", "node", "cells"))
+        # an exact copy's text goes to its group once
+        texts = read.join(small_side(rows), "fingerprint").groupBy("fingerprint").agg(*(F.first(c).alias(c) for c in ("node", "cells", "text")))
+        cells = texts.select(F.explode("cells").alias("cell"), "node", "text")
+        return durable(cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_compare, "a long, b long"))
+
+    first = confirmed(placed.withColumn("node", F.col("fingerprint")).withColumn("cells", first_cells("group", "fingerprint", F.col("tiles"))))
+    near = durable(components(first, "a", "b"))
+    large = durable(placed.where("tiles > 1").select("group", "fingerprint", F.col("fingerprint").alias("node"), "words"))
+    if large.take(1):
+        apart = open_cells(large, near, "group", lambda which: F.greatest(F.ceil(F.sum(which.cast("long")) / TILE), F.ceil(F.sum(F.when(which, F.col("words")).otherwise(0)) / TILE_WORDS), F.lit(1)))
+        if apart is not None:
+            found = near.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            near = durable(components(durable(found.unionByName(confirmed(apart))), "a", "b"))
+    near = near.withColumnRenamed("node", "fingerprint")
     return least_of(nodes, near)
 
 

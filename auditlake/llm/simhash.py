@@ -12,10 +12,11 @@ from pyspark.sql import Window as W
 
 from auditlake.llm.common import arrow_columns, durable, field, fresh, small_side, utf8
 from auditlake.llm.components import components, look_up
+from auditlake.llm.tiles import first_cells, open_cells
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-#: Rows of a key that one task compares at once; a larger key is cut into tiles, and every two tiles meet.
+#: Rows of a key that one task compares at once; a larger key is cut into tiles.
 TILE = 8192
 #: Rows taken from the sorted stream at once; a key's rows stay together.
 CHUNK = 1 << 17
@@ -130,12 +131,14 @@ def sunk(root: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> n
 
 def linked(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS, nodes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, first linked node) within runs of equal key: a spanning star for each group of a run, in which all
-    nodes whose values are joined by steps of at most `radius` bits meet. A node is its value where none are given. keys
-    are sorted."""
+    nodes whose values are joined by steps of at most `radius` bits meet. A node is its value where none are given; rows of
+    one node are joined already. Rows are sorted by key, and by node where one has several of a run."""
+    nodes = values if nodes is None else nodes
     cut = np.flatnonzero(np.diff(keys)) + 1
     starts, ends = np.r_[0, cut], np.r_[cut, len(keys)]
     sizes = ends - starts
-    root = np.arange(len(values))
+    again = np.r_[False, (keys[1:] == keys[:-1]) & (nodes[1:] == nodes[:-1])][: len(keys)]
+    root = np.maximum.accumulate(np.where(again, 0, np.arange(len(values))))
     top = 1
     while top < sizes.max(initial=1):
         top, low = top * 2, top
@@ -147,7 +150,7 @@ def linked(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS, nodes: np
         run = np.repeat(np.arange(pick.sum()), sizes[pick])
         v, planes = values[at], planes_of(values[at])
         n = len(v)
-        left, right, waiting, met = [], [], 0, None
+        left, right, waiting, met = [], [], 0, root[at] if again.any() else None
         for lag in range(1, int(sizes[pick].max())):
             same = np.zeros(planes.shape[1] * 64 - 64, bool)
             same[: n - lag] = run[lag:] == run[:-lag]
@@ -166,8 +169,16 @@ def linked(keys: np.ndarray, values: np.ndarray, radius: int = RADIUS, nodes: np
                     left, right, waiting, met = [], [], 0, root[at]
         if left:
             root = sunk(root, left, right)
-    got = np.flatnonzero(root != np.arange(len(values)))
-    nodes = values if nodes is None else nodes
+    got = np.flatnonzero(nodes != nodes[root])
+    return nodes[got], nodes[root[got]]
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, smallest node) that join the same nodes as the links a to b: one for each node but the smallest of its
+    group, however many keys link it."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    root = sunk(np.arange(len(nodes)), [at[: len(a)]], [at[len(a) :]])
+    got = np.flatnonzero(root != np.arange(len(nodes)))
     return nodes[got], nodes[root[got]]
 
 
@@ -193,7 +204,7 @@ def _comparer(radius: int):
         import pyarrow as pa
 
         for key, value, node in _runs(batches):
-            a, b = linked(key, value.view(np.uint64), radius, node)
+            a, b = forest(*linked(key, value.view(np.uint64), radius, node))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return compare
@@ -205,8 +216,9 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = 6, agree: int |
     The 64 bits are cut into `blocks`; values that differ in at most `radius` bits agree on blocks - radius of them, so
     they meet under one of the keys that any such blocks make (15 keys of about 21 bits, two of six blocks each). A key's
     rows are sorted together and compared bit-sliced. Keys are counted first; those of one row are dropped before
-    Python, and a key of more than TILE rows is cut into tiles, each two of which meet in a task of their own: its rows
-    are dealt by tile from the start, so no row is left out and no task sees a whole large key.
+    Python, and a key of more than TILE rows is cut into tiles, dealt by tile from the start, so no task sees a whole large
+    key: all tiles meet the first one, and each two of them with the rows that aren't joined by then (`tiles`), so no row is
+    left out, and a crowd's links don't grow with the square of its size.
 
     With `agree` keys are made of that many blocks instead, and only those within the radius that agree on some such blocks
     are connected: fingerprints of one text under several hashes, told apart by the column `family`, then make up for it.
@@ -225,24 +237,24 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = 6, agree: int |
     schema, compare = "a long, b long", _comparer(radius)
     # a key's rows must stand in one task, where the join has dealt them; the window asks for that, so adaptive execution, which
     # may else split a skewed partition of the join, leaves it whole
-    place = F.row_number().over(W.partitionBy("key").orderBy("fingerprint"))
-    plain = keyed.join(counts.where(F.col("n") <= TILE).hint("shuffle_hash"), "key").select(*columns, place.alias("place")).sortWithinPartitions("key").mapInArrow(compare, schema)
+    # smallest nodes first: they become the stars' centres, so a crowd's links under many keys mostly are the same ones
+    place = F.row_number().over(W.partitionBy("key").orderBy(columns[-1]))
+    plain = keyed.join(counts.where(F.col("n") <= TILE).hint("shuffle_hash"), "key").select(*columns, place.alias("place")).sortWithinPartitions("key", columns[-1]).mapInArrow(compare, schema)
     large = counts.where(F.col("n") > TILE)  # at most keys / TILE rows
     if not large.take(1):
         return plain.where("a != b").distinct()
-    # in a large key of t tiles, tile i meets every tile j in the cell (min, max)
-    t = F.ceil(F.col("n") / TILE)
-    tile = F.pmod(F.xxhash64("fingerprint", F.lit(7)), t)
-    hot = (
-        keyed.join(small_side(large), "key")
-        .withColumn("i", tile)
-        .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), t - 1)))
-        .select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), *columns[1:])
-        .repartition("key")
-        .sortWithinPartitions("key")
-        .mapInArrow(compare, schema)
-    )
-    return plain.unionByName(hot).where("a != b").distinct()
+
+    def met(cells: DataFrame) -> DataFrame:
+        dealt = cells.select(F.explode("cells").alias("key"), "fingerprint", "node").repartition("key").sortWithinPartitions("key", "node")
+        return dealt.mapInArrow(compare, schema)
+
+    # a large key's tiles meet its first one; what that leaves apart meets in cells of two tiles
+    tiled = keyed.join(small_side(large), "key").select("key", "fingerprint", F.col(columns[-1]).alias("node"), F.ceil(F.col("n") / TILE).alias("tiles"))
+    first = met(tiled.withColumn("cells", first_cells("key", "fingerprint", F.col("tiles"))))
+    near = durable(components(durable(plain.unionByName(first)), "a", "b"))
+    found = near.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    apart = open_cells(tiled.drop("tiles"), near, "key", lambda which: F.ceil(F.sum(which.cast("long")) / TILE))
+    return found if apart is None else found.unionByName(met(apart)).where("a != b").distinct()
 
 
 def near_duplicates(prints: DataFrame, key: str = "doc_id", print_col: str = "fingerprint") -> DataFrame:
