@@ -7,14 +7,14 @@ from functools import reduce
 from math import ceil, comb, log
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.llm.common import arrow_columns, durable, field, fresh, small_side, utf8
 from auditlake.llm.components import components, look_up
 from auditlake.llm.simhash import _LOWER, SEED, bit_counts, drop_copies, least_of, links, majority
-from auditlake.llm.tiles import first_cells, open_cells
+from auditlake.llm.tiles import first_cells, open_cells, open_rows
 
 SHINGLE, SIMILAR = 5, 0.8
 #: The most that a bit of two fingerprints differs with at similarity 0.8: 0.151 for long texts, 0.161 for 13 and 14 shingles,
@@ -150,25 +150,25 @@ def near_copies(docs: DataFrame, sketched: DataFrame, blocks: int, radius: int,
     loose = components(candidates(nodes, blocks, radius), "a", "b").withColumnRenamed("node", "fingerprint")
     grouped = durable(nodes.join(loose, "fingerprint").select("fingerprint", "root", "words"))
     tiles = durable(grouped.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("words") / TILE_WORDS)).alias("tiles"), F.count("*").alias("n")))
-    placed = durable(look_up(grouped, tiles, "root").select("fingerprint", F.col("root").alias("group"), "words", "tiles"))
+    placed = durable(look_up(grouped, tiles, "root").select("fingerprint", F.col("fingerprint").alias("node"), F.col("root").alias("group"), "words", "tiles"))
     read, name = with_content(docs.select(docs[text].alias("text")))
     read = read.withColumnRenamed(name, "fingerprint")
 
-    def confirmed(rows: DataFrame) -> DataFrame:
-        rows = durable(rows.select("fingerprint", "node", "cells"))
+    def confirmed(rows: DataFrame, cells: Column) -> DataFrame:
+        rows = durable(rows.drop("words"))
         # an exact copy's text goes to its group once
-        texts = read.join(small_side(rows), "fingerprint").groupBy("fingerprint").agg(*(F.first(c).alias(c) for c in ("node", "cells", "text")))
-        cells = texts.select(F.explode("cells").alias("cell"), "node", "text")
-        return durable(cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_compare, "a long, b long"))
+        texts = read.join(small_side(rows), "fingerprint").groupBy("fingerprint").agg(*(F.first(c).alias(c) for c in (*rows.columns, "text") if c != "fingerprint"))
+        dealt = texts.select(F.explode(cells).alias("cell"), "node", "text")
+        return durable(dealt.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_compare, "a long, b long"))
 
-    first = confirmed(placed.withColumn("node", F.col("fingerprint")).withColumn("cells", first_cells("group", "fingerprint", F.col("tiles"))))
+    first = confirmed(placed, first_cells("group", "fingerprint", F.col("tiles")))
     near = durable(components(first, "a", "b"))
-    large = durable(placed.where("tiles > 1").select("group", "fingerprint", F.col("fingerprint").alias("node"), "words"))
+    large = placed.where("tiles > 1").drop("tiles")
     if large.take(1):
-        apart = open_cells(large, near, "group", lambda which: F.greatest(F.ceil(F.sum(which.cast("long")) / TILE), F.ceil(F.sum(F.when(which, F.col("words")).otherwise(0)) / TILE_WORDS), F.lit(1)))
+        apart = open_rows(large, near, "group", lambda which: F.greatest(F.ceil(F.sum(which.cast("long")) / TILE), F.ceil(F.sum(F.when(which, F.col("words"))) / TILE_WORDS)))
         if apart is not None:
             found = near.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            near = durable(components(durable(found.unionByName(confirmed(apart))), "a", "b"))
+            near = durable(components(durable(found.unionByName(confirmed(apart, open_cells("group")))), "a", "b"))
     near = near.withColumnRenamed("node", "fingerprint")
     return least_of(nodes, near)
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from auditlake.llm.common import arrow_columns, durable, field, fresh, small_side, utf8
 from auditlake.llm.components import components, look_up
-from auditlake.llm.tiles import first_cells, open_cells
+from auditlake.llm.tiles import first_cells, open_cells, open_rows
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -244,17 +244,17 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = 6, agree: int |
     if not large.take(1):
         return plain.where("a != b").distinct()
 
-    def met(cells: DataFrame) -> DataFrame:
-        dealt = cells.select(F.explode("cells").alias("key"), "fingerprint", "node").repartition("key").sortWithinPartitions("key", "node")
+    def met(rows: DataFrame, cells: Column) -> DataFrame:
+        dealt = rows.select(F.explode(cells).alias("key"), "fingerprint", "node").repartition("key").sortWithinPartitions("key", "node")
         return dealt.mapInArrow(compare, schema)
 
     # a large key's tiles meet its first one; what that leaves apart meets in cells of two tiles
     tiled = keyed.join(small_side(large), "key").select("key", "fingerprint", F.col(columns[-1]).alias("node"), F.ceil(F.col("n") / TILE).alias("tiles"))
-    first = met(tiled.withColumn("cells", first_cells("key", "fingerprint", F.col("tiles"))))
+    first = met(tiled, first_cells("key", "fingerprint", F.col("tiles")))
     near = durable(components(durable(plain.unionByName(first)), "a", "b"))
     found = near.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    apart = open_cells(tiled.drop("tiles"), near, "key", lambda which: F.ceil(F.sum(which.cast("long")) / TILE))
-    return found if apart is None else found.unionByName(met(apart)).where("a != b").distinct()
+    apart = open_rows(tiled.drop("tiles"), near, "key", lambda which: F.ceil(F.sum(which.cast("long")) / TILE))
+    return found if apart is None else found.unionByName(met(apart, open_cells("key"))).where("a != b").distinct()
 
 
 def near_duplicates(prints: DataFrame, key: str = "doc_id", print_col: str = "fingerprint") -> DataFrame:

@@ -21,9 +21,9 @@ def first_cells(group: str, node: str, tiles: Column) -> Column:
     return F.transform(F.when((i == 0) & (tiles > 1), F.sequence(F.lit(1).cast("long"), tiles - 1)).otherwise(F.array(i)), lambda j: F.xxhash64(group, j))
 
 
-def open_cells(rows: DataFrame, near: DataFrame, group: str, many: Callable[[Column], Column]) -> DataFrame | None:
-    """Rows of `rows` (`group`, fingerprint, node, ...) that must meet others yet, with an array `cells`, their node replaced
-    by that of its class; None if each group is one class.
+def open_rows(rows: DataFrame, near: DataFrame, group: str, many: Callable[[Column], Column]) -> DataFrame | None:
+    """Rows of `rows` (`group`, fingerprint, node, ...) that must meet others yet, in open_cells, their node replaced by that
+    of its class; None if each group is one class.
 
     near (node, root) has the classes that are known, after first_cells for one. Rows of one class needn't meet. Of a group
     of several, those outside of its largest class, the rest, meet each other and the largest class, tile by tile; rows of the
@@ -35,13 +35,17 @@ def open_cells(rows: DataFrame, near: DataFrame, group: str, many: Callable[[Col
     several = durable(classes.agg(F.max(F.struct("n", "node"))["node"].alias("largest"), F.count("*").alias("classes")).where("classes > 1").drop("classes"))
     if not several.take(1):
         return None
-    sides = classed.join(small_side(several), group).withColumn("rest", F.col("node") != F.col("largest")).drop("largest")
-    sides = durable(sides)
+    sides = durable(classed.join(small_side(several), group).withColumn("rest", F.col("node") != F.col("largest")).drop("largest"))
     tiles = durable(sides.groupBy(group).agg(many(F.col("rest")).alias("u"), many(~F.col("rest")).alias("g")))
+    return sides.join(small_side(tiles), group)
+
+
+def open_cells(group: str) -> Column:
+    """Array of the cells of a row of open_rows: two tiles of the rest, or one of the rest, which meets itself there, and one
+    of the largest class."""
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     i = tile("fingerprint", F.when(F.col("rest"), F.col("u")).otherwise(F.col("g")))
-    # two tiles of the rest, and one of the rest with one of the largest class; a tile of the rest meets itself there
     two = F.transform(F.filter(upto("u"), lambda j: j != i), lambda j: F.xxhash64(group, F.lit(0), F.least(i, j), F.greatest(i, j)))
     own = F.transform(upto("g"), lambda j: F.xxhash64(group, F.lit(1), i, j))
     met = F.transform(upto("u"), lambda j: F.xxhash64(group, F.lit(1), j, i))
-    return sides.join(small_side(tiles), group).withColumn("cells", F.when(F.col("rest"), F.concat(two, own)).otherwise(met)).drop("rest", "u", "g")
+    return F.when(F.col("rest"), F.concat(two, own)).otherwise(met)
